@@ -176,12 +176,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "hash long, cls int, n long").groupBy("hash").agg(F.max("cls").alias("cls"), F.sum("n").alias("n"))
 
 
-def _vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    """Sums over all words on the executors; only the TABLE most frequent words and the classes' sums come to the driver."""
-    top = counts.orderBy(F.desc("n"), "hash").limit(TABLE).toPandas()
+def _vocabulary(counts: DataFrame, ends: int) -> tuple[Vocabulary, int]:
+    """The vocabulary and the least count its words have: the most frequent words, TABLE at most, found by a histogram of counts.
+
+    Sums over all words stay on the executors; the histogram (some hundred rows), the frequent words and the classes'
+    sums come to the driver.
+    """
+    step = F.floor(F.log2("n") * 16)
+    above, least = 0, 1
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.min("n").alias("low"), F.max("n").alias("high")).orderBy(F.desc("step")).collect():
+        if above + r.v > TABLE:
+            least = r.high + 1
+            break
+        above, least = above + r.v, r.low
+    top = counts.where(F.col("n") >= least).toPandas().sort_values(["n", "hash"], ascending=[False, True])
     hashes, n = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    symbols = set(top["hash"][:SYMBOLS].tolist())
     whole, distinct = 0, 0
     for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tokens[r.cls], types[r.cls] = r.n, r.v
@@ -189,8 +199,7 @@ def _vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     for cls, x in zip(top["cls"][:SYMBOLS], n[:SYMBOLS], strict=False):
         tokens[cls] -= x
         types[cls] -= 1
-    del symbols
-    return Vocabulary(hashes, n, whole + ends, distinct + (ends > 0), ends, tokens, types)
+    return Vocabulary(hashes, n, whole + ends, distinct + (ends > 0), ends, tokens, types), least
 
 
 def fit(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -232,7 +241,7 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_is: int = 2, id_col:
     train = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % held_out_mod != held_out_is, F.lit(True)))
     counts = cut(word_counts(train))
     ends = train.count()
-    v = _vocabulary(counts, ends)
+    v, least = _vocabulary(counts, ends)
     values = fit(train.select("text"), v)
     sent = spark.sparkContext.broadcast((v, _dump(values)))
     share = v.total + v.distinct + 1
@@ -275,7 +284,7 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_is: int = 2, id_col:
 
     schema = "doc_id long, h long, hash long, times int, rows int, n_tokens long, n_known long, base double, total double"
     parts = docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, schema)
-    rare = counts.where(F.col("n") <= (int(v.counts.min()) if len(v.counts) else 0)).select("hash", "n")
+    rare = counts.where(F.col("n") < least).select("hash", "n")
     joined = parts.join(rare, "hash", "left").withColumn("extra", F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).otherwise(0.0))
     whole = joined.groupBy("doc_id", "h").agg(
         F.sum("rows").cast("int").alias("rows"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("times"))), F.lit(0))).alias("n_known"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lm, simhash, substrings
+from . import chat, contamination, lines, lm, pieces, quality, simhash, substrings, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +19,78 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_lines_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op4_simhash_near_dedup, op6_substring_dedup)}
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(own)))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
+_ALL = (
+    op1_lm_scoring, op2_line_dedup, op3_sentencepiece, op4_simhash_near_dedup, op5_quality_classifier, op6_substring_dedup,
+    op7_embedding_near_dedup, op8_decontamination, op9_toxicity, op10_chat_formatting, pipeline,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
+
+# Windows of three lines, the first of each kept; windows are judged on the input.
+ORACLE_SQL["op2_line_dedup"] = r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as p from documents),
+w as (select * from (select doc_id, p, line || chr(10) || lead(line, 1) over d || chr(10) || lead(line, 2) over d as k from l window d as (partition by doc_id order by p)) where k is not null),
+f as (select doc_id, p, row_number() over (partition by k order by doc_id, p) as n from w),
+g as (select distinct doc_id, unnest([p, p + 1, p + 2]) as p from f where n > 1),
+j as (select l.doc_id, l.p, l.line, g.p is not null as gone from l left join g on l.doc_id = g.doc_id and l.p = g.p)
+select doc_id, count(*)::int as n_lines, sum(gone::int)::int as n_lines_removed,
+  sha256(coalesce(string_agg(line, chr(10) order by p) filter (where not gone), '')) as kept_sha256
+from j group by doc_id
+"""
+
+# Lower-case words of letters and digits; shingles of five words (all words of a shorter item); containment 0.8.
+ORACLE_SQL["op8_decontamination"] = r"""
+with i as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') as w from benchmark where text is not null),
+d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') as w from documents where text is not null),
+k as (select item_id, w, least(len(w), 5) as k from i where len(w) > 0),
+s as (select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), x -> array_to_string(w[x : x + k - 1], ' '))) as s from k),
+n as (select item_id, count(*) as n from s group by item_id),
+t as (select distinct doc_id, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), x -> array_to_string(w[x : x + k - 1], ' '))) as s from d, (select distinct k from k))
+select doc_id, item_id, n::int as n_shingles, count(*)::int as n_shared, count(*) / n as containment
+from s join t using (k, s) join n using (item_id) group by doc_id, item_id, n having count(*) >= ceil(n * 0.8 - 1e-9)
+"""

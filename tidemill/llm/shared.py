@@ -67,6 +67,8 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and all ASCII marks.
+MARKS = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -121,6 +123,7 @@ class Words:
     doc: np.ndarray
     n_docs: int
     hash: np.ndarray
+    between: np.ndarray
 
     @functools.cached_property
     def first(self) -> np.ndarray:
@@ -132,13 +135,13 @@ class Words:
         n = self.end - self.start
         start = np.concatenate([[0], np.cumsum(n + 1)[:-1]]) if len(n) else np.zeros(0, np.int64)
         out = np.full(int(n.sum() + len(n)), 32, np.uint8)
-        where = np.flatnonzero(~SPACE[self.data])
+        where = np.flatnonzero(~self.between[self.data])
         out[where + np.repeat(start - self.start, n)] = self.data[where]
         return out.tobytes(), start, start + n
 
 
-def words(text: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
-    """Tokenise a (small) Arrow string array; null counts as the empty text."""
+def words(text: pa.Array, lower: bool = False, hashed: bool = True, between: np.ndarray = SPACE) -> Words:
+    """Tokenise a (small) Arrow string array at the bytes in ``between``; null counts as the empty text."""
     text = pc.fill_null(text, "")
     text = text.cast(pa.large_string()) if text.type != pa.large_string() else text
     _, offsets, data = text.buffers()
@@ -146,7 +149,7 @@ def words(text: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
     at = at - at[0]
     raw = LOWER[raw] if lower else raw
-    space = SPACE[raw]
+    space = between[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[at] = True
     before = np.concatenate([[True], space[:-1]]) if len(raw) else space
@@ -160,7 +163,7 @@ def words(text: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_bytes_table()[raw] * up[: len(raw)], out=total[1:])
         hashes = mix((total[end] - total[start]) * down[start])
-    return Words(raw, start, end, doc, len(text), hashes)
+    return Words(raw, start, end, doc, len(text), hashes, between)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
