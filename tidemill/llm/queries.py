@@ -85,12 +85,12 @@ from j group by doc_id
 
 # Lower-case words of letters and digits; shingles of five words (all words of a shorter item); containment 0.8.
 ORACLE_SQL["op8_decontamination"] = r"""
-with i as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') as w from benchmark where text is not null),
-d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') as w from documents where text is not null),
+with i as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark where text is not null),
+d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents where text is not null),
 k as (select item_id, w, least(len(w), 5) as k from i where len(w) > 0),
-s as (select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), x -> array_to_string(w[x : x + k - 1], ' '))) as s from k),
+s as (select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x : x + k - 1], ' '))) as s from k),
 n as (select item_id, count(*) as n from s group by item_id),
-t as (select distinct doc_id, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), x -> array_to_string(w[x : x + k - 1], ' '))) as s from d, (select distinct k from k))
+t as (select distinct doc_id, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda x: array_to_string(w[x : x + k - 1], ' '))) as s from d, (select distinct k from k))
 select doc_id, item_id, n::int as n_shingles, count(*)::int as n_shared, count(*) / n as containment
 from s join t using (k, s) join n using (item_id) group by doc_id, item_id, n having count(*) >= ceil(n * 0.8 - 1e-9)
 """

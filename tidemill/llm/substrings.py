@@ -24,7 +24,7 @@ WINDOW = 13
 ANCHOR = 5
 #: One document in so many is looked at for frequent anchors; those seen this often in it get whole-window prefixes.
 HOT_SHARE, HOT_SEEN, HOT_MOST = 128, 24, 50_000
-CHUNK = 40_000
+CHUNK = 20_000
 
 
 def _anchored(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def _emit_texts(hot: np.ndarray):
                         seen[x, y] = [p, i, text[s:e].decode()]
                     elif i < old[1]:
                         old[1] = i
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     yield out()
                     seen.clear()
         if seen:
