@@ -35,23 +35,26 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     nodes = messages.select("tree_id", F.col("node_id").alias("node"), F.col("parent_id").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"))
     ids = nodes.select(F.col("node").alias("known"))
     first = nodes.join(ids, F.col("up") == F.col("known"), "left").select("tree_id", "node", F.col("known").alias("up"), "s", F.lit(1).alias("d"))
-    steps = [cut(first)]
-    more = steps[0].where("up is not null").count()
+    state = cut(first)
+    whole_first, jumps = state, []
+    more = state.where("up is not null").count()
     while more:
-        at = steps[-1]
-        up = at.select(F.col("node").alias("n2"), F.col("up").alias("u2"), F.col("s").alias("s2"), F.col("d").alias("d2"))
-        steps.append(cut(at.join(up, at["up"] == up["n2"], "left").select("tree_id", "node", F.col("u2").alias("up"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))))
-        left = steps[-1].where("up is not null").count()
+        # only messages whose root isn't reached yet are joined
+        active = state.where("up is not null")
+        jumps.append(active.select(F.col("node").alias("from"), "up"))
+        up = state.select(F.col("node").alias("n2"), F.col("up").alias("u2"), F.col("s").alias("s2"), F.col("d").alias("d2"))
+        moved = cut(active.join(up, active["up"] == up["n2"]).select("tree_id", "node", F.col("u2").alias("up"), (F.col("s") + F.col("s2")).alias("s"), (F.col("d") + F.col("d2")).alias("d")))
+        state = state.where("up is null").unionByName(moved)
+        left = moved.where("up is not null").count()
         if left == more:  # only cycles are left
             break
         more = left
-    whole = steps[-1].where("up is null")
-    inner = steps[0].where("up is not null").select(F.col("up").alias("inner")).distinct()
+    whole = state.where("up is null")
+    inner = whole_first.where("up is not null").select(F.col("up").alias("inner")).distinct()
     leaves = whole.join(inner, whole["node"] == inner["inner"], "left_anti").withColumn("mean", F.col("s") / F.col("d"))
     best = Window.partitionBy("tree_id").orderBy(F.desc("mean"), "node")
     marked = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select(F.col("node").alias("leaf"), "node")
-    for step in reversed(steps[:-1]):
-        jump = step.where("up is not null").select(F.col("node").alias("from"), "up")
+    for jump in reversed(jumps):
         marked = cut(marked.union(marked.join(jump, marked["node"] == jump["from"]).select("leaf", F.col("up").alias("node"))).distinct())
     return marked.join(whole, "node").select("tree_id", F.col("leaf").alias("leaf_id"), F.col("node").alias("node_id"), F.col("d").alias("depth"))
 
