@@ -1,11 +1,578 @@
-"""All queries of the library proper, by name, with their SQL where SQL can say the same."""
+"""All queries of the library proper, by name, with their SQL where SQL can say the same.
+
+Doubles are rounded to six decimals on both sides, ties are broken by id, nulls are explicit.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..operators import columns, density, distances, ensembles, evaluation, sampling, scoring, series, table, tests, text
 
-FLAGSHIP = ""
+FLAGSHIP = "d_nearest_confusion"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("s"))
+
+
+def r6(df: DataFrame) -> DataFrame:
+    """Round doubles, and those in arrays, to six decimals (minus zero to zero)."""
+    kinds = dict(df.dtypes)
+    one = lambda c: F.round(c, 6) + F.lit(0.0)
+    return df.select(*(one(F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.transform(c, one).alias(c) if kinds[c] == "array<double>" else F.col(c) for c in df.columns))
+
+
+V = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as s from embeddings)"
+ZN = "z as (select vec_id, label, case when list_stddev_pop(s) > 0 then list_transform(s, lambda x: (x - list_avg(s)) / list_stddev_pop(s)) else list_transform(s, lambda x: 0.0::double) end as s from v)"
+EU = "list_sum(list_transform(list_zip(a.s, b.s), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+# --- R: relational core ---------------------------------------------------------------------------------------------
+
+
+@query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity < 10 and l_returnflag in ('A', 'R')")
+def r_project_filter(spark, d):
+    x = table.filter_value(read(spark, d, "lineitem"), "l_quantity", below=10)
+    return table.keep_columns(table.filter_value(x, "l_returnflag", labels=["A", "R"]), ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
+@query("select l_orderkey, l_linenumber, l_returnflag from lineitem where l_returnflag in (select l_returnflag from lineitem group by 1 order by count(*) desc, 1 limit 2)")
+def r_keep_frequent(spark, d):
+    return table.keep_frequent(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag", 2)
+
+
+@query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) as id from orders")
+def r_add_id(spark, d):
+    return table.add_id(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])
+
+
+@query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) as n from orders) where n between 11 and 500")
+def r_filter_rank(spark, d):
+    return table.filter_rank(read(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 11, 500).select("o_orderkey")
+
+
+@query("select o_totalprice from orders order by o_totalprice limit 1 offset 99")
+def r_kth_smallest(spark, d):
+    return table.kth_smallest(read(spark, d, "orders"), "o_totalprice", 100)
+
+
+@query("""select l_returnflag, round(sum(l_quantity), 6) as sum_weights, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) as weighted_mean,
+round((sum(l_quantity * l_discount * l_discount) - sum(l_quantity * l_discount) * sum(l_quantity * l_discount) / sum(l_quantity)) / (sum(l_quantity) - 1), 6) as weighted_variance from lineitem group by 1""")
+def r_weighted_stats(spark, d):
+    return r6(table.weighted_stats(read(spark, d, "lineitem"), ["l_returnflag"], "l_discount", "l_quantity"))
+
+
+@query("""with u as (unpivot (select l_quantity, l_discount, l_tax from lineitem) on l_quantity, l_discount, l_tax into name attribute value value),
+c as (select attribute, value, count(*) as n from u group by all)
+select attribute, sum(n)::bigint as total, 0::bigint as missing, count(*) as distinct_values, count(*) filter (where n = 1) as unique_values,
+sum(case when value = floor(value) then n else 0 end)::bigint as whole, min(value) as min_value, max(value) as max_value, round(sum(value * n) / sum(n), 6) as mean_value,
+round(sqrt((sum(value * value * n) - sum(value * n) * sum(value * n) / sum(n)) / (sum(n) - 1)), 6) as sd_value from c group by 1""")
+def r_summarise(spark, d):
+    return r6(table.summarise(read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"]))
+
+
+@query("""select count(*) as n, round(avg(l_discount - l_tax), 6) as mean_difference, round(stddev_samp(l_discount - l_tax), 6) as sd_difference, round(corr(l_discount, l_tax), 6) as correlation,
+round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 6) as t from lineitem""")
+def r_paired_stats(spark, d):
+    return r6(table.paired_stats(read(spark, d, "lineitem"), "l_discount", "l_tax"))
+
+
+@query("select o_orderstatus, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from orders group by 1")
+def r_class_distribution(spark, d):
+    return r6(table.class_distribution(read(spark, d, "orders"), "o_orderstatus"))
+
+
+@query("""select o_custkey, min(o_totalprice) as o_totalprice_min, max(o_totalprice) as o_totalprice_max, round(avg(o_totalprice), 6) as o_totalprice_avg, round(stddev_samp(o_totalprice), 6) as o_totalprice_sd,
+round(sum(o_totalprice), 6) as o_totalprice_sum, count(*) filter (where o_orderstatus = 'F') as "o_orderstatus_F", count(*) filter (where o_orderstatus = 'O') as "o_orderstatus_O", count(*) filter (where o_orderstatus = 'P') as "o_orderstatus_P" from orders group by 1""")
+def r_propositionalise(spark, d):
+    return r6(table.propositionalise(read(spark, d, "orders"), ["o_custkey"], ["o_totalprice"], {"o_orderstatus": ["F", "O", "P"]}))
+
+
+@query("select n_regionkey, count(*) as nations, sum(n_nationkey)::bigint as keys from nation group by 1")
+def r_bags(spark, d):
+    bags = table.to_bags(read(spark, d, "nation"), ["n_regionkey"], ["n_nationkey", "n_name"])
+    return table.from_bags(bags).groupBy("n_regionkey").agg(F.count("*").alias("nations"), F.sum("n_nationkey").alias("keys"))
+
+
+@query("select case when o_orderstatus = 'F' then 'F' else 'rest' end as label2, count(*) as n from orders group by 1")
+def r_binary_relabel(spark, d):
+    return table.binary_relabel(read(spark, d, "orders"), "o_orderstatus", "F").groupBy("label2").agg(F.count("*").alias("n"))
+
+
+# --- C: column transforms -------------------------------------------------------------------------------------------
+
+
+@query("select p_partkey, round(log2(p_retailprice) * 0 + sqrt(p_retailprice) + power(p_size, 2) / 3, 6) as f from part")
+def c_arithmetic(spark, d):
+    return r6(columns.arithmetic(read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), "sqrt(a2) + a3 ^ 2 / 3", "f").select("p_partkey", "f"))
+
+
+@query("""select p_partkey, round((p_retailprice - (select avg(p_retailprice) from part)) / (select stddev_samp(p_retailprice) from part), 6) as p_retailprice, round((p_size - (select min(p_size) from part)) / (select max(p_size) - min(p_size) from part), 6) as p_size from part""")
+def c_standardize_normalise(spark, d):
+    x = read(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
+    x = columns.Standardizer(["p_retailprice"]).fit(x).transform(x)
+    return r6(columns.Standardizer(["p_size"], "range").fit(x).transform(x))
+
+
+@query("""with m as (select min(p_retailprice) as a, max(p_retailprice) as b from part) select least(greatest(ceil((p_retailprice - a) / ((b - a) / 10)) - 1, 0), 9)::int as bin, count(*) as n from part, m group by 1""")
+def c_equal_width(spark, d):
+    x = read(spark, d, "part")
+    return x.select(columns.bin_of(F.col("p_retailprice"), columns.equal_width_cuts(x, "p_retailprice", 10)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query()
+def c_equal_frequency(spark, d):
+    x = read(spark, d, "part")
+    return x.select(columns.bin_of(F.col("p_retailprice"), columns.equal_frequency_cuts(x, "p_retailprice", 10)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query()
+def c_mdl_discretise(spark, d):
+    x = read(spark, d, "lineitem")
+    days = x.select(F.datediff("l_shipdate", F.lit("1970-01-01")).alias("day"), "l_linestatus")
+    return days.select(columns.bin_of(F.col("day"), columns.mdl_cuts(days, "day", "l_linestatus")).alias("bin"), "l_linestatus").groupBy("bin", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("""select o_orderkey, (o_orderstatus = 'F')::int as "o_orderstatus=F", (o_orderstatus = 'O')::int as "o_orderstatus=O", (o_orderstatus = 'P')::int as "o_orderstatus=P", (o_orderpriority in ('1-URGENT', '2-HIGH'))::int as urgent from orders""")
+def c_one_hot_indicator(spark, d):
+    x = columns.indicator(read(spark, d, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH"], "urgent")
+    return columns.one_hot(x, "o_orderstatus").select("o_orderkey", "o_orderstatus=F", "o_orderstatus=O", "o_orderstatus=P", "urgent")
+
+
+@query("select case when n < 450 then 'other' else p_brand end as p_brand, sum(n)::bigint as n from (select p_brand, count(*) as n from part group by 1) group by 1")
+def c_merge_infrequent(spark, d):
+    return columns.merge_infrequent(read(spark, d, "part"), "p_brand", 450).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@query("""with x as (select doc_id, case when n_chars % 3 <> 0 then n_chars::double end as n, case when n_chars % 5 <> 0 then lang end as lang from documents)
+select doc_id, round(coalesce(n, (select avg(n) from x)), 6) as n, coalesce(lang, (select lang from x where lang is not null group by 1 order by count(*) desc, 1 limit 1)) as lang from x""")
+def c_impute(spark, d):
+    x = read(spark, d, "documents").select("doc_id", F.expr("case when n_chars % 3 <> 0 then double(n_chars) end").alias("n"), F.expr("case when n_chars % 5 <> 0 then lang end").alias("lang"))
+    return r6(columns.impute(x, ["n"], ["lang"]))
+
+
+@query("select l_orderkey, l_linenumber, case when l_quantity < 5 then 5.0 when l_quantity > 45 then 45.0 else l_quantity end as q from lineitem")
+def c_clean_numbers(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", columns.clean_numbers(F.col("l_quantity"), 5, 5.0, 45, 45.0).alias("q"))
+
+
+@query("""with s as (select c_custkey, c_acctbal, row_number() over (order by c_acctbal, c_custkey) - 1 as i, count(*) over () as n from customer), k as (select any_value(n // 2) as half, any_value(n // 4) as q, any_value(n) as n from s),
+p as (select case when half % 2 = 1 then (select c_acctbal from s where i = q) else (select avg(c_acctbal) from s where i in (q - 1, q)) end as q1, case when half % 2 = 1 then (select c_acctbal from s where i = k.n - q - 1) else (select avg(c_acctbal) from s where i in (k.n - q, k.n - q - 1)) end as q3 from k)
+select c_custkey, c_acctbal > q3 + 0.4 * (q3 - q1) or c_acctbal < q1 - 0.4 * (q3 - q1) as outlier from customer, p""")
+def c_outliers(spark, d):
+    x = read(spark, d, "customer")
+    q1, q3 = columns.quartiles(x, "c_acctbal", "c_custkey")
+    return x.select("c_custkey", columns.outlier_flags(F.col("c_acctbal"), q1, q3, 0.4, 100.0)[0].alias("outlier"))
+
+
+@query()
+def c_principal_components(spark, d):
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return columns.principal_components(x, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 0.7).select("l_orderkey", "l_linenumber", F.size("components").alias("k"))
+
+
+# --- X: sampling ----------------------------------------------------------------------------------------------------
+
+
+@query("with c as (select o_orderstatus, count(*) as n from orders group by 1) select o_orderstatus, least(n, 2 * (select min(n) from c))::bigint as n from c")
+def x_spread_subsample(spark, d):
+    return sampling.spread_subsample(read(spark, d, "orders"), "o_orderstatus", "o_orderkey", 2.0).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("with c as (select o_orderstatus, count(*) as n from orders group by 1) select o_orderstatus, fold::int as fold, (n // 10 + (fold < n % 10)::int)::bigint as n from c, range(10) t(fold)")
+def x_stratified_folds(spark, d):
+    return sampling.stratified_folds(read(spark, d, "orders"), "o_orderstatus", "o_orderkey", 10).groupBy("o_orderstatus", "fold").agg(F.count("*").alias("n"))
+
+
+@query("with c as (select o_orderstatus, count(*) as n from orders group by 1) select o_orderstatus, ceil(n * 0.7)::bigint as train, (n - ceil(n * 0.7))::bigint as test from c")
+def x_train_test(spark, d):
+    x = sampling.train_test(read(spark, d, "orders"), "o_orderstatus", "o_orderkey", 0.7)
+    return x.groupBy("o_orderstatus").agg(F.count_if("is_train").alias("train"), F.count_if(~F.col("is_train")).alias("test"))
+
+
+@query()
+def x_reservoir(spark, d):
+    return sampling.reservoir(read(spark, d, "orders"), "o_orderkey", 1000)
+
+
+@query()
+def x_smote(spark, d):
+    return sampling.smote(vectors(spark, d), "label", 3, "vec_id", "s", 200)
+
+
+# --- T: series ------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {V}, {ZN} select vec_id, list_transform(s, lambda x: round(x, 6)) as s from z")
+def t_z_normalise(spark, d):
+    return r6(vectors(spark, d).select("vec_id", A.z_normalise(F.col("s")).alias("s")))
+
+
+@query(f"""with {V}, l as (select vec_id, unnest(range(1, 11)) as k, s from v), p as (select vec_id, k, s[1 : 64 - k] as x, s[k + 1 : 64] as y from l)
+select vec_id, list(round(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - list_avg(x)) * (p[2] - list_avg(y)))) / len(x) / (list_stddev_pop(x) * list_stddev_pop(y)), 6) order by k) as acf from p group by 1""")
+def t_autocorrelation(spark, d):
+    return r6(vectors(spark, d).select("vec_id", series.autocorrelation(F.col("s"), 10).alias("acf")))
+
+
+@query(f"""with {V} select vec_id, list_transform(range(1, 9), lambda i: round(list_avg(s[(i - 1) * 8 + 1 : i * 8]), 6)) as paa,
+list_aggregate(list_transform(range(1, 9), lambda i: case when list_avg(s[(i - 1) * 8 + 1 : i * 8]) > 0.67 then 'd' when list_avg(s[(i - 1) * 8 + 1 : i * 8]) > 0 then 'c' when list_avg(s[(i - 1) * 8 + 1 : i * 8]) > -0.67 then 'b' else 'a' end), 'string_agg', '') as sax from v""")
+def t_paa_sax(spark, d):
+    s = F.col("s")
+    return r6(vectors(spark, d).select("vec_id", series.paa(s, 8, 64).alias("paa"), series.sax(s, 8, 64).alias("sax")))
+
+
+@query(f"""with {V} select vec_id, list_transform(range(1, 65), lambda i: round(case when i = 1 then ((s[2] - s[1]) + (s[3] - s[1]) / 2) / 2 when i = 64 then ((s[63] - s[62]) + (s[64] - s[62]) / 2) / 2 else ((s[i] - s[i - 1]) + (s[i + 1] - s[i - 1]) / 2) / 2 end, 6)) as derivative,
+list_transform(range(1, 63), lambda i: round(s[i] - s[i + 2], 6)) as difference, list_transform(s, lambda x: (x >= list_avg(s))::int) as clipped from v""")
+def t_derivative_difference_clip(spark, d):
+    s = F.col("s")
+    return r6(vectors(spark, d).select("vec_id", series.derivative(s).alias("derivative"), series.differences(s, 2).alias("difference"), series.clip(s).alias("clipped")))
+
+
+@query(f"""with {V} select vec_id, list_transform(range(0, 64), lambda k: round(list_sum(list_transform(range(0, 64), lambda i: s[i + 1] * cos(k * (i + 0.5) * pi() / 64))), 6)) as cosine,
+list_transform(range(0, 64), lambda k: round(list_sum(list_transform(range(0, 64), lambda i: s[i + 1] * sin((k + 1) * (i + 0.5) * pi() / 64))), 6)) as sine from v""")
+def t_cosine_sine(spark, d):
+    s = F.col("s")
+    return r6(vectors(spark, d).select("vec_id", series.cosine_transform(s).alias("cosine"), series.sine_transform(s).alias("sine")))
+
+
+@query(f"with {V} select vec_id, round(list_avg(s), 6) as mean, round(list_stddev_samp(s), 6) as sd, round(list_min(s), 6) as low, round(list_max(s), 6) as high, round(list_sum(list_transform(s, lambda x: power(x - list_avg(s), 3))) / (power(list_stddev_samp(s), 3) * 64), 6) as skew from v")
+def t_summary(spark, d):
+    x = vectors(spark, d).select("vec_id", series.summary(F.col("s")).alias("x"))
+    return r6(x.select("vec_id", "x.mean", "x.sd", F.col("x.min").alias("low"), F.col("x.max").alias("high"), "x.skew"))
+
+
+@query(f"with {V}, l as (select vec_id, unnest(range(64)) as t, unnest(s) as value from v) select vec_id, t::int as t, row_number() over (partition by t order by value, vec_id)::int as rank from l")
+def t_rank_order(spark, d):
+    return series.rank_order(vectors(spark, d), "vec_id", "s")
+
+
+@query("select event_id, round(value - lag(value) over w, 6) as delta, lag(value, 2) over w as lag2 from events window w as (partition by user_id order by ts, event_id)")
+def t_lag_delta(spark, d):
+    x = series.delta(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+    return r6(series.lag_columns(x, "user_id", ["ts", "event_id"], "value", [2]).select("event_id", F.col("value_delta").alias("delta"), F.col("value_lag2").alias("lag2")))
+
+
+@query(f"""with {V}, k as (select vec_id, unnest(range(32)) as k, s from v), f as (select vec_id, k, list_sum(list_transform(range(64), lambda i: s[i + 1] * cos(2 * pi() * k * i / 64))) as re, list_sum(list_transform(range(64), lambda i: s[i + 1] * sin(2 * pi() * k * i / 64))) as im from k)
+select vec_id, list(round(re * re + im * im, 5) order by k) as power from f group by 1""")
+def t_power_spectrum(spark, d):
+    return vectors(spark, d).select("vec_id", F.transform(series.power_spectrum("s"), lambda x: F.round(x, 5) + 0.0).alias("power"))
+
+
+@query()
+def t_kernels(spark, d):
+    return r6(vectors(spark, d).select("vec_id", series.partial_autocorrelation("s").alias("pacf"), series.autoregression("s").alias("ar"), series.haar("s").alias("haar"), series.power_cepstrum("s").alias("cepstrum"), series.matrix_profile(8)("s").alias("profile")))
+
+
+@query()
+def t_hilbert_runs(spark, d):
+    s = F.col("s")
+    return r6(vectors(spark, d).select("vec_id", series.hilbert_transform(s).alias("hilbert"), series.run_lengths(s, 10).alias("runs")))
+
+
+@query()
+def t_binary_split(spark, d):
+    return r6(series.binary_split(vectors(spark, d), "vec_id", "label", "s"))
+
+
+@query(f"with {V}, w as (select vec_id, unnest(range(57)) as start, s from v) select vec_id, start::int as start, round(list_avg(s[start + 1 : start + 8]), 6) as mean from w")
+def t_sliding_windows(spark, d):
+    return r6(series.sliding_windows(vectors(spark, d).select("vec_id", "s"), "s", 8).select("vec_id", "start", A.mean(F.col("window")).alias("mean")))
+
+
+# --- D: distances ---------------------------------------------------------------------------------------------------
+
+NEAR = f"n as (select a.vec_id as query, a.label as actual, b.vec_id as neighbour, b.label as label, {EU} as distance, row_number() over (partition by a.vec_id order by {EU}, b.vec_id) as r from q a, q b where a.vec_id <> b.vec_id)"
+
+
+@query(f"""with {V}, {ZN}, q as (select vec_id, label, list_transform(range(1, 9), lambda i: list_avg(s[(i - 1) * 8 + 1 : i * 8])) as s from z), {NEAR}
+select actual, label as predicted, count(*) as n from n where r = 1 group by 1, 2""")
+def d_nearest_confusion(spark, d):
+    x = vectors(spark, d).select("vec_id", "label", series.paa(A.z_normalise(F.col("s")), 8, 64).alias("s"))
+    return evaluation.confusion(distances.nearest(x, x, "vec_id", "s", "label").select("actual", F.col("label").alias("predicted")))
+
+
+@query(f"with {V}, q as (select * from v), {NEAR} select query, neighbour, round(distance, 6) as distance, r::int as rank from n where r <= 3")
+def d_knn_join(spark, d):
+    x = vectors(spark, d)
+    return r6(distances.knn_join(x, x, 3, "vec_id", "s", "label").select("query", "neighbour", "distance", "rank"))
+
+
+@query(f"""with {V}, p as (select a.vec_id as x, b.vec_id as y, list_zip(a.s, b.s) as z, a.s as s, b.s as t from v a, v b where a.vec_id < b.vec_id and a.label = b.label),
+c as (select *, sqrt(list_sum(list_transform(range(1, 64), lambda i: (s[i + 1] - s[i]) * (s[i + 1] - s[i]))) + 0.001) as cs, sqrt(list_sum(list_transform(range(1, 64), lambda i: (t[i + 1] - t[i]) * (t[i + 1] - t[i]))) + 0.001) as ct from p)
+select x, y, round(list_sum(list_transform(z, lambda e: abs(e[1] - e[2]))), 6) as manhattan, round(list_max(list_transform(z, lambda e: abs(e[1] - e[2]))), 6) as chebyshev, round(sqrt(list_sum(list_transform(z, lambda e: (e[1] - e[2]) * (e[1] - e[2])))) * greatest(cs, ct) / least(cs, ct), 6) as cid from c""")
+def d_lock_step(spark, d):
+    x = vectors(spark, d)
+    a, b = x.select(F.col("vec_id").alias("x"), "label", F.col("s").alias("a")), x.select(F.col("vec_id").alias("y"), "label", F.col("s").alias("b"))
+    p = a.join(b, "label").where("x < y")
+    a, b = F.col("a"), F.col("b")
+    return r6(p.select("x", "y", A.manhattan(a, b).alias("manhattan"), A.chebyshev(a, b).alias("chebyshev"), A.complexity_invariant(a, b).alias("cid")))
+
+
+def _near_pairs(spark, d):
+    """Every series with its three nearest ones: enough pairs for the costly kernels, growing with the table."""
+    x = vectors(spark, d)
+    n = distances.knn_join(x, x, 3, "vec_id", "s", "label").select("query", "neighbour")
+    return n.join(x.select(F.col("vec_id").alias("query"), F.col("s").alias("a")), "query").join(x.select(F.col("vec_id").alias("neighbour"), F.col("s").alias("b")), "neighbour")
+
+
+@query()
+def d_elastic(spark, d):
+    p = _near_pairs(spark, d)
+    return r6(p.select("query", "neighbour", *(distances.distance(k, F.col("a"), F.col("b")).alias(k) for k in distances.KERNELS)))
+
+
+@query()
+def d_pruned_dtw_nearest(spark, d):
+    x = vectors(spark, d)
+    return r6(distances.pruned_nearest(x, x, "vec_id", "s", "label", 0.1))
+
+
+@query()
+def d_kernels(spark, d):
+    p = _near_pairs(spark, d)
+    return r6(p.select("query", "neighbour", *(distances.kernel_column(k, F.col("a"), F.col("b")).alias(k) for k in ("poly", "normalised_poly", "rbf", "puk"))))
+
+
+# --- A: attribute scores --------------------------------------------------------------------------------------------
+
+CELLS = """u as (unpivot (select l_returnflag, l_linenumber::varchar as l_linenumber, l_quantity::int::varchar as q, l_linestatus as label from lineitem) on l_returnflag, l_linenumber, q into name attribute value value),
+c as (select attribute, value, label, count(*) as n from u group by all), t as (select attribute, sum(n) as t from c group by 1),
+v as (select attribute, value, sum(n) as nv from c group by all), k as (select attribute, label, sum(n) as nc from c group by all)"""
+
+
+def _flags(spark, d):
+    x = read(spark, d, "lineitem").select("l_returnflag", F.col("l_linenumber").cast("string").alias("l_linenumber"), F.col("l_quantity").cast("int").cast("string").alias("q"), F.col("l_linestatus").alias("label"))
+    return scoring.contingency(x, ["l_returnflag", "l_linenumber", "q"], "label")
+
+
+@query(f"""with {CELLS}, h as (select attribute, (select -sum(nc / t.t * log2(nc / t.t)) from k where k.attribute = t.attribute) as hc, (select -sum(nv / t.t * log2(nv / t.t)) from v where v.attribute = t.attribute) as ha, (select -sum(n / t.t * log2(n / t.t)) from c where c.attribute = t.attribute) as hj from t)
+select attribute, round(hc + ha - hj, 6) as info_gain, round((hc + ha - hj) / ha, 6) as gain_ratio, round(2 * (hc + ha - hj) / (hc + ha), 6) as symmetrical_uncertainty from h""")
+def a_entropy_scores(spark, d):
+    return r6(scoring.entropy_scores(_flags(spark, d)))
+
+
+@query(f"""with {CELLS} select attribute, round(sum((coalesce(n, 0) - nv * nc / t) * (coalesce(n, 0) - nv * nc / t) / (nv * nc / t)), 6) as chi_squared from v join k using (attribute) join t using (attribute) left join c using (attribute, value, label) group by 1""")
+def a_chi_squared(spark, d):
+    return r6(scoring.chi_squared(_flags(spark, d)).select("attribute", "chi_squared"))
+
+
+@query(f"with {CELLS}, b as (select attribute, value, max(n) as m, sum(n) as n from c group by all) select attribute, round(sum(m) / sum(n), 6) as accuracy from b group by 1")
+def a_one_rule(spark, d):
+    return r6(scoring.one_rule(_flags(spark, d)))
+
+
+@query("select unnest(['l_quantity', 'l_discount', 'l_tax']) as attribute, unnest([round(corr(l_quantity, l_extendedprice), 6), round(corr(l_discount, l_extendedprice), 6), round(corr(l_tax, l_extendedprice), 6)]) as correlation from lineitem")
+def a_correlations(spark, d):
+    return r6(scoring.correlations(read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"))
+
+
+@query("with c as (select l_returnflag, l_linenumber, l_linestatus, count(*) as n from lineitem group by all), p as (select max(n) as m, sum(n) as n from c group by l_returnflag, l_linenumber) select round(sum(m) / sum(n), 6) as consistency from p")
+def a_consistency(spark, d):
+    return r6(scoring.consistency(read(spark, d, "lineitem"), ["l_returnflag", "l_linenumber"], "l_linestatus"))
+
+
+@query()
+def a_relief(spark, d):
+    return r6(scoring.relief(vectors(spark, d), "vec_id", "s", "label", 64))
+
+
+# --- E: evaluation --------------------------------------------------------------------------------------------------
+
+PRED = "p as (select l_orderkey * 10 + l_linenumber as item, (l_returnflag = 'R')::int as actual, (l_quantity > 25)::int as predicted, round(l_discount * 5 + l_tax, 4) as score, [1 - (0.1 + l_tax * 10) / 1.2, (0.1 + l_tax * 10) / 1.2] as probs, l_linenumber as module from lineitem)"
+
+
+def _predictions(spark, d):
+    return read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), (F.col("l_returnflag") == "R").cast("int").alias("actual"), (F.col("l_quantity") > 25).cast("int").alias("predicted"), F.round(F.col("l_discount") * 5 + F.col("l_tax"), 4).alias("score"), F.array(1 - (0.1 + F.col("l_tax") * 10) / 1.2, (0.1 + F.col("l_tax") * 10) / 1.2).alias("probs"), F.col("l_linenumber").alias("module"))
+
+
+@query(f"""with {PRED}, c as (select count(*) as n, sum((actual = predicted)::int) as hit, (sum(actual) * sum(predicted) + sum(1 - actual) * sum(1 - predicted)) / power(count(*), 2) as e from p)
+select n, round(hit / n, 6) as accuracy, round(1 - hit / n, 6) as error, round((hit / n - e) / (1 - e), 6) as kappa from c""")
+def e_accuracy_kappa(spark, d):
+    return r6(evaluation.accuracy(_predictions(spark, d)))
+
+
+@query(f"""with {PRED}, c as (select l as label, sum((actual = l and predicted = l)::int)::bigint as tp, sum((actual <> l and predicted = l)::int)::bigint as fp, sum((actual = l and predicted <> l)::int)::bigint as fn, sum((actual <> l and predicted <> l)::int)::bigint as tn from p, (values (0), (1)) t(l) group by 1)
+select label, tp, fp, fn, tn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1, round((tp * tn - fp * fn) / sqrt((tp + fp)::double * (tp + fn) * (tn + fp) * (tn + fn)), 6) as mcc from c""")
+def e_per_class(spark, d):
+    return r6(evaluation.per_class(_predictions(spark, d)))
+
+
+@query(f"with {PRED} select module, round(avg(case when probs[actual + 1] = 0 then 6.64 else -log2(probs[actual + 1]) end), 6) as nll from p group by 1")
+def e_nll(spark, d):
+    return r6(evaluation.negative_log_likelihood(_predictions(spark, d), ["module"]))
+
+
+@query(f"with {PRED}, s as (select score, sum(actual) as p, sum(1 - actual) as n from p group by 1), b as (select *, coalesce(sum(n) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from s) select round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) as auroc from b")
+def e_auroc(spark, d):
+    return r6(evaluation.auroc(_predictions(spark, d)))
+
+
+@query(f"""with {PRED}, s as (select score, sum(actual) as p, sum(1 - actual) as n from p group by 1), c as (select score, sum(p) over w as tp, sum(n) over w as fp, sum(p) over () as ap, sum(n) over () as an from s window w as (order by score desc))
+select score, tp::bigint as tp, fp::bigint as fp, round(tp / ap, 6) as recall, round(fp / an, 6) as fallout, round(tp / (tp + fp), 6) as precision from c""")
+def e_threshold_curve(spark, d):
+    return r6(evaluation.threshold_curve(_predictions(spark, d)).select("score", "tp", "fp", "recall", "fallout", "precision"))
+
+
+@query("""with p as (select l_extendedprice as a, l_quantity * 1500 as f from lineitem), m as (select avg(a) as m from p)
+select round(avg(abs(f - a)), 6) as mae, round(sqrt(avg((f - a) * (f - a))), 6) as rmse, round(sum(abs(f - a)) / sum(abs(a - m)), 6) as relative_absolute, round(sqrt(sum((f - a) * (f - a)) / sum((a - m) * (a - m))), 6) as root_relative_squared, round(corr(a, f), 6) as correlation from p, m""")
+def e_regression_errors(spark, d):
+    x = read(spark, d, "lineitem").select(F.col("l_extendedprice").alias("a"), (F.col("l_quantity") * 1500).alias("f"))
+    return r6(evaluation.regression_errors(x, "a", "f"))
+
+
+RES = "m as (select l_linenumber as method, l_returnflag || l_linestatus as dataset, round(avg(l_discount), 6) as mean from lineitem group by all)"
+
+
+def _results(spark, d):
+    return read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("method"), F.concat("l_returnflag", "l_linestatus").alias("dataset")).agg(F.round(F.avg("l_discount"), 6).alias("mean"))
+
+
+@query(f"with {RES}, r as (select method, rank() over (partition by dataset order by mean desc) + (count(*) over (partition by dataset, mean) - 1) / 2 as r from m) select method, round(avg(r), 6) as average_rank from r group by 1")
+def e_average_ranks(spark, d):
+    return r6(evaluation.average_ranks(_results(spark, d)))
+
+
+@query(f"with {RES} select a.method, b.method as other, count(*) filter (where a.mean > b.mean) as wins, count(*) filter (where a.mean = b.mean) as draws, count(*) filter (where a.mean < b.mean) as losses from m a join m b on a.dataset = b.dataset and a.method <> b.method group by all")
+def e_wins_draws_losses(spark, d):
+    return evaluation.wins_draws_losses(_results(spark, d))
+
+
+# --- V: ensembles ---------------------------------------------------------------------------------------------------
+
+VP = "p as (select l_orderkey as item, l_linenumber as module, (o_orderstatus = 'F')::int as actual, (l_quantity > 20 + 3 * l_linenumber)::int as predicted from lineitem join orders on l_orderkey = o_orderkey)"
+
+
+def _modules(spark, d):
+    x = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    p = (F.col("l_quantity") > 20 + 3 * F.col("l_linenumber")).cast("int")
+    return x.select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("module"), (F.col("o_orderstatus") == "F").cast("int").alias("actual"), p.alias("predicted"), F.array(1 - (0.25 + 0.5 * p), 0.25 + 0.5 * p).alias("probs"))
+
+
+@query(f"with {VP} select module, round(power(avg((actual = predicted)::int), 4), 6) as weight from p group by 1")
+def v_module_weights(spark, d):
+    return r6(ensembles.module_weights(_modules(spark, d)))
+
+
+@query(f"""with {VP}, w as (select module, power(avg((actual = predicted)::int), 4) as w from p group by 1), v as (select item, actual, predicted, sum(w) as v from p join w using (module) group by all)
+select predicted, actual, count(*) as n from (select item, actual, predicted, row_number() over (partition by item order by round(v, 12) desc, predicted) as r from v) where r = 1 group by all""")
+def v_majority_vote(spark, d):
+    p = _modules(spark, d)
+    return ensembles.majority_vote(p, ensembles.module_weights(p)).groupBy("predicted", "actual").agg(F.count("*").alias("n"))
+
+
+@query()
+def v_cawpe(spark, d):
+    p = _modules(spark, d)
+    return evaluation.accuracy(ensembles.cawpe(p, p))
+
+
+@query()
+def v_naive_bayes(spark, d):
+    p = _modules(spark, d)
+    return evaluation.accuracy(ensembles.naive_bayes_combiner(p, p, 2))
+
+
+# --- P: tests -------------------------------------------------------------------------------------------------------
+
+
+@query("select count(*) as n, round(avg(c_acctbal), 6) as mean, round((avg(c_acctbal) - 4500) / sqrt(var_samp(c_acctbal) / count(*)), 6) as t from customer")
+def p_one_sample_t(spark, d):
+    return r6(tests.one_sample_t(read(spark, d, "customer"), "c_acctbal", 4500))
+
+
+RANKED = "r as (select *, rank() over (order by c_acctbal) + (count(*) over (partition by c_acctbal) - 1) / 2 as r from customer{})"
+
+
+@query(f"""with {RANKED.format(" where c_mktsegment in ('BUILDING', 'MACHINERY')")}, s as (select sum((c_mktsegment = 'BUILDING')::int)::bigint as n1, sum((c_mktsegment <> 'BUILDING')::int)::bigint as n2, sum(case when c_mktsegment = 'BUILDING' then r else 0 end) as rank_sum from r)
+select n1, n2, round(rank_sum, 6) as rank_sum, round(rank_sum - n1 * (n1 + 1) / 2, 6) as u from s""")
+def p_mann_whitney(spark, d):
+    return r6(tests.mann_whitney(read(spark, d, "customer"), "c_mktsegment", "c_acctbal", "BUILDING", "MACHINERY").select("n1", "n2", F.col("rank_sum").cast("double").alias("rank_sum"), F.col("u").cast("double").alias("u")))
+
+
+@query(f"with {RANKED.format('')}, g as (select c_mktsegment, count(*) as m, sum(r) as s from r group by 1) select count(*) as groups, round(12 / (sum(m) * (sum(m) + 1)) * sum(s * s / m) - 3 * (sum(m) + 1), 6) as h from g")
+def p_kruskal_wallis(spark, d):
+    return r6(tests.kruskal_wallis(read(spark, d, "customer"), "c_mktsegment", "c_acctbal").select("groups", F.col("h").cast("double").alias("h")))
+
+
+@query("""with d as (select round(l_discount - l_tax, 2) as d from lineitem where round(l_discount - l_tax, 2) <> 0), r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2 as r from d)
+select count(*)::bigint as n, round(sum(case when d > 0 then r else 0 end), 1) as w_plus, round(sum(case when d < 0 then r else 0 end), 1) as w_minus from r""")
+def p_signed_rank(spark, d):
+    x = tests.signed_rank(read(spark, d, "lineitem"), F.round(F.col("l_discount") - F.col("l_tax"), 2))
+    return x.select(F.col("n").cast("long").alias("n"), F.round(F.col("w_plus").cast("double"), 1).alias("w_plus"), F.round(F.col("w_minus").cast("double"), 1).alias("w_minus"))
+
+
+@query("""select count(*) filter (where c_mktsegment = 'BUILDING') as n1, count(*) filter (where c_mktsegment = 'MACHINERY') as n2, round((avg(c_acctbal) filter (where c_mktsegment = 'BUILDING') - avg(c_acctbal) filter (where c_mktsegment = 'MACHINERY')) / sqrt(var_samp(c_acctbal) filter (where c_mktsegment = 'BUILDING') / count(*) filter (where c_mktsegment = 'BUILDING') + var_samp(c_acctbal) filter (where c_mktsegment = 'MACHINERY') / count(*) filter (where c_mktsegment = 'MACHINERY')), 6) as t from customer""")
+def p_two_sample_t(spark, d):
+    return r6(tests.two_sample_t(read(spark, d, "customer"), "c_mktsegment", "c_acctbal", "BUILDING", "MACHINERY").select("n1", "n2", "t"))
+
+
+@query("select p_partkey, round((power(p_retailprice, 0.5) - 1) / 0.5, 6) as box_cox, round((power(p_retailprice + 1, 0.25) - 1) / 0.25, 6) as yeo_johnson from part")
+def p_power_transforms(spark, d):
+    x = F.col("p_retailprice")
+    return r6(read(spark, d, "part").select("p_partkey", tests.box_cox(x, 0.5).alias("box_cox"), tests.yeo_johnson(x, 0.25).alias("yeo_johnson")))
+
+
+@query("select round(regr_slope(p_retailprice, p_size), 6) as slope, round(regr_intercept(p_retailprice, p_size), 6) as intercept, round(regr_sxy(p_retailprice, p_size) * regr_sxy(p_retailprice, p_size) / regr_sxx(p_retailprice, p_size), 3) as ssr from part")
+def p_least_squares(spark, d):
+    return r6(tests.least_squares(read(spark, d, "part"), "p_size", "p_retailprice").select("slope", "intercept", F.round("ssr", 3).alias("ssr")))
+
+
+@query()
+def p_normality_power(spark, d):
+    x = read(spark, d, "part")
+    return r6(tests.ks_normal(x, "p_retailprice").join(F.broadcast(tests.best_power(x, "p_size", "p_retailprice"))))
+
+
+# --- Q: density; N: text --------------------------------------------------------------------------------------------
+
+
+@query("with c as (select o_orderstatus, o_orderpriority, count(*) as n from orders group by all) select o_orderstatus, o_orderpriority, n, round((n + 1) / (sum(n) over (partition by o_orderstatus) + (select count(distinct o_orderpriority) from orders)), 6) as p from c")
+def q_conditional_discrete(spark, d):
+    return r6(density.discrete(read(spark, d, "orders"), "o_orderpriority", "o_orderstatus"))
+
+
+@query("select l_returnflag, round(avg(l_quantity), 6) as l_quantity_mean, round(stddev_samp(l_quantity), 6) as l_quantity_sd from lineitem group by 1")
+def q_normal(spark, d):
+    return r6(density.normal(read(spark, d, "lineitem"), ["l_quantity"], ["l_returnflag"]))
+
+
+@query("""with h as (select (max(c_acctbal) - min(c_acctbal)) / sqrt(count(*)) as h, count(*) as n from customer) select x::double as x, round(sum(exp(-power((x - c_acctbal) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) as density from customer, h, (values (0.0), (2500.0), (5000.0)) t(x) group by 1""")
+def q_kernel_density(spark, d):
+    return r6(density.kernel_density(read(spark, d, "customer"), "c_acctbal", [0.0, 2500.0, 5000.0]))
+
+
+@query("""with q as (select quantile_cont(l_extendedprice, [0.0, 0.25, 0.5, 0.75, 1.0]) as q from lineitem) select (i - 1)::int as bin, round(q[i], 6) as low, round(q[i + 1], 6) as high from q, range(1, 5) t(i)""")
+def q_histogram(spark, d):
+    return r6(density.histogram_quantiles(read(spark, d, "lineitem"), "l_extendedprice", 4))
+
+
+@query(r"""with w as (select doc_id, unnest(list_filter(string_split_regex(text, '[ \r\n\t.,;:''"()?!]+'), lambda x: x <> '')) as term from documents) select doc_id, term, count(*) as n from w group by all""")
+def n_term_counts(spark, d):
+    return text.term_counts(read(spark, d, "documents"), "doc_id", text.tokens(F.col("text")))
+
+
+@query(r"""with w as (select doc_id, list_filter(string_split_regex(text, '[ \r\n\t.,;:''"()?!]+'), lambda x: x <> '') as w from documents) select doc_id, (len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0))::int as n from w""")
+def n_ngrams(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(text.ngrams(text.tokens(F.col("text")))).alias("n"))
+
+
