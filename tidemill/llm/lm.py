@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, fold, mix, slices, words
+from .shared import cut, fold, mix, slices, small_batches, words
 
 #: Frequent words that are symbols; further frequent words whose counts every task holds; classes of rarer words; numbers of a vector.
 SYMBOLS, TABLE, CLASSES, DIM = 1022, 65_536, 1024, 16
@@ -237,7 +237,7 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_is: int = 2, id_col:
     learned from, and never held out. Rows that repeat an id and a text get equal rows. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     train = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % held_out_mod != held_out_is, F.lit(True)))
     counts = cut(word_counts(train))
     ends = train.count()

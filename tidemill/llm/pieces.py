@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix, slices
+from .shared import mix, slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -179,7 +179,7 @@ def _char(code: int) -> bytes:
 def _mapped(df: DataFrame, name: str, kind: T.DataType, column, sent) -> DataFrame:
     """``df`` with a column made in Arrow batches by ``column(pieces, batch, state)``, replacing one so named."""
     fields = [f for f in df.schema.fields if f.name != name]
-    kept = df.select(*(F.col(f"`{f.name}`") for f in fields))
+    kept = small_batches(df).select(*(F.col(f"`{f.name}`") for f in fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, state = Pieces(*sent.value), {}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, mix, slices, words
+from .shared import SPACE, mix, slices, small_batches, words
 
 #: Labelled rows and pool rows that are learned from at most (those with the smallest hash of the id), rounds, rows added a round and label.
 LABELLED, POOL, ROUNDS, ADDED = 6000, 6000, 4, 250
@@ -129,7 +129,7 @@ _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _plain(docs: DataFrame) -> DataFrame:
     types = dict(zip(_COLUMNS, ("long", "string", "string", "string", "long"), strict=True))
-    return docs.select(*(F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()))
+    return small_batches(docs).select(*(F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in types.items()))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:

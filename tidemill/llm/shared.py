@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to hand Python few rows at a time: texts are long, and a task holds whole batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later plans start there and survive lost executors."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, grams, mix, slices, words
+from .shared import cut, grams, mix, slices, small_batches, words
 
 WINDOW = 13
 ANCHOR = 5
@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a row with a null id loses nothing and takes nothing from others; rows that repeat an id are one document and
     take nothing from each other. Fewer than 13 words stay whole. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = docs.where("doc_id is not null")
 
     ids = cut(keyed.select("doc_id", F.unhex(F.md5("text")).alias("md5"), F.hash("text").alias("text_hash")))

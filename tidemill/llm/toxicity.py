@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MARKS, fold, grams, mix, slices, words
+from .shared import MARKS, fold, grams, mix, slices, small_batches, words
 
 BITS = 20
 #: At most so many labelled rows of each label are learned from (those with the smallest hash of the id).
@@ -94,7 +94,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_is
     feature. Rows with a null id are scored and never held out; rows that repeat get equal scores; without usable
     labels of both kinds every score is the prior's. Labels that are null or other than 0 and 1 are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features, weights, bias = fit(docs, labels, held_out_mod, held_out_is)
     sent = docs.sparkSession.sparkContext.broadcast((features, weights, bias))
 
