@@ -158,7 +158,7 @@ def _search(g: pd.DataFrame) -> pd.DataFrame:
     shard = int(g["shard"].iloc[0])
     other = lambda f: np.where(f["c1"].to_numpy() == shard, f["c2"].to_numpy(), f["c1"].to_numpy())
     oq, om = other(query)[row], other(member)[col]
-    here = (oq != om) | (shard < oq)
+    here = (oq != om) | (oq < 0) | (shard < oq)  # below 0: no second shard
     links = np.bincount(row[here], member["m"].to_numpy()[col[here]], len(query)).astype(np.int64)
     root_q, root_m = ids_q.copy(), ids_m.copy()
     while True:
