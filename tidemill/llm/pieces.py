@@ -9,7 +9,7 @@ in no piece becomes its UTF-8 bytes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +89,8 @@ class Pieces:
     def _prefixes(self, name: str) -> np.ndarray:
         return mix(self._rolled(np.array([[ord(c) for c in name]]))[0, 1:])
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Piece ids of words of one length; a negative id is a character in no piece, as -1 - its code point."""
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of words of one length, one word after the other, and the number of each; a negative id is a character in no piece, as -1 - its code point."""
         n, size = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
         h = self._rolled(codes)
@@ -129,13 +129,13 @@ class Pieces:
             piece = ident[k, start, every].astype(np.int64)
             lost = missing[start, every] & (k == 0)
             piece[lost] = -1 - codes[every[lost], start[lost]].astype(np.int64)
-            out[every, count[every]] = piece
             count[every] += 1
+            out[every, size - count[every]] = piece
             at[every] = start
             every = every[start > 0]
-        return [out[i, :c][::-1] for i, c in enumerate(count.tolist())]
+        return out[np.arange(size) >= (size - count)[:, None]], count
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """int32 ids, as bytes, of each distinct word."""
         out = {}
         by_size: dict[int, list[str]] = {}
@@ -145,17 +145,29 @@ class Pieces:
             step = max(1, CELLS // (size * min(size, self.longest)))
             for a in range(0, len(group), step):
                 part = group[a : a + step]
-                for w, ids in zip(part, self.viterbi(part), strict=True):
-                    if (ids < 0).any():
-                        ids = np.concatenate([[i] if i >= 0 else self.byte_ids[np.frombuffer(_char(-1 - int(i)), np.uint8)] for i in ids])
-                    out[w] = ids.astype(np.int32).tobytes()
+                ids, count = self.viterbi(part)
+                if (ids < 0).any():
+                    ids, count = self._with_bytes(ids, count)
+                packed, ends = ids.astype(np.int32).tobytes(), np.cumsum(4 * count)
+                out.update(zip(part, map(packed.__getitem__, map(slice, (ends - 4 * count).tolist(), ends.tolist())), strict=True))
         return out
 
+    def _with_bytes(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every character in no piece becomes the ids of its UTF-8 bytes."""
+        lost = np.flatnonzero(ids < 0)
+        runs = [_char(-1 - i) for i in ids[lost].tolist()]
+        width = np.ones(len(ids), np.int64)
+        width[lost] = [len(r) for r in runs]
+        out = np.repeat(ids, width)
+        out[np.repeat(ids < 0, width)] = self.byte_ids[np.frombuffer(b"".join(runs), np.uint8)]
+        word = np.repeat(np.arange(len(count)), count)
+        return out, np.bincount(word, width, len(count)).astype(np.int64)
+
     def encode(self, texts: list[str], cache: dict[str, bytes]) -> list[np.ndarray]:
         """Ids of each text: a space is put before it, and a literal U+2581 goes through its bytes so that decoding is exact."""
         split = [self.units.findall((" " + t).replace(SPACE, "").replace(" ", SPACE)) if t else [] for t in texts]
         new = set().union(*split).difference(cache) if split else set()
-        cache.update(self.encode_words(sorted(new)))
+        cache.update(self.encode_words(new))
         out = [np.frombuffer(b"".join(map(cache.__getitem__, u)), np.int32) for u in split]
         if len(cache) > CACHE:
             cache.clear()
@@ -176,9 +188,9 @@ def _char(code: int) -> bytes:
     return chr(code).encode("utf-8", "surrogatepass")
 
 
-def _mapped(df: DataFrame, name: str, kind: T.DataType, column, sent) -> DataFrame:
-    """``df`` with a column made in Arrow batches by ``column(pieces, batch, state)``, replacing one so named."""
-    fields = [f for f in df.schema.fields if f.name != name]
+def _mapped(df: DataFrame, made: dict[str, T.DataType], columns, sent) -> DataFrame:
+    """``df`` with columns made in Arrow batches by ``columns(pieces, batch, state)``, replacing those so named."""
+    fields = [f for f in df.schema.fields if f.name not in made]
     kept = small_batches(df).select(*(F.col(f"`{f.name}`") for f in fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +198,25 @@ def _mapped(df: DataFrame, name: str, kind: T.DataType, column, sent) -> DataFra
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, column(pieces, part, state)], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns(pieces, part, state)], [*part.schema.names, *made])
+
+    return kept.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in made.items())]))
+
+
+def _ids(pieces: Pieces, texts: list[str | None], cache: dict[str, bytes]) -> list[np.ndarray | None]:
+    coded = pieces.encode([t or "" for t in texts], cache)
+    return [None if t is None else i for t, i in zip(texts, coded, strict=True)]
+
+
+def _lists(ids: list[np.ndarray | None]) -> pa.Array:
+    ends = np.r_[0, np.cumsum([0 if i is None else len(i) for i in ids])].astype(np.int32)
+    some = [i for i in ids if i is not None]
+    flat = np.concatenate(some) if some else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=pa.array([i is None for i in ids]))
 
-    return kept.mapInArrow(run, T.StructType([*fields, T.StructField(name, kind)]))
+
+def _texts(pieces: Pieces, ids: list) -> pa.Array:
+    return pa.array([None if i is None else pieces.decode(i) for i in ids], pa.string())
 
 
 def _sent(df: DataFrame, model: str):
@@ -198,27 +226,32 @@ def _sent(df: DataFrame, model: str):
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL) -> DataFrame:
     """``df`` with ``out_col array<int>``, the piece ids of each whole text; null stays null, the empty text has no id."""
 
-    def column(pieces: Pieces, part: pa.RecordBatch, cache: dict) -> pa.Array:
-        texts = part.column(part.schema.get_field_index(text_col)).to_pylist()
-        ids = pieces.encode([t or "" for t in texts], cache)
-        ends = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        mask = pa.array([t is None for t in texts])
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=mask)
+    def columns(pieces: Pieces, part: pa.RecordBatch, cache: dict) -> list[pa.Array]:
+        return [_lists(_ids(pieces, part.column(text_col).to_pylist(), cache))]
 
-    return _mapped(df, out_col, T.ArrayType(T.IntegerType()), column, _sent(df, model))
+    return _mapped(df, {out_col: T.ArrayType(T.IntegerType())}, columns, _sent(df, model))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
     """``df`` with ``out_col``, the text of each row's ids; null stays null. Ids outside the table raise."""
 
-    def column(pieces: Pieces, part: pa.RecordBatch, state: dict) -> pa.Array:
-        return pa.array([None if i is None else pieces.decode(i) for i in part.column(part.schema.get_field_index(ids_col)).to_pylist()], pa.string())
+    def columns(pieces: Pieces, part: pa.RecordBatch, state: dict) -> list[pa.Array]:
+        return [_texts(pieces, part.column(ids_col).to_pylist())]
+
+    return _mapped(df, {out_col: T.StringType()}, columns, _sent(df, model))
+
+
+def encode_and_decode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
+    """``decode(encode(df))`` in one pass, so that the ids cross to Python and back once."""
+
+    def columns(pieces: Pieces, part: pa.RecordBatch, cache: dict) -> list[pa.Array]:
+        ids = _ids(pieces, part.column(text_col).to_pylist(), cache)
+        return [_lists(ids), _texts(pieces, [None if i is None else i.tolist() for i in ids])]
 
-    return _mapped(df, out_col, T.StringType(), column, _sent(df, model))
+    return _mapped(df, {ids_col: T.ArrayType(T.IntegerType()), out_col: T.StringType()}, columns, _sent(df, model))
 
 
 def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``(doc_id, ids, n_ids, decoded_chars, round_trip)`` for every row: the ids, and whether decoding them gives the text again."""
-    both = decode(encode(docs.select("doc_id", "text"), model=model), model=model)
+    both = encode_and_decode(docs.select("doc_id", "text"), model=model)
     return both.select("doc_id", "ids", F.size(F.coalesce("ids", F.array().cast("array<int>"))).alias("n_ids"), F.coalesce(F.char_length("decoded"), F.lit(0)).alias("decoded_chars"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
