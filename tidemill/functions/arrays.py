@@ -73,3 +73,13 @@ def entropy(*counts: Column) -> Column:
     """Entropy in bits of a set of counts."""
     n = sum(counts[1:], counts[0])
     return sum((F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(0.0) for c in counts[1:]), F.when(counts[0] > 0, -(counts[0] / n) * F.log2(counts[0] / n)).otherwise(0.0))
+
+
+def multivariate_euclidean(a: Column, b: Column, dependent: bool = True) -> Column:
+    """Over channels (``array<array<double>>``, one length): the root of all squares, or the sum of each time point's root."""
+    squares = F.zip_with(a, b, squared_euclidean)
+    if dependent:
+        return F.sqrt(total(squares))
+    points = F.sequence(F.lit(0), F.size(a[0]) - 1)
+    at = lambda t: total(F.zip_with(a, b, lambda x, y: (F.get(x, t) - F.get(y, t)) * (F.get(x, t) - F.get(y, t))))
+    return F.when(F.size(a[0]) > 0, total(F.transform(points, lambda t: F.sqrt(at(t))))).otherwise(0.0)

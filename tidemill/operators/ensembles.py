@@ -73,3 +73,10 @@ def select_ensemble(p: DataFrame, rounds: int = 10) -> list[str]:
         best = hit.groupBy("candidate").agg(F.avg((-F.col("b.c") == F.col("actual")).cast("double")).alias("acc")).orderBy(F.desc("acc"), "candidate").first()
         chosen.append(best["candidate"])
     return chosen
+
+
+def choose_stored(train: DataFrame, test: DataFrame, by: list[str]) -> DataFrame:
+    """For each dataset and fold (``by``) the test predictions of the module with the best stored training accuracy; ties to the smaller module."""
+    acc = train.groupBy(*by, "module").agg(F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("acc"))
+    best = acc.groupBy(*by).agg(F.min_by("module", F.struct(-F.col("acc"), "module")).alias("module"))
+    return test.join(best, [*by, "module"], "left_semi")

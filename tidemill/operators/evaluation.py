@@ -126,3 +126,8 @@ def dataset_statistics(df: DataFrame, label: str, series: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.min(F.size(series)).alias("shortest"), F.max(F.size(series)).alias("longest"), F.count_distinct(label).alias("classes"))
 
 
+
+
+def prediction_rows(p: DataFrame) -> DataFrame:
+    """(item, actual, predicted, error, confidence): one row a prediction, with the probability of the class it names."""
+    return p.select("item", "actual", "predicted", (F.col("actual") != F.col("predicted")).alias("error"), F.get("probs", F.col("predicted").cast("int")).alias("confidence"))

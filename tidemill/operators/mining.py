@@ -39,3 +39,15 @@ def sequences(df: DataFrame, key: str, order: list[str], item: str, support: flo
     """(sequence, freq) of frequent sequential patterns over each key's ordered items."""
     s = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, item))), lambda x: F.array(x[item])).alias("sequence"))
     return PrefixSpan(minSupport=support, maxPatternLength=longest, sequenceCol="sequence").findFrequentSequentialPatterns(s.select("sequence"))
+
+
+def rule_significance(rule_table: DataFrame, n: int, least: float = 0.0) -> DataFrame:
+    """Adds ``chi_squared`` (one degree of freedom) of each rule's two-by-two table and keeps rules that reach ``least``.
+
+    A side that every row has leaves nothing to test: 0.
+    """
+    s = F.col("support")
+    a, c = s / F.col("confidence"), F.col("confidence") / F.col("lift")
+    spread = a * c * (1 - a) * (1 - c)
+    x = F.when(spread > 1e-15, n * F.pow(s - a * c, 2) / spread).otherwise(0.0)
+    return rule_table.withColumn("chi_squared", x).where(F.col("chi_squared") >= least)

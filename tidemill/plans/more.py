@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, mining, models, symbols
-from .catalog import query, r6, read, vectors
+from ..functions import arrays
+from ..operators import ensembles, evaluation, mining, models, symbols, text
+from .catalog import PRED, VP, _modules, _predictions, query, r6, read, vectors
 
 
 @query()
@@ -104,3 +105,63 @@ def l_hyper_pipes(spark, d):
 @query()
 def l_decision_stump(spark, d):
     return r6(models.decision_stump(read(spark, d, "lineitem"), "l_quantity", "l_returnflag"))
+
+
+# Each vector as four channels of 16 points, against the vector that follows it.
+CHANNELS = "c as (select vec_id, list_transform([0, 1, 2, 3], lambda k: list_transform(embedding[16 * k + 1 : 16 * k + 16], lambda x: x::double)) as ch from embeddings)"
+
+
+@query(f"""with {CHANNELS}, p as (select a.vec_id, list_transform(range(1, 17), lambda t: list_sum(list_transform([1, 2, 3, 4], lambda k: power(a.ch[k][t] - b.ch[k][t], 2)))) as q from c a join c b on b.vec_id = a.vec_id + 1)
+select vec_id, round(sqrt(list_sum(q)), 6) as dependent, round(list_sum(list_transform(q, lambda x: sqrt(x))), 6) as independent from p""")
+def d_multivariate_euclidean(spark, d):
+    x = vectors(spark, d).select("vec_id", F.array(*(F.slice("s", 16 * k + 1, 16) for k in range(4))).alias("ch"))
+    after = x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("ch").alias("after"))
+    both = [arrays.multivariate_euclidean(F.col("ch"), F.col("after"), kind).alias(name) for name, kind in (("dependent", True), ("independent", False))]
+    return r6(x.join(after, "vec_id").select("vec_id", *both))
+
+
+@query(f"""with {VP}, q as (select *, item % 5 as fold from p), a as (select fold, module, avg((actual = predicted)::int) as acc from q where item % 2 = 0 group by all),
+b as (select fold, module from (select *, row_number() over (partition by fold order by acc desc, module) as r from a) where r = 1)
+select fold, module, actual, predicted, count(*) as n from q join b using (fold, module) where item % 2 = 1 group by all""")
+def v_choose_stored(spark, d):
+    p = _modules(spark, d).withColumn("fold", F.col("item") % 5)
+    best = ensembles.choose_stored(p.where("item % 2 = 0"), p.where("item % 2 = 1"), ["fold"])
+    return best.groupBy("fold", "module", "actual", "predicted").agg(F.count("*").alias("n"))
+
+
+@query(f"with {PRED} select item, actual, predicted, actual <> predicted as error, round(probs[predicted + 1], 6) as confidence from p")
+def e_prediction_rows(spark, d):
+    return r6(evaluation.prediction_rows(_predictions(spark, d)))
+
+
+@query(f"""with {PRED}, s as (select score, sum(actual) as p, sum(1 - actual) as n from p group by 1), c as (select score, sum(p) over w / sum(p) over () as recall, sum(p) over w / (sum(p) over w + sum(n) over w) as precision from s window w as (order by score desc)),
+a as (select (recall - lag(recall, 1, 0.0) over w) * (precision + coalesce(lag(precision) over w, precision)) / 2 as a from c window w as (order by score desc))
+select round(sum(a), 6) as auprc from a""")
+def e_auprc(spark, d):
+    return r6(evaluation.auprc(evaluation.threshold_curve(_predictions(spark, d))))
+
+
+STOP = ["the", "a", "an", "and", "or", "of", "in", "to", "is", "for"]
+SPLIT = r"""list_filter(string_split_regex(coalesce(text, ''), '[ \r\n\t.,;:''"()?!]+'), lambda x: x <> '')"""
+
+
+@query(f"select doc_id, len(list_filter({SPLIT}, lambda x: lower(x) not in {tuple(STOP)}))::int as n from documents")
+def n_stop_words(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(text.remove_stop_words(text.tokens(F.col("text")), STOP)).alias("n"))
+
+
+@query(f"with w as (select doc_id, unnest({SPLIT}) as term from documents) select term, count(*) as n, count(distinct doc_id) as docs from w where starts_with(term, 're') group by 1")
+def n_prefix_lookup(spark, d):
+    terms = text.with_prefix(text.term_counts(read(spark, d, "documents"), "doc_id", text.tokens(F.col("text"))), "re")
+    return terms.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+
+@query("""with t as (select unnest(['l_returnflag=' || l_returnflag, 'l_linestatus=' || l_linestatus, 'l_linenumber=' || l_linenumber]) as x, row_number() over () as r from lineitem), n as (select count(*)::double as n from lineitem),
+f as (select x, count(*) / any_value(n) as s from t, n group by 1 having count(*) >= ceil(0.02 * any_value(n))), p as (select a.x as a, b.x as c, count(*) / any_value(n) as s from t a join t b on a.r = b.r and a.x <> b.x, n group by 1, 2 having count(*) >= ceil(0.02 * any_value(n)))
+select p.a as antecedent, p.c as consequent, round(n * power(p.s - fa.s * fc.s, 2) / (fa.s * fc.s * (1 - fa.s) * (1 - fc.s)), 4) as chi_squared from p join f fa on fa.x = p.a join f fc on fc.x = p.c, n where p.s / fa.s >= 0.3""")
+def m_rule_significance(spark, d):
+    x = read(spark, d, "lineitem")
+    n = x.count()
+    tested = mining.rule_significance(mining.rules(mining.frequent_items(mining.to_items(x, ITEMS), 0.02), n, 0.3), n)
+    single = tested.where("size(antecedent) = 1 and size(consequent) = 1")
+    return single.select(F.col("antecedent")[0].alias("antecedent"), F.col("consequent")[0].alias("consequent"), F.round("chi_squared", 4).alias("chi_squared"))
