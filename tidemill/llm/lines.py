@@ -36,7 +36,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
     starts = repeated_starts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    found = starts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts"))
+    found = starts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts")).hint("shuffle_hash")  # a row a document: texts need no sort
     plain = docs.select(*names)
     joined = plain.join(found, (plain[id_col].cast("long") == F.col("__id")) & (F.xxhash64(plain[text_col].cast("string")) == F.col("__hash")), "left")
     lines = joined.withColumn("__l", F.split(F.col(text_col).cast("string"), "\n", -1))
