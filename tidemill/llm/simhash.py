@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import components, cut, slices, small_batches, words
@@ -69,11 +69,11 @@ def links(distinct: DataFrame) -> DataFrame:
     """
     low, high = ("transform(sequence(%d, %d), i -> fp ^ shiftleft(1L, i))" % r for r in ((0, 31), (32, 63)))
     keys = distinct.select("fp", "first", F.explode(F.expr(f"concat(array(fp), {low}, {high})")).alias("key"))
-    groups = keys.groupBy("key").agg(F.collect_list(F.struct("first", "fp")).alias("g")).where("size(g) > 1")
+    hub = F.min(F.struct("first", "fp")).over(Window.partitionBy("key"))
     return (
-        groups.select(F.array_min("g").alias("hub"), F.explode("g").alias("m"))
-        .where(f"m.first <> hub.first and bit_count(m.fp ^ hub.fp) <= {MAX_BITS}")
-        .select(F.col("m.first").alias("a"), F.col("hub.first").alias("b"))
+        keys.select("fp", "first", hub.alias("hub"))
+        .where(f"first <> hub.first and bit_count(fp ^ hub.fp) <= {MAX_BITS}")
+        .select(F.col("first").alias("a"), F.col("hub.first").alias("b"))
     )
 
 
