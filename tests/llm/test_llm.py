@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemill.llm import chat, contamination, lines, lm, pieces, quality, simhash, substrings, toxicity, vectors
+from tidemill.llm import chat, contamination, jaccard, lines, lm, pieces, quality, simhash, substrings, toxicity, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, starts int, anchors string"
@@ -129,6 +129,38 @@ def test_simhash(docs):
     assert all(got[i].component_id == root(i) for i in fps)
 
 
+def test_near_copies_at_similarity_0_8_go(spark):
+    rng = np.random.default_rng(8)
+    texts = ["", None, "One", "one", "One two", " ".join(rng.choice([f"w{i}" for i in range(90)], 120))]
+    for size in (30, 90, 300):
+        for _ in range(6):
+            base = [f"v{i}" for i in rng.integers(0, 4000, size)]
+            texts.append(" ".join(base))
+            for edits in (1, 2, 3, 5, 6):
+                w = list(base)
+                for e in range(1 + edits * size // 300):
+                    w[rng.integers(size)] = f"e{e}"
+                texts.append(" ".join(w))
+
+    def shingles(t):
+        w = WORD.findall(lower(t))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1 if w else 0)))
+
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root(a) != root(b):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in jaccard.keep_first(df).collect()} == {i for i in range(len(texts)) if root(i) == i}
+
+
 def test_close_fingerprints_link(spark):
     rows = [(0, 1), (3, 2), (1 << 40 | 3, 3), (-1, 4), (-1 ^ (1 << 62) ^ 1, 5), (0b111111, 9)]
     edges = simhash.links(spark.createDataFrame(rows, "fp long, first long"))

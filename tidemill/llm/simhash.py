@@ -89,12 +89,3 @@ def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id"
     labels = distinct.join(found, distinct["first"] == found["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     labels = cut(labels)
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with all its columns, one document of each near-duplicate group: the one with the smallest id.
-
-    Rows with a null id stay. Rows that repeat the kept id stay.
-    """
-    drop = simhash_components(docs, shingle, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("__drop"), "left_anti")
