@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import columns, distances, sampling, tests
+from tidemill.operators import columns, distances, sampling, scoring, tests
 from tidemill.sources import files
 from tidemill.streaming import operators as streaming
 
@@ -77,3 +77,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q = streaming.row_source(spark, str(tmp_path / "in"), df.schema).writeStream.foreachBatch(streaming.reservoir_sink(7, "t", 1, held)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.t for r in held["rows"]) == sorted(r.t for r in sampling.reservoir(df, "t", 7, 1).collect())
+
+
+def test_relief_judges_every_row(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.random((30, 3)), np.arange(30) % 3 // 2
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(30)], "id long, label int, s array<double>")
+    z = (x - x.min(0)) / (x.max(0) - x.min(0))
+    want = np.zeros(3)
+    for i in range(30):
+        for c in (0, 1):
+            rest = [j for j in range(30) if j != i and y[j] == c]
+            near = sorted(rest, key=lambda j: np.abs(z[i] - z[j]).sum())[:4]
+            want += (-1 if c == y[i] else 1) * np.abs(z[near] - z[i]).sum(0) / 4 / 30
+    got = {r.attribute: r.weight for r in scoring.relief(df, "id", "s", "label", 3, 4).collect()}
+    assert np.allclose([got[i] for i in range(3)], want)
