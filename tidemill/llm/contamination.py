@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free_name
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Sketch rows that may be broadcast; more are joined by a shuffle.
@@ -72,5 +72,6 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGL
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose text contains no benchmark item; rows with a null id or text stay."""
-    bad = contained_items(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    name = free_name("__bad", docs)
+    bad = contained_items(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"] == F.col(name), "left_anti")

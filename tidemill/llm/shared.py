@@ -19,15 +19,25 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder every executor shares (spark.checkpoint.dir); where a session of one machine names none, a temporary one."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(known)
     return known.rstrip("/")
 
 
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """``wanted``, with underscores after it until none of the frames has a column of that name in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after its session was told to hand Python few rows at a time: texts are long, and a task holds whole batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
@@ -42,6 +52,36 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete a table that :func:`cut` wrote and that no plan reads any more."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if not folder.rsplit("/", 1)[1].startswith("cut-"):
+            raise ValueError(f"not written by cut: {folder}")
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key of more rows than this is joined apart from the others; more hot keys than this are not broadcast.
+HOT_ROWS, HOT_KEYS = 1000, 1_000_000
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row a key and in ``n`` how many of ``rows`` have it; ``n`` goes.
+
+    Keys of more than HOT_ROWS rows are joined apart by a broadcast of those keys alone, so no task gets a whole hot key.
+    There are at most rows / HOT_ROWS of them; where that is over HOT_KEYS, they are shuffled and Spark splits what is skewed.
+    ``keyed`` should be a written table: it is read more than once.
+    """
+    hot = keyed.where(F.col(n) > HOT_ROWS).drop(n)
+    many = hot.count()
+    if not many:
+        return rows.join(keyed.drop(n), on)
+    near = F.broadcast(hot) if many <= HOT_KEYS else hot
+    cold = rows.join(near.select(*on), on, "left_anti").join(keyed.where(F.col(n) <= HOT_ROWS).drop(n), on)
+    return cold.unionByName(rows.join(near, on))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)`` for every node of ``edges``: component is the smallest node reachable.
 
@@ -61,7 +101,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = pair(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         large = cut(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = cut(pair(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))))
+        before, now = now, cut(pair(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))))
+        drop_cut(before)
+        drop_cut(large)
 
 
 def fold(ids: pa.Array, k: int) -> np.ndarray:

@@ -1,9 +1,13 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked by multi-index hashing.
 
-A fingerprint has two 32-bit segments. For the first segment's table the ball of radius one around that segment is
-enumerated while the other stays, and likewise for the second: 65 keys a fingerprint with its own. Two fingerprints
-share a key exactly when they differ in at most two bits, and no key can hold more than 65 of them, so a hot group
-of copies never makes a large bucket. Matches are verified on the complete distance.
+A fingerprint has two 32-bit segments, and each segment a table from its value to the fingerprints that have it. Two
+fingerprints that differ in at most two bits differ in at most one bit of some segment, so each fingerprint looks up the
+ball of radius one around each of its segments and the matches are verified on the complete distance. Of two values one
+bit apart one has that bit set, so it is enough that every fingerprint clears its own bits one by one.
+
+A bucket with many distinct fingerprints is not fetched. Fingerprints that look into one, its own included, are looked up by
+the ball of radius one around the complete fingerprint instead: two of them share such a key exactly when they are at most two
+bits apart, a key has at most 65 members, and these link to its smallest.
 """
 
 from __future__ import annotations
@@ -16,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, cut, slices, small_batches, words
+from .shared import components, cut, join_split, slices, small_batches, words
 
-MAX_BITS = 2
+MAX_BITS, SEGMENT = 2, 32
+#: Distinct fingerprints of a bucket that are fetched; larger buckets are split by complete fingerprints.
+BUCKET = 256
 
 
 def _fingerprints(w, k: int) -> np.ndarray:
@@ -62,19 +68,39 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _segment_keys(ball: bool) -> str:
+    """SQL: the (segment, value) keys of ``fp``, each packed in one long; with ``ball`` also those with one of its set bits cleared."""
+    out = []
+    for k in range(64 // SEGMENT):
+        low, high = k * SEGMENT, k * SEGMENT + SEGMENT - 1
+        value = f"shiftrightunsigned(fp, {low}) & {(1 << SEGMENT) - 1}L"
+        out.append(f"array(({value}) | {k << SEGMENT}L)")
+        if ball:
+            set_bits = f"filter(sequence({low}, {high}), i -> getbit(fp, i) = 1)"
+            out.append(f"transform({set_bits}, i -> (({value}) ^ shiftleft(1L, i - {low})) | {k << SEGMENT}L)")
+    return f"concat({', '.join(out)})"
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` of ids that connect fingerprints at most two bits apart. ``distinct``: ``(fp, first)``, one row a fingerprint.
 
-    Every member of a key is linked to the key's smallest id, not to every other member: the components are those of all pairs.
+    Every pair outside the split buckets has an edge; in those, members of a key are linked to the key's smallest: the components
+    are those of all pairs.
     """
-    low, high = ("transform(sequence(%d, %d), i -> fp ^ shiftleft(1L, i))" % r for r in ((0, 31), (32, 63)))
-    keys = distinct.select("fp", "first", F.explode(F.expr(f"concat(array(fp), {low}, {high})")).alias("key"))
-    hub = F.min(F.struct("first", "fp")).over(Window.partitionBy("key"))
-    return (
-        keys.select("fp", "first", hub.alias("hub"))
-        .where(f"first <> hub.first and bit_count(fp ^ hub.fp) <= {MAX_BITS}")
-        .select(F.col("first").alias("a"), F.col("hub.first").alias("b"))
-    )
+    table = distinct.select("fp", "first", F.explode(F.expr(_segment_keys(False))).alias("key"))
+    probes = distinct.select("fp", "first", F.explode(F.expr(_segment_keys(True))).alias("key"))
+    large = cut(table.groupBy("key").count().where(F.col("count") > BUCKET).select("key"))
+    split = large.count() > 0
+    if split:
+        crowded = cut(probes.join(large, "key", "left_semi").select("fp", "first").distinct())
+        table, probes = (x.join(large, "key", "left_anti") for x in (table, probes))
+    other = table.select("key", F.col("fp").alias("fp2"), F.col("first").alias("first2"))
+    near = probes.join(other, "key").where(f"fp <> fp2 and bit_count(fp ^ fp2) <= {MAX_BITS}").select(F.col("first").alias("a"), F.col("first2").alias("b"))
+    if not split:
+        return near
+    ball = crowded.select("fp", "first", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("key"))
+    hub = F.min("first").over(Window.partitionBy("key"))
+    return near.union(ball.select(F.col("first").alias("a"), hub.alias("b")).where("a <> b"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,8 +110,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id"
     fingerprint and never name one; an empty table gives an empty result. Other columns are not read.
     """
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     found = components(links(distinct.where("first is not null")), "a", "b")
-    labels = distinct.join(found, distinct["first"] == found["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    labels = distinct.join(found, distinct["first"] == found["node"], "left").select("fp", "n", F.coalesce("component", "first").alias("component_id"))
     labels = cut(labels)
-    return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_split(fps, labels, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
