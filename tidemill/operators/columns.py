@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import at_positions, next_values, running_sums, value_counts
+from .table import add_id
+
 
 def arithmetic(df: DataFrame, expression: str, out: str = "expression") -> DataFrame:
     """A formula over ``aN`` (column N from 1), with + - * / ^, log abs cos exp sqrt floor ceil rint tan sin."""
@@ -61,74 +65,90 @@ def equal_width_cuts(df: DataFrame, column: str, bins: int = 10) -> list[float]:
     return [] if r.a is None or r.a == r.b else [r.a + (r.b - r.a) / bins * i for i in range(1, bins)]
 
 
-def equal_frequency_cuts(df: DataFrame, column: str, bins: int | None = 10, most_distinct: int = 1_000_000) -> list[float]:
+def equal_frequency_cuts(df: DataFrame, column: str, bins: int | None = 10) -> list[float]:
     """Cut points of about equal weight, midway between neighbouring distinct values, the nearer break chosen and the
     target computed anew from what remains after each cut; ``bins=None`` takes the root of the row count.
 
-    The distinct values with counts come to the driver up to ``most_distinct``; beyond, approximate quantiles stand in.
+    The distinct values keep their running counts in Spark; every cut asks for the values next to its target alone.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).count()
-    n = counts.agg(F.count("*").alias("d"), F.sum("count").alias("n")).first()
-    if not n.d:
-        return []
-    bins = bins or int(n.n**0.5)
-    if n.d > most_distinct:
-        return sorted(set(df.approxQuantile(column, [i / bins for i in range(1, bins)], 0.001)))
-    rows = counts.orderBy("v").collect()
-    left, target, seen, cuts, last, last_seen = n.n, n.n / bins, 0, [], None, 0
-    for a, b in zip(rows, rows[1:], strict=False):
-        seen += a["count"]
-        left -= a["count"]
-        if seen >= target:
-            if last is not None and target - last_seen < seen - target:
-                cuts.append(last)
-                seen -= last_seen
-                last, last_seen = (a.v + b.v) / 2, seen
-            else:
-                cuts.append((a.v + b.v) / 2)
-                seen, last, last_seen = 0, None, 0
-            if bins - len(cuts) <= 1:
+    counts = next_values(running_sums(value_counts(df, column), column, ["n"]), column).select(F.col(column).cast("double").alias("v"), F.col("next").cast("double").alias("next"), "n", F.col("n_upto").alias("upto")).persist()
+    try:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        bins, cuts, base = bins or int(total**0.5), [], 0
+        while len(cuts) < bins - 1:
+            target = (total - base) / (bins - len(cuts))
+            inside = counts.where(F.col("next").isNotNull() & (F.col("upto") > base))
+            side = F.when(F.col("upto") - base >= target, F.struct(F.lit(1).alias("s"), F.col("upto").alias("k"))).otherwise(F.struct(F.lit(0).alias("s"), (-F.col("upto")).alias("k")))
+            near = inside.groupBy(side["s"].alias("s")).agg(F.min_by(F.struct("v", "next", "upto"), side["k"]).alias("x")).collect()
+            near = {r.s: r.x for r in near}
+            if 1 not in near:
                 break
-            target = (left + seen) / (bins - len(cuts))
-        else:
-            last, last_seen = (a.v + b.v) / 2, seen
-    return cuts
+            at, low = near[1], near.get(0)
+            if low is not None and target - (low.upto - base) < at.upto - base - target:
+                at = low
+            cuts.append((at.v + at.next) / 2)
+            base = at.upto
+        return cuts
+    finally:
+        counts.unpersist()
 
 
-def mdl_cuts(df: DataFrame, column: str, label: str) -> list[float]:
-    """Fayyad-Irani cuts: best entropy split of each segment, kept while the gain passes the MDL criterion.
+def mdl_cuts(df: DataFrame, column: str, label: str, kononenko: bool = False) -> list[float]:
+    """Fayyad-Irani cuts: best entropy split of each segment, kept while the gain passes the MDL criterion (or Kononenko's).
 
-    Only class counts of distinct values travel: one shuffle, prefix sums by a window over the values.
+    Class counts of distinct values are summed up once in Spark. Each round scores every cut of all open segments in one job,
+    as differences of those sums, and only a segment's best cut comes to the driver.
     """
-    rows = df.where(F.col(column).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).pivot(label).count().na.fill(0).orderBy("v").toPandas()
-    if len(rows) < 2:
-        return []
-    v, c = rows["v"].to_numpy(), rows.drop(columns="v").to_numpy(float)
-    ent = lambda x: float(-sum(p * np.log2(p) for p in x / x.sum() if p > 0)) if x.sum() else 0.0
-
-    def split(a: int, b: int) -> list[float]:
-        total = c[a:b].sum(0)
-        n = total.sum()
-        before = np.cumsum(c[a:b], 0)[:-1]
-        if not len(before):
-            return []
-        after = total - before
-
-        def h(x):
-            s = x.sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                return -np.where(x > 0, x / s * np.log2(x / s), 0).sum(1)
-
-        weighted = (before.sum(1) * h(before) + after.sum(1) * h(after)) / n
-        i = int(weighted.argmin())
-        gain = ent(total) - weighted[i]
-        k, k1, k2 = ((x > 0).sum() for x in (total, before[i], after[i]))
-        delta = np.log2(3.0**k - 2) - (k * ent(total) - k1 * ent(before[i]) - k2 * ent(after[i]))
-        if gain <= (np.log2(max(len(before), 1)) + delta) / n:
+    known = df.where(F.col(column).isNotNull() & F.col(label).isNotNull())
+    classes = [r[0] for r in known.select(label).distinct().orderBy(label).collect()]
+    names = [f"c{i}" for i in range(len(classes))]
+    each = known.groupBy(F.col(column).cast("double").alias("v")).agg(*(F.count_if(F.col(label) == c).alias(n) for c, n in zip(classes, names, strict=True)), F.lit(1).alias("d"))
+    table = next_values(running_sums(each, "v", [*names, "d"]), "v").select("v", "next", F.col("d_upto").alias("d"), F.array(*(F.col(f"{n}_upto").cast("double") for n in names)).alias("c")).persist()
+    try:
+        top = table.orderBy(F.desc("v")).first()
+        if top is None:
             return []
-        return [*split(a, a + i + 1), float((v[a + i] + v[a + i + 1]) / 2), *split(a + i + 1, b)]
-
-    return split(0, len(v))
+        #: open segments: (values before, class counts before, values with its own, class counts with its own)
+        open_, cuts = [(0, [0.0] * len(names), top.d, list(top.c))], []
+        while open_:
+            segments = df.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(open_)], "seg int, d0 long, c0 array<double>, d1 long, c1 array<double>")
+            x = table.where("next is not null").join(F.broadcast(segments), (F.col("d") > F.col("d0")) & (F.col("d") < F.col("d1")))
+            gap = lambda a, b: F.zip_with(a, b, lambda u, v: u - v)
+            total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+            bits = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s - F.when(v > 0, v * F.log2(v)).otherwise(0.0))
+            split = x.select("seg", "v", "next", "d", "c", gap(F.col("c"), F.col("c0")).alias("a"), gap(F.col("c1"), F.col("c")).alias("b"))
+            na, nb = total("a"), total("b")
+            cost = bits("a") + na * F.log2(na) + bits("b") + nb * F.log2(nb)
+            best = split.groupBy("seg").agg(F.min_by(F.struct("v", "next", "d", "c", "a", "b"), F.struct(F.round(cost, 9), "v")).alias("x")).collect()
+            later = []
+            for r in best:
+                d0, c0, d1, c1 = open_[r.seg]
+                if _split_pays(np.array(r.x.a), np.array(r.x.b), d1 - d0 - 1, kononenko):
+                    cuts.append((r.x.v + r.x.next) / 2)
+                    later += [s for s in ((d0, c0, r.x.d, list(r.x.c)), (r.x.d, list(r.x.c), d1, c1)) if s[2] - s[0] > 1]
+            open_ = later
+        return sorted(cuts)
+    finally:
+        table.unpersist()
+
+
+def _bits(x: np.ndarray) -> float:
+    p = x[x > 0] / x.sum() if x.sum() else x[:0]
+    return float(-(p * np.log2(p)).sum())
+
+
+def _split_pays(before: np.ndarray, after: np.ndarray, candidates: int, kononenko: bool) -> bool:
+    """Whether the class counts on both sides of a cut pass the stopping rule; ``candidates``: how many cuts the segment has."""
+    whole = before + after
+    n, k = whole.sum(), int((whole > 0).sum())
+    if kononenko:
+        choose = lambda m, c: math.lgamma(m + c) - math.lgamma(c) - math.lgamma(m + 1)
+        many = lambda x: (math.lgamma(x.sum() + 1) - sum(math.lgamma(v + 1) for v in x)) / math.log(2) + choose(x.sum(), k) / math.log(2)
+        return many(whole) > math.log2(max(candidates, 1)) + many(before) + many(after)
+    gain = _bits(whole) - (before.sum() * _bits(before) + after.sum() * _bits(after)) / n
+    k1, k2 = int((before > 0).sum()), int((after > 0).sum())
+    delta = math.log2(3.0**k - 2) - (k * _bits(whole) - k1 * _bits(before) - k2 * _bits(after))
+    return gain > (math.log2(max(candidates, 1)) + delta) / n
 
 
 def one_hot(df: DataFrame, column: str, labels: list[str] | None = None) -> DataFrame:
@@ -196,9 +216,7 @@ def quartiles(df: DataFrame, column: str, id_col: str) -> tuple[float, float]:
     half = n // 2
     quarter = half // 2
     wanted = {quarter, n - quarter - 1} if half % 2 else {quarter - 1, quarter, n - quarter, n - quarter - 1}
-    from .table import add_id
-
-    got = {r["__n"] - 1: r[column] for r in add_id(known.select(column, id_col), [column, id_col], "__n").where(F.col("__n").isin(*[w + 1 for w in wanted])).collect()}
+    got = at_positions(known, column, sorted(wanted))
     if half % 2:
         return got[quarter], got[n - quarter - 1]
     return (got[quarter - 1] + got[quarter]) / 2, (got[n - quarter - 1] + got[n - quarter]) / 2
@@ -214,7 +232,7 @@ def obfuscate(df: DataFrame, columns: list[str]) -> DataFrame:
     """Labels become V1, V2, ... in sorted order and columns A1, A2, ...; the dictionary is joined, not collected."""
     out = df
     for i, c in enumerate(columns, 1):
-        names = df.where(F.col(c).isNotNull()).select(F.col(c).alias("__k")).distinct().withColumn(f"A{i}", F.concat(F.lit("V"), F.dense_rank().over(Window.orderBy("__k"))))
+        names = add_id(df.where(F.col(c).isNotNull()).select(F.col(c).alias("__k")).distinct(), ["__k"], "__n").select("__k", F.concat(F.lit("V"), "__n").alias(f"A{i}"))
         out = out.join(names, out[c] == names["__k"], "left").drop("__k", c)
     return out
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import exact_quantiles
+
 
 def discrete(df: DataFrame, column: str, given: str | None = None, laplace: float = 1.0) -> DataFrame:
     """(given, value, p): counts with a prior of ``laplace`` for each value seen."""
@@ -44,9 +46,9 @@ def kernel_density(df: DataFrame, column: str, at: list[float], width: float | N
 
 
 def histogram_quantiles(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """(bin, low, high) of equal weight, exact percentiles."""
-    q = df.agg(F.percentile(column, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("q"))
-    return q.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda i: F.struct(F.element_at("q", i).alias("low"), F.element_at("q", i + 1).alias("high")))).alias("bin", "b")).select("bin", "b.low", "b.high")
+    """(bin, low, high) of equal weight, exact quantiles."""
+    q = exact_quantiles(df, column, [i / bins for i in range(bins + 1)])
+    return df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(q, q[1:], strict=False))], "bin int, low double, high double")
 
 
 def poisson(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:

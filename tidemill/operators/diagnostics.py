@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluation import confusion, threshold_curve
+from .ordered import running_sums
 from .tests import two_sided
 
 
@@ -47,8 +48,8 @@ def robust_rank_order(df: DataFrame, sample: str, value: str, a, b) -> DataFrame
     Equal values are counted first, so the window sorts distinct values only.
     """
     c = df.where(F.col(sample).isin(a, b) & F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(sample) == a).alias("x"), F.count_if(F.col(sample) == b).alias("y"))
-    w = Window.orderBy(value)
-    placed = c.select("x", "y", (F.sum("y").over(w) - F.col("y") / 2).alias("px"), (F.sum("x").over(w) - F.col("x") / 2).alias("py"))
+    r = running_sums(c, value, ["x", "y"])
+    placed = r.select("x", "y", (F.col("y_upto") - F.col("y") / 2).alias("px"), (F.col("x_upto") - F.col("x") / 2).alias("py"))
     total = lambda n, p, k: F.sum(F.col(n) * F.pow(p, F.lit(k)))
     s = placed.agg(F.sum("x").alias("n1"), F.sum("y").alias("n2"), total("x", "px", 1).alias("sx"), total("y", "py", 1).alias("sy"), total("x", "px", 2).alias("qx"), total("y", "py", 2).alias("qy"))
     mx, my = F.col("sx") / F.col("n1"), F.col("sy") / F.col("n2")

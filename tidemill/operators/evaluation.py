@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 
 def confusion(p: DataFrame, by: list[str] | None = None) -> DataFrame:
     return p.groupBy(*(by or []), "actual", "predicted").agg(F.count("*").alias("n"))
@@ -47,36 +49,46 @@ def negative_log_likelihood(p: DataFrame, by: list[str] | None = None) -> DataFr
     return p.groupBy(*(by or [])).agg(F.avg(F.when(x == 0, 6.64).otherwise(-F.log2(x))).alias("nll"))
 
 
-def auroc(p: DataFrame, score: str = "score", positive: Column | None = None) -> DataFrame:
-    """Area under the ROC curve by rank sums, ties averaged: equal scores are counted first, so only distinct scores are sorted."""
+def _scored(p: DataFrame, score: str, positive: Column | None) -> DataFrame:
+    """(score, p, n, p_upto, n_upto): positives and negatives of each distinct score, and of it with all above."""
     pos = (F.col("actual") == 1) if positive is None else positive
     s = p.groupBy(score).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return s.withColumn("w", F.col("p") * (below + F.col("n") / 2)).agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auroc"))
+    return running_sums(s, score, ["p", "n"], descending=True)
+
+
+def auroc(p: DataFrame, score: str = "score", positive: Column | None = None) -> DataFrame:
+    """Area under the ROC curve by rank sums, ties averaged: equal scores are counted first, so only distinct scores are sorted."""
+    s = _scored(p, score, positive)
+    w = F.sum(F.col("n") * (F.col("p_upto") - F.col("p") / 2))
+    return s.agg((w / (F.sum("p") * F.sum("n"))).alias("auroc"))
 
 
 def threshold_curve(p: DataFrame, score: str = "score", positive: Column | None = None) -> DataFrame:
     """Per distinct score from the top: TP, FP, rates, precision, recall, lift, sample share."""
-    pos = (F.col("actual") == 1) if positive is None else positive
-    s = p.groupBy(score).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
-    w, every = Window.orderBy(F.desc(score)), Window.partitionBy()
-    c = s.select(score, F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), F.sum("p").over(every).alias("all_p"), F.sum("n").over(every).alias("all_n"))
-    tp, fp = F.col("tp"), F.col("fp")
-    return c.select(score, tp, fp, (tp / F.col("all_p")).alias("recall"), (fp / F.col("all_n")).alias("fallout"), (tp / (tp + fp)).alias("precision"), (tp / (tp + fp) * (F.col("all_p") + F.col("all_n")) / F.col("all_p")).alias("lift"), ((tp + fp) / (F.col("all_p") + F.col("all_n"))).alias("sample"))
+    s = _scored(p, score, positive)
+    c = s.join(F.broadcast(s.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))))
+    tp, fp, every = F.col("p_upto"), F.col("n_upto"), F.col("all_p") + F.col("all_n")
+    return c.select(
+        score, tp.alias("tp"), fp.alias("fp"), (tp / F.col("all_p")).alias("recall"), (fp / F.col("all_n")).alias("fallout"), (tp / (tp + fp)).alias("precision"),
+        (tp / (tp + fp) * every / F.col("all_p")).alias("lift"), ((tp + fp) / every).alias("sample_share"), (F.col("p") / F.col("all_p")).alias("recall_step"),
+    )
 
 
-def auprc(curve: DataFrame, score: str = "score") -> DataFrame:
-    w = Window.orderBy(F.desc(score))
-    r0, p0 = F.lag("recall", 1, 0.0).over(w), F.coalesce(F.lag("precision").over(w), F.col("precision"))
-    return curve.withColumn("a", (F.col("recall") - r0) * (F.col("precision") + p0) / 2).agg(F.sum("a").alias("auprc"))
+def auprc(p: DataFrame, score: str = "score", positive: Column | None = None) -> DataFrame:
+    """Area under the precision-recall curve by trapezia; the first one is a rectangle."""
+    s = _scored(p, score, positive)
+    tp, fp, p0, n0 = F.col("p_upto"), F.col("n_upto"), F.col("p_upto") - F.col("p"), F.col("n_upto") - F.col("n")
+    now = tp / (tp + fp)
+    before = F.when(p0 + n0 > 0, p0 / (p0 + n0)).otherwise(now)
+    return s.agg((F.sum(F.col("p") * (now + before) / 2) / F.sum("p")).alias("auprc"))
 
 
 def margin_curve(p: DataFrame) -> DataFrame:
     """(margin, share): cumulative share of p(true) less the largest other probability."""
     true = F.element_at("probs", F.col("actual").cast("int") + 1)
     other = F.array_max(F.filter("probs", lambda x, i: i != F.col("actual")))
-    m = p.select((true - other).alias("margin")).groupBy("margin").count()
-    return m.select("margin", (F.sum("count").over(Window.orderBy("margin")) / F.sum("count").over(Window.partitionBy())).alias("share"))
+    m = running_sums(p.select((true - other).alias("margin")).groupBy("margin").agg(F.count("*").alias("n")), "margin", ["n"])
+    return m.join(F.broadcast(m.agg(F.sum("n").alias("all")))).select("margin", (F.col("n_upto") / F.col("all")).alias("share"))
 
 
 def regression_errors(p: DataFrame, actual: str, predicted: str, train_mean: float | None = None) -> DataFrame:

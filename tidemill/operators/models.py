@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import density
+from .ordered import running_sums
 
 LEARNERS = {
     "logistic": lambda **k: LogisticRegression(regParam=k.pop("ridge", 1e-8), **k),
@@ -60,7 +61,7 @@ def decision_stump(df: DataFrame, column: str, label: str) -> DataFrame:
     c = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v"), F.col(label).alias("c")).agg(F.count("*").alias("n"))
     classes = c.groupBy("c").agg(F.sum("n").alias("all"))
     grid = c.select("v").distinct().join(F.broadcast(classes)).join(c, ["v", "c"], "left").na.fill(0, ["n"])
-    b = grid.withColumn("b", F.sum("n").over(Window.partitionBy("c").orderBy("v")))
+    b = running_sums(grid, "v", ["n"], ["c"]).withColumnRenamed("n_upto", "b")
     h = lambda x: F.sum(F.when(x > 0, -x * F.log2(x)).otherwise(0.0))
     t = b.groupBy("v").agg(h(F.col("b")).alias("hb"), h(F.col("all") - F.col("b")).alias("ha"), F.sum("b").alias("nb"), F.sum("all").alias("na"))
     left, right = F.col("nb"), F.col("na") - F.col("nb")

@@ -10,6 +10,20 @@ def order_key(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(seed))
 
 
+def hash_rank(df: DataFrame, label: str, id_col: str, seed: int, name: str = "__r") -> DataFrame:
+    """``df`` with ``name``: the place from 1 of each row in its class in hash order.
+
+    The hash's leading bits deal each class to 1,024 ranges; a row's place is its place in its range and the rows of the ranges before.
+    """
+    dealt = df.withColumn("__b", F.shiftright(order_key(id_col, seed), 54))
+    counts = dealt.groupBy(label, "__b").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(label).alias("__l"), F.col("__b").alias("__of"), before.alias("__before"))
+    inside = Window.partitionBy(label, "__b").orderBy(order_key(id_col, seed), id_col)
+    ranked = dealt.withColumn(name, F.row_number().over(inside)).join(counts, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__of")))
+    return ranked.withColumn(name, F.col(name) + F.col("__before")).drop("__b", "__l", "__of", "__before")
+
+
 def randomise(df: DataFrame, id_col: str, seed: int = 1) -> DataFrame:
     return df.orderBy(order_key(id_col, seed), id_col)
 
@@ -38,7 +52,7 @@ def spread_subsample(df: DataFrame, label: str, id_col: str, spread: float = 1.0
     cap = min(x for x in (spread * least or float("inf"), most or float("inf")))
     if cap == float("inf"):
         return df
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy(order_key(id_col, seed), id_col))).where(F.col("__r") <= int(cap)).drop("__r")
+    return hash_rank(df, label, id_col, seed).where(F.col("__r") <= int(cap)).drop("__r")
 
 
 def reservoir(df: DataFrame, id_col: str, k: int, seed: int = 1) -> DataFrame:
@@ -52,24 +66,23 @@ def folds(df: DataFrame, id_col: str, k: int, seed: int = 1) -> DataFrame:
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int, seed: int = 1) -> DataFrame:
     """Deal each class round-robin to the folds in hash order."""
-    w = Window.partitionBy(label).orderBy(order_key(id_col, seed), id_col)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    return hash_rank(df, label, id_col, seed).withColumn("fold", F.pmod(F.col("__r") - 1, F.lit(k)).cast("int")).drop("__r")
 
 
 def train_test(df: DataFrame, label: str, id_col: str, share: float, seed: int = 1) -> DataFrame:
     """``is_train``: the first ceil(share * n) rows of each class in hash order."""
-    w = Window.partitionBy(label)
-    n = F.row_number().over(w.orderBy(order_key(id_col, seed), id_col))
-    return df.withColumn("is_train", n <= F.ceil(F.count("*").over(w) * share))
+    size = df.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
+    ranked = hash_rank(df, label, id_col, seed).join(F.broadcast(size), F.col(label).eqNullSafe(F.col("__l")))
+    return ranked.withColumn("is_train", F.col("__r") <= F.ceil(F.col("__n") * share)).drop("__r", "__n", "__l")
 
 
 def resample_split(df: DataFrame, label: str, id_col: str, is_train: str, seed: int) -> DataFrame:
     """A new split with each class's original number of training rows; seed 0 keeps the original."""
     if seed == 0:
         return df
-    w = Window.partitionBy(label)
-    n = F.row_number().over(w.orderBy(order_key(id_col, seed), id_col))
-    return df.withColumn(is_train, n <= F.sum(F.col(is_train).cast("int")).over(w))
+    size = df.groupBy(F.col(label).alias("__l")).agg(F.count_if(is_train).alias("__n"))
+    ranked = hash_rank(df, label, id_col, seed).join(F.broadcast(size), F.col(label).eqNullSafe(F.col("__l")))
+    return ranked.withColumn(is_train, F.col("__r") <= F.col("__n")).drop("__r", "__n", "__l")
 
 
 def weighted_sample(df: DataFrame, id_col: str, weight: str, k: int, seed: int = 1) -> DataFrame:
@@ -98,5 +111,3 @@ def to_sparse(a: Column) -> Column:
 
 def to_dense(m: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
-
-

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import normal_cdf
+from .ordered import running_sums
 
 
 def two_sided(z: Column) -> Column:
@@ -18,8 +19,8 @@ def two_sided(z: Column) -> Column:
 
 def tied_ranks(counts: DataFrame, value: str, n: str = "n", by: list[str] | None = None) -> DataFrame:
     """Adds ``rank``, the average rank of each distinct value; counts: one row a value with how often it occurs."""
-    w = Window.partitionBy(*(by or [])).orderBy(value)
-    return counts.withColumn("rank", F.sum(n).over(w) - (F.col(n) - 1) / 2)
+    r = running_sums(counts, value, [n], by)
+    return r.withColumn("rank", F.col(f"{n}_upto") - (F.col(n) - 1) / 2).drop(f"{n}_upto")
 
 
 def one_sample_t(df: DataFrame, column: str, h0: float = 0.0) -> DataFrame:
@@ -85,7 +86,7 @@ def ks_normal(df: DataFrame, column: str) -> DataFrame:
     """Largest gap between the empirical distribution and the fitted normal's."""
     m = df.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"), F.count(column).alias("t"))
     c = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
-    e = c.withColumn("upto", F.sum("n").over(Window.orderBy("x"))).join(F.broadcast(m)).withColumn("f", normal_cdf((F.col("x") - F.col("m")) / F.col("s")))
+    e = running_sums(c, "x", ["n"]).withColumnRenamed("n_upto", "upto").join(F.broadcast(m)).withColumn("f", normal_cdf((F.col("x") - F.col("m")) / F.col("s")))
     return e.agg(F.max(F.greatest(F.abs(F.col("upto") / F.col("t") - F.col("f")), F.abs((F.col("upto") - F.col("n")) / F.col("t") - F.col("f")))).alias("d"))
 
 

@@ -138,7 +138,7 @@ def e_prediction_rows(spark, d):
 a as (select (recall - lag(recall, 1, 0.0) over w) * (precision + coalesce(lag(precision) over w, precision)) / 2 as a from c window w as (order by score desc))
 select round(sum(a), 6) as auprc from a""")
 def e_auprc(spark, d):
-    return r6(evaluation.auprc(evaluation.threshold_curve(_predictions(spark, d))))
+    return r6(evaluation.auprc(_predictions(spark, d)))
 
 
 STOP = ["the", "a", "an", "and", "or", "of", "in", "to", "is", "for"]
