@@ -147,29 +147,109 @@ def distance(name: str, a: Column, b: Column, **params) -> Column:
     return LOCK_STEP[name](a, b) if name in LOCK_STEP else elastic(name, **params)(a, b)
 
 
-def pairs(left: DataFrame, right: DataFrame, blocks: int = 8) -> DataFrame:
-    """Stated queries against all rows, in blocks: rows of both sides get a block, and block pairs meet by an equi-join, so no single side is held whole by a task."""
-    l = left.withColumn("__l", F.pmod(F.xxhash64(left.columns[0]), F.lit(blocks)).cast("int")).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    r = right.withColumn("__r", F.pmod(F.xxhash64(right.columns[0]), F.lit(blocks)).cast("int")).withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return l.join(r, ["__l", "__r"]).drop("__l", "__r")
+#: Rows of a block of a pairwise job, for lock-step and for elastic distances; numbers that a step of a kernel works on at once.
+BLOCK, ELASTIC_BLOCK, CELLS = 4096, 256, 4_000_000
+
+
+def _paired(a: np.ndarray, b: np.ndarray, pair_kernel, width: int) -> np.ndarray:
+    """The matrix of a kernel on pairs of rows, some rows of ``a`` at a time."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, CELLS // max(1, len(b) * width))
+    for s in range(0, len(a), step):
+        part = a[s : s + step]
+        out[s : s + step] = pair_kernel(np.repeat(part, len(b), 0), np.tile(b, (len(part), 1))).reshape(len(part), -1)
+    return out
+
+
+def _numpy_cid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    ca, cb = (np.sqrt((np.diff(x, axis=1) ** 2).sum(1) + 0.001) for x in (a, b))
+    return np.sqrt(((a - b) ** 2).sum(1)) * np.maximum(ca, cb) / np.minimum(ca, cb)
+
+
+#: The lock-step distances on rows of two arrays.
+ROW_KERNELS = {"euclidean": lambda a, b: ((a - b) ** 2).sum(1), "manhattan": lambda a, b: np.abs(a - b).sum(1), "chebyshev": lambda a, b: np.abs(a - b).max(1), "cid": _numpy_cid}
+
+
+def _near(q: np.ndarray, t: np.ndarray, same: np.ndarray, k: int, name: str, params: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and distance of the pairs that can be among the k nearest of a query; ``same`` marks pairs to leave out.
+
+    Euclidean distances are screened by a matrix product, whose error is allowed for, and then computed exactly.
+    """
+    row, col, far = [], [], []
+    kernel = ROW_KERNELS.get(name) or (lambda a, b: KERNELS[name](a, b, **params))
+    step = max(1, CELLS // max(1, len(t)))
+    for s in range(0, len(q), step):
+        x, skip = q[s : s + step], same[s : s + step]
+        if name == "euclidean":
+            xx, tt = (x * x).sum(1)[:, None], (t * t).sum(1)
+            d = xx + tt - 2 * x @ t.T
+            slack = 1e-9 * (xx[:, 0] + tt.max(initial=0.0))
+        else:
+            d, slack = _paired(x, t, kernel, t.shape[1] * (t.shape[1] if name in ("dtw", "wdtw", "ddtw") else 1)), np.zeros(len(x))
+        d[skip] = np.inf
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(x), np.inf)
+        r, c = np.nonzero((d <= (kth + slack)[:, None]) & ~skip)
+        row.append(r + s)
+        col.append(c)
+        far.append(kernel(x[r], t[c]) if name == "euclidean" else d[r, c])
+    return np.concatenate(row), np.concatenate(col), np.concatenate(far)
+
+
+def block_pairs(queries: DataFrame, train: DataFrame, run, schema: str, size: int) -> DataFrame:
+    """``run(queries, rows)`` on every pair of blocks of about ``size`` rows, as pandas frames; the first column of each side is its id.
+
+    Each side is sent once for each block of the other, so a task holds two blocks however large the tables are.
+    """
+    many = [max(1, -(-x.count() // size)) for x in (queries, train)]
+
+    def dealt(x: DataFrame, own: str, other: str, n: int, m: int) -> DataFrame:
+        return x.withColumn(own, F.pmod(F.xxhash64(x.columns[0]), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    l, r = dealt(queries, "__l", "__r", *many), dealt(train, "__r", "__l", *many[::-1])
+    # as many partitions as block pairs, so that small blocks of costly kernels still spread
+    n = min(4000, max(1, many[0] * many[1]))
+    l, r = (x.repartition(n, "__l", "__r") for x in (l, r))
+    return l.groupBy("__l", "__r").cogroup(r.groupBy("__l", "__r")).applyInPandas(run, schema)
 
 
 def _sides(queries: DataFrame, train: DataFrame, id_col: str, series: str, label: str) -> tuple[DataFrame, DataFrame]:
-    return queries.select(F.col(id_col).alias("query"), F.col(series).alias("a"), F.col(label).alias("actual")), train.select(F.col(id_col).alias("neighbour"), F.col(series).alias("b"), F.col(label).alias("label"))
+    known = lambda x: x.where(F.col(series).isNotNull())
+    return known(queries).select(F.col(id_col).alias("query"), F.col(series).alias("a"), F.col(label).alias("actual")), known(train).select(F.col(id_col).alias("neighbour"), F.col(series).alias("b"), F.col(label).alias("label"))
 
 
 def knn_join(queries: DataFrame, train: DataFrame, k: int, id_col: str, series: str, label: str, name: str = "euclidean", **params) -> DataFrame:
-    """(query, actual, neighbour, label, distance, rank): k nearest rows of ``train`` other than the query, ties by id."""
+    """(query, actual, neighbour, label, distance, rank): k nearest rows of ``train`` other than the query, ties by id.
+
+    Every query meets every row in blocks; a block pair returns k rows a query at most. Null series are left out; a lock-step
+    distance of series of unequal lengths raises.
+    """
     q, t = _sides(queries, train, id_col, series, label)
-    d = pairs(q, t).where("query <> neighbour").select("query", "actual", "neighbour", "label", distance(name, F.col("a"), F.col("b"), **params).alias("distance"))
+    kinds = dict(q.dtypes) | dict(t.dtypes)
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(x) and len(y):
+            sizes = [f.map(len).to_numpy() for f in (x["a"], y["b"])]
+            if name in ROW_KERNELS and len(set(sizes[0]) | set(sizes[1])) > 1:
+                raise ValueError("a lock-step distance needs series of one length")
+            for n in np.unique(sizes[0]):
+                for m in np.unique(sizes[1]):
+                    u, v = x[sizes[0] == n], y[sizes[1] == m]
+                    row, col, d = _near(np.stack(u["a"].to_list()).astype(float), np.stack(v["b"].to_list()).astype(float), u["query"].to_numpy()[:, None] == v["neighbour"].to_numpy(), k, name, params)
+                    f = pd.concat([u[["query", "actual"]].iloc[row].reset_index(drop=True), v[["neighbour", "label"]].iloc[col].reset_index(drop=True)], axis=1)
+                    parts.append(f.assign(distance=d))
+        f = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("query", "actual", "neighbour", "label", "distance")})
+        f = f.sort_values(["query", "distance", "neighbour"])
+        return f[f.groupby("query").cumcount() < k]
+
+    schema = f"query {kinds['query']}, actual {kinds['actual']}, neighbour {kinds['neighbour']}, label {kinds['label']}, distance double"
+    d = block_pairs(q, t, run, schema, BLOCK if name in ROW_KERNELS else ELASTIC_BLOCK)
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
 
 
 def nearest(queries: DataFrame, train: DataFrame, id_col: str, series: str, label: str, name: str = "euclidean", **params) -> DataFrame:
-    """The nearest row by a partial aggregate: pairs never leave their task."""
-    q, t = _sides(queries, train, id_col, series, label)
-    d = pairs(q, t).where("query <> neighbour").select("query", "actual", F.struct(distance(name, F.col("a"), F.col("b"), **params).alias("distance"), "neighbour", "label").alias("n"))
-    return d.groupBy("query", "actual").agg(F.min("n").alias("n")).select("query", "actual", "n.*")
+    """(query, actual, distance, neighbour, label): the nearest other row, ties by id."""
+    return knn_join(queries, train, 1, id_col, series, label, name, **params).select("query", "actual", "distance", "neighbour", "label")
 
 
 def vote(neighbours: DataFrame, weight: str = "equal") -> DataFrame:
@@ -188,7 +268,9 @@ def envelope(a: Column, r: int) -> tuple[Column, Column]:
 
 
 def lb_kim(a: Column, b: Column) -> Column:
-    return F.pow(F.element_at(a, 1) - F.element_at(b, 1), 2) + F.pow(F.element_at(a, -1) - F.element_at(b, -1), 2)
+    """Squared gaps of the first and of the last points; a single point counts once."""
+    last = F.when((F.size(a) > 1) | (F.size(b) > 1), F.pow(F.element_at(a, -1) - F.element_at(b, -1), 2)).otherwise(0.0)
+    return F.pow(F.element_at(a, 1) - F.element_at(b, 1), 2) + last
 
 
 def lb_keogh(a: Column, low: Column, high: Column) -> Column:
@@ -197,17 +279,53 @@ def lb_keogh(a: Column, low: Column, high: Column) -> Column:
     return A.total(out)
 
 
-def pruned_nearest(queries: DataFrame, train: DataFrame, id_col: str, series: str, label: str, window: float = 0.1, size: int = 64) -> DataFrame:
-    """Exact nearest neighbour under windowed DTW: the lock-step nearest gives a bound, Kim and Keogh bounds drop pairs, the rest are computed."""
-    seed = nearest(queries, train, id_col, series, label)
-    s = seed.select("query", "neighbour").join(queries.select(F.col(id_col).alias("query"), F.col(series).alias("a")), "query").join(train.select(F.col(id_col).alias("neighbour"), F.col(series).alias("b")), "neighbour")
+def _envelopes(x: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (r, r)), mode="edge"), 2 * r + 1, axis=1)
+    return wide.min(2), wide.max(2)
+
+
+def pruned_nearest(queries: DataFrame, train: DataFrame, id_col: str, series: str, label: str, window: float = 0.1) -> DataFrame:
+    """Exact nearest neighbour under windowed DTW, as :func:`nearest` finds it without pruning; series of one length.
+
+    The DTW distance to the lock-step nearest bounds each query's answer. In every pair of blocks the bounds of Kim, of Keogh around the
+    row and of Keogh around the query drop pairs, and the rest are computed.
+    """
+    q, t = _sides(queries, train, id_col, series, label)
+    sizes = [r.n for r in q.select(F.size("a").alias("n")).union(t.select(F.size("b"))).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError("series of unequal lengths have no common envelope")
+    seed = nearest(queries, train, id_col, series, label).select("query", "neighbour")
+    s = seed.join(q.select("query", "a"), "query").join(t.select("neighbour", "b"), "neighbour")
     bound = s.select("query", distance("dtw", F.col("a"), F.col("b"), window=window).alias("bound"))
-    low, high = envelope(F.col(series), _band(size, window))
-    q, t = _sides(queries, train.withColumn("__lo", low).withColumn("__hi", high), id_col, series, label)
-    t = train.select(F.col(id_col).alias("neighbour"), F.col(series).alias("b"), F.col(label).alias("label"), low.alias("lo"), high.alias("hi"))
-    left = pairs(q.join(bound, "query"), t).where("query <> neighbour").where(lb_kim(F.col("a"), F.col("b")) <= F.col("bound")).where(lb_keogh(F.col("a"), F.col("lo"), F.col("hi")) <= F.col("bound"))
-    d = left.select("query", "actual", F.struct(distance("dtw", F.col("a"), F.col("b"), window=window).alias("distance"), "neighbour", "label").alias("n"))
-    return d.groupBy("query", "actual").agg(F.min("n").alias("n")).select("query", "actual", "n.*")
+    kinds = dict(q.dtypes) | dict(t.dtypes)
+    names = ["query", "actual", "distance", "neighbour", "label"]
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: [] for c in names})
+        a, b, most = np.stack(x["a"].to_list()).astype(float), np.stack(y["b"].to_list()).astype(float), x["bound"].to_numpy() * (1 + 1e-12)
+        r = min(a.shape[1], _band(a.shape[1], window)) - 1
+        (lo_a, hi_a), (lo_b, hi_b) = _envelopes(a, r), _envelopes(b, r)
+        kim = (a[:, :1] - b[:, 0]) ** 2 + ((a[:, -1:] - b[:, -1]) ** 2 if a.shape[1] > 1 else 0)
+        row, col = np.nonzero((kim <= most[:, None]) & (x["query"].to_numpy()[:, None] != y["neighbour"].to_numpy()))
+        for one, at, lo, hi, of in ((a, row, lo_b, hi_b, col), (b, col, lo_a, hi_a, row)):
+            keep = np.zeros(len(row), bool)
+            at, of = (row, col) if one is a else (col, row)
+            step = max(1, CELLS // a.shape[1])
+            for i in range(0, len(row), step):
+                p, e = one[at[i : i + step]], of[i : i + step]
+                out = np.maximum(np.maximum(p - hi[e], lo[e] - p), 0)
+                keep[i : i + step] = (out * out).sum(1) <= most[row[i : i + step]]
+            row, col = row[keep], col[keep]
+        step = max(1, CELLS // a.shape[1] ** 2)
+        d = np.concatenate([np.zeros(0), *(dtw(a[row[i : i + step]], b[col[i : i + step]], window) for i in range(0, len(row), step))])
+        f = pd.concat([x[["query", "actual"]].iloc[row].reset_index(drop=True), y[["neighbour", "label"]].iloc[col].reset_index(drop=True)], axis=1).assign(distance=d)
+        return f.sort_values(["query", "distance", "neighbour"]).drop_duplicates("query")[names]
+
+    schema = f"query {kinds['query']}, actual {kinds['actual']}, distance double, neighbour {kinds['neighbour']}, label {kinds['label']}"
+    found = block_pairs(q.join(bound, "query"), t, run, schema, ELASTIC_BLOCK)
+    best = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
+    return found.withColumn("__r", best).where(F.col("__r") == 1).drop("__r")
 
 
 def grid_search(train: DataFrame, id_col: str, series: str, label: str, name: str, grid: list[dict]) -> DataFrame:
