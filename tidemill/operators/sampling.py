@@ -28,9 +28,10 @@ def randomise(df: DataFrame, id_col: str, seed: int = 1) -> DataFrame:
     return df.orderBy(order_key(id_col, seed), id_col)
 
 
-def resample(df: DataFrame, id_col: str, percent: float, seed: int = 1) -> DataFrame:
-    """Rows without replacement whose hash falls under a share: no sort, no shuffle."""
-    return df.where(F.pmod(order_key(id_col, seed), F.lit(1_000_000)) < percent * 10_000)
+def resample(df: DataFrame, id_col: str, percent: float, seed: int = 1, invert: bool = False) -> DataFrame:
+    """Rows without replacement whose hash falls under a share (the others, if inverted): no sort, no shuffle."""
+    hit = F.pmod(order_key(id_col, seed), F.lit(1_000_000)) < percent * 10_000
+    return df.where(~hit if invert else hit)
 
 
 def resample_with_replacement(df: DataFrame, percent: float, seed: int = 1) -> DataFrame:
@@ -55,6 +56,37 @@ def spread_subsample(df: DataFrame, label: str, id_col: str, spread: float = 1.0
     return hash_rank(df, label, id_col, seed).where(F.col("__r") <= int(cap)).drop("__r")
 
 
+def supervised_resample(df: DataFrame, label: str, id_col: str, percent: float, bias: float = 0.0, seed: int = 1) -> DataFrame:
+    """``percent`` of the rows without replacement; each class's share lies between its own (bias 0) and an equal one (bias 1).
+
+    A class can give no more rows than it has.
+    """
+    size = df.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
+    every = Window.partitionBy()
+    want = F.round(percent / 100 * (bias * F.sum("__n").over(every) / F.count("*").over(every) + (1 - bias) * F.col("__n")))
+    ranked = hash_rank(df, label, id_col, seed).join(F.broadcast(size.select("__l", want.alias("__want"))), F.col(label).eqNullSafe(F.col("__l")))
+    return ranked.where(F.col("__r") <= F.col("__want")).drop("__r", "__want", "__l")
+
+
+def stratified_amount(df: DataFrame, label: str, id_col: str, amount: int, seed: int = 1) -> DataFrame:
+    """About ``amount`` rows in the proportions of the classes, at least one of each."""
+    size = df.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__n"))
+    want = F.greatest(F.lit(1.0), F.round(amount * F.col("__n") / F.sum("__n").over(Window.partitionBy())))
+    ranked = hash_rank(df, label, id_col, seed).join(F.broadcast(size.select("__l", want.alias("__want"))), F.col(label).eqNullSafe(F.col("__l")))
+    return ranked.where(F.col("__r") <= F.col("__want")).drop("__r", "__want", "__l")
+
+
+def remove_misclassified(df: DataFrame, label: str, predict, rounds: int = 10) -> DataFrame:
+    """Rows that a model gets right, until it gets all of them right or ``rounds`` are over; ``predict`` adds ``predicted`` to a table."""
+    for _ in range(rounds):
+        said = predict(df)
+        wrong = said.where(~F.col("predicted").eqNullSafe(F.col(label))).limit(1).count()
+        if not wrong:
+            break
+        df = said.where(F.col("predicted").eqNullSafe(F.col(label))).select(*df.columns).checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else said.where(F.col("predicted").eqNullSafe(F.col(label))).select(*df.columns)
+    return df
+
+
 def reservoir(df: DataFrame, id_col: str, k: int, seed: int = 1) -> DataFrame:
     """A fixed-size sample: the k smallest hashes, found by a mergeable top-k."""
     return df.orderBy(order_key(id_col, seed), id_col).limit(k)

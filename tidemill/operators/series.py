@@ -157,6 +157,13 @@ def to_array(df: DataFrame, series: str, order: list[str], value: str) -> DataFr
     return df.groupBy(series).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value]).alias("series"))
 
 
+def to_channels(df: DataFrame, series: str, length: int, name: str = "channels") -> DataFrame:
+    """The flat series cut into channels of equal length: ``array<array<double>>``; a rest shorter than that raises on use."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size(series) / length).cast("int") - 1), lambda i: F.slice(F.col(series), i * length + 1, F.lit(length)))
+    whole = F.when(F.size(series) % length == 0, cut).otherwise(F.raise_error(F.lit("the series is no whole number of channels")))
+    return df.withColumn(name, whole)
+
+
 def to_long(df: DataFrame, series_id: str, series: str) -> DataFrame:
     return df.select(series_id, F.posexplode(series).alias("t", "value"))
 

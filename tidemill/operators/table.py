@@ -22,7 +22,7 @@ def drop_matching(df: DataFrame, pattern: str, invert: bool = False) -> DataFram
     return df.select(*hit) if invert else df.drop(*hit)
 
 
-def drop_type(df: DataFrame, kind: type[T.DataType]) -> DataFrame:
+def drop_type(df: DataFrame, kind: type[T.DataType] | tuple[type[T.DataType], ...]) -> DataFrame:
     return df.select(*(f.name for f in df.schema.fields if not isinstance(f.dataType, kind)))
 
 
@@ -36,7 +36,7 @@ def drop_useless(df: DataFrame, most_distinct: float = 99.0, keep: tuple[str, ..
 
 def redundant_columns(df: DataFrame) -> list[str]:
     """Columns whose values equal an earlier column's in all rows: equal order-free hashes first, an exact count after."""
-    h = df.agg(*(F.sum(F.xxhash64(F.monotonically_increasing_id() * 0, F.col(c).cast("string"), *[F.col(k) for k in df.columns[:1]]) % (1 << 40)).alias(c) for c in df.columns)).first()
+    h = df.agg(*(F.sum(F.xxhash64(F.col(c).cast("string")) % (1 << 40)).alias(c) for c in df.columns)).first()
     pairs = [(a, b) for i, b in enumerate(df.columns) for a in df.columns[:i] if h[a] == h[b]]
     if not pairs:
         return []
@@ -48,7 +48,7 @@ def rename_matching(df: DataFrame, pattern: str, to: str) -> DataFrame:
     return df.toDF(*(re.sub(pattern, to, c) for c in df.columns))
 
 
-def add_id(df: DataFrame, order: list[str], name: str = "id", partition: list[str] | None = None) -> DataFrame:
+def add_id(df: DataFrame, order: list, name: str = "id", partition: list[str] | None = None) -> DataFrame:
     """Number rows from 1 in a stated order. Without ``partition`` a range sort and per-partition counts are used: no single task sorts all rows."""
     if partition:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
@@ -75,6 +75,24 @@ def filter_rank(df: DataFrame, order: list[str], first: int, last: int, invert:
     return n.where(~hit if invert else hit).drop("__n")
 
 
+def sorted_rows(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Ascending, missing last; ``name`` is each row's place from 1, as a table's rows have no order of their own."""
+    return add_id(df, [F.col(c).asc_nulls_last() for c in order], name)
+
+
+def sub_range(df: DataFrame, order: list, first: int, count: int) -> DataFrame:
+    """``count`` rows after the ``first`` ones of a stated order."""
+    return df.orderBy(*order).offset(first).limit(count)
+
+
+def union_all(*frames: DataFrame) -> DataFrame:
+    """Rows of tables with the same columns, in any order of the columns; different columns raise."""
+    names = {frozenset(f.columns) for f in frames}
+    if len(names) > 1:
+        raise ValueError("the tables have different columns")
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
 def drop_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(subset=columns)
 

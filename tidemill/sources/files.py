@@ -6,6 +6,8 @@ Only headers come to the driver; rows stay in Spark.
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +52,27 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     return x.select(*cols)
 
 
-def write_arff(df: DataFrame, path: str, relation: str = "data") -> None:
-    """A header part and data parts in one folder; label lists of string columns are not enumerated (type string)."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir); on one machine a temporary one where none is set."""
+    sc = spark.sparkContext
+    known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not known:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        known = tempfile.mkdtemp(prefix="spark-scratch-")
+        sc.setCheckpointDir(known)
+    return f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _label_list(df: DataFrame, column: str) -> str:
+    labels = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct().orderBy(column).collect()]
+    return "{" + ",".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in labels) + "}"
+
+
+def write_arff(df: DataFrame, path: str, relation: str = "data", nominal: tuple[str, ...] = ()) -> None:
+    """A header part and data parts in one folder; the labels of ``nominal`` columns (few by nature) are listed, other strings have type string."""
     kind = lambda t: "numeric" if isinstance(t, T.NumericType) else "date" if isinstance(t, (T.TimestampType, T.DateType)) else "string"
-    head = [f"@relation '{relation}'", *(f"@attribute '{f.name}' {kind(f.dataType)}" for f in df.schema.fields), "@data"]
+    head = [f"@relation '{relation}'", *(f"@attribute '{f.name}' {_label_list(df, f.name) if f.name in nominal else kind(f.dataType)}" for f in df.schema.fields), "@data"]
     quoted = [F.coalesce(F.col(f.name).cast("string") if kind(f.dataType) == "numeric" else F.concat(F.lit("'"), F.regexp_replace(F.col(f.name).cast("string"), "(['\\\\])", r"\\$1"), F.lit("'")), F.lit("?")) for f in df.schema.fields]
     df.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(path)
     df.select(F.concat_ws(",", *quoted).alias("value")).write.mode("append").text(path)
@@ -88,6 +107,38 @@ def read_names_data(spark: SparkSession, names: str, data: str) -> DataFrame:
     return spark.read.options(nullValue="?", ignoreLeadingWhiteSpace=True).schema(", ".join(f"`{n}` {k}" for n, k in [*fields, ("class", "string")])).csv(data)
 
 
+def write_names_data(df: DataFrame, names: str, data: str, label: str) -> None:
+    """A .names header (the class labels, then each attribute's kind or labels) and .data rows with the class last."""
+    rest = [f for f in df.schema.fields if f.name != label]
+    listed = lambda c: ", ".join(str(r[0]) for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect())
+    lines = [f"{listed(label)}.", *(f"{f.name}: {'continuous' if isinstance(f.dataType, T.NumericType) else listed(f.name)}." for f in rest)]
+    df.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(names)
+    df.select(*(f.name for f in rest), label).write.option("nullValue", "?").csv(data)
+
+
+def write_matrix(df: DataFrame, path: str, row: str = "row") -> None:
+    df.select(F.concat_ws(" ", F.transform(row, lambda x: x.cast("string"))).alias("value")).write.text(path)
+
+
+def write_xml(df: DataFrame, path: str, row_tag: str = "instance") -> None:
+    df.write.format("xml").option("rowTag", row_tag).option("rootTag", "dataset").save(path)
+
+
+def write_text_folders(df: DataFrame, path: str, label: str, text: str) -> None:
+    """One folder a label; each text is a line of that folder's files, so line ends in it become spaces."""
+    df.select(F.col(label).alias("label"), F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " ").alias("value")).write.partitionBy("label").text(path)
+
+
+def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(label, text): each sub-folder a class, each line of its files a document."""
+    x = spark.read.option("recursiveFileLookup", True).text(path).withColumn("file", F.input_file_name())
+    return x.select(F.regexp_extract("file", r"(?:label=)?([^/=]+)/[^/]+$", 1).alias("label"), F.col("value").alias("text"))
+
+
+def write_series(df: DataFrame, path: str, label: str, series: str, sep: str = ",") -> None:
+    df.select(F.concat_ws(sep, F.col(label).cast("string"), F.transform(series, lambda x: F.coalesce(x.cast("string"), F.lit("NaN")))).alias("value")).write.text(path)
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("trim(value) <> ''").select(F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("row"))
 
@@ -119,6 +170,20 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.write.partitionBy("method", "dataset", "fold").parquet(path)
 
 
+def write_prediction_text(df: DataFrame, path: str, dataset: str, method: str) -> None:
+    """Three header lines (names, parameters, accuracy), then ``actual,predicted,,p0,p1,...``: the text form of predictions."""
+    a = df.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double"))).first()[0]
+    df.sparkSession.createDataFrame([(f"{dataset},{method},test\nparameters\n{a}",)], "value string").coalesce(1).write.text(path)
+    df.select(F.concat_ws(",", F.col("actual").cast("string"), F.col("predicted").cast("string"), F.lit(""), F.transform("probs", lambda p: p.cast("string"))).alias("value")).write.mode("append").text(path)
+
+
+def set_label(df: DataFrame, column: str | None) -> DataFrame:
+    """``df`` with the class last and named ``label``; None drops the class."""
+    if column is None:
+        return df.drop("label")
+    return df.select(*(c for c in df.columns if c != column), F.col(column).alias("label"))
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """By extension; the class is the last column."""
     end = path.rsplit(".", 1)[-1].lower()
