@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -247,10 +248,14 @@ def label_noise(df: DataFrame, column: str, percent: float, id_col: str, seed: i
     return df.withColumn(column, F.when((u < percent) & F.col(column).isNotNull() & F.lit(len(labels) > 1), pick).otherwise(F.col(column)))
 
 
+def projection_matrix(dims: int, size: int, seed: int = 42, kind: str = "sparse1") -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return {"sparse1": lambda: rng.choice([-(3**0.5), 0.0, 3**0.5], (dims, size), p=[1 / 6, 2 / 3, 1 / 6]), "sparse2": lambda: rng.choice([-1.0, 1.0], (dims, size)), "gaussian": lambda: rng.normal(size=(dims, size))}[kind]()
+
+
 def random_projection(a: Column, dims: int, size: int, seed: int = 42, kind: str = "sparse1") -> Column:
     """Project an array of ``size`` numbers to ``dims``: sqrt(3)*{-1,0,1}, {-1,1} or normal entries."""
-    rng = np.random.default_rng(seed)
-    m = {"sparse1": lambda: rng.choice([-(3**0.5), 0.0, 3**0.5], (dims, size), p=[1 / 6, 2 / 3, 1 / 6]), "sparse2": lambda: rng.choice([-1.0, 1.0], (dims, size)), "gaussian": lambda: rng.normal(size=(dims, size))}[kind]()
+    m = projection_matrix(dims, size, seed, kind)
     return F.array(*(F.aggregate(F.zip_with(a, F.array(*map(F.lit, row.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for row in m))
 
 
@@ -264,3 +269,156 @@ def principal_components(df: DataFrame, columns: list[str], share: float = 0.95,
     model = PCA(k=most or len(columns), inputCol="__z", outputCol="__c").fit(x)
     k = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), share - 1e-12) + 1)
     return model.transform(x).withColumn("components", F.slice(vector_to_array("__c"), 1, min(k, len(columns)))).drop("__x", "__z", "__c")
+
+
+def label_list(df: DataFrame, column: str, by: str = "name") -> list:
+    """The distinct labels of a nominal column (few by nature), by name or by falling count."""
+    c = df.where(F.col(column).isNotNull()).groupBy(column).count()
+    return [r[0] for r in c.orderBy(*([F.desc("count"), column] if by == "count" else [column])).collect()]
+
+
+def label_place(x: Column, labels: list) -> Column:
+    """The place from 0 of a label in the list; null for others."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, labels)), x).cast("int"), F.lit(0)) - 1
+
+
+def nominal_to_numeric(df: DataFrame, column: str, labels: list, out: str) -> DataFrame:
+    return df.withColumn(out, label_place(F.col(column), labels).cast("double"))
+
+
+def numeric_to_nominal(df: DataFrame, column: str, labels: list, out: str) -> DataFrame:
+    return df.withColumn(out, F.get(F.array(*map(F.lit, labels)), F.col(column).cast("int")))
+
+
+def to_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def swap_labels(x: Column, a, b) -> Column:
+    return F.when(x == a, F.lit(b)).when(x == b, F.lit(a)).otherwise(x)
+
+
+def date_text(x: Column, pattern: str) -> Column:
+    """A date at the precision of a pattern."""
+    return F.date_format(x, pattern)
+
+
+def random_columns(df: DataFrame, count: int | float, keep: list[str] | None = None, seed: int = 1) -> DataFrame:
+    """``count`` columns (a share of them, if under 1) chosen by a hash of their names and the seed, besides ``keep``."""
+    keep = keep or []
+    names = sorted((c for c in df.columns if c not in keep), key=lambda c: zlib.crc32(f"{seed}:{c}".encode()))
+    n = int(round(count * len(names))) if count < 1 else int(count)
+    chosen = set(names[:n])
+    return df.select(*keep, *(c for c in df.columns if c in chosen))
+
+
+def chi_squared_p(x: float, df: int) -> float:
+    """Upper tail of the chi-squared distribution: the regularised incomplete gamma function by its series or fraction."""
+    if x <= 0 or df <= 0:
+        return 1.0
+    a, x = df / 2, x / 2
+    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-15:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - total * front)
+    tiny = 1e-300
+    b, c = x + 1 - a, 1 / tiny
+    d = 1 / b
+    h = d
+    for i in range(1, 500):
+        k = -i * (i - a)
+        b += 2
+        d = 1 / (k * d + b or tiny)
+        c = b + k / c or tiny
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * h
+
+
+def merge_by_chaid(df: DataFrame, column: str, label: str, significance: float = 0.05) -> DataFrame:
+    """Merge the pair of labels whose class counts differ least, while the chi-squared p-value of the pair is over ``significance``.
+
+    Only the counts of labels and classes come to the driver. Merged labels are joined by "_or_"; ties go to the smaller names.
+    """
+    rows = df.where(F.col(column).isNotNull() & F.col(label).isNotNull()).groupBy(column, label).count().collect()
+    classes = sorted({str(r[label]) for r in rows})
+    counts: dict[tuple, np.ndarray] = {}
+    for r in rows:
+        counts.setdefault((str(r[column]),), np.zeros(len(classes)))[classes.index(str(r[label]))] = r["count"]
+
+    def p_value(a, b) -> float:
+        t = np.stack([counts[a], counts[b]])
+        t = t[:, t.sum(0) > 0]
+        e = t.sum(1, keepdims=True) * t.sum(0) / t.sum()
+        return chi_squared_p(float(((t - e) ** 2 / e).sum()), t.shape[1] - 1)
+
+    while len(counts) > 2:
+        keys = sorted(counts)
+        p, a, b = max(((p_value(a, b), a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]), key=lambda x: (x[0], [-ord(c) for c in "".join(x[1] + x[2])]))
+        if p <= significance:
+            break
+        counts[tuple(sorted(a + b))] = counts.pop(a) + counts.pop(b)
+    names = {v: "_or_".join(k) for k in counts for v in k if len(k) > 1}
+    if not names:
+        return df
+    to = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return df.withColumn(column, F.coalesce(to[F.col(column).cast("string")], F.col(column).cast("string")))
+
+
+def gram_matrix(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and centred cross-products of the rows without nulls in ``columns``, in one pass."""
+    known = df.where(" and ".join(f"`{c}` is not null" for c in columns))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    r = known.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    out = np.zeros((len(columns), len(columns)))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = (r[f"c{i}_{j}"] or 0.0) * r.n
+    return r.n, np.array([r[f"m{i}"] or 0.0 for i in range(len(columns))]), out
+
+
+def linear_columns(df: DataFrame, columns: list[str], mean: np.ndarray, weights: np.ndarray, out: str = "scores") -> DataFrame:
+    """``df`` with an array of linear combinations of centred columns; a row of ``weights`` for each column."""
+    one = lambda w: sum(((F.col(c) - float(m)) * float(x) for c, m, x in zip(columns, mean, w, strict=True)), F.lit(0.0))
+    return df.withColumn(out, F.array(*(one(w) for w in weights.T)))
+
+
+def partial_least_squares(df: DataFrame, columns: list[str], target: str, components: int) -> DataFrame:
+    """``df`` with ``scores``: directions of largest covariance with the target, one after the other.
+
+    One pass gathers the cross-products; each direction and what it leaves is a small solve on them.
+    """
+    _, mean, g = gram_matrix(df, [*columns, target])
+    x, xy = g[:-1, :-1], g[:-1, -1]
+    p = len(columns)
+    weights, rest = [], np.eye(p)
+    for _ in range(components):
+        w = rest.T @ xy
+        if np.linalg.norm(w) < 1e-12:
+            break
+        w = rest @ (w / np.linalg.norm(w))
+        tt = w @ x @ w
+        if tt < 1e-12:
+            break
+        weights.append(w)
+        load = x @ w / tt
+        rest = rest - np.outer(w, load @ rest)
+    return linear_columns(df, columns, mean[:-1], np.stack(weights, 1) if weights else np.zeros((p, 0)))
+
+
+def latent_semantics(df: DataFrame, id_col: str, features: str, size: int, rank: int) -> DataFrame:
+    """(id, scores): rows on the leading right singular vectors of the (uncentred) table; signs make each vector's largest entry positive."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    rows = df.select(array_to_vector(F.col(features)).alias("v")).rdd.map(lambda r: Vectors.fromML(r.v))
+    v = RowMatrix(rows, numCols=size).computeSVD(rank).V.toArray()
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
+    one = lambda w: F.aggregate(F.zip_with(features, F.array(*map(F.lit, w.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return df.select(id_col, F.array(*(one(w) for w in v.T)).alias("scores"))

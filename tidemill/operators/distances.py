@@ -212,6 +212,14 @@ def block_pairs(queries: DataFrame, train: DataFrame, run, schema: str, size: in
     return l.groupBy("__l", "__r").cogroup(r.groupBy("__l", "__r")).applyInPandas(run, schema)
 
 
+def all_pairs(queries: DataFrame, train: DataFrame, size: int = 1024) -> DataFrame:
+    """Every query with every row, as rows of both sides' columns: blocks of both meet by an equi-join. The result has as many rows as pairs."""
+    many = [max(1, -(-x.count() // size)) for x in (queries, train)]
+    l = queries.withColumn("__l", F.pmod(F.xxhash64(queries.columns[0]), F.lit(many[0])).cast("int")).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(many[1] - 1))))
+    r = train.withColumn("__r", F.pmod(F.xxhash64(train.columns[0]), F.lit(many[1])).cast("int")).withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(many[0] - 1))))
+    return l.join(r, ["__l", "__r"]).drop("__l", "__r")
+
+
 def _sides(queries: DataFrame, train: DataFrame, id_col: str, series: str, label: str) -> tuple[DataFrame, DataFrame]:
     known = lambda x: x.where(F.col(series).isNotNull())
     return known(queries).select(F.col(id_col).alias("query"), F.col(series).alias("a"), F.col(label).alias("actual")), known(train).select(F.col(id_col).alias("neighbour"), F.col(series).alias("b"), F.col(label).alias("label"))
@@ -355,3 +363,142 @@ def kernel_column(name: str, a: Column, b: Column, degree: int = 1, gamma: float
     if name == "rbf":
         return F.exp(-gamma * d)
     return 1 / F.pow(1 + F.pow(2 * F.sqrt(d) * np.sqrt(2 ** (1 / omega) - 1) / sigma, 2), omega)
+
+
+def point_ranges(df: DataFrame, series: str, size: int) -> list[float]:
+    """The range of each point over all rows."""
+    r = df.agg(*((F.max(F.element_at(series, i + 1)) - F.min(F.element_at(series, i + 1))).alias(str(i)) for i in range(size))).first()
+    return [float(x) for x in r]
+
+
+def gower(a: Column, b: Column, ranges: list[float]) -> Column:
+    """Sum of gaps over the points' ranges; a point of no range adds nothing."""
+    gaps = F.zip_with(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.array(*(F.lit(r or float("inf")) for r in ranges)), lambda g, r: g / r)
+    return A.total(gaps)
+
+
+def string_edit(a: Column, b: Column) -> Column:
+    """Insertions, deletions and substitutions of unit cost."""
+    return F.levenshtein(a, b)
+
+
+def spectral_divergence(a: Column, b: Column) -> Column:
+    """Sum of a/b - log a / log b - 1 over two spectra."""
+    return A.total(F.zip_with(a, b, lambda x, y: x / y - F.log(x) / F.log(y) - 1))
+
+
+def log_normalised(a: Column, b: Column) -> Column:
+    return A.total(F.zip_with(a, b, lambda x, y: F.log(x) - F.log(y)))
+
+
+def likelihood_ratio(a: Column, b: Column, n: int, m: int) -> Column:
+    """Log ratio of pooled to separate spectra, weighted by the lengths of the series they come from."""
+    pooled = lambda x, y: (n + m) * F.log((n * x + m * y) / (n + m)) - n * F.log(x) - m * F.log(y)
+    return A.total(F.zip_with(a, b, pooled))
+
+
+def accuracy_by_k(neighbours: DataFrame) -> DataFrame:
+    """(k, accuracy) of the majority vote of the first k neighbours, for every k up to the ranks given; ties to the smaller label."""
+    most = neighbours.agg(F.max("rank")).first()[0] or 0
+    v = neighbours.withColumn("k", F.explode(F.sequence(F.col("rank"), F.lit(most)))).groupBy("k", "query", "actual", "label").agg(F.count("*").alias("w"))
+    p = v.groupBy("k", "query", "actual").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("b"))
+    return p.groupBy("k").agg(F.avg((-F.col("b.l") == F.col("actual")).cast("double")).alias("accuracy"))
+
+
+def bag_distances(left: DataFrame, right: DataFrame, bag: str, id_col: str, features: str) -> DataFrame:
+    """(x, y, least, hausdorff) of every pair of bags: the smallest gap of two members, and the largest gap of a member to the other bag.
+
+    Members meet in blocks; a block pair returns one row a member and bag, so the pairs of members stay in their task.
+    """
+    l, r = (x.select(F.col(id_col).alias("id"), F.col(bag).alias("bag"), F.col(features).alias("v")) for x in (left, right))
+    kind = dict(l.dtypes)["bag"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["x", "y", "side", "member", "d"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names})
+        d = np.sqrt(_paired(np.stack(a["v"].to_list()).astype(float), np.stack(b["v"].to_list()).astype(float), ROW_KERNELS["euclidean"], len(a["v"].iloc[0])))
+        out = []
+        for side, (own, other, m) in enumerate(((a, b, d), (b, a, d.T))):
+            other = other.reset_index(drop=True)
+            for y, at in other.groupby("bag").indices.items():
+                f = pd.DataFrame({"own": own["bag"].to_numpy(), "other": y, "side": side, "member": own["id"].to_numpy(), "d": m[:, at].min(1)})
+                out.append(f.rename(columns={"own": "x", "other": "y"} if side == 0 else {"own": "y", "other": "x"}))
+        return pd.concat(out)[names]
+
+    each = block_pairs(l, r, run, f"x {kind}, y {kind}, side int, member {dict(l.dtypes)['id']}, d double", 1024)
+    near = each.groupBy("x", "y", "side", "member").agg(F.min("d").alias("d"))
+    return near.groupBy("x", "y").agg(F.min("d").alias("least"), F.max("d").alias("hausdorff"))
+
+
+def weighted_views(queries: DataFrame, train: DataFrame, id_col: str, label: str, first: str, second: str, settings: int) -> DataFrame:
+    """(setting, weight1, weight2, accuracy): 1-NN over cos(w) * d(first) + sin(w) * d(second), w on a grid from 0 to a right angle.
+
+    A block pair returns the best neighbour of each query for every setting.
+    """
+    grid = np.linspace(0, np.pi / 2, settings)
+    l, r = (x.select(F.col(id_col).alias("id"), F.col(label).alias("c"), F.col(first).alias("u"), F.col(second).alias("v")) for x in (queries, train))
+    kinds = dict(l.dtypes)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["setting", "query", "actual", "d", "neighbour", "label"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names})
+        b = b.sort_values("id")
+        parts = [_paired(np.stack(a[c].to_list()).astype(float), np.stack(b[c].to_list()).astype(float), ROW_KERNELS["euclidean"], len(a[c].iloc[0])) for c in ("u", "v")]
+        out = []
+        for i, w in enumerate(grid):
+            d = np.round(np.cos(w) * parts[0] + np.sin(w) * parts[1], 6)
+            d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()] = np.inf
+            at = d.argmin(1)
+            out.append(pd.DataFrame({"setting": i, "query": a["id"].to_numpy(), "actual": a["c"].to_numpy(), "d": d[np.arange(len(a)), at], "neighbour": b["id"].to_numpy()[at], "label": b["c"].to_numpy()[at]}))
+        return pd.concat(out)
+
+    each = block_pairs(l, r, run, f"setting int, query {kinds['id']}, actual {kinds['c']}, d double, neighbour {kinds['id']}, label {kinds['c']}", 1024)
+    best = each.groupBy("setting", "query", "actual").agg(F.min(F.struct("d", "neighbour", "label")).alias("n"))
+    acc = best.groupBy("setting").agg(F.avg((F.col("n.label") == F.col("actual")).cast("double")).alias("accuracy"))
+    at = F.array(*(F.lit(float(w)) for w in grid))
+    return acc.select("setting", F.cos(F.get(at, F.col("setting"))).alias("weight1"), F.sin(F.get(at, F.col("setting"))).alias("weight2"), "accuracy")
+
+
+def window_search(queries: DataFrame, train: DataFrame, id_col: str, series: str, label: str, windows: list[float]) -> DataFrame:
+    """(setting, window, n, accuracy) of pruned 1-NN under DTW for each window: leave-one-out where both tables are the same."""
+    out = None
+    for i, w in enumerate(windows):
+        r = pruned_nearest(queries, train, id_col, series, label, w).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("actual")).cast("double")).alias("accuracy"))
+        r = r.select(F.lit(i).alias("setting"), F.lit(float(w)).alias("window"), "n", "accuracy")
+        out = r if out is None else out.union(r)
+    return out
+
+
+def best_window(scores: DataFrame) -> DataFrame:
+    """The smallest of the windows of best accuracy."""
+    return scores.orderBy(F.desc("accuracy"), "window").limit(1)
+
+
+def locally_weighted(queries: DataFrame, train: DataFrame, id_col: str, features: str, target: str, k: int) -> DataFrame:
+    """(query, actual, predicted): a straight line through the k nearest rows, weighted by 1 - d/d_k (the farthest row adds nothing).
+
+    One aggregate a query gathers the weighted cross-products; the small systems are solved on Arrow batches. Where a system is
+    singular the weighted mean stands in.
+    """
+    near = knn_join(queries, train, k, id_col, features, target)
+    far = near.groupBy("query").agg(F.max("distance").alias("m"))
+    rows = near.join(far, "query").join(train.select(F.col(id_col).alias("neighbour"), F.col(features).alias("x")), "neighbour")
+    w = F.greatest(1 - F.sqrt("distance") / F.sqrt(F.col("m") + 1e-12), F.lit(1e-6))
+    sets = rows.groupBy("query", "actual").agg(F.collect_list(F.struct(w.alias("w"), "x", F.col("label").cast("double").alias("y"), "neighbour")).alias("rows"))  # k rows
+    asked = queries.select(F.col(id_col).alias("query"), F.col(features).alias("q"))
+
+    @F.pandas_udf("double")
+    def solve(rows: pd.Series, q: pd.Series) -> pd.Series:
+        out = []
+        for some, at in zip(rows, q, strict=True):
+            some = sorted(some, key=lambda r: r["neighbour"])
+            w = np.array([r["w"] for r in some])
+            x = np.c_[np.ones(len(some)), np.stack([np.asarray(r["x"], float) for r in some])]
+            y = np.array([r["y"] for r in some])
+            g = (x * w[:, None]).T @ x
+            out.append(float(np.r_[1, at] @ np.linalg.solve(g, (x * w[:, None]).T @ y)) if np.linalg.cond(g) < 1e10 else float((w * y).sum() / w.sum()))
+        return pd.Series(out)
+
+    return sets.join(asked, "query").select("query", F.col("actual").cast("double").alias("actual"), solve("rows", "q").alias("predicted"))

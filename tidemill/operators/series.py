@@ -164,6 +164,66 @@ def to_channels(df: DataFrame, series: str, length: int, name: str = "channels")
     return df.withColumn(name, whole)
 
 
+def transpose_channels(a: Column) -> Column:
+    """Channels by time points turned to time points by channels."""
+    return F.transform(F.sequence(F.lit(0), F.size(a[0]) - 1), lambda t: F.transform(a, lambda c: F.get(c, t)))
+
+
+def split_channels(df: DataFrame, id_col: str, channels: str) -> DataFrame:
+    """(id, channel, series): one row a channel."""
+    return df.select(id_col, F.posexplode(channels).alias("channel", "series"))
+
+
+def merge_channels(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, channels) of (id, channel, series) rows, in the order of the channels."""
+    return df.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "series"))), lambda x: x["series"]).alias("channels"))
+
+
+def last_significant(acf: Column, size: int, z: float = 1.6448536269514722) -> Column:
+    """The last lag whose correlation is beyond z / sqrt(size); 0 where none is."""
+    at = F.filter(F.transform(acf, lambda x, i: F.when(F.abs(x) > z / math.sqrt(size), i + 1).otherwise(0)), lambda k: k > 0)
+    return F.coalesce(F.array_max(at), F.lit(0))
+
+
+def truncate_all(df: DataFrame, acf: str, own: str, out: str) -> DataFrame:
+    """Every row's correlations cut after the last lag that is significant in any row."""
+    return df.withColumn(out, F.slice(acf, F.lit(1), F.lit(df.agg(F.max(own)).first()[0] or 0)))
+
+
+def interval(a: Column, start: int, length: int) -> Column:
+    return F.slice(a, start + 1, length)
+
+
+def transform_inputs(df: DataFrame, id_col: str, series: str, size: int) -> DataFrame:
+    """One column a transform (raw, derivative, autocorrelation, power spectrum): the inputs of a transform ensemble."""
+    a = F.col(series)
+    most = max(1, min(100, (size - 1) // 4 if (size - 1) // 4 >= 10 else size - 1))
+    return df.select(id_col, a.alias("raw"), derivative(a).alias("derivative"), autocorrelation(a, min(most, size - 4)).alias("acf"), power_spectrum(series).alias("power"))
+
+
+def acf_pacf_ar(df: DataFrame, keep: list[str], series: str, most: int) -> DataFrame:
+    """``features``: autocorrelations, partial autocorrelations and autoregressive coefficients end to end."""
+    return df.select(*keep, F.concat(autocorrelation(F.col(series), most), partial_autocorrelation(series), autoregression(series)).alias("features"))
+
+
+def normalise_time_points(df: DataFrame, id_col: str, series: str, size: int) -> DataFrame:
+    """Each time point scaled to [0, 1] over all series (one aggregate; a constant point gives 0)."""
+    at = lambda i: F.element_at(series, i + 1)
+    r = df.agg(*(f(at(i)).alias(f"{n}{i}") for i in range(size) for n, f in (("a", F.min), ("b", F.max)))).first()
+    low, width = (F.array(*(F.lit(float(v)) for v in x)) for x in ([r[f"a{i}"] for i in range(size)], [(r[f"b{i}"] - r[f"a{i}"]) or float("inf") for i in range(size)]))
+    return df.select(id_col, F.zip_with(F.zip_with(series, low, lambda x, l: x - l), width, lambda x, w: x / w).alias("scaled"))
+
+
+def unit_interval(a: Column) -> Column:
+    """A series scaled to [0, 1]; a constant one gives zeros."""
+    return A.let(F.struct(F.array_min(a).alias("l"), F.array_max(a).alias("h")), lambda p: F.transform(a, lambda x: F.when(p["h"] > p["l"], (x - p["l"]) / (p["h"] - p["l"])).otherwise(0.0)))
+
+
+def unit_deviation(a: Column) -> Column:
+    """A series over its population deviation; a constant one stays."""
+    return A.let(F.sqrt(A.variance(a)), lambda sd: F.transform(a, lambda x: F.when(sd > 0, x / sd).otherwise(x)))
+
+
 def to_long(df: DataFrame, series_id: str, series: str) -> DataFrame:
     return df.select(series_id, F.posexplode(series).alias("t", "value"))
 

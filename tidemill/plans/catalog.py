@@ -122,7 +122,7 @@ def r_binary_relabel(spark, d):
 # --- C: column transforms -------------------------------------------------------------------------------------------
 
 
-@query("select p_partkey, round(log2(p_retailprice) * 0 + sqrt(p_retailprice) + power(p_size, 2) / 3, 6) as f from part")
+@query("select p_partkey, round(sqrt(p_retailprice) + power(p_size, 2) / 3, 6) as f from part")
 def c_arithmetic(spark, d):
     return r6(columns.arithmetic(read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), "sqrt(a2) + a3 ^ 2 / 3", "f").select("p_partkey", "f"))
 
@@ -328,16 +328,16 @@ def d_lock_step(spark, d):
     return r6(p.select("x", "y", A.manhattan(a, b).alias("manhattan"), A.chebyshev(a, b).alias("chebyshev"), A.complexity_invariant(a, b).alias("cid")))
 
 
-def _near_pairs(spark, d):
-    """Every series with its three nearest ones: enough pairs for the costly kernels, growing with the table."""
+def _query_pairs(spark, d):
+    """The rows whose id is divisible by 100, each with every other row."""
     x = vectors(spark, d)
-    n = distances.knn_join(x, x, 3, "vec_id", "s", "label").select("query", "neighbour")
-    return n.join(x.select(F.col("vec_id").alias("query"), F.col("s").alias("a")), "query").join(x.select(F.col("vec_id").alias("neighbour"), F.col("s").alias("b")), "neighbour")
+    q = x.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("s").alias("a"))
+    return distances.all_pairs(q, x.select(F.col("vec_id").alias("neighbour"), F.col("s").alias("b"))).where("query <> neighbour")
 
 
 @query()
 def d_elastic(spark, d):
-    p = _near_pairs(spark, d)
+    p = _query_pairs(spark, d)
     return r6(p.select("query", "neighbour", *(distances.distance(k, F.col("a"), F.col("b")).alias(k) for k in distances.KERNELS)))
 
 
@@ -347,9 +347,13 @@ def d_pruned_dtw_nearest(spark, d):
     return r6(distances.pruned_nearest(x, x, "vec_id", "s", "label", 0.1))
 
 
-@query()
+DOT = "list_sum(list_transform(range(1, 65), lambda i: {a}[i]::double * {b}[i]::double))"
+
+
+@query(f"""with p as (select a.vec_id as query, b.vec_id as neighbour, {DOT.format(a="a.embedding", b="b.embedding")} as ab, {DOT.format(a="a.embedding", b="a.embedding")} as aa, {DOT.format(a="b.embedding", b="b.embedding")} as bb from embeddings a, embeddings b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id)
+select query, neighbour, round(ab, 6) as poly, round(ab / sqrt(aa * bb), 6) as normalised_poly, round(exp(-0.01 * (aa + bb - 2 * ab)), 6) as rbf, round(1 / (1 + 4 * (aa + bb - 2 * ab)), 6) as puk from p""")
 def d_kernels(spark, d):
-    p = _near_pairs(spark, d)
+    p = _query_pairs(spark, d)
     return r6(p.select("query", "neighbour", *(distances.kernel_column(k, F.col("a"), F.col("b")).alias(k) for k in ("poly", "normalised_poly", "rbf", "puk"))))
 
 

@@ -279,3 +279,133 @@ def x_smote_counts(spark, d):
     made = sampling.smote(x, "label", 3, "vec_id", "s", 100)
     own = x.where("label = 3").select("vec_id", "s", "label")
     return made.groupBy("label").agg(F.count("*").alias("n")).join(own.groupBy("label").agg(F.count("*").alias("of_class")), "label").withColumn("with_synthetic", F.col("n") + F.col("of_class"))
+
+
+# --- C: further column transforms ------------------------------------------------------------------------------------
+
+
+@query("select p_partkey, round(sqrt(p_retailprice), 6) as p_retailprice, round(sqrt(p_size), 6) as p_size from part")
+def c_unary(spark, d):
+    return r6(columns.apply_unary(read(spark, d, "part").select("p_partkey", "p_retailprice", "p_size"), ["p_retailprice", "p_size"], "sqrt"))
+
+
+@query("select p_partkey, round(p_retailprice - (select avg(p_retailprice) from part), 6) as p_retailprice from part")
+def c_center(spark, d):
+    x = read(spark, d, "part").select("p_partkey", "p_retailprice")
+    return r6(columns.Standardizer(["p_retailprice"], "center").fit(x).transform(x))
+
+
+@query("select vec_id, list_transform(embedding, lambda x: round(2 * x::double / pow(list_sum(list_transform(embedding, lambda y: pow(abs(y::double), 3))), 1.0 / 3), 6)) as s from embeddings")
+def c_row_norm(spark, d):
+    return r6(vectors(spark, d).select("vec_id", columns.normalise_row(F.col("s"), 3.0, 2.0).alias("s")))
+
+
+@query("with x as (select p_partkey, p_size, p_retailprice, p_partkey % 5 = 0 as test from part), t as (select min(p_size) as a, max(p_size) as b, avg(p_retailprice) as m, stddev_samp(p_retailprice) as s from x where not test) select p_partkey, round((p_size - a) / (b - a), 6) as p_size, round((p_retailprice - m) / s, 6) as p_retailprice from x, t where test")
+def c_fit_then_apply(spark, d):
+    x = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    train, test = x.where("p_partkey % 5 <> 0"), x.where("p_partkey % 5 = 0")
+    return r6(columns.Standardizer(["p_retailprice"]).fit(train).transform(columns.Standardizer(["p_size"], "range").fit(train).transform(test)))
+
+
+@query("select (least(greatest(ceil((p_size - a) / ((b - a) / 5.0)) - 1, 0), 4))::int as bin, count(*) as n from part, (select min(p_size) as a, max(p_size) as b from part) group by 1")
+def c_equal_width_five(spark, d):
+    x = read(spark, d, "part")
+    return x.select(columns.bin_of(F.col("p_size"), columns.equal_width_cuts(x, "p_size", 5)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey, o_orderkey::varchar as as_text, case o_orderstatus when 'F' then 0.0 when 'O' then 1.0 when 'P' then 2.0 end as status, case o_orderstatus when 'F' then 'F' when 'O' then 'O' when 'P' then 'P' end as back from orders")
+def c_types(spark, d):
+    x = columns.to_text(read(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("as_text"), "o_orderstatus"), ["as_text"])
+    labels = columns.label_list(x, "o_orderstatus")
+    coded = columns.nominal_to_numeric(x, "o_orderstatus", labels, "status")
+    return columns.numeric_to_nominal(coded, "status", labels, "back").drop("o_orderstatus")
+
+
+@query("select l_orderkey, l_linenumber, (l_discount <> 0)::int as l_discount from lineitem")
+def c_to_binary(spark, d):
+    return columns.to_binary(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount"), ["l_discount"])
+
+
+@query("with m as (select p_brand, row_number() over (order by avg(p_retailprice), p_brand) - 1 as r from part group by 1) select p_partkey, (r >= 1)::int as first, (r >= (select max(r) from m))::int as last from part join m using (p_brand)")
+def c_supervised_one_hot(spark, d):
+    x = columns.supervised_one_hot(read(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice"), "p_brand", "p_retailprice")
+    steps = [c for c in x.columns if c.startswith("p_brand>")]
+    return x.select("p_partkey", F.col(f"`{steps[0]}`").alias("first"), F.col(f"`{steps[-1]}`").alias("last"))
+
+
+@query("select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'high' else o_orderpriority end as o_orderpriority from orders")
+def c_merge_labels(spark, d):
+    return columns.merge_labels(read(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["1-URGENT", "2-HIGH"], "high")
+
+
+@query("with c as (select o_orderpriority, row_number() over (order by count(*) desc, o_orderpriority) - 1 as place from orders group by 1) select o_orderkey, place::int as by_count, (dense_rank() over (order by o_orderpriority) - 1)::int as by_name, case o_orderpriority when '1-URGENT' then '5-LOW' when '5-LOW' then '1-URGENT' else o_orderpriority end as swapped from orders join c using (o_orderpriority)")
+def c_label_order(spark, d):
+    x = read(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    by_count, by_name = columns.label_list(x, "o_orderpriority", "count"), columns.label_list(x, "o_orderpriority")
+    place = lambda labels: columns.label_place(F.col("o_orderpriority"), labels)
+    return x.select("o_orderkey", place(by_count).alias("by_count"), place(by_name).alias("by_name"), columns.swap_labels(F.col("o_orderpriority"), "1-URGENT", "5-LOW").alias("swapped"))
+
+
+@query("select doc_id, coalesce(case when n_chars % 3 <> 0 then n_chars end, -1) as n, coalesce(case when n_chars % 5 <> 0 then lang end, 'none') as lang from documents")
+def c_impute_constant(spark, d):
+    x = read(spark, d, "documents").select("doc_id", F.expr("case when n_chars % 3 <> 0 then n_chars end").alias("n"), F.expr("case when n_chars % 5 <> 0 then lang end").alias("lang"))
+    return columns.impute_constant(x, {"n": -1, "lang": "none"})
+
+
+@query("""with x as (select event_id, user_id, ts, case when event_id % 4 <> 0 then value end as v from events), y as (select *, last_value(v ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as b, first_value(v ignore nulls) over (partition by user_id order by ts, event_id rows between 1 following and unbounded following) as a from x)
+select event_id, round(coalesce(v, (b + a) / 2, b, a), 6) as value from y""")
+def c_impute_neighbours(spark, d):
+    x = read(spark, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("t"), F.expr("case when event_id % 4 <> 0 then value end").alias("value"))
+    return r6(columns.impute_neighbours(x, "user_id", "t", "value").select("event_id", "value"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m') as month, strftime(o_orderdate, '%d/%m/%Y') as day from orders")
+def c_date_format(spark, d):
+    x = read(spark, d, "orders")
+    return x.select("o_orderkey", columns.date_text(F.col("o_orderdate"), "yyyy-MM").alias("month"), columns.date_text(F.col("o_orderdate"), "dd/MM/yyyy").alias("day"))
+
+
+@query("""select o_orderkey, 'V' || dense_rank() over (order by o_orderpriority) as "A1", 'V' || dense_rank() over (order by o_orderstatus) as "A2" from orders""")
+def c_obfuscate(spark, d):
+    return columns.obfuscate(read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderpriority", "o_orderstatus"])
+
+
+@query("select count(*) as n, true as near_a_tenth, 0::bigint as unknown_labels from orders")
+def c_label_noise(spark, d):
+    x = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderstatus").alias("before"))
+    y = columns.label_noise(x, "o_orderstatus", 10, "o_orderkey")
+    return y.agg(F.count("*").alias("n"), (F.abs(F.avg((F.col("before") != F.col("o_orderstatus")).cast("int")) - 0.1) < 0.04).alias("near_a_tenth"), F.count_if(~F.col("o_orderstatus").isin("F", "O", "P")).alias("unknown_labels"))
+
+
+@query("select vec_id, list_transform(range(1, 64), lambda i: round(embedding[i]::double - embedding[i + 1]::double, 6)) as d from embeddings")
+def c_first_order(spark, d):
+    return r6(vectors(spark, d).select("vec_id", series.differences(F.col("s"), 1).alias("d")))
+
+
+@query()
+def c_latent_semantics(spark, d):
+    return r6(columns.latent_semantics(vectors(spark, d), "vec_id", "s", 64, 5).select("vec_id", F.transform("scores", F.abs).alias("scores")))
+
+
+@query("""with m as (select avg(l_quantity) as mq, avg(l_discount) as md, avg(l_tax) as mt, covar_pop(l_quantity, l_extendedprice) as a, covar_pop(l_discount, l_extendedprice) as b, covar_pop(l_tax, l_extendedprice) as c from lineitem)
+select l_orderkey * 10 + l_linenumber as id, round((a * (l_quantity - mq) + b * (l_discount - md) + c * (l_tax - mt)) / sqrt(a * a + b * b + c * c), 5) as first from lineitem, m""")
+def c_partial_least_squares(spark, d):
+    x = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    return columns.partial_least_squares(x, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 2).select("id", (F.round(F.col("scores")[0], 5) + 0.0).alias("first"))
+
+
+@query(f"select vec_id, list_transform({columns.projection_matrix(10, 64).round(12).tolist()}, lambda w: round(list_sum(list_transform(range(1, 65), lambda i: w[i] * embedding[i]::double)), 6)) as p from embeddings")
+def c_random_projection(spark, d):
+    return r6(vectors(spark, d).select("vec_id", columns.random_projection(F.col("s"), 10, 64).alias("p")))
+
+
+@query("select l_orderkey, l_linenumber, l_tax, l_quantity from lineitem")
+def c_random_columns(spark, d):
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return columns.random_columns(x, 2, keep=["l_orderkey", "l_linenumber"], seed=1)
+
+
+@query("""with c as (select l_returnflag as v, l_linestatus as c, count(*)::double as n from lineitem group by all) select l_returnflag, l_linestatus, count(*) as n from lineitem group by all""")
+def c_chaid_kept(spark, d):
+    x = columns.merge_by_chaid(read(spark, d, "lineitem").select("l_returnflag", "l_linestatus"), "l_returnflag", "l_linestatus", 1.0)
+    return x.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
