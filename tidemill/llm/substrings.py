@@ -1,11 +1,14 @@
 """Substring dedup: prefix-partitioned suffix trees over word sequences.
 
-Suffixes start at every window of ``WINDOW`` words. Each window holds one anchor, the five-word sequence of smallest
-hash (leftmost on ties); windows of a document that share an anchor form one segment, so a segment carries its
-suffixes once. Only anchors seen in two documents matter. Segments are dealt by prefix: the anchor's five words, or
-the whole window where an anchor is frequent (those prefixes are longer, one suffix each), which keeps every group
-small. In a group the suffixes are sorted, neighbours' common prefixes measured, and each inner node at depth
-``WINDOW`` or more gives a repeat with its smallest document.
+Every window of ``WINDOW`` words has one anchor, its five-word sequence of smallest hash (leftmost on ties). The trees hold
+the suffixes that start at anchors: equal windows have equal anchors at equal places, so such a suffix and the words
+left of it stand for all windows around its anchor. Suffixes whose anchor is in one document only repeat nothing and are left out.
+
+Suffixes are dealt by prefix, and prefixes vary in length by exact counts: the anchor's five words, or, where more than HOT_ROWS
+suffixes begin with them, all words of a window (such a prefix is a whole repeat, so its group needs no more than a minimum). A task
+takes groups up to a bounded number of suffixes, sorts them, and measures what neighbours share: runs that share d words are the inner
+nodes of depth d. A window with j words left of its anchor repeats where suffixes meet in a node of depth ``WINDOW`` - j and their j
+words to the left are equal too; the smallest document there is the window's first.
 """
 
 from __future__ import annotations
@@ -15,16 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, grams, mix, slices, small_batches, words
+from .shared import HOT_ROWS, cut, drop_cut, grams, join_split, mix, slices, small_batches, words
 
 WINDOW = 13
 ANCHOR = 5
-#: One document in so many is looked at for frequent anchors; those seen this often in it get whole-window prefixes.
-HOT_SHARE, HOT_SEEN, HOT_MOST = 128, 24, 50_000
-CHUNK = 20_000
+#: Suffixes that one tree is built from at a time (whole prefix groups), distinct segments that a task keeps before it sends them.
+CHUNK, HELD = 20_000, 100_000
 
 
 def _anchored(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,95 +69,130 @@ def _two_hashes(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return out[0], out[1]
 
 
-def _segments(part: pa.RecordBatch, hot: np.ndarray):
-    """The segments of a slice of (text, anchors) worth comparing: words, first word, windows, anchor's or window's prefix, 128-bit hash."""
+def _segments(part: pa.RecordBatch):
+    """The segments of a slice of (text, anchors, whole): a suffix with the windows around its anchor, or one window where the anchor is frequent.
+
+    Words, first word, number of windows, the anchor's place in it, whether it is one whole window, its prefix and its 128-bit hash.
+    """
     w = words(part.column("text"))
     first, at, h = _anchored(w)
-    of = part.column("anchors")
-    lists, flat = np.asarray(of.offsets), np.asarray(of.values, dtype=np.int64)
-    n = np.diff(lists)
-    doc = np.repeat(np.arange(len(of)), n)
-    known = np.sort(mix(flat[lists[0] : lists[-1]].view(np.uint64) + mix(doc.astype(np.uint64))))
-    key = mix(h + mix(w.doc[first].astype(np.uint64)))
-    is_hot = np.isin(h, hot) if len(hot) else np.zeros(len(h), bool)
-    good = is_hot | (known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else False)
-    first, at, h, is_hot = first[good], at[good], h[good], is_hot[good]
+    of, whole = part.column("anchors"), part.column("whole")
+    lists, flat, long = np.asarray(of.offsets), np.asarray(of.values, dtype=np.int64), np.asarray(whole.values)
+    doc = np.repeat(np.arange(len(of)), np.diff(lists))
+    known = mix(flat[lists[0] : lists[-1]].view(np.uint64) + mix(doc.astype(np.uint64)))
+    order = np.argsort(known)
+    known, long = known[order], long[lists[0] : lists[-1]][order]
+    if not len(known):
+        first, at, h, is_whole = first[:0], at[:0], h[:0], np.zeros(0, bool)
+    else:
+        key = mix(h + mix(w.doc[first].astype(np.uint64)))
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        good = known[place] == key
+        first, at, h, is_whole = first[good], at[good], h[good], long[place[good]]
     new = np.ones(len(first), bool)
-    new[1:] = is_hot[1:] | (at[1:] != at[:-1]) | (w.doc[first[1:]] != w.doc[first[:-1]]) | (first[1:] != first[:-1] + 1)
+    new[1:] = is_whole[1:] | (at[1:] != at[:-1]) | (w.doc[first[1:]] != w.doc[first[:-1]]) | (first[1:] != first[:-1] + 1)
     begins = np.flatnonzero(new)
     runs = np.diff(np.r_[begins, len(first)])
     head = first[begins]
     a, b = _two_hashes(w.hash, head, runs + WINDOW - 1)
-    prefix = np.where(is_hot[begins], a, h[begins].view(np.int64))
-    return w, head, runs, prefix, a, b
-
-
-def _emit_texts(hot: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct segments of a task's documents with the smallest id that holds them; a bounded memory of them is kept."""
-        seen: dict[tuple[int, int], list] = {}
-
-        def out() -> pa.RecordBatch:
-            rows = list(seen.items())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([v[0] for _, v in rows], pa.int64()), pa.array([k[0] for k, _ in rows], pa.int64()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.int64()), pa.array([v[2] for _, v in rows], pa.string())],
-                ["prefix", "s1", "s2", "doc_id", "words"],
-            )
-
-        for batch in batches:
-            for part in slices(batch):
-                w, head, runs, prefix, a, b = _segments(part, hot)
-                if not len(head):
-                    continue
-                text, start, end = w.squeezed()
-                ids = np.asarray(part.column("doc_id"))[w.doc[head]]
-                where = zip(prefix.tolist(), a.tolist(), b.tolist(), ids.tolist(), start[head].tolist(), end[head + runs + WINDOW - 2].tolist(), strict=True)
-                for p, x, y, i, s, e in where:
-                    old = seen.get((x, y))
-                    if old is None:
-                        seen[x, y] = [p, i, text[s:e].decode()]
-                    elif i < old[1]:
-                        old[1] = i
-                if len(seen) > 100_000:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
-
-    return run
-
-
-def _emit_places(hot: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                w, head, _, _, a, b = _segments(part, hot)
-                ids = part.column("doc_id").take(pa.array(w.doc[head]))
-                text = part.column("text_hash").take(pa.array(w.doc[head]))
-                yield pa.RecordBatch.from_arrays([ids, text, pa.array((head - w.first[w.doc[head]]).astype(np.int32)), pa.array(a), pa.array(b)], ["doc_id", "text_hash", "at", "s1", "s2"])
-
-    return run
-
-
-def _nodes(part: pa.RecordBatch) -> pa.RecordBatch:
-    """The subtrees of some whole prefix groups: for every segment the smallest document of the inner node above each of its suffixes."""
+    return w, head, runs, (at - first)[begins], is_whole[begins], np.where(is_whole[begins], a, h[begins].view(np.int64)), a, b
+
+
+_SENT = ["prefix", "s1", "s2", "doc_id", "n", "anchor_at", "words"]
+
+
+def _emit_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct segments of a task's documents with how often they occur and the smallest id that holds them; a whole window needs no words."""
+    seen: dict[tuple[int, int], list] = {}
+
+    def out() -> pa.RecordBatch:
+        keys, values = zip(*seen.items(), strict=True)
+        s1, s2 = zip(*keys, strict=True)
+        p, i, n, at, text = zip(*values, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.string())], _SENT)
+
+    for batch in batches:
+        for part in slices(batch):
+            w, head, runs, at, whole, prefix, a, b = _segments(part)
+            if not len(head):
+                continue
+            text, start, end = w.squeezed()
+            ids = np.asarray(part.column("doc_id"))[w.doc[head]]
+            rows = zip(prefix.tolist(), a.tolist(), b.tolist(), ids.tolist(), at.tolist(), whole.tolist(), start[head].tolist(), end[head + runs + WINDOW - 2].tolist(), strict=True)
+            for p, x, y, i, k, one, s, e in rows:
+                old = seen.get((x, y))
+                if old is None:
+                    seen[x, y] = [p, i, 1, k, None if one else text[s:e].decode()]
+                else:
+                    old[1] = min(old[1], i)
+                    old[2] += 1
+            if len(seen) > HELD:
+                yield out()
+                seen.clear()
+    if seen:
+        yield out()
+
+
+def _emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            w, head, _, _, _, _, a, b = _segments(part)
+            ids = part.column("doc_id").take(pa.array(w.doc[head]))
+            text = part.column("text_hash").take(pa.array(w.doc[head]))
+            yield pa.RecordBatch.from_arrays([ids, text, pa.array((head - w.first[w.doc[head]]).astype(np.int32)), pa.array(a), pa.array(b)], ["doc_id", "text_hash", "at", "s1", "s2"])
+
+
+def _merged(part: pa.RecordBatch, lists: pa.Array) -> pa.RecordBatch:
+    """(s1, s2, least, n), once a segment: several tasks may have sent it."""
+    pairs = np.stack([np.asarray(part.column("s1")), np.asarray(part.column("s2"))])
+    _, once, back = np.unique(pairs, axis=1, return_index=True, return_inverse=True)
+    count = np.bincount(back.ravel(), np.asarray(part.column("n")), len(once)).astype(np.int64)
+    out = pa.RecordBatch.from_arrays([part.column("s1"), part.column("s2"), lists], ["s1", "s2", "least"]).take(pa.array(once))
+    return pa.RecordBatch.from_arrays([*out.columns, pa.array(count)], ["s1", "s2", "least", "n"])
+
+
+def _leaves(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Groups whose prefix is a whole window: the smallest document of each."""
+    prefix, ids = np.asarray(part.column("prefix")), np.asarray(part.column("doc_id"))
+    order = np.lexsort((np.asarray(part.column("s2")), prefix))
+    s2 = np.asarray(part.column("s2"))[order]
+    begins = np.flatnonzero(np.r_[True, (prefix[order][1:] != prefix[order][:-1]) | (s2[1:] != s2[:-1])])
+    least = np.empty(len(ids), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(ids[order], begins), np.diff(np.r_[begins, len(ids)]))
+    return _merged(part, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32)), pa.array(least)))
+
+
+def _subtrees(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The subtrees of whole prefix groups: for every segment the smallest document that has each of its windows."""
     w = words(part.column("words"))
-    n = np.diff(w.first) - WINDOW + 1
-    seg = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n) + w.first[seg]
-    suffix = w.hash[at[:, None] + np.arange(WINDOW)]
+    head = w.first[:-1]
+    windows = np.diff(w.first) - WINDOW + 1
+    anchor_at = np.asarray(part.column("anchor_at"), dtype=np.int64)
+    ids = np.asarray(part.column("doc_id"))
+    n = len(head)
+    anchor = head + anchor_at
+    # the suffixes from the anchors, as far as a window can reach, in the order of their words
+    within = anchor[:, None] + np.arange(WINDOW) < w.first[1:][:, None]
+    suffix = np.where(within, w.hash[np.minimum(anchor[:, None] + np.arange(WINDOW), len(w.hash) - 1)], np.uint64(0))
     order = np.lexsort(suffix.T[::-1])
     suffix = suffix[order]
-    common = np.logical_and.accumulate(suffix[1:] == suffix[:-1], axis=1).sum(axis=1)  # words that neighbours share
-    begins = np.flatnonzero(np.r_[True, common < WINDOW])
-    ids = np.asarray(part.column("doc_id"))[seg]
-    least = np.minimum.reduceat(ids[order], begins)
-    out = np.empty(len(seg), np.int64)
-    out[order] = np.repeat(least, np.diff(np.r_[begins, len(seg)]))
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(out))
-    pairs = np.stack([np.asarray(part.column("s1")), np.asarray(part.column("s2"))])
-    once = np.unique(pairs, axis=1, return_index=True)[1]  # other tasks sent the same segment
-    return pa.RecordBatch.from_arrays([part.column("s1"), part.column("s2"), lists], ["s1", "s2", "least"]).take(pa.array(once))
+    common = np.r_[0, np.logical_and.accumulate(suffix[1:] == suffix[:-1], axis=1).sum(axis=1)]
+    left = np.zeros(n, np.uint64)  # hash of the j words left of the anchor
+    least = np.full((n, WINDOW - ANCHOR + 1), np.iinfo(np.int64).max)
+    for j in range(WINDOW - ANCHOR + 1):
+        node = np.empty(n, np.int64)
+        node[order] = np.cumsum(common < WINDOW - j)  # the node of depth WINDOW - j above each suffix
+        has = np.flatnonzero((anchor_at >= j) & (anchor_at - j < windows))
+        if len(has):
+            by = has[np.lexsort((left[has], node[has]))]
+            begins = np.flatnonzero(np.r_[True, (node[by][1:] != node[by][:-1]) | (left[by][1:] != left[by][:-1])])
+            least[by, j] = np.repeat(np.minimum.reduceat(ids[by], begins), np.diff(np.r_[begins, len(by)]))
+        more = np.flatnonzero(anchor_at > j)
+        left[more] = mix(left[more] * np.uint64(0xA0761D6478BD642F) + w.hash[anchor[more] - 1 - j])
+    seg = np.repeat(np.arange(n), windows)
+    i = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(windows)].astype(np.int32)), pa.array(least[seg, anchor_at[seg] - i]))
+    return _merged(part, lists)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +209,11 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while done < stop:
             to = min(stop, done + CHUNK)
             to = max(to, int(np.searchsorted(prefix[:stop], prefix[to - 1], side="right")))
-            yield _nodes(table.slice(done, to - done).combine_chunks().to_batches()[0])
+            some = table.slice(done, to - done).combine_chunks().to_batches()[0]
+            whole = pc.is_null(some.column("words"))
+            for part, of in ((some.filter(pc.invert(whole)), _subtrees), (some.filter(whole), _leaves)):
+                if part.num_rows:
+                    yield of(part)
             done = to
 
     held = 0
@@ -224,33 +266,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = docs.where("doc_id is not null")
 
+    # a document equal to an earlier one repeats it whole
     ids = cut(keyed.select("doc_id", F.unhex(F.md5("text")).alias("md5"), F.hash("text").alias("text_hash")))
-    same = ids.groupBy("md5").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = cut(ids.join(same, "md5").where("doc_id > least").select("doc_id", "text_hash").distinct())
-
-    places = "doc_id long, anchor long"
-    sample = keyed.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SHARE)) == 0)
-    often = sample.mapInArrow(_anchors, places).groupBy("anchor").count().where(F.col("count") >= HOT_SEEN)
-    hot = np.sort(np.array([r.anchor for r in often.orderBy(F.desc("count"), "anchor").limit(HOT_MOST).select("anchor").collect()], np.int64).view(np.uint64))
-
-    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _anchors(batches):
-            yield batch.filter(pa.array(~np.isin(np.asarray(batch.column("anchor")).view(np.uint64), hot)))
+    same = cut(ids.groupBy("md5").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("md5", "least", "n"))
+    copies = cut(join_split(ids, same, ["md5"]).where("doc_id > least").select("doc_id", "text_hash").distinct())
 
-    found = keyed.mapInArrow(cold if len(hot) else _anchors, places)
-    shared = found.selectExpr("doc_id", "anchor", "min(doc_id) over (partition by anchor) as a", "max(doc_id) over (partition by anchor) as b").where("a < b")
-    wanted = cut(shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
+    pairs = cut(keyed.mapInArrow(_anchors, "doc_id long, anchor long"))
+    counts = pairs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
+    counts = cut(counts.select("anchor", (F.col("n") > HOT_ROWS).alias("whole"), "n"))
+    wanted = join_split(pairs, counts, ["anchor"]).groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "whole")).alias("anchors"))
+    wanted = cut(wanted.select("doc_id", F.col("anchors.anchor").alias("anchors"), F.col("anchors.whole").alias("whole")))
+    drop_cut(pairs)
 
     few = copies.select(F.col("doc_id"), F.col("text_hash").alias("copy_hash")).groupBy("doc_id").agg(F.collect_set("copy_hash").alias("copy_hashes"))
-    texts = keyed.join(wanted, "doc_id", "left").join(few, "doc_id", "left").withColumn("text_hash", F.hash("text"))
-    texts = texts.where("copy_hashes is null or not array_contains(copy_hashes, text_hash)").select("doc_id", "text", "text_hash", F.coalesce("anchors", F.array().cast("array<long>")).alias("anchors"))
-    if not len(hot):
-        texts = texts.where("size(anchors) > 0")
-    segments = texts.mapInArrow(_emit_texts(hot), "prefix long, s1 long, s2 long, doc_id long, words string")
-    trees = segments.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees, "s1 long, s2 long, least array<long>")
-    trees = cut(trees)
-    at = texts.mapInArrow(_emit_places(hot), "doc_id long, text_hash int, at int, s1 long, s2 long")
-    later = at.join(trees, ["s1", "s2"]).select("doc_id", "text_hash", F.expr("filter(transform(least, (x, i) -> if(x < doc_id, at + i, null)), x -> x is not null)").alias("starts")).where("size(starts) > 0")
+    texts = keyed.join(wanted, "doc_id").join(few, "doc_id", "left").withColumn("text_hash", F.hash("text"))
+    texts = texts.where("copy_hashes is null or not array_contains(copy_hashes, text_hash)").select("doc_id", "text", "text_hash", "anchors", "whole")
+    suffixes = texts.mapInArrow(_emit_suffixes, "prefix long, s1 long, s2 long, doc_id long, n long, anchor_at int, words string")
+    trees = cut(suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees, "s1 long, s2 long, least array<long>, n long"))
+    at = texts.mapInArrow(_emit_places, "doc_id long, text_hash int, at int, s1 long, s2 long")
+    later = join_split(at, trees, ["s1", "s2"]).select("doc_id", "text_hash", F.expr("filter(transform(least, (x, i) -> if(x < doc_id, at + i, null)), x -> x is not null)").alias("starts")).where("size(starts) > 0")
     covered = later.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     gone = covered.select("doc_id", F.struct("text_hash", "starts", F.lit(False).alias("copy")).alias("x")).union(copies.select("doc_id", F.struct("text_hash", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))))
     gone = cut(gone.groupBy("doc_id").agg(F.collect_list("x").alias("xs")))
