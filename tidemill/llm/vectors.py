@@ -1,10 +1,11 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Vectors of one label are dealt to the two nearest of some centroids, so the shards overlap. On each shard a graph is
-built with robust pruning; the adjacency lists of a vector's shards are united; every vector then searches its shards
-greedily from medoids and expands every hit within range. What the search finds is verified in double precision.
-Equal vectors are searched once. A shard over MAX_SHARD rows is cut in blocks: a graph for each block, and every block
-of queries searches every block, so no group is larger than two blocks.
+Vectors of one label are dealt to the two nearest of some centroids, so the shards overlap. A shard that is large because the
+table is, not because its vectors are alike, is dealt again by centroids of its own. On each shard a graph is built with robust
+pruning; the adjacency lists of a vector's shards are united; every vector then searches its shards greedily from medoids and
+expands every hit within range. What the search finds is verified in double precision. Equal vectors are searched once. A dense
+shard over MAX_SHARD rows is cut in blocks: a graph for each block, and every block of queries searches every block, so no group is
+larger than two blocks and no link of it is lost.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut
+from .shared import components, cut, join_split
 
 THRESHOLD = 0.98
-#: Vectors that centroids are fitted on at most; aimed and largest rows of a shard; candidates, degree, slack of pruning; beam of the search; medoids.
+#: Vectors that a set of centroids is fitted on at most (of the table, then of each large shard); aimed and largest rows of a shard.
 SAMPLE, SHARD, MAX_SHARD = 20_000, 400, 2048
+#: A large shard whose rows have this cosine with their centroids on average is dense: it is cut in blocks, not dealt again.
+DENSE = 0.9
+#: Rows of a task that deals a shard again; candidates, degree, slack of pruning; beam of the search; medoids.
+DEALT = 50_000
 CANDIDATES, DEGREE, SLACK, BEAM, MEDOIDS = 40, 16, 1.2, 24, 8
 
 
@@ -32,18 +37,60 @@ def _centroids(sample: pd.DataFrame, share: float) -> dict:
     out = {}
     for key, g in sample.groupby(["label", "size"]):
         x = _unit(g["v"])
-        k = int(min(max(1, round(len(x) / share / SHARD)), max(1, len(x) // 8)))
-        c = x[np.linspace(0, len(x) - 1, k).astype(int)]
-        for _ in range(6):
-            near = (x @ c.T).argmax(1)
-            total = np.zeros_like(c)
-            np.add.at(total, near, x)
-            norm = np.linalg.norm(total, axis=1, keepdims=True)
-            c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c)
-        out[key] = c.astype(np.float32)
+        out[key] = _spherical_means(x, round(len(x) / share / SHARD))
     return out
 
 
+def _spherical_means(x: np.ndarray, k: int) -> np.ndarray:
+    k = int(min(max(1, k), max(1, len(x) // 8)))
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)]
+    for _ in range(6):
+        near = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c)
+    return c.astype(np.float32)
+
+
+KEY = ["label", "size", "shard"]
+_DEALT = "label string, size int, shard long, rep long, m long, v array<double>"
+
+
+def _deal_again(shards: DataFrame) -> DataFrame:
+    """``shards`` with rows of large, loose shards dealt to the two nearest of centroids fitted on a sample of that shard; ids stay apart."""
+    sized = cut(shards.groupBy(*KEY).agg(F.count("*").alias("rows")).where(F.col("rows") > MAX_SHARD))
+    if not sized.count():
+        return shards
+
+    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(g["v"])
+        c = _spherical_means(x, round(int(g["rows"].iloc[0]) / SHARD))
+        if len(c) < 2 or float((x @ c.T).max(1).mean()) >= DENSE:
+            c = c[:0]
+        return pd.DataFrame({"label": key[0], "size": key[1], "shard": key[2], "c": pd.Series(list(c), dtype=object)})
+
+    large = shards.join(sized, KEY)
+    some = large.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < (1 << 20) * float(SAMPLE) / F.col("rows"))
+    centroids = cut(some.groupBy(*KEY).applyInPandas(fit, "label string, size int, shard long, c array<float>"))
+    split = centroids.select(*KEY).distinct().join(sized, KEY)
+    parts = split.withColumn("parts", F.ceil(F.col("rows") / DEALT).cast("int")).select(*KEY, "parts")
+
+    def deal(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return rows.drop(columns="part")
+        two = np.argsort(-(_unit(rows["v"]) @ np.stack(own["c"]).T), axis=1)[:, :2]
+        both = pd.concat([rows, rows])
+        both["shard"] = both["shard"] * (SAMPLE + 1) + 1 + two.T.ravel()
+        return both[["label", "size", "shard", "rep", "m", "v"]]
+
+    rows = shards.join(parts, KEY).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
+    sent = centroids.join(parts, KEY).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    again = rows.groupBy(*KEY, "part").cogroup(sent.groupBy(*KEY, "part")).applyInPandas(deal, _DEALT)
+    rest = shards.join(split.select(*KEY), KEY, "left_anti").withColumn("shard", F.col("shard") * (SAMPLE + 1))
+    return rest.select("label", "size", "shard", "rep", "m", "v").union(again)
+
+
 def _graph(x: np.ndarray) -> list[np.ndarray]:
     """Adjacency lists of a shard: near and random candidates, robustly pruned, with the edges back."""
     n = len(x)
@@ -154,11 +201,14 @@ def _search(g: pd.DataFrame) -> pd.DataFrame:
     ids_q, ids_m = query["rep"].to_numpy(), member["rep"].to_numpy()
     ok &= ids_q[row] != ids_m[col]
     row, col = row[ok], col[ok]
-    # a pair that shares two shards counts in the smaller
-    shard = int(g["shard"].iloc[0])
-    other = lambda f: np.where(f["c1"].to_numpy() == shard, f["c2"].to_numpy(), f["c1"].to_numpy())
-    oq, om = other(query)[row], other(member)[col]
-    here = (oq != om) | (oq < 0) | (shard < oq)  # below 0: no second shard
+    # a pair that shares several shards counts in the smallest
+    shard, width = int(g["shard"].iloc[0]), max(map(len, g["homes"]))
+    homes = lambda f, none: np.array([[*h, *[none] * (width - len(h))] for h in f["homes"]], np.int64)
+    hq, hm = homes(query, -1), homes(member, -2)
+    here = np.ones(len(row), bool)
+    for s in range(0, len(row), 50_000):
+        x, y = hq[row[s : s + 50_000]], hm[col[s : s + 50_000]]
+        here[s : s + 50_000] = np.where((x[:, :, None] == y[:, None, :]).any(2), x, np.iinfo(np.int64).max).min(1) == shard
     links = np.bincount(row[here], member["m"].to_numpy()[col[here]], len(query)).astype(np.int64)
     root_q, root_m = ids_q.copy(), ids_m.copy()
     while True:
@@ -179,8 +229,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     their own and link to each other. The search is approximate, the links are exact; :func:`audit` measures recall.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    good = rows.where("vec_id is not null and label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
+    usable = "vec_id is not null and label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label")).withColumn("usable", F.coalesce(F.expr(usable), F.lit(False)))
+    good = rows.where("usable")
     reps = cut(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))).withColumn("size", F.size("v"))
     n = reps.count()
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("label", "size", "v").toPandas()
@@ -190,38 +241,35 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         for f in frames:
             for (label, size), g in f.groupby(["label", "size"]):
                 c = centroids.value.get((label, size))
-                g = g.copy()
-                if c is None or len(c) == 1:
-                    g["c1"], g["c2"] = 0, -1
-                else:
-                    two = np.argsort(-(_unit(g["v"]) @ c.T), axis=1)[:, :2]
-                    g["c1"], g["c2"] = two[:, 0], two[:, 1]
-                yield g[["label", "size", "rep", "m", "v", "c1", "c2"]]
-
-    dealt = reps.select("label", "size", "rep", "m", "v").mapInPandas(deal, "label string, size int, rep long, m long, v array<double>, c1 int, c2 int")
-    shards = dealt.withColumn("shard", F.explode(F.expr("filter(array(c1, c2), c -> c >= 0)")))
-    shards = cut(shards)
-    key = ["label", "size", "shard"]
-    blocks = shards.groupBy(*key).agg(F.ceil(F.count("*") / MAX_SHARD).cast("int").alias("blocks"))
-    shards = shards.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    graph = shards.select(*key, "block", "rep", "v").groupBy(*key, "block").applyInPandas(_build, "rep long, near array<long>")
+                two = np.zeros((len(g), 1), np.int64) if c is None or len(c) == 1 else np.argsort(-(_unit(g["v"]) @ c.T), axis=1)[:, :2]
+                yield pd.concat([g.assign(shard=two[:, i]) for i in range(two.shape[1])])[["label", "size", "shard", "rep", "m", "v"]]
+
+    shards = cut(reps.select("label", "size", "rep", "m", "v").mapInPandas(deal, _DEALT))
+    shards = _deal_again(shards)
+    homes = shards.groupBy("rep").agg(F.array_sort(F.collect_set("shard")).alias("homes"))
+    blocks = shards.groupBy(*KEY).agg(F.ceil(F.count("*") / MAX_SHARD).cast("int").alias("blocks"))
+    shards = shards.join(blocks, KEY).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    graph = shards.select(*KEY, "block", "rep", "v").groupBy(*KEY, "block").applyInPandas(_build, "rep long, near array<long>")
     united = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    known = shards.join(united, "rep")
+    known = shards.join(united.join(homes, "rep"), "rep")
     both = F.expr("transform(sequence(0, blocks - 1), i -> struct(block as mb, i as qb, true as member, block = i as query))"), F.expr("filter(transform(sequence(0, blocks - 1), i -> struct(i as mb, block as qb, false as member, true as query)), s -> s.mb <> s.qb)")
-    sent = known.withColumn("x", F.explode(F.concat(*both))).select(*key, "rep", "m", "v", "c1", "c2", "near", "x.*")
-    found = cut(sent.groupBy(*key, "mb", "qb").applyInPandas(_search, "rep long, links long, root long"))
+    sent = known.withColumn("x", F.explode(F.concat(*both))).select(*KEY, "rep", "m", "v", "homes", "near", "x.*")
+    found = cut(sent.groupBy(*KEY, "mb", "qb").applyInPandas(_search, "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.where("rep <> root").select("rep", "root"), "rep", "root")
-    of_rep = reps.join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("label", "v", F.col("rep").alias("r"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    named = rows.alias("a").join(of_rep.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.v") == F.col("b.v")) & F.col("a.vec_id").isNotNull(), "left")
-    out = named.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    of_rep = cut(reps.join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("label", "v", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    out = join_split(good, of_rep, ["label", "v"], "m").select("vec_id", "n_links", "component_id")
+    out = out.union(rows.where("not usable").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def audit(vectors: DataFrame, found: DataFrame, every: int = 100) -> float:
-    """Share of the links of rows whose id is divisible by ``every`` that the search found, against brute force over all rows."""
+def audit(vectors: DataFrame, found: DataFrame, every: int = 100, most: int = 2000) -> float:
+    """Share of the links of some rows that the search found, against brute force over all rows.
+
+    Those rows are the ones whose id is divisible by ``every``; of more than ``most``, as many with the least hash of the id.
+    """
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label").where("label is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
-    queries = v.where(F.col("vec_id") % every == 0).toPandas()
+    queries = v.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()
     sent = v.sparkSession.sparkContext.broadcast((queries["vec_id"].to_numpy(), np.asarray(list(queries["v"])), queries["label"].to_numpy()))
 
     def count(frames):
