@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free_name
 
 WINDOW = 3
 
@@ -36,16 +36,17 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_lines_removed")]
     starts = repeated_starts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    found = starts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("starts").alias("__starts")).hint("shuffle_hash")  # a row a document: texts need no sort
+    i, h, at, ls, kept = (free_name(c, docs) for c in ("__id", "__hash", "__starts", "__lines", "__kept"))
+    found = starts.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("starts").alias(at)).hint("shuffle_hash")  # a row a document: texts need no sort
     plain = docs.select(*names)
-    joined = plain.join(found, (plain[id_col].cast("long") == F.col("__id")) & (F.xxhash64(plain[text_col].cast("string")) == F.col("__hash")), "left")
-    lines = joined.withColumn("__l", F.split(F.col(text_col).cast("string"), "\n", -1))
+    joined = plain.join(found, (plain[id_col].cast("long") == F.col(i)) & (F.xxhash64(plain[text_col].cast("string")) == F.col(h)), "left")
+    lines = joined.withColumn(ls, F.split(F.col(text_col).cast("string"), "\n", -1))
     # what lies between merged windows: from each window's end to the next window's start
-    gaps = f"""filter(zip_with(concat(array(0), transform(__starts, s -> s + {WINDOW})), concat(__starts, array(size(__l))), (a, b) -> struct(a as a, b as b)), g -> g.b > g.a)"""
-    kept = lines.withColumn("__kept", F.when(F.col("__starts").isNotNull(), F.expr(f"flatten(transform({gaps}, g -> slice(__l, g.a + 1, g.b - g.a)))")))
-    text = F.when(F.col("__starts").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", "__kept"))
-    return kept.select(
+    gaps = f"""filter(zip_with(concat(array(0), transform({at}, s -> s + {WINDOW})), concat({at}, array(size({ls}))), (a, b) -> struct(a as a, b as b)), g -> g.b > g.a)"""
+    left = lines.withColumn(kept, F.when(F.col(at).isNotNull(), F.expr(f"flatten(transform({gaps}, g -> slice({ls}, g.a + 1, g.b - g.a)))")))
+    text = F.when(F.col(at).isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", kept))
+    return left.select(
         *(text.alias(c) if c == text_col else F.col(c) for c in names),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__l")).alias("n_lines"),
-        F.when(F.col("__starts").isNull(), 0).otherwise(F.size("__l") - F.size("__kept")).alias("n_lines_removed"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(ls)).alias("n_lines"),
+        F.when(F.col(at).isNull(), 0).otherwise(F.size(ls) - F.size(kept)).alias("n_lines_removed"),
     )
