@@ -26,11 +26,19 @@ _ESCAPE = "(" + "|".join(re.escape(c) for c in CONTROLS) + ")"
 _TURN = re.compile(r"\[INST\] (?P<user>(?:\\[\s\S]|(?!\[/INST\])[\s\S])*?) \[/INST\]|<<SYS>>(?P<system>(?:\\[\s\S]|(?!<</SYS>>)[\s\S])*?)<</SYS>>|\[ROLE=(?P<role>(?:\\[\s\S]|[^\]\\])*?)\](?P<other>(?:\\[\s\S]|(?!\[/ROLE\])[\s\S])*?)\[/ROLE\]|(?P<assistant>(?:\\[\s\S]|(?!</s>)[\s\S])*?)</s>")
 
 
+def once(messages: DataFrame) -> DataFrame:
+    """One row a node_id, that with the least other values (in the order of the columns, null first); rows without a node_id go."""
+    rest = [c for c in messages.columns if c != "node_id"]
+    one = messages.where("node_id is not null").groupBy("node_id").agg(F.min(F.struct(*rest)).alias("one"))
+    return one.select(*(F.col("node_id") if c == "node_id" else F.col(f"one.{c}").alias(c) for c in messages.columns))
+
+
 def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """``(tree_id, leaf_id, node_id, depth)``: the messages on the ``top`` best root-to-leaf paths of each tree.
 
-    ``messages``: tree_id, node_id (unique), parent_id (null or unknown: a root) and score (null: 0). A branch's score
-    is the mean over its messages; ties go to the smaller leaf. Messages on a cycle have no root and are left out.
+    ``messages``: tree_id, node_id, parent_id (null or unknown: a root) and score (null: 0). A branch's score
+    is the mean over its messages; ties go to the smaller leaf. Messages on a cycle have no root and are left out, and so are
+    those without a node_id; rows that repeat one should be made one by :func:`once` before.
     """
     nodes = messages.select("tree_id", F.col("node_id").alias("node"), F.col("parent_id").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"))
     ids = nodes.select(F.col("node").alias("known"))
@@ -71,10 +79,11 @@ def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("[ROLE="), named, F.lit("]"), text, F.lit("[/ROLE]")))
     )
     one = messages.select("node_id", turn.alias("turn"), (role == "assistant").alias("loss"))
-    each = chosen.join(one, "node_id").groupBy("tree_id", "leaf_id").agg(F.array_sort(F.collect_list(F.struct("depth", "turn", "loss"))).alias("t"))
-    spans = F.expr("""aggregate(t, struct(0 as at, cast(array() as array<struct<a: int, b: int>>) as spans),
-        (x, t) -> struct(x.at + char_length(t.turn) as at, if(t.loss, concat(x.spans, array(struct(x.at as a, x.at + char_length(t.turn) - 4 as b))), x.spans) as spans), x -> x.spans)""")
-    return each.select("tree_id", "leaf_id", F.concat_ws("", F.expr("transform(t, x -> x.turn)")).alias("formatted"), spans.alias("loss_spans"))
+    upto = F.sum(F.char_length("turn")).over(Window.partitionBy("tree_id", "leaf_id").orderBy("depth"))
+    each = chosen.join(one, "node_id").withColumn("b", upto).withColumn("a", F.col("b") - F.char_length("turn"))
+    whole = each.groupBy("tree_id", "leaf_id").agg(F.array_sort(F.collect_list(F.struct("depth", "turn", "loss", "a", "b"))).alias("t"))
+    spans = F.expr("transform(filter(t, x -> x.loss), x -> struct(int(x.a) as a, int(x.b - 4) as b))")
+    return whole.select("tree_id", "leaf_id", F.concat_ws("", F.expr("transform(t, x -> x.turn)")).alias("formatted"), spans.alias("loss_spans"))
 
 
 def unescape(text: str) -> str:
