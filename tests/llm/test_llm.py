@@ -10,8 +10,9 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tidemill.llm import chat, contamination, jaccard, lines, lm, pieces, quality, simhash, substrings, toxicity, vectors
+from tidemill.llm import chat, contamination, jaccard, lines, lm, pieces, quality, shared, simhash, substrings, toxicity, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, starts int, anchors string"
@@ -67,10 +68,9 @@ def test_lm_is_normalised():
     assert abs(p.sum() - 1) < 1e-3
 
 
-def test_line_dedup(docs):
-    rows = sorted({(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.text is not None})
+def brute_lines(rows):
     seen, want = set(), {}
-    for i, t in rows:
+    for i, t in sorted(rows):
         ls = t.split("\n")
         gone = [False] * len(ls)
         for p in range(len(ls) - 2):
@@ -79,6 +79,11 @@ def test_line_dedup(docs):
                 gone[p : p + 3] = [True] * 3
             seen.add(k)
         want[i] = "\n".join(x for x, g in zip(ls, gone, strict=True) if not g)
+    return want
+
+
+def test_line_dedup(docs):
+    want = brute_lines({(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.text is not None})
     got = lines.remove_repeated_lines(docs)
     assert set(docs.columns) < set(got.columns) and got.count() == docs.count()
     assert all(want[r.doc_id] == r.text for r in got.collect() if r.doc_id is not None and r.text is not None)
@@ -101,7 +106,7 @@ def test_pieces(spark, docs):
     names = pieces.read_model(pieces.MODEL)[0]
     for w in ("▁hello", "▁nation", "▁übermäßig", "thorndwh"):
         assert abs(sum(scores[names[i]] for i in np.frombuffer(table.encode_words([w])[w], np.int32)) - best(w)) < 1e-6
-    texts = ["", " ", "  a\t\n b  ", "▁ literal ▁", "日本 😀 é", "x" * 5000]
+    texts = ["", " ", "  a\t\n b  ", "▁ literal ▁", "日本 😀 é", "x" * 5000, "\ue000\ue001 ▁\ue000\ue001▁", "\uffff\x00 a"]
     cache = {}
     assert [table.decode(i.tolist()) for i in table.encode(texts, cache)] == texts
     assert pieces.encoded_documents(docs).where("not round_trip").count() == 0
@@ -129,36 +134,42 @@ def test_simhash(docs):
     assert all(got[i].component_id == root(i) for i in fps)
 
 
-def test_near_copies_at_similarity_0_8_go(spark):
-    rng = np.random.default_rng(8)
-    texts = ["", None, "One", "one", "One two", " ".join(rng.choice([f"w{i}" for i in range(90)], 120))]
-    for size in (30, 90, 300):
-        for _ in range(6):
-            base = [f"v{i}" for i in rng.integers(0, 4000, size)]
-            texts.append(" ".join(base))
-            for edits in (1, 2, 3, 5, 6):
-                w = list(base)
-                for e in range(1 + edits * size // 300):
-                    w[rng.integers(size)] = f"e{e}"
-                texts.append(" ".join(w))
+def brute_first(texts):
+    """The smallest id of each group of texts linked at Jaccard similarity 0.8 or more of five-word shingles."""
 
     def shingles(t):
         w = WORD.findall(lower(t))
         return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1 if w else 0)))
 
-    sets = [shingles(t) for t in texts]
-    parent = list(range(len(texts)))
+    sets = {i: shingles(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for a, b in itertools.combinations(range(len(texts)), 2):
+    for a, b in itertools.combinations(sorted(texts), 2):
         if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root(a) != root(b):
             parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i for i in texts if root(i) == i}
+
+
+def test_near_copies_at_similarity_0_8_go(spark):
+    rng = np.random.default_rng(8)
+    texts = ["", None, "One", "one", "One two", " ".join(rng.choice([f"w{i}" for i in range(90)], 120))]
+    for size in (30, 90, 300):
+        for _ in range(6):
+            base = [f"v{i}" for i in rng.integers(0, 4000, size)]
+            texts.append(" ".join(base))
+            for edits in (1, 2, 3, 5, 6):
+                w = list(base)
+                for e in range(1 + edits * size // 300):
+                    w[rng.integers(size)] = f"e{e}"
+                texts.append(" ".join(w))
+
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id for r in jaccard.keep_first(df).collect()} == {i for i in range(len(texts)) if root(i) == i}
+    assert {r.doc_id for r in jaccard.keep_first(df).collect()} == brute_first(dict(enumerate(texts)))
 
 
 def test_close_fingerprints_link(spark):
@@ -243,3 +254,238 @@ def test_branches(spark):
     m = spark.createDataFrame([("t", "a", None, 0.0), ("t", "b", "a", 1.0), ("t", "c", "a", 3.0), ("t", "d", "c", 0.0), ("t", "x", "y", 1.0), ("t", "y", "x", 1.0)], "tree_id string, node_id string, parent_id string, score double")
     assert [r.node_id for r in chat.paths(m).orderBy("depth").collect()] == ["a", "c", "d"]
     assert {r.leaf_id for r in chat.paths(m, 2).collect()} == {"b", "d"}
+
+
+def test_frequent_anchors_are_split(docs, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_ROWS", 1)
+    monkeypatch.setattr(shared, "HOT_ROWS", 1)
+    test_substrings(docs)
+
+
+def test_crowded_buckets_are_split(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 1)
+    test_simhash(docs)
+
+
+def test_close_fingerprints_of_crowded_buckets_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 3)
+    rng = np.random.default_rng(6)
+    fps = {int(x) for x in rng.integers(0, 1 << 62, 30)}
+    for x in sorted(fps)[:10]:  # a third of the fingerprints share a segment
+        fps |= {x ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (12, 2))}
+    fps = {x & ~0xFFFFFFFF | 77 if i % 3 == 0 else x for i, x in enumerate(sorted(fps))}
+    rows = [(x, i) for i, x in enumerate(sorted(fps))]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (x, i), (y, j) in itertools.combinations(rows, 2):
+        if (x ^ y).bit_count() <= 2 and root(i) != root(j):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    found = {r.node: r.component for r in simhash.components(simhash.links(spark.createDataFrame(rows, "fp long, first long")), "a", "b").collect()}
+    assert [found.get(i, i) for i in range(len(rows))] == [root(i) for i in range(len(rows))]
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    rows = spark.createDataFrame([(i, 0 if i % 2 else i) for i in range(40)] + [(99, None)], "i long, k long")
+    for keys in (1_000_000, 0):
+        monkeypatch.setattr(shared, "HOT_KEYS", keys)
+        keyed = shared.cut(rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("m")))
+        got = {(r.i, r.k, r.m) for r in shared.join_split(rows, keyed, ["k"]).collect()}
+        assert got == {(i, 0 if i % 2 else i, 39 if i % 2 or not i else i) for i in range(40)}
+        shared.drop_cut(keyed)
+
+
+def clustered(spark, rng, groups, size, spread):
+    """Groups of vectors around random directions, in two labels; returns the table and its pairs at 0.98."""
+    base = rng.normal(size=(groups, 24))
+    x = np.repeat(base, size, 0) + spread * rng.normal(size=(groups * size, 24))
+    label = np.repeat(np.arange(groups) % 2, size)
+    n = np.linalg.norm(x, axis=1)
+    links = ((x @ x.T) / n[:, None] / n >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(links, False)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    return df, links.sum(1)
+
+
+@pytest.mark.parametrize("case", ["shards", "blocks", "dealt again"])
+def test_vector_recall(spark, monkeypatch, case):
+    rng = np.random.default_rng(12)
+    df, want = clustered(spark, rng, *((200, 6, 0.07) if case != "blocks" else (2, 500, 0.07)))
+    if case == "shards":
+        monkeypatch.setattr(vectors, "SHARD", 60)
+    elif case == "blocks":
+        monkeypatch.setattr(vectors, "MAX_SHARD", 200)
+    else:
+        monkeypatch.setattr(vectors, "SHARD", 40)
+        monkeypatch.setattr(vectors, "MAX_SHARD", 90)
+        monkeypatch.setattr(vectors, "SAMPLE", 150)  # so few first centroids that their shards are too large
+    got = vectors.near_duplicates(df)
+    found = {r.vec_id: r.n_links for r in got.collect()}
+    assert all(found[i] <= want[i] for i in range(len(want)))
+    assert sum(found.values()) >= 0.9 * want.sum() and want.sum() > 1000
+    assert vectors.audit(df, got, 7) >= 0.9
+
+
+def test_contamination_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", 0)
+    test_contamination(spark)
+
+
+def test_repeated_rows_and_long_texts_of_decontamination(spark):
+    item = " ".join(f"i{k}" for k in range(40))
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    docs = spark.createDataFrame([(1, item), (1, item), (2, f"{long} {item} {long}"), (3, long), (4, " ".join(f"i{k}" for k in range(34)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in contamination.contained_items(docs, bench).collect()}
+    assert got == {(1, 7, 36, 36), (2, 7, 36, 36), (4, 7, 36, 30)}
+    assert [r.doc_id for r in contamination.drop_contaminated(docs, bench).collect()] == [3]
+
+
+def test_clashing_columns(spark):
+    names = "__id __hash __starts __lines __kept __drop __bad __metas __text __asked h s w key n".split()
+    rows = [(i, "a b c d e f\nx\ny" if i < 3 else f"t{i} u v w x y z", "en", "s", 9, *[i] * len(names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    bench = spark.createDataFrame([(1, "t5 u v w x y z")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in contamination.drop_contaminated(docs, bench).collect()} == {0, 1, 2, 3, 4, 6, 7}
+    assert {r.doc_id for r in jaccard.keep_first(docs).collect()} == {0, 3, 4, 5, 6, 7}
+    kept = lines.remove_repeated_lines(docs)
+    assert [c for c in kept.columns if c not in docs.columns] == ["n_lines", "n_lines_removed"]
+    assert all(r["__starts"] == r["__lines"] == r.doc_id and (r.text == "") == (r.doc_id in (1, 2)) for r in kept.collect())
+    assert quality.keep_good(docs, labels).columns == docs.columns and quality.score(docs, labels).count() == 8
+    assert substrings.remove_repeats(docs).count() == simhash.simhash_components(docs).count() == 8
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 50, 8)), int(rng.random() < 0.4)) for _ in range(80)]
+    z, n, bz, bn = collections.Counter(), collections.Counter(), 0.0, 0.0
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, 0.3, toxicity.L2
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+
+    for _ in range(toxicity.EPOCHS):
+        for f, y in rows:
+            w = {int(i): weight(int(i)) for i in f}
+            wb = -bz / ((b + math.sqrt(bn)) / a)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + wb))) - y
+            for i, old in w.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a * old
+                n[i] += g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / a * wb
+            bn += g * g
+    got, bias = toxicity.ftrl([(f.astype(np.int32), y) for f, y in rows], l1)
+    assert np.allclose(got[:50], [weight(i) for i in range(50)]) and abs(bias + bz / ((b + math.sqrt(bn)) / a)) < 1e-9 and (got[:50] == 0).any()
+
+
+def test_co_training_against_one_machine(spark):
+    """The whole pool is judged each round: the distributed choice equals a plain sort over all documents."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(900):
+        junk = i % 3 == 0
+        t = " ".join(f"{x.upper()}#{i % 7}!" if junk else x for x in rng.choice([f"word{k}" for k in range(200)], 30))
+        rows.append((i, t, "en" if i % 5 else None, f"s{i % 4 if junk else i % 9}", len(t) if i % 11 else None))
+    rows.append((None, None, None, None, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = [(i, int(i % 3 != 0)) for i in range(0, 900, 7)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    packed = {r.doc_id: bytes(r.x) for r in quality.features(docs).collect()}
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    known = {i for i, _ in marks}
+
+    def confident(models):
+        ids = [i for i in packed if i is not None and i not in known]
+        views, out = quality._unpacked([packed[i] for i in ids]), []
+        for k in (0, 1):
+            p = np.round(1 / (1 + np.exp(-quality._logit(views[k], models[k]))), 6)
+            for label in (0, 1):
+                far = np.round(1 - p, 6) if label else p
+                top = sorted((j for j in range(len(ids)) if far[j] <= 1 - quality.SURE), key=lambda j: (far[j], hashes[ids[j]], ids[j]))[: quality.ADDED]
+                if top:
+                    out.append((k, label, sorted(ids[j] for j in top)))
+        known.update(i for _, _, some in out for i in some)
+        return [(k, label, *quality._unpacked([packed[i] for i in some])) for k, label, some in out]
+
+    model = quality.co_train(*quality._unpacked([packed[i] for i, _ in marks]), np.array([y for _, y in marks]), confident)
+    ids = list(packed)
+    want = dict(zip(ids, quality._combined(model, *quality._unpacked([packed[i] for i in ids]))[2], strict=True))
+    got = {r.doc_id: r.score for r in quality.score(docs, labels).collect()}
+    assert len(known) > len(marks) + 100 and set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {i for i in got if got[i] >= quality.REJECT_BELOW}
+
+
+def test_repeated_rows_of_the_classifiers(spark):
+    rows = [(i, "good words here" if i % 2 else "BAD!!! ###", None, None, None) for i in range(60)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    assert quality.score(docs, labels).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("d")).where("n <> 2 or d <> 1").count() == 0
+    assert toxicity.score(docs, labels).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("d")).where("n <> 2 or d <> 1").count() == 0
+
+
+def test_branches_of_equal_score_and_repeated_nodes(spark):
+    rows = [("t", "a", None, 1.0), ("t", "c", "a", 1.0), ("t", "b", "a", 1.0), ("t", "b", "a", 1.0), ("t", "b", "a", 5.0), ("t", None, "a", 9.0)]
+    m = chat.once(spark.createDataFrame(rows, "tree_id string, node_id string, parent_id string, score double"))
+    assert m.count() == 3 and {r.leaf_id for r in chat.paths(m).collect()} == {"b"}
+
+
+def test_long_conversations_and_repeated_turns(spark):
+    rows = [(5, i, "assistant" if i % 2 else "user", f"x{i} \\</s>" * 3) for i in range(600)] + [(6, 0, "user", "a")] * 2 + [(6, None, "assistant", "b" * 100_000)]
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    said = "".join(r[3] for r in rows if r[0] == 5 and r[2] == "assistant")
+    assert (got[5].n_turns, got[5].loss_chars, got[5].loss_sha256) == (600, len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert (got[6].n_turns, got[6].loss_chars) == (3, 100_000)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    vocabulary = [f"word{k}" for k in range(400)]
+    item = "the planted benchmark question asks how many rivers cross the old town today"
+    texts = {}
+    for i in range(240):
+        ls = ["\n".join([" ".join(rng.choice(vocabulary, 8)) for _ in range(5)])]
+        texts[i] = "".join(ls)
+    for i in range(200, 215):
+        texts[i] = texts[i - 200] if i % 2 else texts[i - 200] + " tail"
+    for i in range(215, 222):
+        texts[i] = "\n".join([*texts[i - 150].split("\n")[:3], *texts[i].split("\n")])
+    for i in range(222, 228):
+        texts[i] = texts[i].replace("\n", f" {item} ", 1)
+    texts |= {i: texts[i].upper() for i in range(0, 60, 4)}
+    texts |= {228: "", 229: None}
+    rows = [(i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(not (i < 60 and i % 4 == 0)), 0) for i in range(0, 200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r.text for r in now.collect()}
+        after = shared.cut(stage(spark, now, str(tmp_path)))
+        if name == "quality classifier":
+            keep = {r.doc_id for r in quality.score(now, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect() if r.keep}
+            good = {i for i in range(240) if i not in range(0, 60, 4) and i not in (228, 229)}
+            assert len(keep & good) > 0.97 * len(good) and not keep & set(range(0, 60, 4))
+            want = {i: before[i] for i in keep}
+        elif name == "line dedup":
+            want = before | brute_lines([(i, t) for i, t in before.items() if t is not None])
+            assert want != before
+        elif name == "SimHash near-dedup":
+            want = {i: before[i] for i in brute_first(before)}
+        elif name == "benchmark decontamination":
+            want = {i: t for i, t in before.items() if item not in (t or "")}
+        if name != "SentencePiece":
+            assert {r.doc_id: r.text for r in after.collect()} == want and after.columns == now.columns
+            assert after.where("n_chars <> char_length(text)").count() == 0
+            assert len(want) < len(before) or name == "line dedup"
+        now = after
+        seen.append(name)
+    assert now.where("not round_trip").count() == 0 and {r.doc_id for r in now.collect()} == set(want)
+    assert {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_ids").collect()} == {(r.doc_id, r.n_ids) for r in now.collect()}

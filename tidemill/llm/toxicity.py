@@ -37,21 +37,21 @@ def _distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[tuple[np.ndarray, int]], l1: float = L1) -> tuple[np.ndarray, float]:
     """Weights of FTRL-proximal after EPOCHS passes over (distinct features, label) in the order given; the last is the free bias."""
     z, n, bias_z, bias_n = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
     weight = lambda z, n, l1: np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     for _ in range(EPOCHS):
         for f, label in rows:
             zf, nf = z[f], n[f]
-            w = weight(zf, nf, L1)
+            w = weight(zf, nf, l1)
             wb = -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + wb, -35, 35))) - label
             z[f] = zf + g - (np.sqrt(nf + g * g) - np.sqrt(nf)) / ALPHA * w
             n[f] = nf + g * g
             bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / ALPHA * wb
             bias_n += g * g
-    return weight(z, n, L1), float(-bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA))
+    return weight(z, n, l1), float(-bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int = 3, held_out_is: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
