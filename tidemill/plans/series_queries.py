@@ -177,10 +177,10 @@ def d_choose_k(spark, d):
     return r6(distances.accuracy_by_k(distances.knn_join(x, x, 5, "vec_id", "s", "label")))
 
 
-@query(f"""with {W64}, p as (select a.vec_id as x, b.vec_id as y, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2)))) as distance from v a, v b where a.vec_id <> b.vec_id) select x, y, round(distance, 6) as distance from p where distance <= 0.9""")
+@query(f"""with {W64}, p as (select a.vec_id as x, b.vec_id as y, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2)))) as distance from v a, v b where a.vec_id <> b.vec_id) select x, y, round(distance, 6) as distance from p where distance <= 1.15""")
 def d_radius(spark, d):
     x = vectors(spark, d)
-    return r6(distances.radius_join(x, x, "vec_id", "s", 0.9))
+    return r6(distances.radius_join(x, x, "vec_id", "s", 1.15))
 
 
 @query(f"""with {W64}, b as (select vec_id // 5 as bag, s[1:8] as s from v), p as (select a.bag as x, b.bag as y, sqrt(list_sum(list_transform(range(1, 9), lambda i: power(a.s[i] - b.s[i], 2)))) as d, a.s as sa, b.s as sb from b a join b b on a.bag < b.bag and a.bag % 10 = 0),
