@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +58,21 @@ def poisson(df: DataFrame, column: str, by: list[str] | None = None) -> DataFram
 
 def poisson_log_mass(k: Column, rate: Column) -> Column:
     return k * F.log(rate) - rate - F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+
+
+def mahalanobis(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``distance``: the squared Mahalanobis distance to the mean under the sample covariance."""
+    from .columns import gram_matrix
+
+    n, mean, g = gram_matrix(df, columns)
+    inverse = np.linalg.pinv(g / max(1, n - 1))
+    gaps = [F.col(c) - float(m) for c, m in zip(columns, mean, strict=True)]
+    terms = [gaps[i] * gaps[j] * float(inverse[i, j]) for i in range(len(columns)) for j in range(len(columns))]
+    return df.withColumn("distance", sum(terms[1:], terms[0]))
+
+
+def residual_intervals(df: DataFrame, actual: str, predicted: str, bucket: str, share: float) -> DataFrame:
+    """(bucket, low, high): offsets that hold ``share`` of the residuals of each bucket of predictions (exact quantiles of a bucket)."""
+    edge = (1 - share) / 2
+    r = df.select(bucket, (F.col(actual) - F.col(predicted)).alias("r"))
+    return r.groupBy(bucket).agg(F.percentile("r", F.lit(edge)).alias("low"), F.percentile("r", F.lit(1 - edge)).alias("high"))

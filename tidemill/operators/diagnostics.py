@@ -69,3 +69,13 @@ def goldfeld_quandt(df: DataFrame, x: str, y: str, low: float, high: float) -> D
         return [F.regr_count(a, b).alias(f"n_{name}"), ((F.regr_syy(a, b) - F.pow(F.regr_sxy(a, b), F.lit(2)) / F.regr_sxx(a, b)) / (F.regr_count(a, b) - 2)).alias(f"variance_{name}")]
 
     return df.agg(*part(F.col(x) <= low, "low"), *part(F.col(x) >= high, "high")).withColumn("f", F.col("variance_high") / F.col("variance_low"))
+
+
+def residual_tests(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(spread, anscombe): correlation of absolute residuals of a straight line with its fitted values, and Anscombe's ratio."""
+    f = df.agg(F.regr_slope(y, x).alias("__b"), F.regr_intercept(y, x).alias("__a"))
+    e = df.join(F.broadcast(f)).select((F.col("__a") + F.col("__b") * F.col(x)).alias("fitted"), (F.col(y) - F.col("__a") - F.col("__b") * F.col(x)).alias("e"))
+    gap = F.col("fitted") - F.col("__m")
+    s = e.join(F.broadcast(e.agg(F.avg("fitted").alias("__m"))))
+    square = F.col("e") * F.col("e")
+    return s.agg(F.corr(F.abs("e"), F.col("fitted")).alias("spread"), (F.sum(square * gap) / F.avg(square) / F.sum(gap * gap)).alias("anscombe"))

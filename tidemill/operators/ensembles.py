@@ -2,26 +2,69 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def module_weights(p: DataFrame, scheme: str = "accuracy", power: float = 4.0, classes: int = 2) -> DataFrame:
-    """(module, weight): equal, accuracy to a power, accuracy over chance (floor 0.01), or a share of all accuracies."""
-    acc = p.groupBy("module").agg(F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("acc"))
-    w = {"equal": F.lit(1.0), "accuracy": F.pow("acc", power), "over_chance": F.greatest(F.col("acc") - 1 / classes, F.lit(0.01)), "share": F.col("acc") / F.sum("acc").over(Window.partitionBy())}[scheme]
-    return acc.select("module", w.alias("weight"))
-
-
-def class_weights(p: DataFrame, kind: str = "recall") -> DataFrame:
-    """(module, predicted, weight): recall or precision of each class."""
-    key = "actual" if kind == "recall" else "predicted"
-    return p.groupBy("module", F.col(key).alias("predicted")).agg(F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("weight"))
+    """(module, weight) by one of: equal; accuracy to a power; share of all accuracies; accuracy over chance or over the largest class
+    (floor 0.01); balanced accuracy; one less the share of all likelihood losses; Matthews correlation moved to [0, 1] (two classes)."""
+    hit = (F.col("actual") == F.col("predicted")).cast("double")
+    every = Window.partitionBy()
+    if scheme in ("equal", "accuracy", "over_chance", "share"):
+        acc = p.groupBy("module").agg(F.avg(hit).alias("acc"))
+        w = {"equal": F.lit(1.0), "accuracy": F.pow("acc", power), "over_chance": F.greatest(F.col("acc") - 1 / classes, F.lit(0.01)), "share": F.col("acc") / F.sum("acc").over(every)}[scheme]
+        return acc.select("module", w.alias("weight"))
+    if scheme == "likelihood":
+        x = F.element_at("probs", F.col("actual").cast("int") + 1)
+        loss = p.groupBy("module").agg(F.avg(F.when(x == 0, 6.64).otherwise(-F.log2(x))).alias("nll"))
+        return loss.select("module", (1 - F.col("nll") / F.sum("nll").over(every)).alias("weight"))
+    if scheme in ("over_largest", "balanced"):
+        c = p.groupBy("module", "actual").agg(F.count("*").alias("n"), F.sum(hit).alias("hit"))
+        m = c.groupBy("module").agg((F.sum("hit") / F.sum("n")).alias("acc"), (F.max("n") / F.sum("n")).alias("largest"), F.avg(F.col("hit") / F.col("n")).alias("balanced"))
+        return m.select("module", (F.col("balanced") if scheme == "balanced" else F.greatest(F.col("acc") - F.col("largest"), F.lit(0.01))).alias("weight"))
+    if scheme != "mcc":
+        raise ValueError(f"no weighting scheme {scheme}")
+    n = lambda a, b: F.count_if((F.col("actual") == a) & (F.col("predicted") == b)).cast("double")
+    m = p.groupBy("module").agg(n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
+    root = F.sqrt(F.expr("(tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)"))
+    return m.select("module", ((F.when(root > 0, F.expr("tp * tn - fp * fn") / root).otherwise(0.0) + 1) / 2).alias("weight"))
+
+
+def class_weights(p: DataFrame, kind: str = "recall", power: float = 1.0) -> DataFrame:
+    """(module, predicted, weight) of each class: recall, precision, or the F measure to a power."""
+    hit = (F.col("actual") == F.col("predicted")).cast("double")
+    if kind in ("recall", "precision"):
+        key = "actual" if kind == "recall" else "predicted"
+        return p.groupBy("module", F.col(key).alias("predicted")).agg(F.avg(hit).alias("weight"))
+    ends = p.select("module", F.explode(F.array("actual", "predicted")).alias("class"), hit.alias("hit"))
+    c = ends.groupBy("module", F.col("class").alias("predicted")).agg(F.sum("hit").alias("tp2"), F.count("*").alias("all"))
+    return c.select("module", "predicted", F.pow(F.col("tp2") / F.col("all"), power).alias("weight"))
+
+
+def support_weights(p: DataFrame) -> DataFrame:
+    """Recall of each class over the best module's, and then over all modules' sum: (module, predicted, weight)."""
+    w, same = class_weights(p), Window.partitionBy("predicted")
+    scaled = w.withColumn("weight", F.col("weight") / F.nullif(F.max("weight").over(same), F.lit(0.0)))
+    return scaled.withColumn("weight", F.coalesce(F.col("weight") / F.sum("weight").over(same), F.lit(0.0)))
+
+
+def collective(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Distributions of whole modules weighted by training accuracy."""
+    return distribution_sum(test, module_weights(train, "accuracy", 1.0))
+
+
+def flat_collective(train: dict[str, DataFrame], test: dict[str, DataFrame]) -> DataFrame:
+    """Votes of all constituents of several ensembles in one pool, each weighted by its training accuracy."""
+    named = lambda parts: reduce(lambda a, b: a.unionByName(b), (x.withColumn("module", F.concat(F.lit(f"{k}/"), F.col("module").cast("string"))) for k, x in parts.items()))
+    return majority_vote(named(test), module_weights(named(train), "accuracy", 1.0))
 
 
 def _decide(votes: DataFrame) -> DataFrame:
     """Normalised score and the winning class of each item; ties to the smaller class."""
-    share = votes.groupBy("item", "actual").agg(F.max(F.struct("v", (-F.col("class")).alias("c"))).alias("b"), F.sum("v").alias("t"))
+    share = votes.groupBy("item", "actual").agg(F.max(F.struct(F.round("v", 12).alias("v"), (-F.col("class")).alias("c"))).alias("b"), F.sum("v").alias("t"))
     return share.select("item", "actual", (-F.col("b.c")).cast("int").alias("predicted"), F.when(F.col("t") != 0, F.col("b.v") / F.col("t")).alias("share"))
 
 
@@ -61,15 +104,15 @@ def naive_bayes_combiner(train: DataFrame, test: DataFrame, classes: int) -> Dat
     return _decide(s.select("item", "actual", "class", F.exp(F.col("l") - (F.col("k") - 1) * F.log("prior")).alias("v")))
 
 
-def select_ensemble(p: DataFrame, rounds: int = 10) -> list[str]:
+def select_ensemble(p: DataFrame, rounds: int = 10) -> list:
     """Greedy forward selection with replacement on accuracy of summed distributions; each round scores all candidates in one job."""
     names = [r["module"] for r in p.select("module").distinct().orderBy("module").collect()]
-    chosen: list[str] = []
+    kind, chosen = dict(p.dtypes)["module"], []
     cells = p.select("module", "item", "actual", F.posexplode("probs").alias("class", "prob"))
     for _ in range(rounds):
-        sets = p.sparkSession.createDataFrame([(c, m) for c in names for m in [*chosen, c]], "candidate string, module string")
+        sets = p.sparkSession.createDataFrame([(c, m) for c in names for m in [*chosen, c]], f"candidate {kind}, module {kind}")
         v = cells.join(F.broadcast(sets), "module").groupBy("candidate", "item", "actual", "class").agg(F.sum("prob").alias("v"))
-        hit = v.groupBy("candidate", "item", "actual").agg(F.max(F.struct("v", (-F.col("class")).alias("c"))).alias("b"))
+        hit = v.groupBy("candidate", "item", "actual").agg(F.max(F.struct(F.round("v", 9).alias("v"), (-F.col("class")).alias("c"))).alias("b"))
         best = hit.groupBy("candidate").agg(F.avg((-F.col("b.c") == F.col("actual")).cast("double")).alias("acc")).orderBy(F.desc("acc"), "candidate").first()
         chosen.append(best["candidate"])
     return chosen

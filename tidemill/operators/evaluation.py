@@ -83,11 +83,11 @@ def auprc(p: DataFrame, score: str = "score", positive: Column | None = None) ->
     return s.agg((F.sum(F.col("p") * (now + before) / 2) / F.sum("p")).alias("auprc"))
 
 
-def margin_curve(p: DataFrame) -> DataFrame:
-    """(margin, share): cumulative share of p(true) less the largest other probability."""
+def margin_curve(p: DataFrame, decimals: int = 12) -> DataFrame:
+    """(margin, share): cumulative share of p(true) less the largest other probability, rounded so that equal margins meet."""
     true = F.element_at("probs", F.col("actual").cast("int") + 1)
     other = F.array_max(F.filter("probs", lambda x, i: i != F.col("actual")))
-    m = running_sums(p.select((true - other).alias("margin")).groupBy("margin").agg(F.count("*").alias("n")), "margin", ["n"])
+    m = running_sums(p.select(F.round(true - other, decimals).alias("margin")).groupBy("margin").agg(F.count("*").alias("n")), "margin", ["n"])
     return m.join(F.broadcast(m.agg(F.sum("n").alias("all")))).select("margin", (F.col("n_upto") / F.col("all")).alias("share"))
 
 
@@ -143,3 +143,74 @@ def dataset_statistics(df: DataFrame, label: str, series: str) -> DataFrame:
 def prediction_rows(p: DataFrame) -> DataFrame:
     """(item, actual, predicted, error, confidence): one row a prediction, with the probability of the class it names."""
     return p.select("item", "actual", "predicted", (F.col("actual") != F.col("predicted")).alias("error"), F.get("probs", F.col("predicted").cast("int")).alias("confidence"))
+
+
+def entropy_gain(p: DataFrame) -> DataFrame:
+    """Mean bits of the true class under the prior and under the predictions, and what the predictions save."""
+    n = p.groupBy("actual").agg(F.count("*").alias("__n"))
+    share = n.join(F.broadcast(n.agg(F.sum("__n").alias("__t")))).select("actual", (F.col("__n") / F.col("__t")).alias("__share"))
+    x = F.element_at("probs", F.col("actual").cast("int") + 1)
+    both = p.join(F.broadcast(share), "actual").agg(F.avg(-F.log2("__share")).alias("prior_entropy"), F.avg(F.when(x == 0, 6.64).otherwise(-F.log2(x))).alias("scheme_entropy"))
+    return both.withColumn("gain", F.col("prior_entropy") - F.col("scheme_entropy"))
+
+
+def region_coverage(p: DataFrame, least: float) -> DataFrame:
+    """Share of rows whose true class has probability ``least`` or more, and the mean share of classes that have."""
+    inside = F.size(F.filter("probs", lambda x: x >= least)) / F.size("probs")
+    return p.agg(F.avg((F.element_at("probs", F.col("actual").cast("int") + 1) >= least).cast("double")).alias("coverage"), F.avg(inside).alias("region_size"))
+
+
+def pairwise_tests(means: DataFrame) -> DataFrame:
+    """For each pair of methods, over datasets: mean difference, t, positive differences, the larger signed-rank sum, and normal p-values of all three."""
+    from .tests import two_sided
+
+    b = means.select(F.col("method").alias("other"), "dataset", F.col("mean").alias("m2"))
+    d = means.join(b, "dataset").where("method < other").select("method", "other", F.round(F.col("mean") - F.col("m2"), 9).alias("d"))
+    same = Window.partitionBy("method", "other")
+    ranked = d.where("d <> 0").withColumn("r", F.rank().over(same.orderBy(F.abs("d"))) + (F.count("*").over(Window.partitionBy("method", "other", F.abs("d"))) - 1) / 2)
+    w = ranked.groupBy("method", "other").agg(F.count("*").alias("__k"), F.greatest(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0)), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0))).alias("w"))
+    s = d.groupBy("method", "other").agg(F.count("*").alias("datasets"), F.avg("d").alias("mean_difference"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("t"), F.count_if(F.col("d") > 0).alias("above"), F.count_if(F.col("d") < 0).alias("__below"))
+    n, k = F.col("datasets"), F.col("__k")
+    out = s.join(w, ["method", "other"], "left").withColumn("p_t", two_sided(F.col("t"))).withColumn("p_sign", two_sided((F.greatest("above", "__below") - n / 2) / F.sqrt(n / 4)))
+    return out.withColumn("p_signed_rank", F.when(k > 0, two_sided((F.col("w") - k * (k + 1) / 4) / F.sqrt(k * (k + 1) * (2 * k + 1) / 24))).otherwise(1.0)).drop("__k", "__below")
+
+
+def cliques(pairs: DataFrame, alpha: float = 0.05, p: str = "p_signed_rank") -> DataFrame:
+    """(clique, methods): the largest groups of methods none of whose pairs differs at ``alpha`` (over the number of pairs).
+
+    The table of pairs is one row a pair of methods, a small table, which the driver groups.
+    """
+    rows = pairs.select("method", "other", p).collect()
+    names = sorted({r.method for r in rows} | {r.other for r in rows})
+    differ = {frozenset((r.method, r.other)) for r in rows if (r[p] if r[p] is not None else 1.0) < alpha / max(1, len(rows))}
+    groups: list[list] = [[]]
+    for n in names:
+        grown = []
+        for g in groups:
+            fits = [m for m in g if frozenset((m, n)) not in differ]
+            grown += [[*g, n]] if len(fits) == len(g) else [g, [*fits, n]]
+        sets = sorted({tuple(g) for g in grown}, key=lambda g: (-len(g), g))
+        groups = [list(g) for i, g in enumerate(sets) if not any(set(g) < set(o) for o in sets)]
+    kind = dict(pairs.dtypes)["method"]
+    return pairs.sparkSession.createDataFrame([(i, g) for i, g in enumerate(groups, 1)], f"clique int, methods array<{kind}>")
+
+
+def train_test_difference(results: DataFrame, metric: str) -> DataFrame:
+    """(method, dataset, difference): mean of the train rows less that of the test rows (``part``), where both are there."""
+    mean = lambda part: F.avg(F.when(F.col("part") == part, F.col(metric)))
+    return results.groupBy("method", "dataset").agg((mean("train") - mean("test")).alias("difference")).where("difference is not null")
+
+
+def by_grouping(means: DataFrame, groups: DataFrame) -> DataFrame:
+    """(grouping, method, mean, wins): averages and first places inside groups of datasets (``groups``: dataset, grouping)."""
+    best = F.rank().over(Window.partitionBy("dataset").orderBy(F.desc("mean"))) == 1
+    return means.withColumn("__best", best).join(F.broadcast(groups), "dataset").groupBy("grouping", "method").agg(F.avg("mean").alias("mean"), F.count_if("__best").alias("wins"))
+
+
+def significant_wins(results: DataFrame, metric: str, z: float = 1.959964) -> DataFrame:
+    """Wins, draws and losses over datasets, where a two-sample statistic of unequal variances within ``z`` is a draw."""
+    s = results.groupBy("method", "dataset").agg(F.avg(metric).alias("m"), (F.var_samp(metric) / F.count(metric)).alias("e"))
+    other = s.select(F.col("method").alias("other"), "dataset", F.col("m").alias("m2"), F.col("e").alias("e2"))
+    t = (F.col("m") - F.col("m2")) / F.sqrt(F.col("e") + F.col("e2"))
+    p = s.join(other, "dataset").where("method <> other").withColumn("t", t)
+    return p.groupBy("method", "other").agg(F.count_if(F.col("t") > z).alias("wins"), F.count_if(F.abs("t") <= z).alias("draws"), F.count_if(F.col("t") < -z).alias("losses"))

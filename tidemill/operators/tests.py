@@ -6,6 +6,7 @@ approximation (below 1e-7 off).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,3 +122,44 @@ def best_power(df: DataFrame, x: str, y: str, low: float = -3.0, high: float = 3
 def least_squares(df: DataFrame, x: str, y: str) -> DataFrame:
     """Slope, intercept, explained and residual sums of squares of a line, in one pass."""
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), (F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.regr_sxx(y, x)).alias("ssr"), (F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.regr_sxx(y, x)).alias("sse"))
+
+
+def response(y: Column, kind: str) -> Column:
+    """exp, log or reciprocal of a response."""
+    return {"exp": F.exp(y), "log": F.log(y), "reciprocal": 1 / y}[kind]
+
+
+def inverse_response(y: Column, kind: str) -> Column:
+    return {"exp": F.log(y), "log": F.exp(y), "reciprocal": 1 / y}[kind]
+
+
+def stepwise(df: DataFrame, columns: list[str], target: str, least_gain: float = 0.01) -> list[dict]:
+    """Forward steps of least squares: the column that raises R squared most, while it raises it by ``least_gain``; then columns whose loss is under it go.
+
+    One pass gathers the cross-products of all columns; every candidate fit is a small solve on them.
+    """
+    from .columns import gram_matrix
+
+    _, _, g = gram_matrix(df, [*columns, target])
+    total = g[-1, -1]
+
+    def r2(chosen: list[int]) -> float:
+        if not chosen or total <= 0:
+            return 0.0
+        x, xy = g[np.ix_(chosen, chosen)], g[chosen, -1]
+        return float(xy @ np.linalg.lstsq(x, xy, rcond=None)[0] / total)
+
+    chosen: list[int] = []
+    steps = []
+    while rest := [i for i in range(len(columns)) if i not in chosen]:
+        now = r2(chosen)
+        best = max(rest, key=lambda i: (round(r2([*chosen, i]), 12), -i))
+        if r2([*chosen, best]) - now < least_gain:
+            break
+        chosen.append(best)
+        steps.append({"column": columns[best], "r2": r2(chosen)})
+        for i in list(chosen[:-1]):
+            without = [j for j in chosen if j != i]
+            if r2(chosen) - r2(without) < least_gain / 2:
+                chosen = without
+    return steps
