@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .ordered import running_sums
 from .series import sax, sliding_windows
 
 
@@ -31,7 +32,7 @@ def sax_vector_space(bags: DataFrame, label: str) -> DataFrame:
 def vsm_predict(bags: DataFrame, weights: DataFrame, id_col: str, label: str) -> DataFrame:
     """(id, predicted): class of largest cosine, ties to the smaller class."""
     w = weights.withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(label)))).select(F.col(label).alias("class"), "word", (F.col("weight") / F.nullif("norm", F.lit(0.0))).alias("w"))
-    s = bags.join(w, "word").groupBy(id_col, "class").agg(F.sum(F.col("n") * F.coalesce("w", F.lit(0.0))).alias("s"))
+    s = bags.join(w, "word").groupBy(id_col, "class").agg(F.round(F.sum(F.col("n") * F.coalesce("w", F.lit(0.0))), 9).alias("s"))
     return s.groupBy(id_col).agg(F.max(F.struct("s", (-F.col("class")).alias("c"))).alias("b")).select(id_col, (-F.col("b.c")).alias("predicted"))
 
 
@@ -47,29 +48,102 @@ def boss_distance(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
 
 
 def sfa_coefficients(df: DataFrame, id_col: str, series: str, width: int, length: int, normalise: bool = True) -> DataFrame:
-    """(id, start, c): real and imaginary parts of each window's first Fourier coefficients over its deviation."""
+    """(id, start, c): real and imaginary parts of each window's first Fourier coefficients over its deviation, to two decimals.
+
+    Series of equal length of an Arrow batch are transformed together.
+    """
 
     def run(frames):
         for f in frames:
-            for i, s in zip(f[id_col], f[series], strict=True):
-                w = np.lib.stride_tricks.sliding_window_view(np.asarray(s, float), width)
-                z = np.fft.rfft(w, axis=1)[:, (1 if normalise else 0) : (1 if normalise else 0) + length // 2]
-                sd = w.std(1, keepdims=True)
-                c = np.stack([z.real, z.imag], 2).reshape(len(w), -1) / np.where(sd > 0, sd, 1) / np.sqrt(width)
-                yield pd.DataFrame({id_col: i, "start": np.arange(len(w)), "c": list(np.round(c, 2))})
+            f = f[f[series].notna()]
+            for n, g in f.groupby(f[series].map(len)):
+                if n < width:
+                    continue
+                w = np.lib.stride_tricks.sliding_window_view(np.stack(g[series].to_list()).astype(float), width, axis=1)
+                z = np.fft.rfft(w, axis=2)[:, :, (1 if normalise else 0) : (1 if normalise else 0) + length // 2]
+                sd = w.std(2, keepdims=True)
+                c = np.stack([z.real, z.imag], 3).reshape(len(g), w.shape[1], -1) / np.where(sd > 0, sd, 1) / np.sqrt(width)
+                yield pd.DataFrame({id_col: np.repeat(g[id_col].to_numpy(), w.shape[1]), "start": np.tile(np.arange(w.shape[1]), len(g)), "c": list(np.round(c, 2).reshape(-1, c.shape[2]))})
 
     return df.select(id_col, series).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, start int, c array<double>")
 
 
 def sfa_words(coefficients: DataFrame, id_col: str, width: int, alphabet: int = 4) -> DataFrame:
-    """(id, start, word): equal-depth break-points of each coefficient from disjoint windows (at most alphabet-1 of them come to the driver)."""
+    """(id, start, word): equal-depth break-points of each coefficient, exact, from disjoint windows (at most alphabet-1 of them come to the driver)."""
     own = coefficients.where(F.col("start") % width == 0).select(F.posexplode("c").alias("k", "v"))
-    cuts = {r.k: list(r.q) for r in own.groupBy("k").agg(F.percentile_approx("v", [i / alphabet for i in range(1, alphabet)], 10_000).alias("q")).collect()}
+    cuts = {r.k: list(r.q) for r in own.groupBy("k").agg(F.percentile("v", F.array(*(F.lit(i / alphabet) for i in range(1, alphabet)))).alias("q")).collect()}
     table = F.array(*(F.array(*map(F.lit, cuts[k])) for k in sorted(cuts)))
     letter = lambda v, k: F.substring(F.lit("abcdefghij"), F.size(F.filter(F.get(table, k), lambda c: v > c)) + 1, F.lit(1))
     return coefficients.select(id_col, "start", F.concat_ws("", F.transform("c", letter)).alias("word"))
 
 
+def shorten_words(bags: DataFrame, length: int) -> DataFrame:
+    """Words cut to their first letters and counted anew."""
+    rest = [c for c in bags.columns if c not in ("word", "n")]
+    return bags.withColumn("word", F.substring("word", 1, length)).groupBy(*rest, "word").agg(F.sum("n").alias("n"))
+
+
+def bag_cosine(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
+    """(a, b, similarity) of bags that share a word."""
+    norm = lambda x, name: x.groupBy(F.col(id_col).alias(name)).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"norm_{name}"))
+    a, b = left.select(F.col(id_col).alias("a"), "word", F.col("n").alias("na")), right.select(F.col(id_col).alias("b"), "word", F.col("n").alias("nb"))
+    both = a.join(b, "word").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
+    return both.join(norm(left, "a"), "a").join(norm(right, "b"), "b").select("a", "b", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("similarity"))
+
+
+def histogram_intersection(left: DataFrame, right: DataFrame, id_col: str) -> DataFrame:
+    """(a, b, shared): sum of the smaller counts over shared words; with a level in the word and weighted counts, a pyramid's."""
+    a, b = left.select(F.col(id_col).alias("a"), "word", F.col("n").alias("na")), right.select(F.col(id_col).alias("b"), "word", F.col("n").alias("nb"))
+    return a.join(b, "word").where("a <> b").groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("shared"))
+
+
+def pyramid(words: DataFrame, id_col: str, size: int, levels: int) -> DataFrame:
+    """(id, word, n): words marked with their cell on each level of a pyramid over the series, deeper levels weighing twice as much."""
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col("start") * (1 << k) / size).alias("cell")) for k in range(levels))))
+    x = words.select(id_col, "word", cells.alias("p")).select(id_col, F.concat_ws("/", F.col("p.level").cast("string"), F.col("p.cell").cast("string"), "word").alias("word"), F.pow(F.lit(2.0), F.col("p.level") - levels + 1).alias("w"))
+    return x.groupBy(id_col, "word").agg(F.sum("w").alias("n"))
+
+
+def nearest_bag(distances: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(id, actual, predicted): label of the bag at least ``distance``, ties by id."""
+    best = distances.groupBy("a").agg(F.min(F.struct(F.round("distance", 9).alias("d"), "b"))["b"].alias("b"))
+    of = lambda name, c: labels.select(F.col(id_col).alias(name), F.col(label).alias(c))
+    return best.join(of("a", "actual"), "a").join(of("b", "predicted"), "b").select(F.col("a").alias(id_col), "actual", "predicted")
+
+
+def boss_grid(df: DataFrame, id_col: str, series: str, label: str, grid: list[tuple[int, int]], alphabet: int = 4, share: float = 0.92) -> DataFrame:
+    """(width, length, accuracy, kept) of 1-NN over bags of Fourier words for each (window, word length); kept: at least ``share`` of the best."""
+    out = None
+    for width, length in grid:
+        w = sfa_words(sfa_coefficients(df, id_col, series, width, length), id_col, width, alphabet)
+        w = w.withColumn("__last", F.lag("word").over(Window.partitionBy(id_col).orderBy("start"))).where("__last is null or __last <> word")
+        bags = w.groupBy(id_col, "word").agg(F.count("*").alias("n"))
+        p = nearest_bag(boss_distance(bags, bags, id_col), df, id_col, label)
+        r = p.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy")).select(F.lit(width).alias("width"), F.lit(length).alias("length"), "accuracy")
+        out = r if out is None else out.union(r)
+    return out.withColumn("kept", F.col("accuracy") >= share * F.max("accuracy").over(Window.partitionBy()))
+
+
+def word_pairs(words: DataFrame, id_col: str, width: int) -> DataFrame:
+    """(id, word) of words and of pairs of words one window apart."""
+    after = F.lead("word", width).over(Window.partitionBy(id_col).orderBy("start"))
+    both = words.select(id_col, "word", after.alias("after"))
+    return both.select(id_col, F.explode(F.array_compact(F.array("word", F.concat("word", F.lit(" "), "after")))).alias("word"))
+
+
+def weasel_features(words: DataFrame, labels: DataFrame, id_col: str, label: str, width: int, least: float = 2.0) -> DataFrame:
+    """(id, word, n): counts of words and pairs whose chi-squared against the class reaches ``least``."""
+    bags = word_pairs(words, id_col, width).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    c = bags.join(labels.select(id_col, label), id_col).groupBy("word", label).agg(F.sum("n").alias("o"))
+    every = c.agg(F.sum("o").alias("t"))
+    by_class = c.groupBy(label).agg(F.sum("o").alias("c"))
+    by_word = c.groupBy("word").agg(F.sum("o").alias("w"))
+    grid = by_word.join(F.broadcast(by_class)).join(c, ["word", label], "left").na.fill(0, ["o"]).join(F.broadcast(every))
+    e = F.col("w") * F.col("c") / F.col("t")
+    good = grid.groupBy("word").agg(F.sum(F.pow(F.col("o") - e, F.lit(2)) / e).alias("x")).where(F.col("x") >= least).select("word")
+    return bags.join(good, "word", "left_semi")
+
+
 def interval_features(df: DataFrame, keep: list[str], series: str, intervals: list[tuple[int, int]]) -> DataFrame:
     """``features``: mean, population variance and least-squares slope of each (start, length) interval."""
 
@@ -122,23 +196,181 @@ def shapelet_transform(df: DataFrame, keep: list[str], series: str, shapelets: l
     return df.select(*keep, F.pandas_udf(run, "array<double>")(F.col(series)).alias("distances"))
 
 
+def shapelet_lines(distances: DataFrame, label: str) -> DataFrame:
+    """(k, class, d): each shapelet's line of distances to all series."""
+    return distances.select(F.col(label).alias("class"), F.posexplode("distances").alias("k", "d"))
+
+
+def _f_statistic(e: DataFrame, keys: list[str]) -> DataFrame:
+    """``e``: one row a key and class with n, s, q (count, sum, sum of squares of distances)."""
+    t = e.groupBy(*keys).agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
+    within, between = F.col("q") - F.col("b"), F.col("b") - F.col("s") * F.col("s") / F.col("n")
+    return t.select(*keys, F.when(within > 0, between / (F.col("c") - 1) / (within / (F.col("n") - F.col("c")))).otherwise(0.0).alias("f_statistic"))
+
+
 def shapelet_quality(distances: DataFrame, label: str) -> DataFrame:
     """(k, f_statistic): between over within class variance of each shapelet's distances."""
-    e = distances.select(label, F.posexplode("distances").alias("k", "d")).groupBy("k", label).agg(F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
-    t = e.groupBy("k").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    within, between = F.col("q") - F.col("b"), F.col("b") - F.col("s") * F.col("s") / F.col("n")
-    return t.select("k", F.when(within > 0, between / (F.col("c") - 1) / (within / (F.col("n") - F.col("c")))).otherwise(0.0).alias("f_statistic"))
+    e = shapelet_lines(distances, label).groupBy("k", "class").agg(F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
+    return _f_statistic(e, ["k"])
+
+
+def shapelet_information(distances: DataFrame, label: str) -> DataFrame:
+    """(k, threshold, gain, gap): the split of each line of best information gain, and the gap of the mean distances on its sides."""
+    lines = shapelet_lines(distances, label).withColumn("d", F.round("d", 9))
+    c = lines.groupBy("k", "d", "class").agg(F.count("*").alias("n"))
+    total = c.groupBy("k", "class").agg(F.sum("n").alias("all"))
+    grid = c.select("k", "d").distinct().join(total, "k").join(c, ["k", "d", "class"], "left").na.fill(0, ["n"])
+    b = running_sums(grid, "d", ["n"], ["k", "class"]).withColumnRenamed("n_upto", "b")
+    x = lambda v: F.sum(F.when(v > 0, -v * F.log2(v)).otherwise(0.0))
+    s = b.groupBy("k", "d").agg(x(F.col("all")).alias("ea"), x(F.col("b")).alias("eb"), x(F.col("all") - F.col("b")).alias("er"), F.sum("b").alias("nb"), F.sum("all").alias("na"), (F.sum("n") * F.col("d")).alias("w"))
+    s = running_sums(s, "d", ["w"], ["k"])
+    whole = Window.partitionBy("k")
+    nb, na = F.col("nb"), F.col("na")
+    gain = (F.col("ea") + na * F.log2(na) - (F.col("eb") + nb * F.log2(nb)) - (F.col("er") + (na - nb) * F.log2(na - nb))) / na
+    # one line has as many distinct distances as there are series; the next one is found inside the line
+    s = s.withColumn("next", F.lead("d").over(whole.orderBy("d"))).withColumn("t", F.max("w_upto").over(whole)).where("next is not null")
+    gap = (F.col("t") - F.col("w_upto")) / (na - nb) - F.col("w_upto") / nb
+    best = s.groupBy("k").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), (-F.col("d")).alias("v"), "next", gap.alias("gap"))).alias("b"))
+    return best.select("k", ((F.col("b.next") - F.col("b.v")) / 2).alias("threshold"), "b.gain", "b.gap")
+
+
+def shapelet_kruskal(distances: DataFrame, label: str) -> DataFrame:
+    """(k, h): Kruskal-Wallis of each line's ranks over the classes, ties averaged."""
+    c = shapelet_lines(distances, label).groupBy("k", F.round("d", 9).alias("d"), "class").agg(F.count("*").alias("m"))
+    values = running_sums(c.groupBy("k", "d").agg(F.sum("m").alias("n")), "d", ["n"], ["k"])
+    ranked = c.join(values.select("k", "d", (F.col("n_upto") - (F.col("n") - 1) / 2).alias("r")), ["k", "d"])
+    g = ranked.groupBy("k", "class").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("r")).alias("s"))
+    n = F.sum("m")
+    return g.groupBy("k").agg((12 / (n * (n + 1)) * F.sum(F.col("s") * F.col("s") / F.col("m")) - 3 * (n + 1)).alias("h"))
+
+
+def shapelet_mood(distances: DataFrame, label: str) -> DataFrame:
+    """(k, chi_squared) of the counts above and not above each line's median by class."""
+    lines = shapelet_lines(distances, label).withColumn("d", F.round("d", 9))
+    median = lines.groupBy("k").agg(F.percentile("d", F.lit(0.5)).alias("m"))
+    c = lines.join(median, "k").groupBy("k", "class").agg(F.count_if(F.col("d") > F.col("m")).alias("up"), F.count("*").alias("n"))
+    t = c.groupBy("k").agg(F.sum("up").alias("ups"), F.sum("n").alias("all"))
+    x = c.join(t, "k")
+    part = lambda o, side: F.when(side > 0, F.pow(o - F.col("n") * side / F.col("all"), F.lit(2)) / (F.col("n") * side / F.col("all"))).otherwise(0.0)
+    return x.groupBy("k").agg(F.sum(part(F.col("up"), F.col("ups")) + part(F.col("n") - F.col("up"), F.col("all") - F.col("ups"))).alias("chi_squared"))
+
+
+def scored_candidates(df: DataFrame, id_col: str, series: str, label: str, lengths: list[int], step: int = 1, own_class: bool = False) -> DataFrame:
+    """(series_id, start, length, class, f_statistic) of every candidate, judged on every series.
+
+    Candidates meet series in blocks; a block pair returns one row a candidate and class with the count, sum and sum of squares of its
+    distances. With ``own_class`` the classes are the candidate's own against the rest.
+    """
+    from .distances import block_pairs
+
+    known = df.where(F.col(series).isNotNull())
+    own = known.select(F.col(id_col).alias("series_id"), F.col(label).alias("class"), F.col(series).alias("x"))
+    rows = known.select(F.col(id_col).alias("id"), F.col(label).alias("of"), F.col(series).alias("y"))
+    kinds = dict(own.dtypes)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["series_id", "start", "length", "class", "of", "n", "s", "q"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names})
+        y, of = np.stack(b["y"].to_list()).astype(float), b["of"].to_numpy()
+        classes, code = np.unique(of, return_inverse=True)
+        hot = np.eye(len(classes))[code]
+        out = []
+        for sid, c, x in zip(a["series_id"], a["class"], a["x"], strict=True):
+            for n in lengths:
+                w = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), n)[::step]
+                sd = w.std(1, keepdims=True)
+                z = np.where(sd > 0, (w - w.mean(1, keepdims=True)) / np.where(sd > 0, sd, 1), 0)
+                d = _sliding(list(z), y)
+                for e, sums in enumerate(zip(hot.sum(0), (d.T @ hot).T, ((d * d).T @ hot).T, strict=True)):
+                    out.append(pd.DataFrame({"series_id": sid, "start": np.arange(len(w)) * step, "length": n, "class": c, "of": classes[e], "n": sums[0], "s": sums[1], "q": sums[2]}))
+        return pd.concat(out)[names]
 
+    each = block_pairs(own, rows, run, f"series_id {kinds['series_id']}, start int, length int, class {kinds['class']}, of {kinds['class']}, n double, s double, q double", 64)
+    of = (F.col("of") == F.col("class")).cast("string") if own_class else F.col("of")
+    e = each.groupBy("series_id", "start", "length", "class", of.alias("of")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    return _f_statistic(e, ["series_id", "start", "length", "class"])
 
-def best_shapelets(df: DataFrame, id_col: str, series: str, label: str, lengths: list[int], k: int, step: int = 8, most: int = 2000) -> list[dict]:
-    """The k best candidates by F-statistic without overlaps inside a series, from at most ``most`` candidates chosen by hash."""
-    c = shapelet_candidates(df, id_col, series, label, lengths, step).orderBy(F.xxhash64("series_id", "start", "length"), "series_id", "start", "length").limit(most).collect()
-    quality = {r.k: r.f_statistic for r in shapelet_quality(shapelet_transform(df, [label], series, [r.content for r in c]), label).collect()}
+
+def best_shapelets(df: DataFrame, id_col: str, series: str, label: str, lengths: list[int], k: int, step: int = 1, balanced: bool = False) -> list[dict]:
+    """The k best candidates by F-statistic without overlaps inside a series (of each class k over the classes, if ``balanced``).
+
+    Every candidate is judged. Each series keeps its own candidates that overlap no better one, by a greedy pass over its few
+    candidates; then a top-k over all series.
+    """
+    scored = scored_candidates(df, id_col, series, label, lengths, step, balanced).withColumn("q", F.round("f_statistic", 9))
+    kinds = dict(scored.dtypes)
+
+    def apart(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["q", "length", "start"], ascending=[False, True, True])
+        taken, keep = [], []
+        for i, (s, n) in enumerate(zip(g["start"], g["length"], strict=True)):
+            if len(taken) < k and all(s >= b or s + n <= a for a, b in taken):
+                taken.append((s, s + n))
+                keep.append(i)
+        return g.iloc[keep]
+
+    own = scored.select("series_id", "start", "length", "class", "q").groupBy("series_id").applyInPandas(apart, f"series_id {kinds['series_id']}, start int, length int, class {kinds['class']}, q double")
+    order = [F.desc("q"), F.col("length"), F.col("series_id"), F.col("start")]
+    if balanced:
+        classes = df.select(F.count_distinct(label)).first()[0]
+        best = own.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy(*order))).where(F.col("r") <= max(1, k // max(1, classes))).orderBy(*order)
+    else:
+        best = own.orderBy(*order).limit(k)
+    chosen = [r.asDict() for r in best.collect()]
+    rows = {r[0]: r[1] for r in df.where(F.col(id_col).isin([c["series_id"] for c in chosen])).select(id_col, series).collect()} if chosen else {}
+    for c in chosen:
+        w = np.asarray(rows[c["series_id"]][c["start"] : c["start"] + c["length"]], float)
+        c["quality"], c["content"] = c.pop("q"), ((w - w.mean()) / w.std() if w.std() > 0 else w * 0).tolist()
+    return chosen
+
+
+def write_shapelets(spark, shapelets: list[dict], path: str) -> None:
+    """The table of shapelets as Parquet: quality, series, start, class, and the values."""
+    spark.createDataFrame([(float(s["quality"]), int(s["series_id"]), int(s["start"]), str(s["class"]), [float(v) for v in s["content"]]) for s in shapelets], "quality double, series_id long, start int, class string, content array<double>").write.parquet(path)
+
+
+def read_shapelets(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def shapelet_tree(df: DataFrame, id_col: str, series: str, label: str, lengths: list[int], depth: int) -> list[dict]:
+    """A tree of shapelet splits, level by level: (node, shapelet, threshold) inside, (node, class) at the leaves; children of n are 2n+1 and 2n+2."""
     out: list[dict] = []
-    for i in sorted(quality, key=lambda i: (-quality[i], c[i].series_id, c[i].start)):
-        r = c[i]
-        if all(o["series_id"] != r.series_id or r.start >= o["start"] + o["length"] or o["start"] >= r.start + r.length for o in out):
-            out.append({"series_id": r.series_id, "start": r.start, "length": r.length, "class": r["class"], "quality": quality[i], "content": list(r.content)})
-        if len(out) == k:
-            break
+    open_ = [(0, df)]
+    for level in range(depth + 1):
+        later = []
+        for node, part in open_:
+            top = part.groupBy(label).count().orderBy(F.desc("count"), label).limit(2).collect()
+            if not top:
+                continue
+            best = best_shapelets(part, id_col, series, label, lengths, 1) if level < depth and len(top) > 1 else []
+            if not best:
+                out.append({"node": node, "class": top[0][0]})
+                continue
+            t = shapelet_transform(part, [id_col, label], series, [best[0]["content"]])
+            cut = shapelet_information(t, label).first()
+            if cut is None or cut.gain <= 0:
+                out.append({"node": node, "class": top[0][0]})
+                continue
+            out.append({"node": node, "content": best[0]["content"], "threshold": cut.threshold})
+            far = part.join(t.select(id_col, F.col("distances")[0].alias("__d")), id_col)
+            later += [(2 * node + 1, far.where(F.col("__d") <= cut.threshold).drop("__d")), (2 * node + 2, far.where(F.col("__d") > cut.threshold).drop("__d"))]
+        open_ = later
     return out
+
+
+def tree_predict(df: DataFrame, keep: list[str], series: str, tree: list[dict]) -> DataFrame:
+    """``keep`` and ``predicted``: one transform by all shapelets of the tree, then a walk by column expressions."""
+    inner = [n for n in tree if "content" in n]
+    leaves = {n["node"]: n["class"] for n in tree if "class" in n}
+    at = {n["node"]: (i, n["threshold"]) for i, n in enumerate(inner)}
+
+    def walk(node: int):
+        if node not in at:
+            return F.lit(leaves.get(node))
+        i, cut = at[node]
+        return F.when(F.col("distances")[i] <= cut, walk(2 * node + 1)).otherwise(walk(2 * node + 2))
+
+    x = shapelet_transform(df, keep, series, [n["content"] for n in inner]) if inner else df.select(*keep, F.array().cast("array<double>").alias("distances"))
+    return x.select(*keep, walk(0).alias("predicted"))
