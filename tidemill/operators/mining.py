@@ -6,6 +6,9 @@ from pyspark.ml.fpm import FPGrowth, PrefixSpan
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Larger item sets give rules with one consequent only; a set of n items has 2^n splits.
+SPLIT_ALL = 12
+
 
 def to_items(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c in columns))).alias("items"))
@@ -17,13 +20,16 @@ def frequent_items(items: DataFrame, support: float) -> DataFrame:
 
 
 def rules(frequent: DataFrame, n: int, least_confidence: float = 0.9) -> DataFrame:
-    """(antecedent, consequent, support, confidence, lift, leverage, conviction), consequents of any size.
+    """(antecedent, consequent, support, confidence, lift, leverage, conviction).
 
-    Each set is split into all antecedent/consequent pairs, then joined to their own counts.
+    Sets up to SPLIT_ALL items are split into all antecedent/consequent pairs; of larger ones every single item is a consequent.
+    Each side is joined to its own count.
     """
-    sets = frequent.where("size(items) > 1 and size(items) <= 12").select("items", "freq", F.explode(F.expr("sequence(1, cast(power(2, size(items)) as int) - 2)")).alias("m"))
-    part = lambda bit: F.filter("items", lambda x, i: F.expr("m").bitwiseAND(F.expr("int(1)") * F.pow(F.lit(2), i).cast("int")) > 0 if bit else F.expr("m").bitwiseAND(F.pow(F.lit(2), i).cast("int")) == 0)
-    s = sets.select(part(True).alias("antecedent"), part(False).alias("consequent"), "freq")
+    small = frequent.where(f"size(items) between 2 and {SPLIT_ALL}").select("items", "freq", F.explode(F.expr("sequence(1, cast(power(2, size(items)) as int) - 2)")).alias("m"))
+    in_mask = lambda i: F.col("m").bitwiseAND(F.pow(F.lit(2), i).cast("int"))
+    s = small.select(F.filter("items", lambda x, i: in_mask(i) > 0).alias("antecedent"), F.filter("items", lambda x, i: in_mask(i) == 0).alias("consequent"), "freq")
+    large = frequent.where(f"size(items) > {SPLIT_ALL}").select("items", "freq", F.explode("items").alias("one"))
+    s = s.union(large.select(F.array_remove("items", F.col("one")).alias("antecedent"), F.array("one").alias("consequent"), "freq"))
     a = frequent.select(F.col("items").alias("antecedent"), F.col("freq").alias("fa"))
     c = frequent.select(F.col("items").alias("consequent"), F.col("freq").alias("fc"))
     x, f, fa, fc = s.join(a, "antecedent").join(c, "consequent"), F.col("freq"), F.col("fa"), F.col("fc")
@@ -35,10 +41,30 @@ def class_rules(rule_table: DataFrame, class_column: str) -> DataFrame:
     return rule_table.where(F.size("consequent") == 1).where(F.startswith(F.col("consequent")[0], F.lit(f"{class_column}=")))
 
 
-def sequences(df: DataFrame, key: str, order: list[str], item: str, support: float, longest: int = 5) -> DataFrame:
-    """(sequence, freq) of frequent sequential patterns over each key's ordered items."""
-    s = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, item))), lambda x: F.array(x[item])).alias("sequence"))
-    return PrefixSpan(minSupport=support, maxPatternLength=longest, sequenceCol="sequence").findFrequentSequentialPatterns(s.select("sequence"))
+def sequences(df: DataFrame, key: list[str], order: list[str], item: str, support: float) -> DataFrame:
+    """(sequence, freq) of frequent sequential patterns of any length over each key's ordered items.
+
+    ``key`` should bound its group (a user's day, not a user's life): a sequence is one row.
+    """
+    s = df.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, item))), lambda x: F.array(x[item])).alias("sequence")).select("sequence").persist()
+    try:
+        longest = s.agg(F.max(F.size("sequence"))).first()[0] or 1
+        return PrefixSpan(minSupport=support, maxPatternLength=longest, sequenceCol="sequence").findFrequentSequentialPatterns(s)
+    finally:
+        s.unpersist()
+
+
+def associative_predict(rule_table: DataFrame, rows: DataFrame, id_col: str, items: str, class_column: str) -> DataFrame:
+    """(id, predicted): the class of the first rule that a row's items meet, by confidence, support, then the shorter and smaller antecedent.
+
+    ``rule_table`` is a table of class rules, small beside the rows, and is met in every task; a row without a rule gets the class of the
+    rules' most frequent consequent.
+    """
+    r = class_rules(rule_table, class_column).select("antecedent", F.col("consequent")[0].alias("said"), F.struct((-F.round("confidence", 9)).alias("c"), (-F.round("support", 9)).alias("s"), F.size("antecedent").alias("z"), F.array_join("antecedent", ",").alias("a"), F.col("consequent")[0].alias("k")).alias("turn"))
+    met = rows.select(F.col(id_col).alias("id"), F.col(items).alias("have")).join(F.broadcast(r), F.size(F.array_except("antecedent", "have")) == 0)
+    first = met.groupBy("id").agg(F.min_by("said", "turn").alias("predicted"))
+    other = r.groupBy("said").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "said").limit(1).select(F.col("said").alias("other"))
+    return rows.select(F.col(id_col).alias("id")).join(first, "id", "left").join(F.broadcast(other)).select("id", F.coalesce("predicted", "other").alias("predicted"))
 
 
 def rule_significance(rule_table: DataFrame, n: int, least: float = 0.0) -> DataFrame:

@@ -66,7 +66,7 @@ def m_rules(spark, d):
 
 @query()
 def m_sequences(spark, d):
-    return mining.sequences(read(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", 0.9, 3)
+    return mining.sequences(read(spark, d, "events").withColumn("day", F.to_date("ts")), ["user_id", "day"], ["ts", "event_id"], "event_type", 0.02)
 
 
 @query()

@@ -83,7 +83,7 @@ def _sfa(spark, d):
     return symbols.sfa_words(symbols.sfa_coefficients(vectors(spark, d), "vec_id", "s", 16, 4), "vec_id", 16)
 
 
-@query(f"""with {_SFA}, p as (select vec_id, label, word from x union all select vec_id, label, word || ' ' || nx from (select vec_id, label, word, lead(word, 16) over (partition by vec_id order by i) as nx from x) where nx is not null), c as (select word, label, count(*) as o from p group by all), g as (select word, label, coalesce(o, 0) as o, sum(coalesce(o, 0)) over (partition by word) as w, sum(coalesce(o, 0)) over (partition by label) as c, sum(coalesce(o, 0)) over () as t from (select distinct word from c) cross join (select distinct label from c) left join c using (word, label)),
+@query(f"""with {_SFA}, p as (select vec_id, label, word from x union all select vec_id, label, word || ' ' || nx from (select vec_id, label, word, lead(word, 16) over (partition by vec_id order by i) as nx from x) where nx is not null), u as (select word, label, count(*) as o from p group by all), g as (select word, label, coalesce(o, 0) as o, sum(coalesce(o, 0)) over (partition by word) as w, sum(coalesce(o, 0)) over (partition by label) as c, sum(coalesce(o, 0)) over () as t from (select distinct word from u) cross join (select distinct label from u) left join u using (word, label)),
 k as (select word from g group by 1 having sum(power(o - w * c / t, 2) / (w * c / t)) >= 12) select vec_id, word, count(*) as n from p join k using (word) group by all""")
 def b_weasel(spark, d):
     return symbols.weasel_features(_sfa(spark, d), vectors(spark, d), "vec_id", "label", 16, 12.0)
