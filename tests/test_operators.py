@@ -151,10 +151,16 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "u long, t long, v double")
     df.where("t < 5").coalesce(1).write.parquet(str(tmp_path / "in"))
     df.where("t >= 5").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    held = {}
-    q = streaming.row_source(spark, str(tmp_path / "in"), df.schema).writeStream.foreachBatch(streaming.reservoir_sink(7, "t", 1, held)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    held = streaming.TableState(spark, "u long, t long, v double", str(tmp_path / "held"))
+    source = lambda: streaming.row_source(spark, str(tmp_path / "in"), df.schema)
+    q = source().writeStream.foreachBatch(streaming.reservoir_sink(7, "t", 1, held)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(r.t for r in held["rows"]) == sorted(r.t for r in sampling.reservoir(df, "t", 7, 1).collect())
+    want = sorted(r.t for r in sampling.reservoir(df, "t", 7, 1).collect())
+    # a state opened anew, as after a restart, has the sample
+    assert sorted(r.t for r in streaming.TableState(spark, held.schema, held.path).before().collect()) == want
+    d = streaming.run_to_table(streaming.delta(source(), "u", "t", "v"))
+    got = {(r.u, r.t): r.delta for r in d.collect()}
+    assert all(got[u, t] == (None if t == 0 else v - float(u * (t - 1) % 7)) for u, t, v in rows)
 
 
 def test_relief_judges_every_row(spark):
