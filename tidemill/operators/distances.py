@@ -117,7 +117,33 @@ def twe(a: np.ndarray, b: np.ndarray, nu: float = 0.001, penalty: float = 1.0) -
     return last[:, m]
 
 
-KERNELS = {"dtw": dtw, "wdtw": weighted_dtw, "ddtw": derivative_dtw, "erp": erp, "lcss": lcss, "msm": msm, "twe": twe}
+def time_aligned(a: np.ndarray, b: np.ndarray, gap: float = 1.0, band: int = 1) -> np.ndarray:
+    """Alignment that starts with a match: absolute gaps of matched points, ``gap`` for each skipped one, within ``band`` of the diagonal.
+
+    With stamps 1..n the logarithmic part of the time-gap cost is zero.
+    """
+    (p, n), m = a.shape, b.shape[1]
+    last = np.full((p, m + 1), np.inf)
+    last[:, 0] = 0
+    for i in range(1, n + 1):
+        now = np.full((p, m + 1), np.inf)
+        for j in range(max(1, i - band), min(m, i + band) + 1):
+            skip_b = now[:, j - 1] + gap if j > 1 else np.inf
+            skip_a = last[:, j] + gap if i > 1 else np.inf
+            now[:, j] = np.minimum(np.minimum(skip_a, skip_b), last[:, j - 1] + np.abs(a[:, i - 1] - b[:, j - 1]))
+        last = now
+    return last[:, m]
+
+
+def multivariate_dtw(a: np.ndarray, b: np.ndarray, window: float = 1.0, dependent: bool = True) -> np.ndarray:
+    """Over pairs x channels x points: the root of one path on summed squares, or the sum of each channel's root."""
+    if dependent:
+        cost = ((a[:, :, :, None] - b[:, :, None, :]) ** 2).sum(1)
+        return np.sqrt(_dtw_like(cost, _band(a.shape[2], window)))
+    return sum(np.sqrt(dtw(a[:, c], b[:, c], window)) for c in range(a.shape[1]))
+
+
+KERNELS = {"dtw": dtw, "wdtw": weighted_dtw, "ddtw": derivative_dtw, "erp": erp, "lcss": lcss, "msm": msm, "twe": twe, "taa": time_aligned}
 
 
 def register(name: str, kernel) -> None:
@@ -200,6 +226,7 @@ def block_pairs(queries: DataFrame, train: DataFrame, run, schema: str, size: in
 
     Each side is sent once for each block of the other, so a task holds two blocks however large the tables are.
     """
+    train = train.select(*(F.col(c).alias(c) for c in train.columns))  # columns of its own, where both are one table
     many = [max(1, -(-x.count() // size)) for x in (queries, train)]
 
     def dealt(x: DataFrame, own: str, other: str, n: int, m: int) -> DataFrame:
@@ -502,3 +529,78 @@ def locally_weighted(queries: DataFrame, train: DataFrame, id_col: str, features
         return pd.Series(out)
 
     return sets.join(asked, "query").select("query", F.col("actual").cast("double").alias("actual"), solve("rows", "q").alias("predicted"))
+
+
+def channel_distance(a: Column, b: Column, window: float = 1.0, dependent: bool = True) -> Column:
+    """Warping distance of two columns of channels (``array<array<double>>``, one shape in a batch)."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.empty(len(x))
+        for s in range(0, len(x), 500):
+            u, v = (np.array([np.stack([np.asarray(c, float) for c in r]) for r in z.iloc[s : s + 500]]) for z in (x, y))
+            out[s : s + 500] = multivariate_dtw(u, v, window, dependent)
+        return pd.Series(out)
+
+    return run(a, b)
+
+
+def adaptive_channels(pairs: DataFrame, a: str, b: str, actual: str, label: str, query: str, other: str, window: float = 1.0) -> tuple[float, DataFrame]:
+    """The threshold on dependent over independent distance, learnt from which of the two finds the right neighbour, and (query, actual, predicted).
+
+    ``pairs``: each query with the rows it is held against. Queries that only the independent distance gets right ask for a threshold under
+    their ratio, those that only the dependent one does for one over it; the threshold is the midpoint of most agreement.
+    """
+    d = pairs.select(query, actual, other, label, channel_distance(F.col(a), F.col(b), window, True).alias("dep"), channel_distance(F.col(a), F.col(b), window, False).alias("ind"))
+    d = d.withColumn("ratio", F.col("dep") / F.greatest("ind", F.lit(1e-12))).persist()
+    best = lambda c: F.min_by(F.struct(label, "ratio"), F.struct(F.round(c, 9), other))
+    n = d.groupBy(query, actual).agg(best("dep").alias("nd"), best("ind").alias("ni"))
+    told = n.select((F.col(f"nd.{label}") == F.col(actual)).alias("dep_right"), (F.col(f"ni.{label}") == F.col(actual)).alias("ind_right"), F.col("nd.ratio").alias("rd")).where("dep_right <> ind_right").orderBy("rd").collect()
+    cuts = [0.0, *(r.rd for r in told), float("inf")]
+    score = lambda t: sum(r.dep_right == (r.rd <= t) for r in told)
+    threshold = max(cuts, key=lambda t: (score(t), -t)) if told else 1.0
+    said = n.select(query, actual, F.when(F.col("nd.ratio") <= threshold, F.col(f"nd.{label}")).otherwise(F.col(f"ni.{label}")).alias("predicted"))
+    return threshold, said
+
+
+def sphere_cover(df: DataFrame, id_col: str, features: str, label: str, least: int = 1, seed: int = 1, rounds: int = 1000) -> DataFrame:
+    """(centre, class, radius, covered): spheres around rows in hash order, each grown to its nearest row of another class; rows in a sphere of their
+    class are covered and name none. Spheres of fewer than ``least`` rows are dropped."""
+    x = df.select(F.col(id_col).alias("id"), F.col(label).alias("c"), F.col(features).alias("v"))
+    kinds = dict(x.dtypes)
+
+    def far(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "r": pd.Series([], dtype="float64")})
+        d = _paired(np.stack(a["v"].to_list()).astype(float), np.stack(b["v"].to_list()).astype(float), ROW_KERNELS["euclidean"], len(a["v"].iloc[0]))
+        d[a["c"].to_numpy()[:, None] == b["c"].to_numpy()] = np.inf
+        return pd.DataFrame({"id": a["id"].to_numpy(), "r": np.sqrt(d.min(1))})
+
+    radius = block_pairs(x, x, far, f"id {kinds['id']}, r double", 1024).groupBy("id").agg(F.min("r").alias("r"))
+    r = x.join(radius, "id")
+    inside = all_pairs(r.select(F.col("id").alias("centre"), "c", "v", "r"), x.select("id", F.col("c").alias("c2"), F.col("v").alias("v2")))
+    inside = inside.where("c = c2").where(F.sqrt(A.squared_euclidean(F.col("v"), F.col("v2"))) < F.col("r")).select("centre", F.col("c").alias("class"), F.col("r").alias("radius"), "id").persist()
+    order = F.xxhash64("centre", F.lit(seed))
+    left, chosen = inside, []
+    for _ in range(rounds):
+        # every row waits for the first centre in the order among those that still cover it; a centre first for itself is taken
+        first = left.groupBy("id").agg(F.min(F.struct(order.alias("h"), "centre"))["centre"].alias("centre"))
+        taken = [t[0] for t in first.where("id = centre").select("centre").collect()]
+        if not taken:
+            break
+        chosen += taken
+        done = left.where(F.col("centre").isin(taken)).select("id").distinct()
+        left = left.join(done, "id", "left_anti").join(done.select(F.col("id").alias("centre")), "centre", "left_anti").persist()
+    return inside.where(F.col("centre").isin(chosen)).groupBy("centre", "class", "radius").agg(F.count("*").alias("covered")).where(F.col("covered") >= least)
+
+
+def elastic_ensemble(df: DataFrame, queries: DataFrame, id_col: str, series: str, label: str, members: dict[str, dict]) -> DataFrame:
+    """(item, module, actual, predicted, probs): 1-NN predictions of each elastic distance, to be weighted and voted on."""
+    classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+    out = None
+    for name, params in members.items():
+        kernel = params.pop("kernel", name) if "kernel" in params else name
+        n = nearest(queries, df, id_col, series, label, kernel, **params)
+        p = n.select(F.col("query").alias("item"), F.lit(name).alias("module"), F.col("actual").cast("int").alias("actual"), F.col("label").cast("int").alias("predicted"), F.array(*((F.col("label") == c).cast("double") for c in classes)).alias("probs"))
+        out = p if out is None else out.union(p)
+    return out

@@ -77,3 +77,16 @@ def rule_significance(rule_table: DataFrame, n: int, least: float = 0.0) -> Data
     spread = a * c * (1 - a) * (1 - c)
     x = F.when(spread > 1e-15, n * F.pow(s - a * c, 2) / spread).otherwise(0.0)
     return rule_table.withColumn("chi_squared", x).where(F.col("chi_squared") >= least)
+
+
+def predictive_accuracy(rule_table: DataFrame, n: int, bins: int = 20) -> DataFrame:
+    """Adds ``expected``: the expected accuracy of a rule given its hits and tries, under the prior of all rules' confidences in ``bins`` (broadcast)."""
+    prior = rule_table.groupBy(F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).cast("int").alias("b")).agg(F.count("*").alias("w")).collect()
+    total = sum(r.w for r in prior)
+    tries = F.col("support") / F.col("confidence") * n
+    hits = F.col("support") * n
+    log = lambda c: hits * F.log(F.lit(c)) + (tries - hits) * F.log(F.lit(1 - c))
+    points = [((r.b + 0.5) / bins, r.w / total) for r in prior]
+    top = F.greatest(*(log(c) for c, _ in points)) if len(points) > 1 else log(points[0][0])
+    mass = lambda f: sum((F.exp(log(c) - top) * p * f(c) for c, p in points), F.lit(0.0))
+    return rule_table.withColumn("expected", mass(lambda c: c) / mass(lambda _: 1.0))

@@ -490,3 +490,88 @@ def grid(name: str, df: DataFrame, label: str, features: str, id_col: str, setti
         r = accuracy(cross_validate(name, df, label, features, id_col, k, **params)).select(F.lit(i).alias("setting"), "accuracy")
         out = r if out is None else out.union(r)
     return out
+
+
+def k_medians(df: DataFrame, id_col: str, features: str, k: int, rounds: int = 5) -> tuple[list[list[float]], DataFrame]:
+    """Manhattan k-means: the first k ids start, each round assigns rows to the nearest centre and takes exact medians. Centres and (id, cluster)."""
+    from ..functions import arrays as A
+
+    centres = [r[0] for r in df.orderBy(id_col).select(features).limit(k).collect()]
+
+    def assigned() -> DataFrame:
+        near = F.array_min(F.array(*(F.struct(F.round(A.manhattan(F.col(features), F.array(*map(F.lit, c))), 9).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres))))
+        return df.select(F.col(id_col).alias("id"), F.col(features).alias("v"), near["i"].alias("cluster"))
+
+    for _ in range(rounds):
+        m = assigned().select("cluster", F.posexplode("v").alias("t", "x")).groupBy("cluster", "t").agg(F.percentile("x", F.lit(0.5)).alias("m"))
+        rows = m.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "m"))), lambda e: e["m"]).alias("c")).collect()
+        now = list(centres)
+        for r in rows:
+            now[r.cluster] = list(r.c)
+        if now == centres:
+            break
+        centres = now
+    return centres, assigned().select("id", "cluster")
+
+
+def x_means(df: DataFrame, features: str, low: int, high: int, seed: int = 1) -> DataFrame:
+    """``df`` with ``cluster``: k-means with ``low`` centres, then clusters split in two while that raises the Bayesian information criterion."""
+    from ..functions import arrays as A
+
+    def spread(x: DataFrame) -> tuple[int, float, int]:
+        centre = x.select(F.posexplode(features).alias("t", "v")).groupBy("t").agg(F.avg("v").alias("v")).orderBy("t").collect()
+        c = F.array(*(F.lit(float(r.v)) for r in centre))
+        r = x.agg(F.count("*").alias("n"), F.sum(A.squared_euclidean(F.col(features), c)).alias("s")).first()
+        return r.n, float(r.s or 0.0), len(centre)
+
+    def bic(parts: list[tuple[int, float, int]]) -> float:
+        n, k, d = sum(p[0] for p in parts), len(parts), parts[0][2]
+        var = max(1e-12, sum(p[1] for p in parts) / max(1, n - k) / d)
+        like = sum(p[0] * math.log(p[0] / n) - p[0] * d / 2 * math.log(2 * math.pi * var) - (p[0] - 1) * d / 2 for p in parts if p[0])
+        return like - (k * (d + 1)) / 2 * math.log(n)
+
+    now = k_means(df, features, low, seed).withColumn("cluster", F.col("cluster").cast("string"))
+    count, open_ = low, [str(i) for i in range(low)]
+    while open_ and count < high:
+        name = open_.pop(0)
+        part = now.where(F.col("cluster") == name).drop("cluster")
+        if part.count() < 4:
+            continue
+        two = k_means(part, features, 2, seed)
+        halves = [spread(two.where(F.col("cluster") == i)) for i in (0, 1)]
+        if min(h[0] for h in halves) and bic(halves) > bic([spread(part)]):
+            kept = two.withColumn("cluster", F.concat(F.lit(f"{name}."), F.col("cluster").cast("string")))
+            now = now.where(F.col("cluster") != name).unionByName(kept.select(*now.columns))
+            open_ += [f"{name}.0", f"{name}.1"]
+            count += 1
+    return now
+
+
+def leaf_membership(df: DataFrame, features: str, label: str, id_col: str, depth: int = 3) -> DataFrame:
+    """(id, leaf, membership): the tree leaf of each row and its indicator array over the leaves."""
+    x = as_vectors(df, features, label)
+    model = DecisionTreeClassifier(maxDepth=depth, leafCol="leaf").fit(x)
+    leaves = model.transform(x).select(F.col(id_col).alias("id"), F.col("leaf").cast("int").alias("leaf"))
+    most = leaves.agg(F.max("leaf")).first()[0]
+    return leaves.withColumn("membership", F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: (i == F.col("leaf")).cast("int")))
+
+
+def median_squares(df: DataFrame, x: str, y: str, id_col: str, tries: int = 30, seed: int = 1) -> dict:
+    """Least median of squares: lines through pairs of rows chosen by hash, judged by the median squared residual of all rows in one job."""
+    ends = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(2 * tries).select(x, y).collect()
+    lines = []
+    for a, b in zip(ends[::2], ends[1::2], strict=False):
+        if a[0] != b[0]:
+            slope = (b[1] - a[1]) / (b[0] - a[0])
+            lines.append((float(slope), float(a[1] - slope * a[0])))
+    r = df.agg(*(F.percentile(F.pow(F.col(y) - s * F.col(x) - c, F.lit(2)), F.lit(0.5)).alias(f"l{i}") for i, (s, c) in enumerate(lines))).first()
+    i = min(range(len(lines)), key=lambda i: (r[f"l{i}"], i))
+    return {"slope": lines[i][0], "intercept": lines[i][1], "median": r[f"l{i}"]}
+
+
+def profile_clusters(results: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """(dataset, cluster): datasets by the accuracies of all methods on them (dataset, method, mean), a method without a result at 0."""
+    methods = [r[0] for r in results.select("method").distinct().orderBy("method").collect()]
+    p = results.groupBy("dataset").pivot("method", methods).agg(F.first("mean")).na.fill(0.0)
+    x = p.select("dataset", F.array(*(F.col(f"`{m}`") for m in methods)).alias("features"))
+    return k_means(x, "features", k, seed).select("dataset", "cluster")

@@ -269,6 +269,22 @@ def _durbin(x: np.ndarray, most: int = 10) -> tuple[np.ndarray, np.ndarray]:
     return pacf, phi[:, 1:]
 
 
+def _autoregression(x: np.ndarray, most: int = 10) -> np.ndarray:
+    """Coefficients of the order at which log of the error variance plus 2(i+1)/n first rises, zero padded."""
+    n, most = x.shape[1], min(most, x.shape[1] - 1)
+    pacf, _ = _durbin(x, most)
+    error = np.cumprod(1 - pacf**2, axis=1) * np.maximum(((x - x.mean(1, keepdims=True)) ** 2).mean(1, keepdims=True), 1e-300)
+    aic = np.log(np.maximum(error, 1e-300)) + 2 * (np.arange(most) + 1) / n
+    rises = np.c_[np.diff(aic, axis=1) > 0, np.ones(len(x), bool)]
+    best = rises.argmax(1) + 1
+    out = np.zeros((len(x), most))
+    for k in np.unique(best):
+        at = best == k
+        out[at, :k] = _durbin(x[at], int(k))[1]
+    return out
+
+
+autoregression_by_aic = _batched(_autoregression, "array<double>")
 partial_autocorrelation = _batched(lambda x: _durbin(x, min(10, x.shape[1] - 1))[0], "array<double>")
 autoregression = _batched(lambda x: _durbin(x, min(10, x.shape[1] - 1))[1], "array<double>")
 

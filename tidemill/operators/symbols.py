@@ -374,3 +374,120 @@ def tree_predict(df: DataFrame, keep: list[str], series: str, tree: list[dict])
 
     x = shapelet_transform(df, keep, series, [n["content"] for n in inner]) if inner else df.select(*keep, F.array().cast("array<double>").alias("distances"))
     return x.select(*keep, walk(0).alias("predicted"))
+
+
+def sampled_candidates(df: DataFrame, id_col: str, series: str, label: str, lengths: list[int], share: float, seed: int = 1) -> DataFrame:
+    """An opt-in sample of the candidates by hash, for searches under a time budget: the same on every run."""
+    c = shapelet_candidates(df, id_col, series, label, lengths)
+    return c.where(F.pmod(F.xxhash64("series_id", "start", "length", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+
+
+def channel_shapelet_distance(channels: np.ndarray, shapelet: np.ndarray, dependent: bool = True) -> np.ndarray:
+    """Least mean squared distance of a shapelet of several channels to the windows of each series (rows x channels x points):
+    one window for all channels, or each channel's own."""
+    n = shapelet.shape[1]
+    w = np.lib.stride_tricks.sliding_window_view(channels, n, axis=2)
+    sd = w.std(3, keepdims=True)
+    z = np.where(sd > 0, (w - w.mean(3, keepdims=True)) / np.where(sd > 0, sd, 1), 0)
+    d = ((z - shapelet[None, :, None, :]) ** 2).mean(3)
+    return d.sum(1).min(1) if dependent else d.min(2).sum(1)
+
+
+def channel_shapelet_transform(df: DataFrame, keep: list[str], channels: str, shapelets: list, dependent: bool = True) -> DataFrame:
+    """``distances`` of each series of channels to each multivariate shapelet (broadcast; their number is a parameter)."""
+    sent = df.sparkSession.sparkContext.broadcast([np.asarray(s, float) for s in shapelets])
+
+    def run(s: pd.Series) -> pd.Series:
+        x = np.array([np.stack([np.asarray(c, float) for c in r]) for r in s])
+        return pd.Series(list(np.stack([channel_shapelet_distance(x, h, dependent) for h in sent.value], 1)))
+
+    return df.select(*keep, F.pandas_udf(run, "array<double>")(F.col(channels)).alias("distances"))
+
+
+def patch_distance(image: np.ndarray, patch: np.ndarray) -> float:
+    """Least mean squared distance of a patch to the positions of an image."""
+    w = np.lib.stride_tricks.sliding_window_view(image, patch.shape)
+    return float(((w - patch) ** 2).mean((2, 3)).min())
+
+
+def patch_transform(df: DataFrame, keep: list[str], image: str, patches: list) -> DataFrame:
+    """``distances`` of each image (``array<array<double>>``) to each patch."""
+    sent = df.sparkSession.sparkContext.broadcast([np.asarray(p, float) for p in patches])
+
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([[patch_distance(np.stack([np.asarray(r, float) for r in x]), p) for p in sent.value] for x in s])
+
+    return df.select(*keep, F.pandas_udf(run, "array<double>")(F.col(image)).alias("distances"))
+
+
+def merge_shapelets(shapelets: list[dict], n: int) -> list[list[int]]:
+    """Groups of the k shapelets (places in the list): the two groups of least average distance merge until ``n`` are left. k is a parameter."""
+    far = np.array([[_sliding([np.asarray(min(a, b, key=len), float)], np.asarray(max(a, b, key=len), float)[None])[0, 0] for b in (s["content"] for s in shapelets)] for a in (s["content"] for s in shapelets)])
+    groups = [[i] for i in range(len(shapelets))]
+    while len(groups) > n:
+        a, b = min(((a, b) for a in range(len(groups)) for b in range(a + 1, len(groups))), key=lambda p: (round(far[np.ix_(groups[p[0]], groups[p[1]])].mean(), 9), p))
+        groups[a] += groups.pop(b)
+    return groups
+
+
+def spectral_forest(df: DataFrame, id_col: str, series: str, label: str, size: int, members: int, seed: int = 1, depth: int = 5) -> DataFrame:
+    """(item, module, actual, predicted, probs) of trees, each on the autocorrelations and power spectrum of its own interval (the first on the whole)."""
+    from .models import cross_validate
+    from .series import autocorrelation, power_spectrum
+
+    rng = np.random.default_rng(seed)
+    parts = [(0, size)] + [(int(s), int(rng.integers(16, size - s + 1))) for s in rng.integers(0, size - 16 + 1, members - 1)]
+    classes = df.select(F.max(label)).first()[0] + 1
+    out = None
+    for i, (start, n) in enumerate(parts):
+        x = df.select(id_col, label, F.slice(series, start + 1, n).alias("part"))
+        x = x.select(id_col, label, F.concat(autocorrelation(F.col("part"), max(1, n // 4)), power_spectrum("part")).alias("features"))
+        p = cross_validate("tree", x, label, "features", id_col, 2, maxDepth=depth)
+        p = p.withColumn("module", F.lit(i)).withColumn("probs", F.transform(F.sequence(F.lit(0), F.lit(int(classes) - 1)), lambda c: (c == F.col("predicted")).cast("double")))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def leaf_bags(df: DataFrame, id_col: str, series: str, size: int, segment: int, trees: int, seed: int = 1) -> DataFrame:
+    """(id, word, n): leaf counts of regression trees that learn each segment's later half from its earlier half, values and steps."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    windows = sliding_windows(df.select(id_col, series), series, segment)
+    half = segment // 2
+    steps = F.transform(F.sequence(F.lit(1), F.lit(half - 1)), lambda i: F.get("window", i) - F.get("window", i - 1))
+    x = windows.select(id_col, "start", array_to_vector(F.concat(F.slice("window", 1, half), steps)).alias("features"), F.col("window"))
+    rng = np.random.default_rng(seed)
+    out = None
+    for t in range(trees):
+        at = int(rng.integers(half, segment))
+        y = x.withColumn("label", F.get("window", F.lit(at)))
+        model = DecisionTreeRegressor(maxDepth=4, leafCol="leaf", seed=seed + t).fit(y)
+        leaves = model.transform(y).groupBy(id_col, F.concat(F.lit(f"{t}/"), F.col("leaf").cast("int").cast("string")).alias("word")).agg(F.count("*").alias("n"))
+        out = leaves if out is None else out.union(leaves)
+    return out
+
+
+def feature_bags(df: DataFrame, id_col: str, series: str, label: str, size: int, parts: int, bins: int = 5, seed: int = 1) -> DataFrame:
+    """(id, label, features): histograms of a forest's class probabilities over random sub-series, from the features of their intervals."""
+    from pyspark.ml.functions import vector_to_array
+
+    from .models import as_vectors, fit
+
+    rng = np.random.default_rng(seed)
+    cuts = [(int(s), int(rng.integers(12, size - s + 1))) for s in rng.integers(0, size - 12 + 1, parts)]
+
+    def three(part, n: int):
+        k = n // 3
+        return F.flatten(F.array(*(A.let(F.slice(part, i * k + 1, k), lambda p: F.array(A.mean(p), F.sqrt(A.variance(p)), (F.element_at(p, -1) - F.element_at(p, 1)) / k)) for i in range(3))))
+
+    x = None
+    for s, n in cuts:
+        one = df.select(id_col, label, F.concat(three(F.slice(series, s + 1, n), n), F.array(F.lit(s / size), F.lit(n / size))).alias("features"))
+        x = one if x is None else x.union(one)
+    model = fit("forest", x, "features", label, numTrees=10, seed=seed)
+    p = model.transform(as_vectors(x, "features", label).withColumn("__y", F.col(label))).select(id_col, F.col("__y").alias("label"), F.posexplode(vector_to_array("probability")).alias("class", "p"))
+    b = p.groupBy(id_col, "label", "class", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    classes = p.agg(F.max("class")).first()[0] + 1
+    cells = F.map_from_entries(F.collect_list(F.struct((F.col("class") * bins + F.col("bin")).alias("k"), F.col("n").cast("double").alias("n"))))
+    return b.groupBy(id_col, "label").agg(cells.alias("m")).select(id_col, "label", F.transform(F.sequence(F.lit(0), F.lit(int(classes) * bins - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / parts).alias("features"))
