@@ -97,13 +97,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct() if mark[0] else now.toDF("node", "component")
         seen = mark
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = pair(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        before, now = now, cut(pair(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))))
-        drop_cut(before)
-        drop_cut(large)
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = cut(pair(join_split(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))))
+        drop_cut(low)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        before, now = now, cut(pair(join_split(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))))
+        for done in (before, large, low):
+            drop_cut(done)
 
 
 def fold(ids: pa.Array, k: int) -> np.ndarray:
