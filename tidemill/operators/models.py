@@ -530,7 +530,8 @@ def x_means(df: DataFrame, features: str, low: int, high: int, seed: int = 1) ->
         like = sum(p[0] * math.log(p[0] / n) - p[0] * d / 2 * math.log(2 * math.pi * var) - (p[0] - 1) * d / 2 for p in parts if p[0])
         return like - (k * (d + 1)) / 2 * math.log(n)
 
-    now = k_means(df, features, low, seed).withColumn("cluster", F.col("cluster").cast("string"))
+    first = k_means(df, features, low, seed) if low > 1 else df.withColumn("cluster", F.lit(0))
+    now = first.withColumn("cluster", F.col("cluster").cast("string"))
     count, open_ = low, [str(i) for i in range(low)]
     while open_ and count < high:
         name = open_.pop(0)
