@@ -94,3 +94,36 @@ t as (select distinct doc_id, k, unnest(list_transform(range(1, greatest(len(w)
 select doc_id, item_id, n::int as n_shingles, count(*)::int as n_shared, count(*) / n as containment
 from s join t using (k, s) join n using (item_id) group by doc_id, item_id, n having count(*) >= ceil(n * 0.8 - 1e-9)
 """
+
+# Windows of thirteen words that also start in a document of smaller id; words that they cover go.
+ORACLE_SQL["op6_substring_dedup"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+a as (select doc_id, w, unnest(range(len(w) - 12)) as p from d where len(w) >= 13),
+k as (select doc_id, p, array_to_string(w[p + 1 : p + 13], ' ') as k from a),
+m as (select doc_id, p, min(doc_id) over (partition by k) as least from k),
+g as (select distinct doc_id, unnest(range(p, p + 13)) as p from m where least < doc_id),
+u as (select doc_id, unnest(range(len(w))) as p, unnest(w) as word from d),
+j as (select u.doc_id, u.p, word, g.p is not null as gone from u left join g on g.doc_id = u.doc_id and g.p = u.p),
+t as (select doc_id, sum(gone::int)::bigint as n_removed, sha256(coalesce(string_agg(word, ' ' order by p) filter (where not gone), '')) as kept_sha256 from j group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256 from d left join t using (doc_id)
+"""
+
+# Cosine of all pairs of one label in double precision, and what is reachable over those at 0.98.
+ORACLE_SQL["op7_embedding_near_dedup"] = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as s from embeddings),
+n as (select vec_id, label, s, sqrt(list_sum(list_transform(s, lambda x: x * x))) as n from v where label is not null and s is not null and len(list_filter(s, lambda x: x is null or not isfinite(x))) = 0),
+e as (select a.vec_id as x, b.vec_id as y from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.s) = len(b.s) where a.n > 0 and b.n > 0 and list_dot_product(a.s, b.s) / (a.n * b.n) >= 0.98),
+r as (select vec_id as a, vec_id as b from v union select r.a, e.y from r join e on e.x = r.b), c as (select b as vec_id, min(a) as component_id from r group by 1)
+select v.vec_id, (select count(*) from e where e.x = v.vec_id) as n_links, component_id, v.vec_id = component_id as kept from v join c using (vec_id)
+"""
+
+# The template: [INST] user [/INST], assistant</s>, <<SYS>>system<</SYS>>, [ROLE=name]text[/ROLE]; a backslash before control strings.
+ORACLE_SQL["op10_chat_formatting"] = r"""
+with c as (select conv_id, turn, role, text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as i from c),
+e as (select *, regexp_replace(text, '(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE=|\[/ROLE\]|\\)', '\\\1', 'g') as t from r),
+f as (select *, case role when 'user' then '[INST] ' || t || ' [/INST]' when 'assistant' then t || '</s>' when 'system' then '<<SYS>>' || t || '<</SYS>>' else '[ROLE=' || regexp_replace(role, '([\\\]\[<])', '\\\1', 'g') || ']' || t || '[/ROLE]' end as f from e)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256, coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '')) as loss_sha256, sum(length(f))::bigint as formatted_chars
+from f group by conv_id
+"""
