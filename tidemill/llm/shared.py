@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
+#: Bytes of a row group of a written table: what a task holds while it writes.
+ROW_GROUP = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later plans start there and survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
