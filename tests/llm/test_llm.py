@@ -82,6 +82,11 @@ def brute_lines(rows):
     return want
 
 
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    r = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert r.score > r.base
+
+
 def test_line_dedup(docs):
     want = brute_lines({(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.text is not None})
     got = lines.remove_repeated_lines(docs)

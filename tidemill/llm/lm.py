@@ -27,6 +27,8 @@ from .shared import cut, fold, mix, slices, small_batches, words
 #: Frequent words that are symbols; further frequent words whose counts every task holds; classes of rarer words; numbers of a vector.
 SYMBOLS, TABLE, CLASSES, DIM = 1022, 65_536, 1024, 16
 NOISE, BATCH, RATE, ROUNDS = 24, 2048, 0.15, 2
+#: What Adagrad's sums of squares start at: numbers of which little is seen stay near the unigram start.
+FIRST_SQUARE = 1.0
 END_HASH = np.uint64(0x1F2E3D4C5B6A7988)
 
 
@@ -108,7 +110,7 @@ class LogBilinear:
             values[:2, :, DIM] = 0
             values[2, :, DIM] = np.log(np.maximum(vocabulary.share, 1e-12))
         self.values = values.astype(np.float32)
-        self.square = np.full_like(self.values, 0.1)
+        self.square = np.full_like(self.values, FIRST_SQUARE)
         self.rng = np.random.default_rng(11)
         self.noise_cdf = np.cumsum(vocabulary.share)
         self.log_noise = np.log(np.maximum(NOISE * vocabulary.share, 1e-12)).astype(np.float32)
