@@ -325,9 +325,13 @@ def best_shapelets(df: DataFrame, id_col: str, series: str, label: str, lengths:
     return chosen
 
 
-def write_shapelets(spark, shapelets: list[dict], path: str) -> None:
-    """The table of shapelets as Parquet: quality, series, start, class, and the values."""
-    spark.createDataFrame([(float(s["quality"]), int(s["series_id"]), int(s["start"]), str(s["class"]), [float(v) for v in s["content"]]) for s in shapelets], "quality double, series_id long, start int, class string, content array<double>").write.parquet(path)
+def shapelet_table(spark, shapelets: list[dict]) -> DataFrame:
+    """(quality, series_id, start, class, content) of the k shapelets of a search."""
+    return spark.createDataFrame([(float(s["quality"]), int(s["series_id"]), int(s["start"]), str(s["class"]), [float(v) for v in s["content"]]) for s in shapelets], "quality double, series_id long, start int, class string, content array<double>")
+
+
+def write_shapelets(table: DataFrame, path: str) -> None:
+    table.write.parquet(path)
 
 
 def read_shapelets(spark, path: str) -> DataFrame:

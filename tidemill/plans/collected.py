@@ -11,26 +11,26 @@ from .learned import SETS, _rules
 from .series_queries import W64
 
 
-@query(f"""with recursive {W64}, p as (select a.vec_id as x, b.vec_id as y, a.s[1:20] as a, b.s[1:20] as b from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and b.vec_id % 5 = 0),
-r as (select x, y, a, b, 0 as i, list_transform(range(21), lambda j: case when j = 0 then 0.0::double else 1e300::double end) as row from p union all
-select x, y, a, b, i + 1, list_reduce(list_transform(range(1, 21), lambda j: [case when abs(i + 1 - j) <= 1 then least(row[j] + abs(a[i + 1] - b[j]), case when i > 0 then row[j + 1] + 1 else 1e300 end) else 1e300 end, case when abs(i + 1 - j) <= 1 and j > 1 then 1.0 else 1e300 end]), lambda acc, e: list_append(acc, least(e[1], least(1e300, acc[len(acc)] + e[2]))), [1e300::double]) from r where i < 20)
-select x, y, round(row[21], 6) as score from r where i = 20""")
+@query(f"""with recursive {W64}, p as (select a.vec_id as x, b.vec_id as y, a.s as a, b.s as b from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+r as (select x, y, a, b, 0 as i, list_transform(range(65), lambda j: case when j = 0 then 0.0::double else 1e300::double end) as row from p union all
+select x, y, a, b, i + 1, list_reduce(list_transform(range(1, 65), lambda j: [case when abs(i + 1 - j) <= 1 then least(row[j] + abs(a[i + 1] - b[j]), case when i > 0 then row[j + 1] + 1 else 1e300 end) else 1e300 end, case when abs(i + 1 - j) <= 1 and j > 1 then 1.0 else 1e300 end]), lambda acc, e: list_append(acc, least(e[1], least(1e300, acc[len(acc)] + e[2]))), [1e300::double]) from r where i < 64)
+select x, y, round(row[65], 6) as score from r where i = 64""")
 def d_time_aligned(spark, d):
-    v = vectors(spark, d).withColumn("s", F.slice("s", 1, 20))
-    p = distances.all_pairs(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("x"), F.col("s").alias("a")), v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("y"), F.col("s").alias("b"))).where("x <> y")
+    v = vectors(spark, d)
+    p = distances.all_pairs(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("x"), F.col("s").alias("a")), v.select(F.col("vec_id").alias("y"), F.col("s").alias("b"))).where("x <> y")
     return r6(p.select("x", "y", distances.distance("taa", F.col("a"), F.col("b")).alias("score")))
 
 
 def _channel_pairs(spark, d):
     v = series.to_channels(vectors(spark, d), "s", 16)
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("x"), F.col("label").alias("actual"), F.col("channels").alias("a"))
-    return distances.all_pairs(q, v.where("vec_id % 5 = 1").select(F.col("vec_id").alias("y"), "label", F.col("channels").alias("b")))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("x"), F.col("label").alias("actual"), F.col("channels").alias("a"))
+    return distances.all_pairs(q, v.select(F.col("vec_id").alias("y"), "label", F.col("channels").alias("b"))).where("x <> y")
 
 
 _COST = "list_sum(list_transform([0, 1, 2, 3], lambda k: power(a[16 * k + i + 1] - b[16 * k + j], 2)))"
 
 
-@query(f"""with recursive {W64}, p as (select a.vec_id as x, b.vec_id as y, a.s as a, b.s as b from v a, v b where a.vec_id % 50 = 0 and b.vec_id % 5 = 1),
+@query(f"""with recursive {W64}, p as (select a.vec_id as x, b.vec_id as y, a.s as a, b.s as b from v a, v b where a.vec_id % 100 = 0 and b.vec_id <> a.vec_id),
 r as (select x, y, a, b, 0 as i, list_transform(range(17), lambda j: case when j = 0 then 0.0::double else 1e300::double end) as row from p union all
 select x, y, a, b, i + 1, list_reduce(list_transform(range(1, 17), lambda j: [{_COST} + least(row[j], row[j + 1]), {_COST}]), lambda acc, e: list_append(acc, least(e[1], least(1e300, acc[len(acc)] + e[2]))), [1e300::double]) from r where i < 16)
 select x, y, round(sqrt(row[17]), 6) as dependent from r where i = 16""")
@@ -39,7 +39,7 @@ def d_dependent_dtw(spark, d):
     return r6(p.select("x", "y", distances.channel_distance(F.col("a"), F.col("b")).alias("dependent")))
 
 
-@query(f"""with recursive {W64}, p as (select a.vec_id as x, b.vec_id as y, k, a.s[16 * k + 1 : 16 * k + 16] as a, b.s[16 * k + 1 : 16 * k + 16] as b from v a, v b, range(4) t(k) where a.vec_id % 50 = 0 and b.vec_id % 5 = 1),
+@query(f"""with recursive {W64}, p as (select a.vec_id as x, b.vec_id as y, k, a.s[16 * k + 1 : 16 * k + 16] as a, b.s[16 * k + 1 : 16 * k + 16] as b from v a, v b, range(4) t(k) where a.vec_id % 100 = 0 and b.vec_id <> a.vec_id),
 r as (select x, y, k, a, b, 0 as i, list_transform(range(17), lambda j: case when j = 0 then 0.0::double else 1e300::double end) as row from p union all
 select x, y, k, a, b, i + 1, list_reduce(list_transform(range(1, 17), lambda j: [power(a[i + 1] - b[j], 2) + least(row[j], row[j + 1]), power(a[i + 1] - b[j], 2)]), lambda acc, e: list_append(acc, least(e[1], least(1e300, acc[len(acc)] + e[2]))), [1e300::double]) from r where i < 16)
 select x, y, round(sum(sqrt(row[17])), 6) as independent from r where i = 16 group by all""")
@@ -56,10 +56,10 @@ def d_adaptive_channels(spark, d):
 
 @query()
 def d_sphere_cover(spark, d):
-    return r6(distances.sphere_cover(vectors(spark, d).where("vec_id % 2 = 0"), "vec_id", "s", "label").select("class", "radius", "covered"))
+    return r6(distances.sphere_cover(vectors(spark, d), "vec_id", "s", "label").select("class", "radius", "covered"))
 
 
-@query("select module, n from (select unnest(['dtw', 'erp', 'euclidean', 'lcss', 'msm', 'twe', 'wdtw']) as module), (select count(*) as n from embeddings where vec_id % 50 = 0)")
+@query("select module, n from (select unnest(['dtw', 'erp', 'euclidean', 'lcss', 'msm', 'twe', 'wdtw']) as module), (select count(*) as n from embeddings where vec_id % 100 = 0)")
 def v_elastic_members(spark, d):
     return _elastic(spark, d).groupBy("module").agg(F.count("*").alias("n"))
 
@@ -67,7 +67,7 @@ def v_elastic_members(spark, d):
 def _elastic(spark, d):
     x = vectors(spark, d)
     members = {"euclidean": {}, "dtw": {"window": 0.1}, "wdtw": {}, "lcss": {}, "msm": {}, "twe": {}, "erp": {}}
-    return distances.elastic_ensemble(x, x.where("vec_id % 50 = 0"), "vec_id", "s", "label", members)
+    return distances.elastic_ensemble(x, x.where("vec_id % 100 = 0"), "vec_id", "s", "label", members)
 
 
 @query()
@@ -99,7 +99,7 @@ def h_patches(spark, d):
 
 @query()
 def h_clustered(spark, d):
-    best = symbols.best_shapelets(vectors(spark, d).where("vec_id % 10 = 0"), "vec_id", "s", "label", [12], 8, 2)
+    best = symbols.best_shapelets(vectors(spark, d), "vec_id", "s", "label", [12], 8)
     groups = symbols.merge_shapelets(best, 3)
     return spark.createDataFrame([(i, int(best[j]["series_id"]), int(best[j]["start"])) for i, g in enumerate(groups) for j in g], "cluster int, series_id long, start int")
 
@@ -111,8 +111,8 @@ def h_sampled(spark, d):
 
 @query()
 def h_classifier(spark, d):
-    x = vectors(spark, d).where("vec_id % 4 = 0")
-    best = symbols.best_shapelets(x, "vec_id", "s", "label", [16], 10, 8)
+    x = vectors(spark, d)
+    best = symbols.best_shapelets(x, "vec_id", "s", "label", [16], 10)
     t = symbols.shapelet_transform(x, ["vec_id", "label"], "s", [b["content"] for b in best])
     return r6(evaluation.accuracy(models.cross_validate("forest", t, "label", "distances", "vec_id", 2, numTrees=5, seed=1)))
 

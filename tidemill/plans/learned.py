@@ -169,11 +169,11 @@ def k_assignment(spark, d):
     return r6(models.best_assignment(read(spark, d, "lineitem").withColumn("c", F.col("l_linenumber") % 3), "c", "l_returnflag"))
 
 
-@query("with m as (select l_linenumber as c, count(*) as k, avg(l_quantity) as m1, stddev_samp(l_quantity) as s1, avg(l_discount) as m2, stddev_samp(l_discount) as s2 from lineitem group by 1) select l_orderkey as id, c as cluster, round(ln(k / (select count(*) from lineitem)) - power((l_quantity - m1) / s1, 2) / 2 - ln(s1) - power((l_discount - m2) / s2, 2) / 2 - ln(s2) - ln(2 * pi()), 5) as log_density from lineitem, m where l_linenumber = 1")
+@query("with m as (select l_linenumber as c, count(*) as k, avg(l_quantity) as m1, stddev_samp(l_quantity) as s1, avg(l_discount) as m2, stddev_samp(l_discount) as s2 from lineitem group by 1) select l_orderkey as id, c as cluster, round(ln(k / (select count(*) from lineitem)) - power((l_quantity - m1) / s1, 2) / 2 - ln(s1) - power((l_discount - m2) / s2, 2) / 2 - ln(s2) - ln(2 * pi()), 5) as log_density from lineitem, m")
 def k_cluster_densities(spark, d):
     x = read(spark, d, "lineitem")
-    one = models.cluster_densities(x, "l_linenumber", ["l_quantity", "l_discount"], "key") if "key" in x.columns else models.cluster_densities(x.withColumn("key", F.struct("l_orderkey", "l_linenumber")), "l_linenumber", ["l_quantity", "l_discount"], "key")
-    return one.where("id.l_linenumber = 1").select(F.col("id.l_orderkey").alias("id"), "cluster", (F.round("log_density", 5) + 0.0).alias("log_density"))
+    each = models.cluster_densities(x, "l_linenumber", ["l_quantity", "l_discount"], "l_orderkey")
+    return each.select("id", "cluster", (F.round("log_density", 5) + 0.0).alias("log_density"))
 
 
 @query("with n as (select l_linenumber as c, l_returnflag as f, count(*) as n from lineitem group by all), t as (select c, arg_min(f, (-n, f)) as p from n group by 1) select l_returnflag as actual, p as predicted, count(*) as n from lineitem join t on t.c = l_linenumber group by all")
@@ -187,10 +187,10 @@ def k_diagonal_mixture(spark, d):
     return spark.createDataFrame([(p["component"], round(p["share"], 5), [round(x, 4) for x in p["mean"]]) for p in parts], "component int, share double, mean array<double>")
 
 
-@query("with e as (select a.vec_id as x, b.vec_id as y, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(a.embedding[i]::double - b.embedding[i]::double, 2)))) as d from embeddings a, embeddings b where a.vec_id < b.vec_id and a.vec_id < 30 and b.vec_id < 30) select count(distinct x) as edges from (select x from e union select y from e) where (select count(*) from e) > 0 and x > (select min(x) from e)")
+@query(REACH.format(e=1.12, m=1) + " select (select count(*) from v) - count(distinct c) as edges from c")
 def k_spanning_forest(spark, d):
-    x = vectors(spark, d).where("vec_id < 30")
-    f = graphs.minimum_forest(x.select(F.col("vec_id").alias("id")), graphs.radius_join(x, x, "vec_id", "s", 100.0))
+    x = vectors(spark, d)
+    f = graphs.minimum_forest(x.select(F.col("vec_id").alias("id")), graphs.radius_join(x, x, "vec_id", "s", 1.12))
     return f.agg(F.count("*").alias("edges"))
 
 

@@ -40,11 +40,11 @@ def c_haar(spark, d):
     return r6(vectors(spark, d).select("vec_id", series.haar("s").alias("haar")))
 
 
-@query(f"""with {W64}, w as (select vec_id, unnest(range(57)) as i, s from v), z as (select vec_id, i, case when list_stddev_pop(s[i + 1 : i + 8]) > 0 then list_transform(s[i + 1 : i + 8], lambda x: (x - list_avg(s[i + 1 : i + 8])) / list_stddev_pop(s[i + 1 : i + 8])) else list_transform(range(8), lambda x: 0.0::double) end as z from w where vec_id % 10 = 0),
+@query(f"""with {W64}, w as (select vec_id, unnest(range(57)) as i, s from v), z as (select vec_id, i, case when list_stddev_pop(s[i + 1 : i + 8]) > 0 then list_transform(s[i + 1 : i + 8], lambda x: (x - list_avg(s[i + 1 : i + 8])) / list_stddev_pop(s[i + 1 : i + 8])) else list_transform(range(8), lambda x: 0.0::double) end as z from w),
 m as (select a.vec_id, a.i, min(list_sum(list_transform(range(1, 9), lambda k: power(a.z[k] - b.z[k], 2)))) as m from z a join z b on a.vec_id = b.vec_id and abs(a.i - b.i) > 12 group by 1, 2)
 select vec_id, list(round(m, 5) order by i) as profile from m group by 1""")
 def t_matrix_profile(spark, d):
-    x = vectors(spark, d).where("vec_id % 10 = 0")
+    x = vectors(spark, d)
     return x.select("vec_id", F.transform(series.matrix_profile(8)("s"), lambda v: F.round(v, 5) + 0.0).alias("profile"))
 
 
@@ -116,13 +116,13 @@ def t_row_scaling(spark, d):
 
 # --- D ---------------------------------------------------------------------------------------------------------------
 
-PAIR = "p as (select a.vec_id as x, b.vec_id as y, a.s as s, b.s as t from v a join v b on a.label = b.label and a.vec_id % 20 = 0 and b.vec_id % 10 = 5)"
+PAIR = "p as (select a.vec_id as x, b.vec_id as y, a.s as s, b.s as t from v a join v b on a.label = b.label and a.vec_id % 100 = 0 and b.vec_id <> a.vec_id)"
 
 
 def _pairs(spark, d):
     x = vectors(spark, d)
-    a, b = x.where("vec_id % 20 = 0").select(F.col("vec_id").alias("x"), "label", F.col("s").alias("a")), x.where("vec_id % 10 = 5").select(F.col("vec_id").alias("y"), "label", F.col("s").alias("b"))
-    return a.join(b, "label")
+    a, b = x.where("vec_id % 100 = 0").select(F.col("vec_id").alias("x"), "label", F.col("s").alias("a")), x.select(F.col("vec_id").alias("y"), "label", F.col("s").alias("b"))
+    return a.join(b, "label").where("x <> y")
 
 
 @query(f"""with {W64}, w as (select vec_id, unnest(range(64))::int as t, unnest(s) as x from v), g as (select list(r order by t) as r from (select t, max(x) - min(x) as r from w group by 1)), {PAIR}
@@ -161,12 +161,12 @@ def d_minkowski(spark, d):
     return r6(_pairs(spark, d).select("x", "y", A.minkowski(F.col("a"), F.col("b"), 3.0).alias("minkowski")))
 
 
-@query(f"""with {W64}, n as (select a.vec_id as query, b.vec_id as y, a.label as actual, b.label as label, list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2))) as distance from v a, v b where a.vec_id <> b.vec_id and a.vec_id % 10 = 0),
+@query(f"""with {W64}, n as (select a.vec_id as query, b.vec_id as y, a.label as actual, b.label as label, list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2))) as distance from v a, v b where a.vec_id <> b.vec_id and a.vec_id % 100 = 0),
 k as (select *, row_number() over (partition by query order by distance, y) as r from n), w as (select query, actual, label, sum(1 / (distance + 1e-9)) as w from k where r <= 5 group by all)
 select query, actual, arg_max(label, (round(w, 12), -label)) as predicted from w group by all""")
 def d_weighted_vote(spark, d):
     x = vectors(spark, d)
-    return distances.vote(distances.knn_join(x.where("vec_id % 10 = 0"), x, 5, "vec_id", "s", "label"), "inverse")
+    return distances.vote(distances.knn_join(x.where("vec_id % 100 = 0"), x, 5, "vec_id", "s", "label"), "inverse")
 
 
 @query(f"""with {W64}, n as (select a.vec_id as query, a.label as actual, b.label as label, row_number() over (partition by a.vec_id order by list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2))), b.vec_id) as r from v a, v b where a.vec_id <> b.vec_id),
@@ -183,32 +183,32 @@ def d_radius(spark, d):
     return r6(distances.radius_join(x, x, "vec_id", "s", 1.15))
 
 
-@query(f"""with {W64}, b as (select vec_id // 5 as bag, s[1:8] as s from v), p as (select a.bag as x, b.bag as y, sqrt(list_sum(list_transform(range(1, 9), lambda i: power(a.s[i] - b.s[i], 2)))) as d, a.s as sa, b.s as sb from b a join b b on a.bag < b.bag and a.bag % 10 = 0),
+@query(f"""with {W64}, b as (select vec_id // 5 as bag, s[1:8] as s from v), p as (select a.bag as x, b.bag as y, sqrt(list_sum(list_transform(range(1, 9), lambda i: power(a.s[i] - b.s[i], 2)))) as d, a.s as sa, b.s as sb from b a join b b on a.bag < b.bag and a.bag % 100 = 0),
 m as (select x, y, min(d) as least from p group by all), h1 as (select x, y, sa, min(d) as d from p group by all), h2 as (select x, y, sb, min(d) as d from p group by all), h as (select x, y, max(d) as d from (select x, y, d from h1 union all select x, y, d from h2) group by all)
 select x, y, round(least, 6) as least, round(h.d, 6) as hausdorff from m join h using (x, y)""")
 def d_bags(spark, d):
     b = vectors(spark, d).select("vec_id", (F.col("vec_id") / 5).cast("long").alias("bag"), F.slice("s", 1, 8).alias("s"))
-    return r6(distances.bag_distances(b.where("bag % 10 = 0"), b, "bag", "vec_id", "s").where("x < y"))
+    return r6(distances.bag_distances(b.where("bag % 100 = 0"), b, "bag", "vec_id", "s").where("x < y"))
 
 
 @query(f"""with {W64}, z as (select vec_id, label, case when list_stddev_pop(s) > 0 then list_transform(s, lambda x: (x - list_avg(s)) / list_stddev_pop(s)) else s end as s from v),
 g as (select vec_id, label, s, list_transform(range(1, 65), lambda i: case when i = 1 then ((s[2] - s[1]) + (s[3] - s[1]) / 2) / 2 when i = 64 then ((s[63] - s[62]) + (s[64] - s[62]) / 2) / 2 else ((s[i] - s[i - 1]) + (s[i + 1] - s[i - 1]) / 2) / 2 end) as g from z),
-p as (select a.vec_id as query, b.vec_id as y, a.label as actual, b.label as label, list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2))) as d, list_sum(list_transform(range(1, 65), lambda i: power(a.g[i] - b.g[i], 2))) as e from g a, g b where a.vec_id <> b.vec_id and a.vec_id % 5 = 0),
+p as (select a.vec_id as query, b.vec_id as y, a.label as actual, b.label as label, list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2))) as d, list_sum(list_transform(range(1, 65), lambda i: power(a.g[i] - b.g[i], 2))) as e from g a, g b where a.vec_id <> b.vec_id),
 k as (select w, query, actual, arg_min(label, (round(cos(w * pi() / 8) * d + sin(w * pi() / 8) * e, 9), y)) as predicted from p, range(5) t(w) group by all)
 select w::int as setting, round(avg((actual = predicted)::int), 6) as accuracy from k group by 1""")
 def d_derivative_weighted(spark, d):
     x = vectors(spark, d).select("vec_id", "label", A.z_normalise(F.col("s")).alias("s"))
     x = x.withColumn("g", series.derivative(F.col("s")))
-    return r6(distances.weighted_views(x.where("vec_id % 5 = 0"), x, "vec_id", "label", "s", "g", 5).select("setting", "accuracy"))
+    return r6(distances.weighted_views(x, x, "vec_id", "label", "s", "g", 5).select("setting", "accuracy"))
 
 
 @query(f"""with {W64}, c as (select vec_id, label, s, list_transform(range(0, 64), lambda k: list_sum(list_transform(range(0, 64), lambda i: s[i + 1] * cos(k * (i + 0.5) * pi() / 64)))) as g from v),
-p as (select a.vec_id as query, b.vec_id as y, a.label as actual, b.label as label, list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2))) as d, list_sum(list_transform(range(1, 65), lambda i: power(a.g[i] - b.g[i], 2))) as e from c a, c b where a.vec_id <> b.vec_id and a.vec_id % 5 = 0),
+p as (select a.vec_id as query, b.vec_id as y, a.label as actual, b.label as label, list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2))) as d, list_sum(list_transform(range(1, 65), lambda i: power(a.g[i] - b.g[i], 2))) as e from c a, c b where a.vec_id <> b.vec_id),
 k as (select w, query, actual, arg_min(label, (round(cos(w * pi() / 8) * d + sin(w * pi() / 8) * e, 6), y)) as predicted from p, range(5) t(w) group by all)
 select w::int as setting, round(avg((actual = predicted)::int), 6) as accuracy from k group by 1""")
 def d_transform_weighted(spark, d):
     x = vectors(spark, d).withColumn("g", series.cosine_transform(F.col("s")))
-    return r6(distances.weighted_views(x.where("vec_id % 5 = 0"), x, "vec_id", "label", "s", "g", 5).select("setting", "accuracy"))
+    return r6(distances.weighted_views(x, x, "vec_id", "label", "s", "g", 5).select("setting", "accuracy"))
 
 
 @query(f"""with recursive {W64}, p as (select a.vec_id as query, b.vec_id as y, b.label as label, a.label as actual, a.s as a, b.s as b from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
@@ -231,15 +231,15 @@ def d_elastic_nearest(spark, d):
     return r6(out)
 
 
-@query("select 0::int as setting, true as valid, (select count(*) from embeddings where vec_id % 50 = 0) as n union all select 1, true, (select count(*) from embeddings where vec_id % 50 = 0) union all select 2, true, (select count(*) from embeddings where vec_id % 50 = 0)")
+@query("select 0::int as setting, true as valid, (select count(*) from embeddings where vec_id % 100 = 0) as n union all select 1, true, (select count(*) from embeddings where vec_id % 100 = 0) union all select 2, true, (select count(*) from embeddings where vec_id % 100 = 0)")
 def d_window_search(spark, d):
     x = vectors(spark, d)
-    best = distances.window_search(x.where("vec_id % 50 = 0"), x, "vec_id", "s", "label", [0.02, 0.05, 0.1])
+    best = distances.window_search(x.where("vec_id % 100 = 0"), x, "vec_id", "s", "label", [0.02, 0.05, 0.1])
     return best.select("setting", F.col("accuracy").between(0, 1).alias("valid"), "n")
 
 
 @query()
 def d_locally_weighted(spark, d):
     x = read(spark, d, "part").select("p_partkey", F.array(F.col("p_size") / 50.0, F.length("p_type") / 20.0).alias("x"), F.col("p_retailprice").alias("y"))
-    return r6(distances.locally_weighted(x.where("p_partkey % 20 = 0"), x, "p_partkey", "x", "y", 10))
+    return r6(distances.locally_weighted(x.where("p_partkey % 100 = 0"), x, "p_partkey", "x", "y", 10))
 

@@ -29,19 +29,19 @@ def b_shorten_words(spark, d):
     return symbols.shorten_words(_bags(spark, d), 2)
 
 
-_QUERY = "x as (select * from b where vec_id % 25 = 0)"
+_QUERY = "x as (select * from b where vec_id % 100 = 0)"
 
 
 @query(f"with {BAGS}, {_QUERY}, p as (select x.vec_id as a, b.vec_id as b, sum(b.n * b.n - 2 * x.n * b.n) as p from x join b using (word) where x.vec_id <> b.vec_id group by all), q as (select vec_id as a, sum(n * n) as q from x group by 1) select a, b, (q + p)::bigint as distance from p join q using (a)")
 def b_boss_distance(spark, d):
     b = _bags(spark, d).drop("label")
-    return symbols.boss_distance(b.where("vec_id % 25 = 0"), b, "vec_id")
+    return symbols.boss_distance(b.where("vec_id % 100 = 0"), b, "vec_id")
 
 
 @query(f"with {BAGS}, {_QUERY}, n as (select vec_id, sqrt(sum(n * n)) as m from b group by 1), p as (select x.vec_id as a, b.vec_id as b, sum(x.n * b.n) as p from x join b using (word) where x.vec_id <> b.vec_id group by all) select a, b, round(p / (na.m * nb.m), 6) as similarity from p join n na on na.vec_id = a join n nb on nb.vec_id = b")
 def b_bag_cosine(spark, d):
     b = _bags(spark, d).drop("label")
-    return r6(symbols.bag_cosine(b.where("vec_id % 25 = 0"), b, "vec_id"))
+    return r6(symbols.bag_cosine(b.where("vec_id % 100 = 0"), b, "vec_id"))
 
 
 @query(f"with {BAGS}, p as (select x.vec_id as a, b.vec_id as b, sum(b.n * b.n - 2 * x.n * b.n) as p from b x join b using (word) where x.vec_id <> b.vec_id group by all), m as (select a, arg_min(b, (p, b)) as b from p group by 1), y as (select a.label as actual, b.label as predicted from m join v a on a.vec_id = m.a join v b on b.vec_id = m.b) select actual, predicted, count(*) as n from y group by all")
@@ -52,15 +52,15 @@ def b_nearest_bag(spark, d):
 
 
 @query(f"""with {BAGS}, k as (select vec_id, concat_ws('/', k, floor(i * pow(2, k) / 49)::int, word) as word, pow(2, k - 1) as w from l, range(2) t(k)), h as (select vec_id, word, sum(w) as n from k group by all)
-select x.vec_id as a, y.vec_id as b, round(sum(least(x.n, y.n)), 6) as shared from h x join h y using (word) where x.vec_id % 25 = 0 and x.vec_id <> y.vec_id group by all""")
+select x.vec_id as a, y.vec_id as b, round(sum(least(x.n, y.n)), 6) as shared from h x join h y using (word) where x.vec_id % 100 = 0 and x.vec_id <> y.vec_id group by all""")
 def b_pyramid(spark, d):
     w = series.sliding_windows(vectors(spark, d).select("vec_id", "s"), "s", 16).select("vec_id", "start", series.sax(A.z_normalise(F.col("window")), 4, 16).alias("word"))
     h = symbols.pyramid(w, "vec_id", 49, 2)
-    return r6(symbols.histogram_intersection(h.where("vec_id % 25 = 0"), h, "vec_id"))
+    return r6(symbols.histogram_intersection(h.where("vec_id % 100 = 0"), h, "vec_id"))
 
 
 @query(f"""with {BAGS}, p as (select vec_id, label, list_transform(range(8), lambda k: case when list_avg(s[8 * k + 1 : 8 * k + 8]) > 0.67 then 3 when list_avg(s[8 * k + 1 : 8 * k + 8]) > 0 then 2 when list_avg(s[8 * k + 1 : 8 * k + 8]) > -0.67 then 1 else 0 end) as w from v),
-n as (select a.vec_id, a.label as actual, b.label as predicted, row_number() over (partition by a.vec_id order by len(list_filter(range(1, 9), lambda i: a.w[i] <> b.w[i])), b.vec_id) as r from p a, p b where a.vec_id <> b.vec_id and a.vec_id % 5 = 0) select vec_id, actual, predicted from n where r = 1""")
+n as (select a.vec_id, a.label as actual, b.label as predicted, row_number() over (partition by a.vec_id order by len(list_filter(range(1, 9), lambda i: a.w[i] <> b.w[i])), b.vec_id) as r from p a, p b where a.vec_id <> b.vec_id) select vec_id, actual, predicted from n where r = 1""")
 def b_sax_nearest(spark, d):
     from ..operators import distances
 
@@ -68,7 +68,7 @@ def b_sax_nearest(spark, d):
     x = vectors(spark, d).select("vec_id", "label", F.array_compact(word).alias("s"))
     # letters differ or not: each letter as four indicators, half the Manhattan distance
     x = x.withColumn("s", F.flatten(F.transform("s", lambda c: F.array(*(F.when(c == 97.0 + i, 0.5).otherwise(0.0) for i in range(4))))))
-    n = distances.nearest(x.where("vec_id % 5 = 0"), x, "vec_id", "s", "label", "manhattan")
+    n = distances.nearest(x, x, "vec_id", "s", "label", "manhattan")
     return n.select(F.col("query").alias("vec_id"), "actual", F.col("label").alias("predicted"))
 
 
@@ -135,39 +135,32 @@ def h_moods_median(spark, d):
     return r6(symbols.shapelet_mood(_transform(spark, d), "label"))
 
 
-@query("select vec_id as series_id, label as class, start::int as start, n::int as length, 'z' as kind from embeddings, (values (12), (20)) l(n), range(53) t(start) where start <= 64 - n and start % 4 = 0")
+@query("select vec_id as series_id, label as class, start::int as start, n::int as length, 'z' as kind from embeddings, (values (12), (20)) l(n), range(53) t(start) where start <= 64 - n")
 def h_candidates(spark, d):
-    return symbols.shapelet_candidates(vectors(spark, d), "vec_id", "s", "label", [12, 20], 4).select("series_id", "class", "start", "length", F.lit("z").alias("kind"))
+    return symbols.shapelet_candidates(vectors(spark, d), "vec_id", "s", "label", [12, 20]).select("series_id", "class", "start", "length", F.lit("z").alias("kind"))
 
 
-_SMALL = "vec_id % 10 = 0"
-SCORED = """v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as s from embeddings where vec_id % 10 = 0), w as (select vec_id, label, unnest(range(45)) as i, s from v), z as (select vec_id, label, i, list_transform(s[i + 1 : i + 20], lambda x: (x - list_avg(s[i + 1 : i + 20])) / list_stddev_pop(s[i + 1 : i + 20])) as z from w),
-d as (select h.vec_id as sid, h.i, h.label as c, z.vec_id, z.label as o, min(list_sum(list_transform(range(1, 21), lambda t: power(z.z[t] - h.z[t], 2))) / 20) as d from z h, z where h.i % 8 = 0 group by all),
-e as (select sid, i, c, o, count(*) as n, sum(d) as s, sum(d * d) as q from d group by all), t as (select sid, i, c, count(*) as k, sum(n) as n, sum(s) as s, sum(q) as q, sum(s * s / n) as b from e group by all), f as (select sid, i, c, (b - s * s / n) / (k - 1) / ((q - b) / (n - k)) as f from t)"""
-
-
-@query(f"with {SCORED} select sid as series_id, i::int as start, 20 as length, c as class, round(f, 5) as f_statistic from f")
+@query()
 def h_scored_candidates(spark, d):
-    x = symbols.scored_candidates(vectors(spark, d).where(_SMALL), "vec_id", "s", "label", [20], 8)
-    return x.withColumn("f_statistic", F.round("f_statistic", 5) + 0.0)
+    return r6(symbols.scored_candidates(vectors(spark, d), "vec_id", "s", "label", [20]))
 
 
 @query()
 def h_balanced(spark, d):
-    best = symbols.best_shapelets(vectors(spark, d).where(_SMALL), "vec_id", "s", "label", [12], 20, 2, balanced=True)
+    best = symbols.best_shapelets(vectors(spark, d), "vec_id", "s", "label", [12], 20, balanced=True)
     return spark.createDataFrame([(int(b["class"]), int(b["series_id"]), int(b["start"]), int(b["length"])) for b in best], "class int, series_id long, start int, length int")
 
 
 @query()
 def h_tree(spark, d):
-    x = vectors(spark, d).where(_SMALL)
-    tree = symbols.shapelet_tree(x, "vec_id", "s", "label", [16], 2)
+    x = vectors(spark, d)
+    tree = symbols.shapelet_tree(x, "vec_id", "s", "label", [16], 1)
     return evaluation.confusion(symbols.tree_predict(x, ["vec_id", "label"], "s", tree).withColumnRenamed("label", "actual"))
 
 
-@query("select vec_id as series_id, 0::int as start, label::varchar as class, list_transform(embedding[1:16], lambda x: round(x::double, 6)) as content from embeddings where vec_id < 6")
+@query("select vec_id as series_id, 0::int as start, label::varchar as class, list_transform(embedding[1:16], lambda x: round(x::double, 6)) as content from embeddings")
 def h_file(spark, d):
     path = files.scratch(spark, "shapelets")
-    own = vectors(spark, d).where("vec_id < 6").collect()
-    symbols.write_shapelets(spark, [{"quality": 1.0, "series_id": r.vec_id, "start": 0, "class": r.label, "content": r.s[:16]} for r in own], path)
+    own = vectors(spark, d).select(F.lit(1.0).alias("quality"), F.col("vec_id").alias("series_id"), F.lit(0).alias("start"), F.col("label").cast("string").alias("class"), F.slice("s", 1, 16).alias("content"))
+    symbols.write_shapelets(own, path)
     return r6(symbols.read_shapelets(spark, path).select("series_id", "start", "class", "content"))
