@@ -1,4 +1,4 @@
-"""Every query with SQL is held against DuckDB on the smallest tables; the others must run."""
+"""Every query with SQL is held against DuckDB on the smallest tables; the others must give rows."""
 
 import glob
 
@@ -39,4 +39,4 @@ def test_query(spark, duck, name):
     if name in catalog.ORACLE_SQL:
         assert rows(got.toPandas()) == rows(duck.execute(catalog.ORACLE_SQL[name]).df())
     else:
-        assert got.count() >= 0
+        assert got.count() > 0  # tests/test_models.py and tests/test_operators.py hold these operators against plain versions

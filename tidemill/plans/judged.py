@@ -93,7 +93,7 @@ def v_mean_confidence(spark, d):
 
 
 @query(f"with {VP}, w as (select module, avg((actual = predicted)::int) as w from p group by 1), r as ({SUMMED}), {SCORED}")
-def v_hive_collective(spark, d):
+def v_accuracy_collective(spark, d):
     p = _modules(spark, d)
     return r6(evaluation.accuracy(ensembles.collective(p, p)))
 
