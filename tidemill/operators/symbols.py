@@ -434,6 +434,20 @@ def merge_shapelets(shapelets: list[dict], n: int) -> list[list[int]]:
     return groups
 
 
+def interval_forest(df: DataFrame, id_col: str, series: str, label: str, size: int, trees: int, seed: int = 1, depth: int = 5) -> DataFrame:
+    """(item, module, actual, predicted, probs) of trees, each on the means, variances and slopes of its own root-of-size random intervals."""
+    from .models import cross_validate
+
+    classes = df.select(F.max(label)).first()[0] + 1
+    out = None
+    for i in range(trees):
+        x = interval_features(df, [id_col, label], series, random_intervals(size, max(1, int(size**0.5)), seed=seed + i))
+        p = cross_validate("tree", x, label, "features", id_col, 2, maxDepth=depth)
+        p = p.withColumn("module", F.lit(i)).withColumn("probs", F.transform(F.sequence(F.lit(0), F.lit(int(classes) - 1)), lambda c: (c == F.col("predicted")).cast("double")))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 def spectral_forest(df: DataFrame, id_col: str, series: str, label: str, size: int, members: int, seed: int = 1, depth: int = 5) -> DataFrame:
     """(item, module, actual, predicted, probs) of trees, each on the autocorrelations and power spectrum of its own interval (the first on the whole)."""
     from .models import cross_validate

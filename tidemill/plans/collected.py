@@ -117,6 +117,12 @@ def h_classifier(spark, d):
     return r6(evaluation.accuracy(models.cross_validate("forest", t, "label", "distances", "vec_id", 2, numTrees=5, seed=1)))
 
 
+@query()
+def i_own_intervals(spark, d):
+    p = symbols.interval_forest(vectors(spark, d), "vec_id", "s", "label", 64, 3)
+    return r6(evaluation.accuracy(ensembles.majority_vote(p, ensembles.module_weights(p, "equal"))))
+
+
 @query()
 def i_spectral_ensemble(spark, d):
     p = symbols.spectral_forest(vectors(spark, d), "vec_id", "s", "label", 64, 3)
