@@ -119,7 +119,7 @@ def h_classifier(spark, d):
 
 @query()
 def i_own_intervals(spark, d):
-    p = symbols.interval_forest(vectors(spark, d), "vec_id", "s", "label", 64, 3)
+    p = symbols.interval_forest(vectors(spark, d), "vec_id", "s", "label", 64, 2)
     return r6(evaluation.accuracy(ensembles.majority_vote(p, ensembles.module_weights(p, "equal"))))
 
 
