@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, lines, lm, pieces, quality, simhash, substrings, toxicity, vectors
+from . import audit, chat, contamination, lines, lm, mixing, pieces, quality, runs, simhash, substrings, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +59,29 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(own)))
 
 
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = audit.masks(_table(spark, sf_dir, "documents"))
+    return audit.interactions(audit.mask_counts(flags, _table(spark, sf_dir, "labels")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digests(runs.periodic_runs(docs.withColumn("text", runs.planted(F.col("doc_id"), F.col("text")))))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.mix_plan(_table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0)
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 _ALL = (
     op1_lm_scoring, op2_line_dedup, op3_sentencepiece, op4_simhash_near_dedup, op5_quality_classifier, op6_substring_dedup,
-    op7_embedding_near_dedup, op8_decontamination, op9_toxicity, op10_chat_formatting, pipeline,
+    op7_embedding_near_dedup, op8_decontamination, op9_toxicity, op10_chat_formatting,
+    op11_filter_interaction, op12_periodic_runs, op13_source_mixing, pipeline,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -127,3 +143,39 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '')) as loss_sha256, sum(length(f))::bigint as formatted_chars
 from f group by conv_id
 """
+
+# Five filters, all 120 orders: flags of every row, then sums over what fails earlier and now.
+ORACLE_SQL["op11_filter_interaction"] = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, min(doc_id) over (partition by t) as least from d),
+m as (select doc_id, part, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::int
+  + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(least < doc_id, false)::int as mask from w),
+l as (select doc_id, max(coalesce(quality = 1, false)::int) as good, max(coalesce(toxic = 1, false)::int) as toxic from labels where doc_id is not null group by 1),
+c as (select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from m left join l using (doc_id) group by 1, 2),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as b),
+o as (select [a.x, b.x, c.x, d.x, e.x] as xs, [a.b, b.b, c.b, d.b, e.b] as bs from f a, f b, f c, f d, f e where a.b + b.b + c.b + d.b + e.b = 31 and a.b | b.b | c.b | d.b | e.b = 31),
+s as (select array_to_string(xs, '') as filter_order, unnest([1, 2, 3, 4, 5]) as step, bs, coalesce(list_sum(bs[1 : step - 1]), 0)::int as before, bs[step] as own from o)
+select part, filter_order, step, coalesce(sum(n) filter (where mask & (before | own) = 0), 0)::bigint as kept, coalesce(sum(n) filter (where mask & own <> 0 and mask & before = 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (where mask & own <> 0 and mask & before <> 0), 0)::bigint as redundant, coalesce(sum(n) filter (where mask = own), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (where mask & own <> 0 and mask & before = 0), 0)::bigint as good_lost, coalesce(sum(toxic) filter (where mask & own <> 0 and mask & before = 0), 0)::bigint as toxic_lost,
+  coalesce(sum(n * (120 // nullif(bit_count(mask), 0))) filter (where mask & own <> 0), 0)::bigint as shapley
+from c, s group by part, filter_order, step
+"""
+
+# The water level in closed form (sources in the order of limit / weight), the seeded order by MD5, then the best fit for the gap.
+ORACLE_SQL["op13_source_mixing"] = r"""
+with d as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size, md5('mix-1:' || coalesce(doc_id::varchar, '')) as key from documents),
+s as (select source, sum(size)::bigint as source_size from d group by 1),
+w as (select source, source_size, ([3.0, 1.0, 2.0])[(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight, sum(source_size) over ()::double as total from s),
+r as (select *, 2.0 * source_size / weight as r from w),
+c as (select *, (total * 1.5 - coalesce(sum(2.0 * source_size) over (order by r range between unbounded preceding and current row exclude group), 0)) / sum(weight) over (order by r range between current row and unbounded following) as level from r),
+v as (select arg_min(level, r) as level from c where r >= level),
+t as (select source, source_size, least(2.0 * source_size, weight * level) as target from w, v),
+f as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t),
+g as (select *, target - whole * source_size as rest from f),
+p as (select d.*, g.source_size, g.target, g.whole, g.rest, sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and current row) as upto from d join g on d.source is not distinct from g.source),
+o as (select *, (rest > 0 and upto <= rest)::int as once, rest - coalesce(max(case when upto <= rest then upto end) over (partition by source), 0) as gap from p),
+b as (select source, min(row(abs(size - gap), key, doc_id, size)) as b from o where once = 0 and abs(size - gap) < gap group by 1)
+select o.doc_id, o.size, o.source_size, o.target, (o.size * (whole + once + (b.b is not null)::int))::bigint as taken
+from o left join b on o.source is not distinct from b.source and o.key = b.b[2] and o.size = b.b[4]
+"""

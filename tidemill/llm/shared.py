@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
@@ -40,6 +40,11 @@ def free_name(wanted: str, *frames: DataFrame) -> str:
     return wanted
 
 
+def word_array(text: Column) -> Column:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text that is not null, as an array, without Python."""
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after its session was told to hand Python few rows at a time: texts are long, and a task holds whole batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
