@@ -295,10 +295,17 @@ def scored_candidates(df: DataFrame, id_col: str, series: str, label: str, lengt
 def best_shapelets(df: DataFrame, id_col: str, series: str, label: str, lengths: list[int], k: int, step: int = 1, balanced: bool = False) -> list[dict]:
     """The k best candidates by F-statistic without overlaps inside a series (of each class k over the classes, if ``balanced``).
 
-    Every candidate is judged. Each series keeps its own candidates that overlap no better one, by a greedy pass over its few
-    candidates; then a top-k over all series.
+    Every candidate is judged.
     """
-    scored = scored_candidates(df, id_col, series, label, lengths, step, balanced).withColumn("q", F.round("f_statistic", 9))
+    return pick_shapelets(scored_candidates(df, id_col, series, label, lengths, step, balanced), df, id_col, series, label, k, balanced)
+
+
+def pick_shapelets(scored: DataFrame, df: DataFrame, id_col: str, series: str, label: str, k: int, balanced: bool = False) -> list[dict]:
+    """The k best of ``scored`` (series_id, start, length, class, f_statistic) with their contents.
+
+    Each series keeps its own candidates that overlap no better one, by a greedy pass over its few candidates; then a top-k over all series.
+    """
+    scored = scored.withColumn("q", F.round("f_statistic", 9))
     kinds = dict(scored.dtypes)
 
     def apart(g: pd.DataFrame) -> pd.DataFrame:
