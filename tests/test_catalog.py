@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidemill.plans import catalog, collected, diagnostics, judged, learned, more, series_queries, streams, symbolic, tables  # noqa: F401
+from tidemill.plans import catalog, collected, diagnostics, judged, learned, more, searches, series_queries, streams, symbolic, tables  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

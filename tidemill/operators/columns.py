@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import at_positions, next_values, running_sums, value_counts
+from .sampling import seeded
 from .table import add_id
 
 
@@ -242,9 +243,9 @@ def label_noise(df: DataFrame, column: str, percent: float, id_col: str, seed: i
     """Change the label of about ``percent`` of the rows to another one, chosen by a hash of the id and the seed."""
     labels = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()]
     known = F.array(*map(F.lit, labels))
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(10_000)) / 100.0
+    u = F.pmod(seeded(seed, id_col), F.lit(10_000)) / 100.0
     others = F.array_remove(known, F.col(column))
-    pick = F.element_at(others, (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(max(1, len(labels) - 1))) + 1).cast("int"))
+    pick = F.element_at(others, (F.pmod(seeded(seed + 1, id_col), F.lit(max(1, len(labels) - 1))) + 1).cast("int"))
     return df.withColumn(column, F.when((u < percent) & F.col(column).isNotNull() & F.lit(len(labels) > 1), pick).otherwise(F.col(column)))
 
 

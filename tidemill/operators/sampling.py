@@ -6,8 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seeded numbers lie in [0, KEYS).
+KEYS = 1 << 60
+
+
+def seeded(seed: int, *columns: str) -> Column:
+    """A number in [0, KEYS): the first 15 hex digits of the MD5 of the seed and the columns, joined by colons. Any engine can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns))), 1, 15), 16, 10).cast("long")
+
+
 def order_key(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+    return seeded(seed, id_col)
 
 
 def hash_rank(df: DataFrame, label: str, id_col: str, seed: int, name: str = "__r") -> DataFrame:
@@ -15,7 +24,7 @@ def hash_rank(df: DataFrame, label: str, id_col: str, seed: int, name: str = "__
 
     The hash's leading bits deal each class to 1,024 ranges; a row's place is its place in its range and the rows of the ranges before.
     """
-    dealt = df.withColumn("__b", F.shiftright(order_key(id_col, seed), 54))
+    dealt = df.withColumn("__b", F.shiftright(order_key(id_col, seed), 50))
     counts = dealt.groupBy(label, "__b").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col(label).alias("__l"), F.col("__b").alias("__of"), before.alias("__before"))
@@ -25,9 +34,15 @@ def hash_rank(df: DataFrame, label: str, id_col: str, seed: int, name: str = "__
 
 
 def randomise(df: DataFrame, id_col: str, seed: int = 1) -> DataFrame:
+    """The rows in a seeded order."""
     return df.orderBy(order_key(id_col, seed), id_col)
 
 
+def random_places(df: DataFrame, id_col: str, seed: int = 1, name: str = "place") -> DataFrame:
+    """``df`` with ``name``: each row's place from 1 in the order of :func:`randomise`, without sorting the table in one task."""
+    return hash_rank(df.withColumn("__one", F.lit(1)), "__one", id_col, seed, name).drop("__one")
+
+
 def resample(df: DataFrame, id_col: str, percent: float, seed: int = 1, invert: bool = False) -> DataFrame:
     """Rows without replacement whose hash falls under a share (the others, if inverted): no sort, no shuffle."""
     hit = F.pmod(order_key(id_col, seed), F.lit(1_000_000)) < percent * 10_000
@@ -130,9 +145,9 @@ def smote(df: DataFrame, label: str, minority, id_col: str, features: str, perce
     own = df.where(F.col(label) == minority)
     near = knn_join(own, own, k, id_col, features, label).select(F.col("query").alias("q"), F.col("neighbour").alias("nb"), "rank")
     per = max(1, percent // 100)
-    picks = own.select(F.col(id_col).alias("q"), F.col(features).alias("a"), F.explode(F.sequence(F.lit(1), F.lit(per))).alias("i")).withColumn("rank", (F.pmod(F.xxhash64("q", "i", F.lit(seed)), F.lit(k)) + 1).cast("int"))
+    picks = own.select(F.col(id_col).alias("q"), F.col(features).alias("a"), F.explode(F.sequence(F.lit(1), F.lit(per))).alias("i")).withColumn("rank", (F.pmod(seeded(seed, "q", "i"), F.lit(k)) + 1).cast("int"))
     both = picks.join(near, ["q", "rank"]).join(own.select(F.col(id_col).alias("nb"), F.col(features).alias("b")), "nb")
-    u = F.pmod(F.xxhash64("q", "i", F.lit(seed + 1)), F.lit(10_000)) / 10_000.0
+    u = F.pmod(seeded(seed + 1, "q", "i"), F.lit(10_000)) / 10_000.0
     return both.select(F.lit(None).cast(dict(df.dtypes)[id_col]).alias(id_col), F.zip_with("a", "b", lambda x, y: x + u * (y - x)).alias(features), F.lit(minority).alias(label))
 
 

@@ -158,18 +158,19 @@ def k_profiles(spark, d):
     return models.profile_clusters(_results(spark, d), 2)
 
 
-@query("select vec_id as id, true as one from embeddings")
+# Two classes that one cut parts: the tree's leaves are its two sides.
+@query("select l_orderkey * 10 + l_linenumber as id, case when l_linenumber <= 3 then [1, 0] else [0, 1] end as membership from lineitem")
 def c_leaf_membership(spark, d):
-    m = models.leaf_membership(vectors(spark, d), "s", "label", "vec_id", 3)
-    return m.select("id", ((F.aggregate("membership", F.lit(0), lambda a, x: a + x) == 1) & (F.get("membership", F.col("leaf")) == 1)).alias("one"))
+    x = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(F.col("l_linenumber").cast("double")).alias("x"), (F.col("l_linenumber") > 3).cast("int").alias("y"))
+    return models.leaf_membership(x, "x", "y", "id", 1).select("id", F.transform("membership", lambda v: v.cast("int")).alias("membership"))
 
 
-@query("with u as (select true as near) select near from u")
+@query("select 3.0::double as slope, 7.0::double as intercept, 0.0::double as median from (select count(*) from part)")
 def l_median_squares(spark, d):
     x = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (3.0 * F.col("p_size") + 7 + F.when(F.col("p_partkey") % 5 == 0, F.col("p_retailprice")).otherwise(0.0)).alias("y"))
     line = models.median_squares(x, "x", "y", "p_partkey")
     # four rows in five lie on the line 3x + 7, whatever the rest do
-    return spark.createDataFrame([(abs(line["slope"] - 3) < 1e-6 and abs(line["intercept"] - 7) < 1e-6,)], "near boolean")
+    return r6(spark.createDataFrame([tuple(float(line[c]) for c in ("slope", "intercept", "median"))], "slope double, intercept double, median double"))
 
 
 @query(f"""with {SETS}, w as (select least(floor(confidence * 20), 19)::int as b, count(*) / sum(count(*)) over () as p from u group by 1), x as (select antecedent, consequent, support * n as h, support / confidence * n as t, w.b, w.p, (w.b + 0.5) / 20 as c from u, w, n), l as (select *, h * ln(c) + (t - h) * ln(1 - c) as l, max(h * ln(c) + (t - h) * ln(1 - c)) over (partition by antecedent, consequent) as top from x)
@@ -184,7 +185,11 @@ def t_autoregression_order(spark, d):
     return r6(vectors(spark, d).select("vec_id", series.autoregression_by_aic("s").alias("ar")))
 
 
-@query(f"with {W64} select vec_id, (20 + 10 + 10)::int as n, round(list_sum(list_transform(range(20), lambda k: 0.0::double)), 6) as zero from v")
+# Autocorrelations of the cut series to lag 20; Durbin-Levinson on biased autocovariances, order by order, for the others.
+@query(f"""with recursive {W64}, l as (select vec_id, unnest(range(1, 21)) as k, s from v), q as (select vec_id, k, s[1 : 64 - k] as x, s[k + 1 : 64] as y from l), a as (select vec_id, list(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - list_avg(x)) * (p[2] - list_avg(y)))) / len(x) / (list_stddev_pop(x) * list_stddev_pop(y)) order by k) as acf from q group by 1),
+c as (select vec_id, list_transform(s, lambda x: x - list_avg(s)) as c from v), r as (select vec_id, list_transform(range(1, 11), lambda k: list_sum(list_transform(range(1, 65 - k), lambda i: c[i] * c[i + k])) / list_sum(list_transform(c, lambda x: x * x))) as r from c),
+t as (select vec_id, r, 0 as k, []::double[] as phi, []::double[] as pacf from r union all select vec_id, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - n * phi[k + 1 - j]), n), list_append(pacf, n)
+  from (select *, (r[k + 1] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j])), 0)) / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j])), 0)) as n from t where k < 10))
+select vec_id, list_transform(list_concat(acf, pacf, phi), lambda x: round(x, 6)) as features from t join a using (vec_id) where k = 10""")
 def t_combined(spark, d):
-    x = series.acf_pacf_ar(vectors(spark, d), ["vec_id"], "s", 20)
-    return x.select("vec_id", F.size("features").alias("n"), F.when(F.forall("features", lambda v: F.abs(v) <= 10), 0.0).alias("zero"))
+    return r6(series.acf_pacf_ar(vectors(spark, d), ["vec_id"], "s", 20))

@@ -157,11 +157,12 @@ def k_core_distances(spark, d):
     return r6(graphs.core_distances(vectors(spark, d), "vec_id", "s", "label", 5))
 
 
-@query("select 1.1::double as epsilon, true as plausible union all select 1.15, true")
+_SWEPT = " select {e}::double as epsilon, (select count(distinct c) from c) as clusters, (select count(*) from v where vec_id not in (select id from c) and vec_id not in (select n.x from n join c on c.id = n.y)) as noise"
+
+
+@query("select * from (" + REACH.format(e=1.1, m=3) + _SWEPT.format(e=1.1) + ") union all select * from (" + REACH.format(e=1.15, m=3) + _SWEPT.format(e=1.15) + ")")
 def k_epsilon_sweep(spark, d):
-    s = graphs.epsilon_sweep(vectors(spark, d), "vec_id", "s", [1.1, 1.15], 3)
-    n = vectors(spark, d).count()
-    return s.select("epsilon", ((F.col("clusters") * 3 + F.col("noise") <= n) & (F.col("noise") >= 0)).alias("plausible"))
+    return graphs.epsilon_sweep(vectors(spark, d), "vec_id", "s", [1.1, 1.15], 3)
 
 
 @query("with n as (select l_linenumber % 3 as c, l_returnflag as f, count(*) as n from lineitem group by all) select (select count(*) from lineitem) as n, max(a.n + b.n + c.n)::bigint as hits, round(1 - max(a.n + b.n + c.n) / (select count(*) from lineitem), 6) as error from n a, n b, n c where a.c = 0 and b.c = 1 and c.c = 2 and a.f <> b.f and b.f <> c.f and a.f <> c.f")
@@ -187,11 +188,13 @@ def k_diagonal_mixture(spark, d):
     return spark.createDataFrame([(p["component"], round(p["share"], 5), [round(x, 4) for x in p["mean"]]) for p in parts], "component int, share double, mean array<double>")
 
 
-@query(REACH.format(e=1.12, m=1) + " select (select count(*) from v) - count(distinct c) as edges from c")
+# An edge is in the forest unless smaller edges connect its ends.
+@query("""with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as s from embeddings), e as (select a.vec_id as x, b.vec_id as y, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2)))) as d from v a, v b where a.vec_id < b.vec_id),
+k as (select x, y, d, row_number() over (order by round(d, 9), x, y) as k from e where d <= 1.12), b as (select k, x, y from k union all select k, y, x from k), r as (select k, x as a from k union select r.k, b.y from r join b on b.x = r.a and b.k < r.k)
+select x, y, round(d, 6) as distance from k where (k, y) not in (select k, a from r)""")
 def k_spanning_forest(spark, d):
     x = vectors(spark, d)
-    f = graphs.minimum_forest(x.select(F.col("vec_id").alias("id")), graphs.radius_join(x, x, "vec_id", "s", 1.12))
-    return f.agg(F.count("*").alias("edges"))
+    return r6(graphs.minimum_forest(x.select(F.col("vec_id").alias("id")), graphs.radius_join(x, x, "vec_id", "s", 1.12)))
 
 
 # --- L ---------------------------------------------------------------------------------------------------------------

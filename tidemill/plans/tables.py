@@ -215,15 +215,21 @@ def r_roughly_equal(spark, d):
 # --- X ---------------------------------------------------------------------------------------------------------------
 
 
-@query("select o_orderkey from orders")
+def seeded(seed: int, *columns: str) -> str:
+    """SQL of :func:`sampling.seeded`."""
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(columns)})), 1, 15))::bigint"
+
+
+@query(f"select o_orderkey, row_number() over (order by {seeded(3, 'o_orderkey')}, o_orderkey) as place from orders")
 def x_randomise(spark, d):
-    return sampling.randomise(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 3)
+    return sampling.random_places(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 3)
 
 
-@query("select o_orderkey, 1::bigint as times from orders")
+@query(f"select o_orderkey, {seeded(1, 'o_orderkey')} % 1000000 < 300000 as chosen from orders")
 def x_resample_and_rest(spark, d):
     x = read(spark, d, "orders").select("o_orderkey")
-    return sampling.resample(x, "o_orderkey", 30).union(sampling.resample(x, "o_orderkey", 30, invert=True)).groupBy("o_orderkey").agg(F.count("*").alias("times"))
+    part = lambda rest: sampling.resample(x, "o_orderkey", 30, invert=rest).select("o_orderkey", F.lit(not rest).alias("chosen"))
+    return part(False).union(part(True))
 
 
 @query("with c as (select o_orderpriority, count(*) as n from orders group by 1), t as (select sum(n) as t, count(*) as k from c) select o_orderpriority, round(0.5 * (0.4 * t / k + 0.6 * n))::bigint as n from c, t")
@@ -232,10 +238,10 @@ def x_supervised_resample(spark, d):
     return x.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("select 200::bigint as n, 0::bigint as of_no_weight")
+@query(f"with x as (select l_orderkey * 10 + l_linenumber as id, l_discount from lineitem where l_discount > 0) select id, l_discount from x order by -ln(({seeded(1, 'id')} % 2147483647 + 1) / 2147483648) / l_discount, id limit 200")
 def x_weighted_sample(spark, d):
     x = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_discount")
-    return sampling.weighted_sample(x, "id", "l_discount", 200).agg(F.count("*").alias("n"), F.count_if(F.col("l_discount") == 0).alias("of_no_weight"))
+    return sampling.weighted_sample(x, "id", "l_discount", 200)
 
 
 @query("select o_orderstatus, sum((o_orderkey % 4 > 0)::int)::bigint as train, sum((o_orderkey % 4 = 0)::int)::bigint as test from orders group by 1")
@@ -273,12 +279,16 @@ def x_sparse_dense(spark, d):
     return r6(m.select("vec_id", F.size("m").alias("entries"), sampling.to_dense(F.col("m"), 64).alias("dense")))
 
 
-@query("select label, n, n as of_class, (n * 2)::bigint as with_synthetic from (select label, count(*) as n from embeddings where label = 3 group by 1)")
+SMOTE = """with v as (select vec_id, list_transform(embedding, lambda x: x::double) as s from embeddings where label = 3),
+n as (select a.vec_id as q, a.s as a, b.s as b, row_number() over (partition by a.vec_id order by list_sum(list_transform(range(1, 65), lambda i: power(a.s[i] - b.s[i], 2))), b.vec_id) as rank from v a, v b where a.vec_id <> b.vec_id),
+p as (select vec_id as q, unnest(range(1, {per} + 1)) as i from v), m as (select a, b, {u} % 10000 / 10000.0::double as u from p join n on n.q = p.q and n.rank = {r} % 5 + 1)"""
+SMOTE = SMOTE.replace("{u}", seeded(2, "p.q", "i")).replace("{r}", seeded(1, "p.q", "i"))
+
+
+@query(SMOTE.replace("{per}", "1") + " select 3::int as label, count(*) as n, round(sum(a[1] + u * (b[1] - a[1])), 5) as first from m")
 def x_smote_counts(spark, d):
-    x = vectors(spark, d)
-    made = sampling.smote(x, "label", 3, "vec_id", "s", 100)
-    own = x.where("label = 3").select("vec_id", "s", "label")
-    return made.groupBy("label").agg(F.count("*").alias("n")).join(own.groupBy("label").agg(F.count("*").alias("of_class")), "label").withColumn("with_synthetic", F.col("n") + F.col("of_class"))
+    made = sampling.smote(vectors(spark, d), "label", 3, "vec_id", "s", 100)
+    return made.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("s")[0]), 5).alias("first"))
 
 
 # --- C: further column transforms ------------------------------------------------------------------------------------
@@ -370,11 +380,10 @@ def c_obfuscate(spark, d):
     return columns.obfuscate(read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderpriority", "o_orderstatus"])
 
 
-@query("select count(*) as n, true as near_a_tenth, 0::bigint as unknown_labels from orders")
+@query(f"""with l as (select list(distinct o_orderstatus order by o_orderstatus) as l from orders), x as (select o_orderkey, o_orderstatus, {seeded(1, 'o_orderkey')} as u, {seeded(2, 'o_orderkey')} as p, list_filter(l, lambda v: v <> o_orderstatus) as others from orders, l)
+select o_orderkey, case when u % 10000 / 100 < 10 then others[p % len(others) + 1] else o_orderstatus end as o_orderstatus from x""")
 def c_label_noise(spark, d):
-    x = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderstatus").alias("before"))
-    y = columns.label_noise(x, "o_orderstatus", 10, "o_orderkey")
-    return y.agg(F.count("*").alias("n"), (F.abs(F.avg((F.col("before") != F.col("o_orderstatus")).cast("int")) - 0.1) < 0.04).alias("near_a_tenth"), F.count_if(~F.col("o_orderstatus").isin("F", "O", "P")).alias("unknown_labels"))
+    return columns.label_noise(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", 10, "o_orderkey")
 
 
 @query("select vec_id, list_transform(range(1, 64), lambda i: round(embedding[i]::double - embedding[i + 1]::double, 6)) as d from embeddings")
@@ -387,11 +396,13 @@ def c_latent_semantics(spark, d):
     return r6(columns.latent_semantics(vectors(spark, d), "vec_id", "s", 64, 5).select("vec_id", F.transform("scores", F.abs).alias("scores")))
 
 
-@query("""with m as (select avg(l_quantity) as mq, avg(l_discount) as md, avg(l_tax) as mt, covar_pop(l_quantity, l_extendedprice) as a, covar_pop(l_discount, l_extendedprice) as b, covar_pop(l_tax, l_extendedprice) as c from lineitem)
-select l_orderkey * 10 + l_linenumber as id, round((a * (l_quantity - mq) + b * (l_discount - md) + c * (l_tax - mt)) / sqrt(a * a + b * b + c * c), 5) as first from lineitem, m""")
+@query("""with m as (select avg(l_quantity) as mq, avg(l_discount) as md, avg(l_tax) as mt, covar_pop(l_quantity, l_extendedprice) as a, covar_pop(l_discount, l_extendedprice) as b, covar_pop(l_tax, l_extendedprice) as c from lineitem),
+t as (select l_orderkey * 10 + l_linenumber as id, l_quantity - mq as q, l_discount - md as d, l_tax - mt as x, l_extendedprice as y, (a * (l_quantity - mq) + b * (l_discount - md) + c * (l_tax - mt)) / sqrt(a * a + b * b + c * c) as t from lineitem, m),
+p as (select sum(q * t) / sum(t * t) as pq, sum(d * t) / sum(t * t) as pd, sum(x * t) / sum(t * t) as px, avg(y) as my from t), r as (select id, t, q - t * pq as q, d - t * pd as d, x - t * px as x, y - my as y from t, p), w as (select sum(q * y) as wq, sum(d * y) as wd, sum(x * y) as wx from r)
+select id, round(t, 5) as first, round(abs(q * wq + d * wd + x * wx) / sqrt(wq * wq + wd * wd + wx * wx), 5) as second from r, w""")
 def c_partial_least_squares(spark, d):
     x = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    return columns.partial_least_squares(x, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 2).select("id", (F.round(F.col("scores")[0], 5) + 0.0).alias("first"))
+    return columns.partial_least_squares(x, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 2).select("id", (F.round(F.col("scores")[0], 5) + 0.0).alias("first"), (F.round(F.abs(F.col("scores")[1]), 5) + 0.0).alias("second"))
 
 
 @query(f"select vec_id, list_transform({columns.projection_matrix(10, 64).round(12).tolist()}, lambda w: round(list_sum(list_transform(range(1, 65), lambda i: w[i] * embedding[i]::double)), 6)) as p from embeddings")
@@ -405,7 +416,12 @@ def c_random_columns(spark, d):
     return columns.random_columns(x, 2, keep=["l_orderkey", "l_linenumber"], seed=1)
 
 
-@query("""with c as (select l_returnflag as v, l_linestatus as c, count(*)::double as n from lineitem group by all) select l_returnflag, l_linestatus, count(*) as n from lineitem group by all""")
+# The pair of groups of least chi-squared value merges while that is under the 0.05 point of one degree of freedom.
+@query("""with recursive c as (select l_linenumber::varchar as v, sum((l_quantity > 25)::int) as a, sum((l_quantity <= 25)::int) as b from lineitem group by 1), t(step, v, g, a, b) as (select 0, v, v, a, b from c union all
+select t.step + 1, t.v, case when t.g = m.m.h then m.m.g else t.g end, t.a, t.b from t, (select arg_min({'g': g, 'h': h}, x) as m, min(x) as x from (select p.g, q.g as h, (p.a + p.b + q.a + q.b) * power(p.a * q.b - p.b * q.a, 2) / ((p.a + p.b) * (q.a + q.b) * (p.a + q.a) * (p.b + q.b)) as x
+  from (select g, sum(a)::double as a, sum(b)::double as b from t group by 1) p, (select g, sum(a)::double as a, sum(b)::double as b from t group by 1) q where p.g < q.g) having count(*) > 1 and min(x) < 3.841458820694124) m),
+e as (select v, g from t where step = (select max(step) from t)), n as (select g, string_agg(v, '_or_' order by v) as l_linenumber from e group by 1)
+select n.l_linenumber, l_quantity > 25 as large, count(*) as n from lineitem join e on e.v = l_linenumber::varchar join n using (g) group by all""")
 def c_chaid_kept(spark, d):
-    x = columns.merge_by_chaid(read(spark, d, "lineitem").select("l_returnflag", "l_linestatus"), "l_returnflag", "l_linestatus", 1.0)
-    return x.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    x = read(spark, d, "lineitem").select(F.col("l_linenumber").cast("string").alias("l_linenumber"), (F.col("l_quantity") > 25).alias("large"))
+    return columns.merge_by_chaid(x, "l_linenumber", "large").groupBy("l_linenumber", "large").agg(F.count("*").alias("n"))
