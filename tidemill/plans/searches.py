@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import learned_shapelets, linkage, pivots, shapelet_search, symbols
+from ..operators import category_clusters, learned_shapelets, linkage, pivots, rotation, shapelet_search, symbols, text
 from .catalog import ORACLE_SQL, query, r6, read, vectors
 from .symbolic import BAGS
 
@@ -91,3 +91,21 @@ def k_average_link(spark, d):
 @query()
 def k_ward_link(spark, d):
     return _brand_tree(spark, d, "ward")
+
+
+@query()
+def k_information(spark, d):
+    terms = text.term_counts(read(spark, d, "documents"), "doc_id", text.tokens(F.lower("text"))).select(F.col("doc_id").alias("doc"), F.col("term").alias("word"), "n")
+    return category_clusters.information_clusters(terms, 4, sweeps=3, parts=2)[0]
+
+
+@query()
+def k_item_profit(spark, d):
+    x = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array("o_orderstatus", "o_orderpriority", F.quarter("o_orderdate").cast("string")).alias("items"))
+    return category_clusters.item_clusters(x, 2.6)
+
+
+@query()
+def i_rotation_forest(spark, d):
+    x = vectors(spark, d)
+    return rotation.RotationForest(trees=5).fit(x, "vec_id", "s", "label").predict(x, ["vec_id", "label"], "s").select("vec_id", "label", "predicted")
