@@ -3,14 +3,16 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import audit, mixing, queries, runs, shared
+from tidemill.llm import audit, lm, mixing, queries, runs, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, bucket int, mask string, place int, h long, part int, runs int, range int"
@@ -224,3 +226,57 @@ def test_empty_tables(spark):
     assert audit.interactions(audit.mask_counts(audit.masks(none), labels)).count() == 0
     assert runs.digests(runs.periodic_runs(none)).count() == 0
     assert mixing.mix_plan(none, [3, 1, 2]).count() == 0 and mixing.mixed(none, [1]).count() == 0
+
+
+@pytest.fixture
+def lm_docs(spark):
+    rng = np.random.default_rng(17)
+    names = [f"{a}{b}{i}" for i in range(40) for a in "xyz" for b in ("er", "or", "A")]
+    p = 1 / np.arange(1, len(names) + 1)
+    rows = [(i, " ".join(rng.choice(names, int(rng.integers(0, 60)), p=p / p.sum())), "s") for i in range(120)]
+    return frame(spark, [*rows, (500, None, "s"), (None, rows[3][1], "s"), rows[4], rows[4]])
+
+
+@pytest.mark.parametrize("table", [lm.TABLE, 90])
+def test_lm_scores_against_a_plain_scorer(spark, lm_docs, table, monkeypatch):
+    monkeypatch.setattr(lm, "TABLE", table)
+    monkeypatch.setattr(lm, "PART_TOKENS", 700)
+    known = [(r.doc_id, r.text or "") for r in lm_docs.collect()]
+    train = [(i, t) for i, t in known if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t)
+    tokens = lambda t: WORD.findall(lower(t))
+    of = {x: int(shared.words(pa.array([x])).hash[0]) for _, t in known for x in tokens(t)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    count = collections.Counter(x for _, t in train for x in tokens(t))
+    top = sorted(count, key=lambda x: (-count[x], signed(of[x])))[:table]
+    cls = {x: int(lm._class_of(shared.words(pa.array([x])), np.array([0]))[0]) for x in of}
+    symbol = {x: k for k, x in enumerate(top[: lm.SYMBOLS])}
+    # the fit is a function of the rows alone: fitted here again, on other partitions
+    rows = spark.createDataFrame(train, "doc_id long, text string").repartition(5)
+    v, rare = lm._vocabulary(shared.cut(lm.word_counts(rows)), len(train))
+    assert set(v.hashes.tolist()) == {of[x] for x in top} and {r.hash for r in rare.collect()} == {signed(of[x]) for x in count if x not in top}
+    values, weight = lm.fit(rows, v)
+    x = values.astype(float)
+    bias = np.where(v.share > 0, x[2, :, lm.DIM], -1e4)
+
+    def plain(t):
+        before = [v.start, v.start]
+        out = 0.0
+        for w in [*tokens(t), None]:
+            at = v.end if w is None else symbol.get(w, lm.SYMBOLS + 2 + cls[w])
+            z = (x[0, before[-1], : lm.DIM] + x[1, before[-2], : lm.DIM]) @ x[2, :, : lm.DIM].T + bias
+            p = np.exp(z - z.max())
+            out += math.log10(weight * p[at] / p.sum() + (1 - weight) * v.share[at])
+            if w is not None and w not in symbol:
+                members = [y for y in count if y not in symbol and cls[y] == cls[w]]
+                out += math.log10((count[w] + 1) / (sum(count[y] for y in members) + len(members) + 1))
+            before.append(at)
+        return out
+
+    got = collections.defaultdict(list)
+    for r in lm.score(lm_docs.repartition(3)).collect():
+        got[r.doc_id].append(r.score)
+    assert sum(map(len, got.values())) == len(known)
+    assert all(abs(s - plain(t)) < 2e-3 * (1 + len(tokens(t)) ** 0.5) for i, t in known for s in got[i])
+    again = collections.Counter((r.doc_id, round(r.score, 9)) for r in lm.score(lm_docs.repartition(7)).collect())
+    assert again == collections.Counter((i, round(s, 9)) for i, many in got.items() for s in many)

@@ -7,8 +7,11 @@ probability times its own smoothed share of the class, so the probabilities of a
 class sum to one. For scoring, products of the context and target matrices give every pair's score, and one more
 product of their exponentials gives every context's exact normaliser.
 
-Counts cover all training texts. Every training token takes part in the fit: tasks fit local models over their texts,
-starting from the mean of the round before, and their parameters are averaged by groupBy, weighted by tokens.
+Counts cover all training texts. Every training token takes part in the fit: documents are dealt by hash to parts of about
+PART_TOKENS tokens, each part fits a local model in the order of hashes, starting from the mean of the round before, and the
+parameters are averaged by groupBy, weighted by tokens, as whole numbers. So the fit depends on the rows alone, not on how they lie in
+partitions. In the first round some batches are scored before they are learned from; what weight of the model against the plain shares of the
+symbols scores them best is the weight of the final mixture.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, fold, mix, slices, small_batches, words
+from .shared import cut, drop_cut, mix, slices, small_batches, words
 
 #: Frequent words that are symbols; further frequent words whose counts every task holds; classes of rarer words; numbers of a vector.
 SYMBOLS, TABLE, CLASSES, DIM = 1022, 65_536, 1024, 16
 NOISE, BATCH, RATE, ROUNDS = 24, 2048, 0.15, 2
+#: Training tokens of a part; one of so many batches of the first round is scored first; weights of the model that are tried.
+PART_TOKENS, TRIED, WEIGHTS = 1 << 21, 16, [i / 10 for i in range(11)]
 #: What Adagrad's sums of squares start at: numbers of which little is seen stay near the unigram start.
 FIRST_SQUARE = 1.0
 END_HASH = np.uint64(0x1F2E3D4C5B6A7988)
@@ -112,13 +117,27 @@ class LogBilinear:
         self.values = values.astype(np.float32)
         self.square = np.full_like(self.values, FIRST_SQUARE)
         self.rng = np.random.default_rng(11)
+        self.tried = np.zeros(len(WEIGHTS))
+        self.batches = 0
         self.noise_cdf = np.cumsum(vocabulary.share)
         self.log_noise = np.log(np.maximum(NOISE * vocabulary.share, 1e-12)).astype(np.float32)
 
-    def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+    def probabilities(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Normalised probabilities of the targets after their contexts, by one product with all symbols."""
+        x = self.values[0, one, :DIM] + self.values[1, two, :DIM]
+        z = x @ self.values[2, :, :DIM].T + np.where(self.v.share > 0, self.values[2, :, DIM], -1e4)
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        return z[np.arange(len(z)), target] / z.sum(1)
+
+    def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, trying: bool = False) -> None:
         """One pass in batches; each batch shares its noise words, and Adagrad sets every number's rate."""
         for a in range(0, len(target), BATCH):
             t, c1, c2 = target[a : a + BATCH], one[a : a + BATCH], two[a : a + BATCH]
+            if trying and self.batches % TRIED == TRIED // 2:
+                p, q = self.probabilities(t, c1, c2), self.v.share[t]
+                self.tried += [np.log(w * p + (1 - w) * q).sum() for w in WEIGHTS]
+            self.batches += 1
             z = np.minimum(np.searchsorted(self.noise_cdf, self.rng.random(NOISE)), self.v.size - 1)
             g = np.zeros_like(self.values)
             x = self.values[0, c1] + self.values[1, c2]
@@ -178,20 +197,42 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "hash long, cls int, n long").groupBy("hash").agg(F.max("cls").alias("cls"), F.sum("n").alias("n"))
 
 
-def _vocabulary(counts: DataFrame, ends: int) -> tuple[Vocabulary, int]:
-    """The vocabulary and the least count its words have: the most frequent words, TABLE at most, found by a histogram of counts.
+def _last_of_the_table(counts: DataFrame) -> tuple[int, int] | None:
+    """(n, hash) of the last of the TABLE most frequent words, ties by hash; None where there are fewer words.
 
-    Sums over all words stay on the executors; the histogram (some hundred rows), the frequent words and the classes'
-    sums come to the driver.
+    Histograms of the counts, then of the hashes of the words of one count, come to the driver: some hundred and at most 65,536 rows.
     """
     step = F.floor(F.log2("n") * 16)
-    above, least = 0, 1
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.min("n").alias("low"), F.max("n").alias("high")).orderBy(F.desc("step")).collect():
+    above = 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).orderBy(F.desc("step")).collect():
+        if above + r.v > TABLE:
+            break
+        above += r.v
+    else:
+        return None
+    inside = counts.where(step == r.step)
+    for r in inside.groupBy("n").agg(F.count("*").alias("v")).orderBy(F.desc("n")).collect():
         if above + r.v > TABLE:
-            least = r.high + 1
             break
-        above, least = above + r.v, r.low
-    top = counts.where(F.col("n") >= least).toPandas().sort_values(["n", "hash"], ascending=[False, True])
+        above += r.v
+    same = inside.where(F.col("n") == r.n)
+    bucket = F.shiftright("hash", 48)
+    for b in same.groupBy(bucket.alias("b")).agg(F.count("*").alias("v")).orderBy("b").collect():
+        if above + b.v >= TABLE:
+            break
+        above += b.v
+    last = same.where(bucket == b.b).orderBy("hash").limit(TABLE - above).agg(F.max("hash").alias("hash")).first()
+    return r.n, last.hash
+
+
+def _vocabulary(counts: DataFrame, ends: int) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary of the TABLE most frequent words (ties by hash), and the counts of all others.
+
+    Sums over all words stay on the executors; the frequent words and the classes' sums come to the driver.
+    """
+    last = _last_of_the_table(counts)
+    frequent = F.lit(True) if last is None else (F.col("n") > last[0]) | ((F.col("n") == last[0]) & (F.col("hash") <= last[1]))
+    top = counts.where(frequent).toPandas().sort_values(["n", "hash"], ascending=[False, True])
     hashes, n = top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
     whole, distinct = 0, 0
@@ -201,34 +242,95 @@ def _vocabulary(counts: DataFrame, ends: int) -> tuple[Vocabulary, int]:
     for cls, x in zip(top["cls"][:SYMBOLS], n[:SYMBOLS], strict=False):
         tokens[cls] -= x
         types[cls] -= 1
-    return Vocabulary(hashes, n, whole + ends, distinct + (ends > 0), ends, tokens, types), least
+    return Vocabulary(hashes, n, whole + ends, distinct + (ends > 0), ends, tokens, types), counts.where(~frequent).select("hash", "n")
+
 
+def _dealt(training: DataFrame, vocabulary: Vocabulary, parts: int) -> DataFrame:
+    """``(part, turn, s)``: the symbols of each document (16-bit numbers), its part and its place there."""
+    sent = training.sparkSession.sparkContext.broadcast(vocabulary)
 
-def fit(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Parameters after ROUNDS passes over all training tokens, averaged over the tasks' local models after each."""
-    spark, values = training.sparkSession, LogBilinear(vocabulary).values
-    for _ in range(ROUNDS):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        for batch in batches:
+            for rows in slices(batch):
+                w = words(rows.column("text"), lower=True)
+                target, _, _, doc = v.sequences(w, v.look(w)[0])
+                raw, edge = target.astype(np.uint16), np.searchsorted(doc, np.arange(w.n_docs + 1))
+                packed = pa.array([raw[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("turn"), packed], ["part", "turn", "s"])
+
+    keyed = training.select(F.pmod(F.xxhash64("doc_id", "text", F.lit("part")), F.lit(parts)).cast("int").alias("part"), F.xxhash64("text", "doc_id").alias("turn"), "text")
+    return keyed.mapInArrow(run, "part int, turn long, s binary")
+
+
+def _rows_of(v: Vocabulary, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Target and the two symbols before it of whole documents."""
+    target = np.frombuffer(b"".join(packed), np.uint16).astype(np.int64)
+    begin = np.cumsum([0, *(len(x) // 2 for x in packed)])[:-1]
+    one = np.r_[v.start, target[:-1]]
+    one[begin] = v.start
+    two = np.r_[v.start, one[:-1]]
+    two[begin] = v.start
+    return target, one, two
+
+
+def fit(training: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, float]:
+    """Parameters after ROUNDS passes over all training tokens (doc_id, text), averaged over the parts' local models after each, and the model's weight."""
+    spark, values, weight = training.sparkSession, LogBilinear(vocabulary).values, 1.0
+    parts = max(1, vocabulary.total // PART_TOKENS)
+    dealt = cut(_dealt(training, vocabulary, parts))
+    scale = 1 << 24
+    for number in range(ROUNDS):
         sent = spark.sparkContext.broadcast((vocabulary, _dump(values)))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=number == 0) -> Iterator[pa.RecordBatch]:
             v, raw = sent.value
-            model, seen = LogBilinear(v, np.load(io.BytesIO(raw))), 0
+            start = np.load(io.BytesIO(raw))
+            model, now, seen, pending, total, all_seen, tried = None, None, 0, [], 0, 0, np.zeros(len(WEIGHTS))
+
+            def learn(packed: list[bytes]) -> None:
+                nonlocal seen
+                rows = _rows_of(v, packed)
+                model.learn(*rows, trying=first)
+                seen += len(rows[0])
+
+            def close() -> None:
+                nonlocal total, all_seen, tried
+                if pending:
+                    learn(pending)
+                share = max(1, seen >> 10)
+                total, all_seen, tried = total + np.round(model.values.astype(np.float64) * scale).astype(np.int64) * share, all_seen + share, tried + model.tried
+
             for batch in batches:
-                for part in slices(batch):
-                    w = words(part.column("text"), lower=True)
-                    target, one, two, _ = v.sequences(w, v.look(w)[0])
-                    model.learn(target, one, two)
-                    seen += len(target)
-            if seen:
-                flat = model.values.reshape(-1, DIM + 1).astype(np.float64) * seen
-                columns = [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(np.full(len(flat), float(seen))), *(pa.array(x) for x in flat.T)]
+                for part, s in zip(batch.column("part").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                    if part != now:
+                        if model is not None:
+                            close()
+                        model, now, seen, pending, size = LogBilinear(v, start), part, 0, [], 0
+                        model.rng = np.random.default_rng([11, number, part])
+                    pending.append(s)
+                    size += len(s) // 2
+                    if size >= 32 * BATCH:
+                        learn(pending)
+                        pending, size = [], 0
+            if model is not None:
+                close()
+                flat = total.reshape(-1, DIM + 1)
+                rows = np.concatenate([flat, np.zeros((1, DIM + 1), np.int64)])
+                rows[-1, : len(WEIGHTS)] = np.round(tried * 1024)
+                columns = [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), all_seen)), *(pa.array(x) for x in rows.T)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "seen", *(f"x{i}" for i in range(DIM + 1))])
 
-        schema = "row int, seen double, " + ", ".join(f"x{i} double" for i in range(DIM + 1))
-        mean = training.mapInArrow(run, schema).groupBy("row").agg(*(F.expr(f"sum(x{i}) / sum(seen)").cast("float").alias(f"x{i}") for i in range(DIM + 1))).orderBy("row").toPandas()
-        if len(mean):
-            values = mean.drop(columns="row").to_numpy(np.float32).reshape(values.shape)
-    return values
+        schema = "row int, seen long, " + ", ".join(f"x{i} long" for i in range(DIM + 1))
+        each = dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "turn").mapInArrow(run, schema)
+        got = each.groupBy("row").agg(F.sum("seen").alias("seen"), *(F.sum(f"x{i}").alias(f"x{i}") for i in range(DIM + 1))).orderBy("row").toPandas()
+        if len(got):
+            numbers = got.drop(columns=["row", "seen"]).to_numpy(np.float64)
+            values = (numbers[:-1] / got["seen"].to_numpy(np.float64)[:-1, None] / scale).astype(np.float32).reshape(values.shape)
+            if number == 0 and numbers[-1].any():
+                weight = WEIGHTS[int(numbers[-1, : len(WEIGHTS)].argmax())]
+    drop_cut(dealt)
+    return values, weight
 
 
 def score(docs: DataFrame, held_out_mod: int = 7, held_out_is: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,8 +345,8 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_is: int = 2, id_col:
     train = docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % held_out_mod != held_out_is, F.lit(True)))
     counts = cut(word_counts(train))
     ends = train.count()
-    v, least = _vocabulary(counts, ends)
-    values = fit(train.select("text"), v)
+    v, rare = _vocabulary(counts, ends)
+    values, weight = fit(train.select("doc_id", "text"), v)
     sent = spark.sparkContext.broadcast((v, _dump(values)))
     share = v.total + v.distinct + 1
 
@@ -257,7 +359,8 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_is: int = 2, id_col:
                 w = words(part.column("text"), lower=True)
                 symbol, count = v.look(w)
                 target, one, two, doc = v.sequences(w, symbol)
-                log = (one_t[one, target] + two_t[two, target] - norm[one, two]).astype(np.float64) / math.log(10)
+                log = (one_t[one, target] + two_t[two, target] - norm[one, two]).astype(np.float64)
+                log = np.log10(weight * np.exp(log) + (1 - weight) * v.share[target])
                 total = np.bincount(doc, log, w.n_docs)
                 cls = symbol - SYMBOLS - 2
                 known = count >= 0
@@ -286,7 +389,6 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_is: int = 2, id_col:
 
     schema = "doc_id long, h long, hash long, times int, rows int, n_tokens long, n_known long, base double, total double"
     parts = docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, schema)
-    rare = counts.where(F.col("n") < least).select("hash", "n")
     joined = parts.join(rare, "hash", "left").withColumn("extra", F.when(F.col("times") > 0, F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).otherwise(0.0))
     whole = joined.groupBy("doc_id", "h").agg(
         F.sum("rows").cast("int").alias("rows"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("times"))), F.lit(0))).alias("n_known"),
