@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import audit, lm, mixing, queries, runs, shared
+from tidemill.llm import audit, lm, mixing, queries, runs, shared, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, bucket int, mask string, place int, h long, part int, runs int, range int"
@@ -280,3 +280,24 @@ def test_lm_scores_against_a_plain_scorer(spark, lm_docs, table, monkeypatch):
     assert all(abs(s - plain(t)) < 2e-3 * (1 + len(tokens(t)) ** 0.5) for i, t in known for s in got[i])
     again = collections.Counter((r.doc_id, round(r.score, 9)) for r in lm.score(lm_docs.repartition(7)).collect())
     assert again == collections.Counter((i, round(s, 9)) for i, many in got.items() for s in many)
+
+
+def test_graph_search_meets_few_and_finds_nearly_all():
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.normal(size=(240, 64)), 5, 0) + 0.1 * rng.normal(size=(1200, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    edges = vectors._graph(x)
+    found, want = vectors.range_search(x, x, edges, 0.98), x @ x.T >= 0.98
+    met = vectors._beam(x, x, vectors._padded(edges))[0] > -8
+    assert want.sum() > 4 * len(x) and not (found & ~want).any() and (found & want).sum() >= 0.98 * want.sum() and met.mean() < 0.4
+
+
+def test_shards_are_dealt_again_and_again(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MAX_SHARD", 60)
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    rng = np.random.default_rng(2)
+    rows = [("0", 8, 0, i, 1, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 8)))]
+    shards = vectors._deal_again(shared.cut(spark.createDataFrame(rows, vectors._DEALT)))
+    n = {r.shard: r["count"] for r in shards.groupBy("shard").count().collect()}
+    homes = {r.rep: r["count"] for r in shards.select("rep", "shard").distinct().groupBy("rep").count().collect()}
+    assert max(n.values()) < 200 and set(homes) == set(range(1500)) and min(homes.values()) >= 2

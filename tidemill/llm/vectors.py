@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut, join_split
+from .shared import components, cut, join_split, mix
 
 THRESHOLD = 0.98
 #: Vectors that a set of centroids is fitted on at most (of the table, then of each large shard); aimed and largest rows of a shard.
@@ -57,10 +57,12 @@ KEY = ["label", "size", "shard"]
 _DEALT = "label string, size int, shard long, rep long, m long, v array<double>"
 
 
-def _deal_again(shards: DataFrame) -> DataFrame:
-    """``shards`` with rows of large, loose shards dealt to the two nearest of centroids fitted on a sample of that shard; ids stay apart."""
+def _deal_again(shards: DataFrame, before: float = float("inf")) -> DataFrame:
+    """``shards`` with rows of large, loose shards dealt to the two nearest of centroids fitted on a sample of that shard, again and again while
+    that leaves fewer rows in large shards (by a fifth at least); new shards have hashes of their path as ids."""
     sized = cut(shards.groupBy(*KEY).agg(F.count("*").alias("rows")).where(F.col("rows") > MAX_SHARD))
-    if not sized.count():
+    held = sized.agg(F.sum("rows").alias("n")).first().n or 0
+    if not held or held > 0.8 * before:
         return shards
 
     def fit(key, g: pd.DataFrame) -> pd.DataFrame:
@@ -73,7 +75,9 @@ def _deal_again(shards: DataFrame) -> DataFrame:
     large = shards.join(sized, KEY)
     some = large.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < (1 << 20) * float(SAMPLE) / F.col("rows"))
     centroids = cut(some.groupBy(*KEY).applyInPandas(fit, "label string, size int, shard long, c array<float>"))
-    split = centroids.select(*KEY).distinct().join(sized, KEY)
+    split = cut(centroids.select(*KEY).distinct().join(sized, KEY))
+    if not split.count():
+        return shards
     parts = split.withColumn("parts", F.ceil(F.col("rows") / DEALT).cast("int")).select(*KEY, "parts")
 
     def deal(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -81,32 +85,34 @@ def _deal_again(shards: DataFrame) -> DataFrame:
             return rows.drop(columns="part")
         two = np.argsort(-(_unit(rows["v"]) @ np.stack(own["c"]).T), axis=1)[:, :2]
         both = pd.concat([rows, rows])
-        both["shard"] = both["shard"] * (SAMPLE + 1) + 1 + two.T.ravel()
+        both["shard"] = mix(both["shard"].to_numpy().view(np.uint64) * np.uint64(SAMPLE + 1) + np.uint64(1) + two.T.ravel().astype(np.uint64)).view(np.int64)
         return both[["label", "size", "shard", "rep", "m", "v"]]
 
     rows = shards.join(parts, KEY).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
     sent = centroids.join(parts, KEY).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
     again = rows.groupBy(*KEY, "part").cogroup(sent.groupBy(*KEY, "part")).applyInPandas(deal, _DEALT)
-    rest = shards.join(split.select(*KEY), KEY, "left_anti").withColumn("shard", F.col("shard") * (SAMPLE + 1))
-    return rest.select("label", "size", "shard", "rep", "m", "v").union(again)
+    rest = shards.join(split.select(*KEY), KEY, "left_anti")
+    return _deal_again(cut(rest.select("label", "size", "shard", "rep", "m", "v").union(again)), held)
 
 
-def _graph(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists of a shard: near and random candidates, robustly pruned, with the edges back."""
-    n = len(x)
-    if n == 1:
-        return [np.zeros(0, int)]
-    rng = np.random.default_rng(n)
-    sims = x @ x.T
-    np.fill_diagonal(sims, -9)
-    c = min(CANDIDATES, n - 1)
-    near = np.argpartition(-sims, c - 1, axis=1)[:, :c]
-    cand = np.c_[near, rng.integers(0, n, (n, 8))]
-    d = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, cand, 1), 0))
+def _padded(lists: list[np.ndarray]) -> np.ndarray:
+    """Adjacency lists as a matrix, short ones filled up with -1."""
+    table = np.full((len(lists), max(1, max(map(len, lists), default=1))), -1)
+    for i, e in enumerate(lists):
+        table[i, : len(e)] = e
+    return table
+
+
+def _pruned(x: np.ndarray, of: np.ndarray, cand: np.ndarray, sims: np.ndarray) -> list[list[int]]:
+    """Robust pruning: of a node's candidates the nearest is taken, and those that are much nearer to it than to the node go, until DEGREE are taken.
+
+    ``cand``, ``sims``: a row of candidates a node with their cosines; those under -8 are none.
+    """
+    d = np.sqrt(np.maximum(2 - 2 * sims, 0))
     order = np.argsort(d, axis=1)
     cand, d = np.take_along_axis(cand, order, 1), np.take_along_axis(d, order, 1)
-    alive = cand != np.arange(n)[:, None]
-    picks = [[] for _ in range(n)]
+    alive = (np.take_along_axis(sims, order, 1) > -8) & (cand != of[:, None])
+    picks: list[list[int]] = [[] for _ in range(len(of))]
     for _ in range(DEGREE):
         some = np.flatnonzero(alive.any(1))
         if not len(some):
@@ -115,25 +121,60 @@ def _graph(x: np.ndarray) -> list[np.ndarray]:
         p = cand[some, best]
         for i, j in zip(some.tolist(), p.tolist(), strict=True):
             picks[i].append(j)
-        between = np.sqrt(np.maximum(2 - 2 * sims[p[:, None], cand[some]], 0))
-        between[cand[some] == p[:, None]] = 0
-        alive[some] &= SLACK * between > d[some]
-        alive[some, best] = False
-    back = [[] for _ in range(n)]
-    for i, js in enumerate(picks):
-        for j in js:
-            back[j].append(i)
+        between = np.sqrt(np.maximum(2 - 2 * np.einsum("id,icd->ic", x[p], x[cand[some]]), 0))
+        alive[some] &= (SLACK * between > d[some]) & (cand[some] != p[:, None])
+    return picks
+
+
+def _graph(x: np.ndarray) -> list[np.ndarray]:
+    """Adjacency lists of a shard: nodes join in growing batches, each by a greedy search of the graph so far and robust pruning, with the edges back;
+    then all search the whole graph once more. Only what the searches meet is compared.
+    """
+    n = len(x)
+    if n == 1:
+        return [np.zeros(0, int)]
+    rng = np.random.default_rng(n)
+    order = rng.permutation(n)
+    links: list[set] = [set() for _ in range(n)]
+
+    def join(nodes: np.ndarray, base: np.ndarray, sims: np.ndarray) -> None:
+        c = min(CANDIDATES, len(base))
+        near = np.argpartition(-sims, c - 1, axis=1)[:, :c]
+        full = []
+        for i, js in zip(nodes.tolist(), _pruned(x, nodes, base[near], np.take_along_axis(sims, near, 1)), strict=True):
+            links[i].update(js)
+            for j in js:
+                links[j].add(i)
+                full.append(j)
+        over = np.array(sorted({j for j in [*full, *nodes.tolist()] if len(links[j]) > 3 * DEGREE}), int)
+        for a in range(0, len(over), 256):
+            some = over[a : a + 256]
+            cand = _padded([np.array(sorted(links[j]), int) for j in some.tolist()])
+            s = np.where(cand >= 0, np.einsum("id,icd->ic", x[some], x[cand]), -9)
+            for j, js, row, own in zip(some.tolist(), _pruned(x, some, cand, s), s, cand, strict=True):
+                links[j] = set(js) | set(own[np.argsort(-row)[:DEGREE]].tolist())
+
+    first = order[:64]
+    join(first, first, x[first] @ x[first].T)
+    done = len(first)
+    place = np.full(n, -1)
+    while done < n:
+        batch, base = order[done : 2 * done], order[:done]
+        place[base] = np.arange(done)
+        table = _padded([place[np.array(sorted(links[j]), int)] for j in base.tolist()])
+        join(batch, base, _beam(x[batch], x[base], table)[0])
+        done += len(batch)
+    table = _padded([np.array(sorted(e), int) for e in links])
+    for a in range(0, n, 512):
+        nodes = np.arange(a, min(n, a + 512))
+        join(nodes, np.arange(n), _beam(x[nodes], x, table)[0])
     far = rng.integers(0, n, (n, 2))
-    return [np.unique(np.r_[np.array(a + b[: 2 * DEGREE], int), f]) for a, b, f in zip(picks, back, far, strict=True)]
+    return [np.unique(np.r_[np.array(sorted(e), int), f]) for e, f in zip(links, far, strict=True)]
 
 
-def range_search(q: np.ndarray, x: np.ndarray, edges: list[np.ndarray], least: float) -> np.ndarray:
-    """Which of ``x`` each query finds at cosine ``least`` or more: beam search from medoids, then every hit is expanded."""
-    n, m = len(q), len(x)
-    width = max(1, max(map(len, edges)))
-    table = np.full((m, width), -1)
-    for i, e in enumerate(edges):
-        table[i, : len(e)] = e
+def _beam(q: np.ndarray, x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of every query with what its greedy search from medoids met (-9: not met), and which nodes it expanded."""
+    n, m, width = len(q), len(x), table.shape[1]
     sims = np.full((n, m), -9, np.float32)
     done = np.zeros((n, m), bool)
     centre = x.mean(0)
@@ -161,6 +202,14 @@ def range_search(q: np.ndarray, x: np.ndarray, edges: list[np.ndarray], least: f
         new = sims[row, col] < -8
         row, col = row[new], col[new]
         sims[row, col] = np.einsum("ij,ij->i", q[row], x[col])
+    return sims, done
+
+
+def range_search(q: np.ndarray, x: np.ndarray, edges: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of ``x`` each query finds at cosine ``least`` or more: greedy search from medoids, then every hit is expanded."""
+    m, table = len(x), _padded(edges)
+    width = table.shape[1]
+    sims, done = _beam(q, x, table)
     while True:
         row, col = np.nonzero((sims >= least) & ~done)
         if not len(row):
