@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from tidemill.operators import category_clusters, rotation
+from tidemill.operators import category_clusters, refined, rotation
+from tidemill.streaming import operators as streaming
 
 
 def seeded(seed, *values):
@@ -158,3 +159,85 @@ def test_rotation_forest(spark):
     got = model.predict(df.where("id between 200 and 899"), ["id", "y"], "x").collect()
     assert len(got) == 200 and all(abs(sum(r.probs) - 1) < 1e-9 for r in got)
     assert np.mean([r.predicted == r.y for r in got]) > 0.8 and math.isclose(len({tuple(r.probs) for r in got}) > 3, True)
+
+
+def test_nested_dichotomies(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(5, 3)) * 5
+    y = np.arange(250) % 5
+    x = centres[y] + rng.normal(size=(250, 3))
+    rows = [(i, v.tolist(), "abcde"[c]) for i, (v, c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame([*rows, (900, None, "a"), (901, [0.0] * 3, None)], "id long, features array<double>, label string")
+    model = refined.NestedDichotomies("tree", maxDepth=3).fit(df.where("id < 150"), "features", "label")
+    assert len(model.nodes) == 4 and sorted(model.nodes[0][0] + model.nodes[0][1]) == [0, 1, 2, 3, 4] and all(not set(a) & set(b) for a, b in model.nodes)
+    got = model.predict(df.where("id between 150 and 899"), ["id", "label"], "features").collect()
+    assert len(got) == 100 and all(abs(sum(r.probs) - 1) < 1e-9 for r in got) and np.mean([r.predicted == r.label for r in got]) > 0.85
+    one = refined.NestedDichotomies().fit(df.where("label = 'a'"), "features", "label")
+    assert {r.predicted for r in one.predict(df.where("id < 9"), ["id"], "features").collect()} == {"a"}
+
+
+def test_discriminative_bayes(spark):
+    rng = np.random.default_rng(9)
+    labels = {d: "xyz"[d % 3] for d in range(30)}
+    counts = {(d, f"w{w}"): int(rng.integers(1, 4)) for d in range(30) for w in {*rng.integers(0, 20, 6).tolist(), 20 + d % 3}}
+    model = refined.DiscriminativeBayes(3).fit(spark.createDataFrame([(*k, n) for k, n in counts.items()] + [(99, "w1", 3)], "doc long, word string, f int"), spark.createDataFrame([*labels.items(), (50, None)], "doc long, class string"))
+    n, vocabulary = {}, len({w for _, w in counts})
+
+    def probabilities(words):
+        z = {c: math.log(10 / 30) + sum(f * math.log((n.get((w, c), 0) + 1) / (sum(v for (_, k), v in n.items() if k == c) + vocabulary)) for w, f in words.items()) for c in "xyz"}
+        e = {c: math.exp(v - max(z.values())) for c, v in z.items()}
+        return {c: v / sum(e.values()) for c, v in e.items()}
+
+    docs = {d: {w: f for (k, w), f in counts.items() if k == d} for d in labels}
+    for _ in range(3):
+        p = {d: probabilities(docs[d])[labels[d]] for d in labels}
+        for (d, w), f in counts.items():
+            n[w, labels[d]] = n.get((w, labels[d]), 0) + f * (1 - p[d])
+    got = {(r["word"], r["class"]): r.n for r in model.counts.collect()}
+    assert set(got) == set(n) and all(abs(got[k] - n[k]) < 1e-9 for k in n)
+    ask = spark.createDataFrame([(1, "w20", 2), (1, "new", 5), (2, "w22", 1)], "doc long, word string, f int")
+    said = {r.doc: (r.predicted, r.p) for r in model.predict(ask, spark.createDataFrame([(1,), (2,), (3,)], "doc long")).collect()}
+    for d, words in {1: {"w20": 2, "new": 5}, 2: {"w22": 1}, 3: {}}.items():
+        p = probabilities(words)
+        assert abs(said[d][1] - max(p.values())) < 1e-9 and p[said[d][0]] > max(p.values()) - 1e-9
+
+
+def test_category_clusters_of_a_stream(spark):
+    rng = np.random.default_rng(10)
+    kinds = [("a", "x", "1"), ("b", "y", "2"), ("c", "z", None)]
+    batches = [[tuple(v if rng.random() < 0.9 else "q" for v in kinds[int(rng.integers(3))]) for _ in range(25)] for _ in range(3)]
+    state = streaming.TableState(spark, "cluster long, column string, value string, n double")
+    step = streaming.category_sink(["p", "q", "r"], state)
+    clusters = {}  # number -> (size, counts)
+    for number, rows in enumerate(batches):
+        step(spark.createDataFrame(rows, "p string, q string, r string"), number)
+        left = {}
+        for r in rows:
+            p = tuple("" if v is None else f"={v}" for v in r)
+            left[p] = left.get(p, 0) + 1
+
+        def add(c, p, w):
+            size, n = clusters.get(c, (0, {}))
+            clusters[c] = (size + w, n | {(i, v): n.get((i, v), 0) + w for i, v in enumerate(p)})
+
+        def part(c):
+            return sum(v * v for v in clusters[c][1].values()) / clusters[c][0]
+
+        def best(p, w):
+            whole, k = sum(map(part, clusters)), len(clusters)
+            out = []
+            for c, (size, n) in clusters.items():
+                grown = sum((v + w * (p[i] == x)) ** 2 for (i, x), v in n.items()) + sum(w * w for i, x in enumerate(p) if (i, x) not in n)
+                out.append((-round((whole - part(c) + grown / (size + w)) / k, 9), c))
+            own = round((whole + 3 * w) / (k + 1), 9)
+            return (None, True) if not out else (min(out)[1], own > -min(out)[0])
+
+        while opens := [p for p, w in left.items() if best(p, w)[1]]:
+            p = min(opens, key=lambda p: (-left[p], p))
+            add(max(clusters, default=-1) + 1, p, left.pop(p))
+        for p, c in [(p, best(p, w)[0]) for p, w in left.items()]:
+            add(c, p, left[p])
+    want = {(c, "pqr"[i], v): n for c, (_, counts) in clusters.items() for (i, v), n in counts.items()} | {(c, "", ""): size for c, (size, _) in clusters.items()}
+    assert {(r.cluster, r.column, r.value): r.n for r in state.before().collect()} == want
+    told = streaming.category_clusters(spark.createDataFrame([("a", "x", "1"), ("c", "z", None), ("?", "?", "?")], "p string, q string, r string"), ["p", "q", "r"], state.before()).collect()
+    assert {r.p: r.cluster for r in told}["?"] is None and {r.p: r.cluster for r in told}["a"] is not None

@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import category_clusters, learned_shapelets, linkage, pivots, rotation, shapelet_search, symbols, text
+from ..operators import category_clusters, columns, distances, learned_shapelets, linkage, pivots, refined, rotation, series, shapelet_search, symbols, text
+from ..streaming import operators as streaming
 from .catalog import ORACLE_SQL, query, r6, read, vectors
+from .streams import source
 from .symbolic import BAGS
 
 _FIRST = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as s from embeddings), h as (select vec_id as k, list_transform(s[1:16], lambda x: (x - list_avg(s[1:16])) / list_stddev_pop(s[1:16])) as h from v where vec_id < 6)"
@@ -109,3 +111,49 @@ def k_item_profit(spark, d):
 def i_rotation_forest(spark, d):
     x = vectors(spark, d)
     return rotation.RotationForest(trees=5).fit(x, "vec_id", "s", "label").predict(x, ["vec_id", "label"], "s").select("vec_id", "label", "predicted")
+
+
+# Warping of the means of 16 segments; the recursion carries the last row of the cost table.
+@query("""with recursive v as (select vec_id, label, list_transform(range(16), lambda i: list_avg(embedding[4 * i + 1 : 4 * i + 4]::double[])) as s from embeddings), p as (select a.vec_id as query, b.vec_id as y, a.s as a, b.s as b from v a, v b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+r as (select query, y, a, b, 0 as i, list_transform(range(17), lambda j: case when j = 0 then 0.0::double else 1e300::double end) as row from p union all
+select query, y, a, b, i + 1, list_reduce(list_transform(range(1, 17), lambda j: [power(a[i + 1] - b[j], 2) + least(row[j], row[j + 1]), power(a[i + 1] - b[j], 2)]), lambda acc, e: list_append(acc, least(e[1], least(1e300, acc[len(acc)] + e[2]))), [1e300::double]) from r where i < 16),
+n as (select query, y, row[17] as d, row_number() over (partition by query order by row[17], y) as k from r where i = 16) select query, y as neighbour, round(d, 6) as distance from n where k = 1""")
+def d_piecewise_dtw(spark, d):
+    x = vectors(spark, d).withColumn("s", series.paa(F.col("s"), 16, 64))
+    return r6(distances.nearest(x.where("vec_id % 100 = 0"), x, "vec_id", "s", "label", "dtw").select("query", "neighbour", "distance"))
+
+
+@query()
+def c_proportional_bins(spark, d):
+    x = read(spark, d, "part")
+    return x.select(columns.bin_of(F.col("p_retailprice"), columns.equal_frequency_cuts(x, "p_retailprice", None)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+# Two epochs of counts weighted by what the model before them does not give the class.
+_EPOCH = """, w{j} as (select c.lang, ln(p.share) as prior, coalesce(sum(n), 0) + (select count(distinct word) from t) as norm, ln(coalesce(sum(n), 0) + (select count(distinct word) from t)) as l from (select lang from s) c join s p using (lang) left join n{i} n using (lang) group by c.lang, p.share),
+z{j} as (select d.doc_id, w.lang, w.prior - d.len * w.l + coalesce(h.h, 0) as z from d, w{j} w left join (select doc_id, n.lang, sum(f * ln(n.n + 1)) as h from t join n{i} n using (word) group by all) h on h.doc_id = d.doc_id and h.lang = w.lang),
+p{j} as (select doc_id, lang, exp(z - m) / sum(exp(z - m)) over (partition by doc_id) as p from (select *, max(z) over (partition by doc_id) as m from z{j})),
+n{j} as (select word, lang, sum(n) as n from (select word, lang, n from n{i} union all select t.word, d.lang, sum(f * (1 - p.p)) from t join d using (doc_id) join p{j} p on p.doc_id = d.doc_id and p.lang = d.lang group by all) group by all)"""
+
+
+@query(r"""with x as (select doc_id, lang, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \r\n\t.,;:''"()?!]+'), lambda x: x <> '')) as word from documents where lang is not null), t as (select doc_id, word, count(*)::double as f from x group by all),
+d as (select doc_id, lang, coalesce(len, 0) as len from documents left join (select doc_id, sum(f) as len from t group by 1) using (doc_id) where lang is not null), s as (select lang, count(*) / sum(count(*)) over () as share from d group by 1), n0 as (select ''::varchar as word, ''::varchar as lang, 0.0::double as n where false)""" + _EPOCH.format(i=0, j=1) + _EPOCH.format(i=1, j=2) + " select word, lang as class, round(n, 5) as n from n2")
+def l_discriminative_bayes(spark, d):
+    docs = read(spark, d, "documents").where("lang is not null")
+    terms = text.term_counts(docs, "doc_id", text.tokens(F.lower("text"))).select(F.col("doc_id").alias("doc"), F.col("term").alias("word"), F.col("n").alias("f"))
+    model = refined.DiscriminativeBayes(2).fit(terms, docs.select(F.col("doc_id").alias("doc"), F.col("lang").alias("class")))
+    return model.counts.select("word", "class", (F.round("n", 5) + 0.0).alias("n"))
+
+
+@query()
+def l_nested(spark, d):
+    x = vectors(spark, d)
+    return refined.NestedDichotomies("tree", maxDepth=3).fit(x, "s", "label").predict(x, ["vec_id", "label"], "s").select("vec_id", "label", "predicted")
+
+
+@query()
+def w_category_clusters(spark, d):
+    state = streaming.TableState(spark, "cluster long, column string, value string, n double")
+    names = ["o_orderstatus", "o_orderpriority"]
+    streaming.feed(source(spark, d, "orders", dealt=True), streaming.category_sink(names, state))
+    return streaming.category_clusters(read(spark, d, "orders").select("o_orderkey", *names), names, state.before()).select("o_orderkey", "cluster")

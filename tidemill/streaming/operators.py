@@ -260,3 +260,65 @@ def category_utility(df: DataFrame, cluster: str, columns: list[str]) -> DataFra
     every = own.groupBy("attribute", "value").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k") / n).alias("outside"))
     groups = size.agg(F.count("*").alias("groups"))
     return inside.join(F.broadcast(every)).join(F.broadcast(groups)).select(((F.col("inside") - F.col("outside")) / n / F.col("groups")).alias("utility"))
+
+
+def _category_choice(pattern: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    """(p, w, c, opens): for each pattern the cluster of most category utility, and whether one of its own would have more."""
+    k = held.where("column = ''").select("cluster", F.col("n").alias("size"))
+    squares = held.where("column <> ''").groupBy("cluster").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
+    clusters = k.join(squares, "cluster").withColumn("s", F.col("q") / F.col("size"))
+    whole = clusters.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("all"), F.count("*").alias("k")).first()
+    parts = pattern.select("p", "w", F.explode(F.arrays_zip(F.array(*map(F.lit, columns)).alias("column"), F.col("p").alias("value"))).alias("x")).select("p", "w", "x.*")
+    same = parts.join(held, ["column", "value"]).groupBy("p", "w", "cluster").agg(F.sum("n").alias("hit"))
+    each = pattern.join(F.broadcast(clusters)).join(same, ["p", "w", "cluster"], "left").na.fill(0.0, ["hit"])
+    m = float(len(columns))
+    grown = (F.col("q") + 2 * F.col("w") * F.col("hit") + m * F.col("w") * F.col("w")) / (F.col("size") + F.col("w"))
+    utility = F.round((whole["all"] - F.col("s") + grown) / max(1, whole["k"]), 9)
+    choice = each.select("p", F.struct((-utility).alias("u"), F.col("cluster").alias("c")).alias("o")).groupBy("p").agg(F.min("o").alias("o"))
+    own = F.round((whole["all"] + m * F.col("w")) / (whole["k"] + 1), 9)
+    return pattern.join(choice, "p", "left").select("p", "w", F.col("o.c").alias("c"), (F.col("o").isNull() | (own > -F.col("o.u"))).alias("opens"))
+
+
+def category_sink(columns: list[str], state: TableState):
+    """Clusters of nominal rows that grow with the stream. Equal rows of a batch are one pattern; while patterns would rather open a cluster, the one of
+    most rows (ties by its values) does, and the rest are judged anew; then all join the clusters of most category utility at once.
+
+    ``state``: (cluster long, column string, value string, n double), one row a cluster, column and value; the row of column "" has the cluster's size.
+    Category utility is ((sum over clusters of squared counts / size) - a part that no choice changes) / number of clusters. Nulls are a value of
+    their own. The state is as large as there are different clusters and values.
+    """
+
+    def rows_of(told: DataFrame) -> DataFrame:
+        pairs = F.concat(F.array(F.struct(F.lit("").alias("column"), F.lit("").alias("value"))), F.arrays_zip(F.array(*map(F.lit, columns)).alias("column"), F.col("p").alias("value")))
+        return told.select("c", "w", F.explode(pairs).alias("x")).select(F.col("c").cast("long").alias("cluster"), "x.column", "x.value", F.col("w").alias("n"))
+
+    def step(batch: DataFrame, number: int) -> None:
+        held = state.before(number)
+        value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+        path = scratch(state.spark, "patterns")
+        batch.select(F.array(*(value(c) for c in columns)).alias("p")).groupBy("p").agg(F.count("*").cast("double").alias("w")).write.parquet(path)
+        left, opened = state.spark.read.parquet(path), []
+        while True:
+            now = held.unionByName(rows_of(state.spark.createDataFrame(opened, "p array<string>, w double, c long"))) if opened else held
+            judged = _category_choice(left, now, columns)
+            first = judged.where("opens").orderBy(F.desc("w"), "p").limit(1).collect()
+            if not first:
+                break
+            last = now.agg(F.coalesce(F.max("cluster"), F.lit(-1)).alias("c")).first().c
+            opened.append((list(first[0].p), first[0].w, last + 1))
+            left = left.where(F.col("p") != F.array(*map(F.lit, first[0].p)))
+        more = now.unionByName(rows_of(judged.select("p", "w", "c")))
+        state.write(more.groupBy("cluster", "column", "value").agg(F.sum("n").alias("n")), number)
+
+    return step
+
+
+def category_clusters(rows: DataFrame, columns: list[str], held: DataFrame) -> DataFrame:
+    """``rows`` with ``cluster``: the cluster of ``held`` (a state of :func:`category_sink`) with the most matched counts a member, the smaller on ties."""
+    value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    size = held.where("column = ''").select("cluster", F.col("n").alias("size"))
+    patterns = rows.select(F.array(*(value(c) for c in columns)).alias("__p")).distinct()
+    parts = patterns.select("__p", F.explode(F.arrays_zip(F.array(*map(F.lit, columns)).alias("column"), F.col("__p").alias("value"))).alias("x")).select("__p", "x.*")
+    hit = parts.join(held, ["column", "value"]).groupBy("__p", "cluster").agg(F.sum("n").alias("hit")).join(size, "cluster")
+    best = hit.groupBy("__p").agg(F.min(F.struct((-F.round(F.col("hit") / F.col("size"), 9)).alias("u"), "cluster")).alias("b")).select("__p", F.col("b.cluster").alias("cluster"))
+    return rows.withColumn("__p", F.array(*(value(c) for c in columns))).join(best, "__p", "left").drop("__p")
