@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .ordered import written
 
 LOCK_STEP = {"euclidean": A.squared_euclidean, "manhattan": A.manhattan, "chebyshev": A.chebyshev, "cid": A.complexity_invariant}
 
@@ -563,7 +564,7 @@ def adaptive_channels(pairs: DataFrame, a: str, b: str, actual: str, label: str,
     return threshold, said
 
 
-def sphere_cover(df: DataFrame, id_col: str, features: str, label: str, least: int = 1, seed: int = 1, rounds: int = 1000) -> DataFrame:
+def sphere_cover(df: DataFrame, id_col: str, features: str, label: str, least: int = 1, seed: int = 1) -> DataFrame:
     """(centre, class, radius, covered): spheres around rows in hash order, each grown to its nearest row of another class; rows in a sphere of their
     class are covered and name none. Spheres of fewer than ``least`` rows are dropped."""
     x = df.select(F.col(id_col).alias("id"), F.col(label).alias("c"), F.col(features).alias("v"))
@@ -579,19 +580,20 @@ def sphere_cover(df: DataFrame, id_col: str, features: str, label: str, least: i
     radius = block_pairs(x, x, far, f"id {kinds['id']}, r double", 1024).groupBy("id").agg(F.min("r").alias("r"))
     r = x.join(radius, "id")
     inside = all_pairs(r.select(F.col("id").alias("centre"), "c", "v", "r"), x.select("id", F.col("c").alias("c2"), F.col("v").alias("v2")))
-    inside = inside.where("c = c2").where(F.sqrt(A.squared_euclidean(F.col("v"), F.col("v2"))) < F.col("r")).select("centre", F.col("c").alias("class"), F.col("r").alias("radius"), "id").persist()
+    inside = inside.where("c = c2").where(F.sqrt(A.squared_euclidean(F.col("v"), F.col("v2"))) < F.col("r")).select("centre", F.col("c").alias("class"), F.col("r").alias("radius"), "id")
+    inside = written(inside, "spheres")
     order = F.xxhash64("centre", F.lit(seed))
-    left, chosen = inside, []
-    for _ in range(rounds):
+    left, chosen = inside, None
+    while True:
         # every row waits for the first centre in the order among those that still cover it; a centre first for itself is taken
         first = left.groupBy("id").agg(F.min(F.struct(order.alias("h"), "centre"))["centre"].alias("centre"))
-        taken = [t[0] for t in first.where("id = centre").select("centre").collect()]
-        if not taken:
+        taken = written(first.where("id = centre").select("centre"), "centres")
+        if not taken.limit(1).count():
             break
-        chosen += taken
-        done = left.where(F.col("centre").isin(taken)).select("id").distinct()
-        left = left.join(done, "id", "left_anti").join(done.select(F.col("id").alias("centre")), "centre", "left_anti").persist()
-    return inside.where(F.col("centre").isin(chosen)).groupBy("centre", "class", "radius").agg(F.count("*").alias("covered")).where(F.col("covered") >= least)
+        chosen = taken if chosen is None else written(chosen.union(taken), "centres")
+        done = left.join(taken, "centre", "left_semi").select("id").distinct()
+        left = written(left.join(done, "id", "left_anti").join(done.select(F.col("id").alias("centre")), "centre", "left_anti"), "spheres")
+    return (inside.join(chosen, "centre", "left_semi") if chosen is not None else inside).groupBy("centre", "class", "radius").agg(F.count("*").alias("covered")).where(F.col("covered") >= least)
 
 
 def elastic_ensemble(df: DataFrame, queries: DataFrame, id_col: str, series: str, label: str, members: dict[str, dict]) -> DataFrame:
@@ -599,8 +601,8 @@ def elastic_ensemble(df: DataFrame, queries: DataFrame, id_col: str, series: str
     classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
     out = None
     for name, params in members.items():
-        kernel = params.pop("kernel", name) if "kernel" in params else name
-        n = nearest(queries, df, id_col, series, label, kernel, **params)
+        kernel = params.get("kernel", name)
+        n = nearest(queries, df, id_col, series, label, kernel, **{k: v for k, v in params.items() if k != "kernel"})
         p = n.select(F.col("query").alias("item"), F.lit(name).alias("module"), F.col("actual").cast("int").alias("actual"), F.col("label").cast("int").alias("predicted"), F.array(*((F.col("label") == c).cast("double") for c in classes)).alias("probs"))
         out = p if out is None else out.union(p)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running_sums
+from .ordered import running_sums, written
 
 
 def confusion(p: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -49,11 +49,15 @@ def negative_log_likelihood(p: DataFrame, by: list[str] | None = None) -> DataFr
     return p.groupBy(*(by or [])).agg(F.avg(F.when(x == 0, 6.64).otherwise(-F.log2(x))).alias("nll"))
 
 
+def _counted(p: DataFrame, score: str, positive: Column | None) -> DataFrame:
+    """(score, p, n): positives and negatives of each distinct score, a written table."""
+    pos = (F.col("actual") == 1) if positive is None else positive
+    return written(p.groupBy(score).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n")), "scores")
+
+
 def _scored(p: DataFrame, score: str, positive: Column | None) -> DataFrame:
     """(score, p, n, p_upto, n_upto): positives and negatives of each distinct score, and of it with all above."""
-    pos = (F.col("actual") == 1) if positive is None else positive
-    s = p.groupBy(score).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
-    return running_sums(s, score, ["p", "n"], descending=True)
+    return running_sums(_counted(p, score, positive), score, ["p", "n"], descending=True)
 
 
 def auroc(p: DataFrame, score: str = "score", positive: Column | None = None) -> DataFrame:
@@ -65,8 +69,9 @@ def auroc(p: DataFrame, score: str = "score", positive: Column | None = None) ->
 
 def threshold_curve(p: DataFrame, score: str = "score", positive: Column | None = None) -> DataFrame:
     """Per distinct score from the top: TP, FP, rates, precision, recall, lift, sample share."""
-    s = _scored(p, score, positive)
-    c = s.join(F.broadcast(s.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))))
+    counted = _counted(p, score, positive)
+    all_p, all_n = counted.agg(F.sum("p"), F.sum("n")).first()
+    c = running_sums(counted, score, ["p", "n"], descending=True).withColumns({"all_p": F.lit(all_p).cast("long"), "all_n": F.lit(all_n).cast("long")})
     tp, fp, every = F.col("p_upto"), F.col("n_upto"), F.col("all_p") + F.col("all_n")
     return c.select(
         score, tp.alias("tp"), fp.alias("fp"), (tp / F.col("all_p")).alias("recall"), (fp / F.col("all_n")).alias("fallout"), (tp / (tp + fp)).alias("precision"),

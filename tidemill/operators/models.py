@@ -53,12 +53,21 @@ def zero_rule(df: DataFrame, label: str) -> DataFrame:
 
 
 def gaussian_naive_bayes(train: DataFrame, test: DataFrame, label: str, columns: list[str], id_col: str) -> DataFrame:
-    """(item, actual, predicted): per-class normals and priors in one aggregate; nulls add nothing; the model (one row a class) is broadcast."""
+    """(item, actual, predicted), a row for each of ``test``: per-class normals and priors in one aggregate; nulls add nothing.
+
+    The model, one row a class (at most 10,000), comes to the driver, and every row scores all classes in itself. Ties go to the larger class count, then class.
+    """
     model = density.normal(train, columns, [label], 1e-3).join(train.groupBy(label).agg(F.count("*").alias("__k")), label).withColumnRenamed(label, "__c")
-    score = F.log("__k") + sum((F.coalesce(density.normal_log_density(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_sd")), F.lit(0.0)) for c in columns), F.lit(0.0))
-    s = test.join(F.broadcast(model.withColumn("__j", F.lit(1))), F.col("__j") == 1)
-    best = s.groupBy(F.col(id_col).alias("item"), F.col(label).alias("actual")).agg(F.max_by("__c", F.struct(score.alias("s"), F.col("__k"))).alias("predicted"))
-    return best
+    rows = model.where("__c is not null").orderBy("__c").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError(f"{label} has over 10,000 classes")
+    parts = []
+    for r in rows:
+        lit = lambda c, r=r: F.lit(None if r[c] is None else float(r[c]))
+        score = F.log(lit("__k")) + sum((F.coalesce(density.normal_log_density(F.col(c), lit(f"{c}_mean"), lit(f"{c}_sd")), F.lit(0.0)) for c in columns), F.lit(0.0))
+        parts.append(F.struct(score.alias("s"), F.lit(r["__k"]).alias("k"), F.lit(r["__c"]).alias("c")))
+    best = F.array_max(F.array(*parts))["c"] if parts else F.lit(None).cast(dict(train.dtypes)[label])
+    return test.select(F.col(id_col).alias("item"), F.col(label).alias("actual"), best.alias("predicted"))
 
 
 def decision_stump(df: DataFrame, column: str, label: str) -> DataFrame:

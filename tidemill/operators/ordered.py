@@ -10,6 +10,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table: what is read more than once is computed once, and later plans start there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def _ranges(df: DataFrame, by: str, parts: int | None) -> DataFrame:
     """``df`` with ``__range``, the number of the range that ``by`` lies in (null in the first)."""

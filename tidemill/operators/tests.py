@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import normal_cdf
-from .ordered import running_sums
+from .ordered import running_sums, written
 
 
 def two_sided(z: Column) -> Column:
@@ -65,9 +65,10 @@ def mann_whitney(df: DataFrame, sample: str, value: str, a, b) -> DataFrame:
 def kruskal_wallis(df: DataFrame, sample: str, value: str) -> DataFrame:
     """H and H corrected for ties over k samples."""
     known = df.where(F.col(value).isNotNull() & F.col(sample).isNotNull())
-    c = known.groupBy(value, sample).agg(F.count("*").alias("k"))
-    r = tied_ranks(c.groupBy(value).agg(F.sum("k").alias("n")), value)
-    t = r.agg(F.sum("n").alias("all"), F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("ties"))
+    c = written(known.groupBy(value, sample).agg(F.count("*").alias("k")), "samples")
+    counts = c.groupBy(value).agg(F.sum("k").alias("n"))
+    r = tied_ranks(counts, value)
+    t = counts.agg(F.sum("n").alias("all"), F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("ties"))
     g = c.join(r.select(value, "rank"), value).groupBy(sample).agg(F.sum("k").alias("m"), F.sum(F.col("rank") * F.col("k")).alias("r"))
     n = F.col("all")
     h = g.agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q"), F.count("*").alias("groups")).join(F.broadcast(t)).withColumn("h", 12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1))

@@ -21,7 +21,7 @@ b as (select v, sum(n) over (partition by c order by v) as b, sum(n) over (parti
 e as (select v, (hb + nb * log2(nb) + ha + (na - nb) * log2(na - nb)) / na as e from s where na > nb) select v as threshold, round(e, 6) as entropy from e order by round(e, 12), v limit 1"""
 
 ORACLE_SQL["l_gaussian_naive_bayes"] = """with m as (select l_returnflag as c, count(*) as k, avg(l_quantity) as m1, greatest(stddev_samp(l_quantity), 0.001) as s1, avg(l_discount) as m2, greatest(stddev_samp(l_discount), 0.001) as s2, avg(l_tax) as m3, greatest(stddev_samp(l_tax), 0.001) as s3 from lineitem group by 1),
-s as (select l_orderkey * 10 + l_linenumber as item, l_returnflag as actual, c, k, ln(k) - power((l_quantity - m1) / s1, 2) / 2 - ln(s1) - power((l_discount - m2) / s2, 2) / 2 - ln(s2) - power((l_tax - m3) / s3, 2) / 2 - ln(s3) as s from lineitem, m),
+s as (select item, l_returnflag as actual, c, k, ln(k) - power((l_quantity - m1) / s1, 2) / 2 - ln(s1) - power((l_discount - m2) / s2, 2) / 2 - ln(s2) - power((l_tax - m3) / s3, 2) / 2 - ln(s3) as s from (select *, row_number() over () as item from lineitem), m),
 p as (select item, actual, arg_max(c, (s, k)) as predicted from s group by all) select actual, predicted, count(*) as n from p group by all"""
 
 CDF = "case when z >= 0 then 1 - t else t end"
