@@ -1,12 +1,14 @@
 """Information clusters, item clusters and rotation forests against plain versions."""
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemill.operators import category_clusters, refined, rotation
+from tidemill.operators import category_clusters, refined, rotation, string_kernels
 from tidemill.streaming import operators as streaming
 
 
@@ -241,3 +243,24 @@ def test_category_clusters_of_a_stream(spark):
     assert {(r.cluster, r.column, r.value): r.n for r in state.before().collect()} == want
     told = streaming.category_clusters(spark.createDataFrame([("a", "x", "1"), ("c", "z", None), ("?", "?", "?")], "p string, q string, r string"), ["p", "q", "r"], state.before()).collect()
     assert {r.p: r.cluster for r in told}["?"] is None and {r.p: r.cluster for r in told}["a"] is not None
+
+
+def plain_kernel(a, b, k, decay):
+    spans = lambda x: [("".join(x[i] for i in at), at[-1] - at[0] + 1) for at in itertools.combinations(range(len(x)), k)]
+    return sum(decay ** (m + n) for u, m in spans(a) for v, n in spans(b) if u == v)
+
+
+@pytest.mark.parametrize(("length", "decay"), [(1, 0.5), (2, 0.5), (3, 0.7)])
+def test_subsequence_kernel(spark, length, decay):
+    rng = np.random.default_rng(1)
+    words = ["", "a", "ab", "axb", "abb", "cat", "car", "bat", "é😀é", *("".join(rng.choice(list("abc"), int(rng.integers(3, 9)))) for _ in range(8))]
+    pairs = list(itertools.product(words, words))
+    df = spark.createDataFrame([*pairs, (None, "a"), ("a", None)], "a string, b string")
+    got = df.select("a", "b", string_kernels.subsequence_kernel(F.col("a"), F.col("b"), length, decay).alias("k"), string_kernels.subsequence_kernel(F.col("a"), F.col("b"), length, decay, True).alias("n")).collect()
+    assert len(got) == len(pairs) + 2
+    for r in got:
+        if r.a is None or r.b is None:
+            assert r.k is None and r.n is None
+            continue
+        own = plain_kernel(r.a, r.a, length, decay) * plain_kernel(r.b, r.b, length, decay)
+        assert abs(r.k - plain_kernel(r.a, r.b, length, decay)) < 1e-9 and abs(r.n - (r.k / math.sqrt(own) if own else 0)) < 1e-9
