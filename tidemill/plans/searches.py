@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import category_clusters, columns, distances, learned_shapelets, linkage, pivots, refined, rotation, series, shapelet_search, string_kernels, symbols, text
+from ..operators import category_clusters, columns, descriptors, distances, learned_shapelets, linkage, pivots, refined, rotation, series, shapelet_search, string_kernels, symbols, text
 from ..streaming import operators as streaming
 from .catalog import ORACLE_SQL, query, r6, read, vectors
 from .streams import source
@@ -164,3 +164,9 @@ def d_string_kernel(spark, d):
     types = read(spark, d, "part").select("p_type").distinct()
     both = distances.all_pairs(types.select(F.col("p_type").alias("x")), types.select(F.col("p_type").alias("y"))).where("x <= y")
     return r6(both.select("x", "y", string_kernels.subsequence_kernel(F.lower("x"), F.lower("y"), 3, 0.5, True).alias("kernel")))
+
+
+@query()
+def b_descriptor_words(spark, d):
+    x = vectors(spark, d)
+    return r6(descriptors.DescriptorWords(16, dense=True).fit(x, "s").transform(x, "vec_id", "s", "label"))
