@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidemill.operators import descriptors as local
+from tidemill.operators import distances
 
 
 def plain(x, blocks, width, scales, dense=False):
@@ -65,3 +66,19 @@ def test_bags_tell_shapes_apart(spark):
     assert np.allclose((b * b).sum(1), 1)
     near = b @ b.T - 9 * np.eye(60)
     assert np.mean([near[i].argmax() % 2 == i % 2 for i in range(60)]) > 0.85
+
+
+def test_windows_share_one_pass(spark):
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.normal(size=(70, 24)), axis=1)
+    x[60:] = x[:10]
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)] + [(90, 1, None)], "id long, label int, s array<double>")
+    windows = [0.2, 0.05, 1.0]
+    got = distances.windows_nearest(df, df, "id", "s", "label", windows).collect()
+    assert len(got) == 3 * 70
+    scores = {r.setting: r for r in distances.window_search(df, df, "id", "s", "label", windows).collect()}
+    for k, w in enumerate(windows):
+        want = {r["query"]: (r.neighbour, round(r.distance, 9)) for r in distances.nearest(df, df, "id", "s", "label", "dtw", window=w).collect()}
+        assert {r["query"]: (r.neighbour, round(r.distance, 9)) for r in got if r.setting == k} == want
+        assert abs(scores[k].accuracy - np.mean([i % 3 == n % 3 for i, (n, _) in want.items()])) < 1e-9 and scores[k].window == w
+    assert sum(r.met for r in got) < 0.6 * 3 * 70 * 69

@@ -489,14 +489,63 @@ def weighted_views(queries: DataFrame, train: DataFrame, id_col: str, label: str
     return acc.select("setting", F.cos(F.get(at, F.col("setting"))).alias("weight1"), F.sin(F.get(at, F.col("setting"))).alias("weight2"), "accuracy")
 
 
+def windows_nearest(queries: DataFrame, train: DataFrame, id_col: str, series: str, label: str, windows: list[float]) -> DataFrame:
+    """(setting, query, actual, distance, neighbour, label, met): what :func:`pruned_nearest` finds for each of the windows, in one pass over the pairs of blocks;
+    ``met`` counts the query's warping distances that were computed.
+
+    In a pair of blocks windows go from the widest to the narrowest, and each pair carries a lower bound along: the bounds of Keogh and the
+    distance itself in a wide band are never above the distance in a narrower one. The lock-step nearest, found once, bounds the answer of every window.
+    """
+    q, t = _sides(queries, train, id_col, series, label)
+    sizes = [r.n for r in q.select(F.size("a").alias("n")).union(t.select(F.size("b"))).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError("series of unequal lengths have no common envelope")
+    seed = nearest(queries, train, id_col, series, label).select("query", "neighbour")
+    s = seed.join(q.select("query", "a"), "query").join(t.select("neighbour", "b"), "neighbour")
+    bound = written(s.select("query", F.array(*(distance("dtw", F.col("a"), F.col("b"), window=w) for w in windows)).alias("bound")), "bounds")
+    kinds = dict(q.dtypes) | dict(t.dtypes)
+    names = ["setting", "query", "actual", "distance", "neighbour", "label", "met"]
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c: [] for c in names})
+        a, b, most = np.stack(x["a"].to_list()).astype(float), np.stack(y["b"].to_list()).astype(float), np.stack(x["bound"].to_list()) * (1 + 1e-12)
+        n, out = a.shape[1], []
+        least = (a[:, :1] - b[:, 0]) ** 2 + ((a[:, -1:] - b[:, -1]) ** 2 if n > 1 else 0)
+        least[x["query"].to_numpy()[:, None] == y["neighbour"].to_numpy()] = np.inf
+        for setting in sorted(range(len(windows)), key=lambda i: -_band(n, windows[i])):
+            window, top = windows[setting], most[:, setting]
+            r = min(n, _band(n, window)) - 1
+            row, col = np.nonzero(least <= top[:, None])
+            for one, at, (lo, hi), of in ((a, 0, _envelopes(b, r), 1), (b, 1, _envelopes(a, r), 0)):
+                step = max(1, CELLS // n)
+                for i in range(0, len(row), step):
+                    pair = (row[i : i + step], col[i : i + step])
+                    p, e = one[pair[at]], pair[of]
+                    gap = np.maximum(np.maximum(p - hi[e], lo[e] - p), 0)
+                    least[pair] = np.maximum(least[pair], (gap * gap).sum(1))
+                keep = least[row, col] <= top[row]
+                row, col = row[keep], col[keep]
+            step = max(1, CELLS // n**2)
+            d = np.concatenate([np.zeros(0), *(dtw(a[row[i : i + step]], b[col[i : i + step]], window) for i in range(0, len(row), step))])
+            least[row, col] = np.maximum(least[row, col], d)
+            f = pd.concat([x[["query", "actual"]].iloc[row].reset_index(drop=True), y[["neighbour", "label"]].iloc[col].reset_index(drop=True)], axis=1).assign(distance=d, setting=setting)
+            f["met"] = f.groupby("query")["distance"].transform("size") if len(f) else 0
+            out.append(f.sort_values(["query", "distance", "neighbour"]).drop_duplicates("query")[names])
+        return pd.concat(out)
+
+    schema = f"setting int, query {kinds['query']}, actual {kinds['actual']}, distance double, neighbour {kinds['neighbour']}, label {kinds['label']}, met long"
+    found = block_pairs(q.join(bound, "query"), t, run, schema, ELASTIC_BLOCK)
+    of = Window.partitionBy("setting", "query")
+    best = F.row_number().over(of.orderBy("distance", "neighbour"))
+    return found.withColumn("__r", best).withColumn("met", F.sum("met").over(of)).where(F.col("__r") == 1).drop("__r")
+
+
 def window_search(queries: DataFrame, train: DataFrame, id_col: str, series: str, label: str, windows: list[float]) -> DataFrame:
-    """(setting, window, n, accuracy) of pruned 1-NN under DTW for each window: leave-one-out where both tables are the same."""
-    out = None
-    for i, w in enumerate(windows):
-        r = pruned_nearest(queries, train, id_col, series, label, w).agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("actual")).cast("double")).alias("accuracy"))
-        r = r.select(F.lit(i).alias("setting"), F.lit(float(w)).alias("window"), "n", "accuracy")
-        out = r if out is None else out.union(r)
-    return out
+    """(setting, window, n, accuracy) of 1-NN under DTW for each window, all searched in one pass: leave-one-out where both tables are the same."""
+    found = windows_nearest(queries, train, id_col, series, label, windows)
+    r = found.groupBy("setting").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("actual")).cast("double")).alias("accuracy"))
+    return r.select("setting", F.element_at(F.array(*map(F.lit, map(float, windows))), F.col("setting") + 1).alias("window"), "n", "accuracy")
 
 
 def best_window(scores: DataFrame) -> DataFrame:
