@@ -8,6 +8,8 @@ the clustering is; large tables are first brought down to centres or representat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def agglomerate(distances: DataFrame, link: str, height: float | None = None) ->
     half = _written(distances.where("x < y").select("x", "y", F.round("d", 9).alias("d")), "pairs")
     now = half.union(half.select("y", "x", "d"))
     sizes = _written(now.select(F.col("x").alias("c"), F.lit(1).cast("long").alias("n")).distinct(), "sizes")
-    done = None
+    done = []
     while True:
         pair = F.struct("d", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
         near = now.groupBy("x").agg(F.min(pair).alias("p"))
@@ -58,15 +60,16 @@ def agglomerate(distances: DataFrame, link: str, height: float | None = None) ->
         merges = _written(both.join(n[0], "lo").join(n[1], "hi").select("lo", "hi", F.col("d").alias("h"), "n1", "n2"), "merges")
         if not merges.limit(1).count():
             break
-        done = merges if done is None else _written(done.union(merges), "tree")
+        done.append(merges)
         to = merges.select(F.col("hi").alias("from"), F.col("lo").alias("to"))
         sizes_now = _written(sizes.join(to, sizes["c"] == to["from"], "left").groupBy(F.coalesce("to", "c").alias("c")).agg(F.sum("n").alias("n")), "sizes")
         # one end, against the other end's cluster before the round, then the other end, against the first's cluster after it
         half = _written(_merge_end(_merge_end(now, merges, link, "x", "y", sizes), merges, link, "y", "x", sizes_now).where("x < y"), "pairs")
         now, sizes = half.union(half.select("y", "x", "d")), sizes_now
-    if done is None:
+    if not done:
         return half.sparkSession.createDataFrame([], merges.select(F.col("lo").alias("x"), F.col("hi").alias("y"), F.col("h").alias("height"), F.col("n1").alias("size")).schema)
-    return done.select(F.col("lo").alias("x"), F.col("hi").alias("y"), F.col("h").alias("height"), (F.col("n1") + F.col("n2")).alias("size"))
+    tree = reduce(DataFrame.union, done)
+    return tree.select(F.col("lo").alias("x"), F.col("hi").alias("y"), F.col("h").alias("height"), (F.col("n1") + F.col("n2")).alias("size"))
 
 
 def _merge_end(pairs: DataFrame, merges: DataFrame, link: str, end: str, other: str, sizes: DataFrame) -> DataFrame:
