@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidemill.operators import descriptors as local
-from tidemill.operators import distances
+from tidemill.operators import distances, symbols
 
 
 def plain(x, blocks, width, scales, dense=False):
@@ -82,3 +82,12 @@ def test_windows_share_one_pass(spark):
         assert {r["query"]: (r.neighbour, round(r.distance, 9)) for r in got if r.setting == k} == want
         assert abs(scores[k].accuracy - np.mean([i % 3 == n % 3 for i, (n, _) in want.items()])) < 1e-9 and scores[k].window == w
     assert sum(r.met for r in got) < 0.6 * 3 * 70 * 69
+
+
+def test_nearest_histogram(spark):
+    rng = np.random.default_rng(6)
+    bags = {i: {f"w{w}": int(rng.integers(1, 6)) for w in rng.choice(30, int(rng.integers(1, 5)), replace=False)} for i in range(40)}
+    bags |= {50: {"alone": 9}, 51: {"other": 1}, 52: {"third": 1}}
+    got = {r.a: (r.b, r.distance) for r in symbols.nearest_histogram(spark.createDataFrame([(i, w, n) for i, b in bags.items() for w, n in b.items()], "id long, word string, n long"), "id").collect()}
+    far = lambda a, b: sum((a.get(w, 0) - b.get(w, 0)) ** 2 for w in a.keys() | b.keys())
+    assert got == {i: min((far(bags[i], bags[j]), j) for j in bags if j != i)[::-1] for i in bags}

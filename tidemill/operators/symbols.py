@@ -124,6 +124,33 @@ def boss_grid(df: DataFrame, id_col: str, series: str, label: str, grid: list[tu
     return out.withColumn("kept", F.col("accuracy") >= share * F.max("accuracy").over(Window.partitionBy()))
 
 
+def nearest_histogram(bags: DataFrame, id_col: str) -> DataFrame:
+    """(a, b, distance): for each bag (id, word, n) the other one at the least squared Euclidean distance, ties by id.
+
+    Products come from bags that share a word. Of the bags that share none with it only the smallest by norm and id can be nearest: two are enough for all.
+    """
+    norm = bags.groupBy(id_col).agg(F.sum(F.col("n") * F.col("n")).alias("q"))
+    x, y = (bags.select(F.col(id_col).alias(c), "word", F.col("n").alias(f"n_{c}")) for c in "ab")
+    dots = x.join(y, "word").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("dot"))
+    small = norm.orderBy("q", id_col).limit(2).select(F.col(id_col).alias("b"))
+    apart = norm.select(F.col(id_col).alias("a")).join(F.broadcast(small)).where("a <> b").select("a", "b", F.lit(0).cast("long").alias("dot"))
+    both = dots.unionByName(apart).groupBy("a", "b").agg(F.max("dot").alias("dot"))
+    of = lambda c: norm.select(F.col(id_col).alias(c), F.col("q").alias(f"q_{c}"))
+    d = both.join(of("a"), "a").join(of("b"), "b").select("a", "b", (F.col("q_a") + F.col("q_b") - 2 * F.col("dot")).alias("distance"))
+    return d.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance"))
+
+
+def pattern_grid(df: DataFrame, id_col: str, series: str, label: str, grid: list[tuple[int, int, int]]) -> DataFrame:
+    """(width, length, alphabet, accuracy): leave-one-out accuracy of 1-NN over bags of SAX words for each setting."""
+    out, labels = None, df.select(F.col(id_col).alias("id"), F.col(label).alias("of"))
+    for width, length, alphabet in grid:
+        near = nearest_histogram(bag_of_patterns(df, id_col, series, width, length, alphabet), id_col)
+        p = near.join(labels.toDF("a", "actual"), "a").join(labels.toDF("b", "predicted"), "b")
+        r = p.agg(F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy")).select(F.lit(width).alias("width"), F.lit(length).alias("length"), F.lit(alphabet).alias("alphabet"), "accuracy")
+        out = r if out is None else out.union(r)
+    return out
+
+
 def word_pairs(words: DataFrame, id_col: str, width: int) -> DataFrame:
     """(id, word) of words and of pairs of words one window apart."""
     after = F.lead("word", width).over(Window.partitionBy(id_col).orderBy("start"))

@@ -170,3 +170,21 @@ def d_string_kernel(spark, d):
 def b_descriptor_words(spark, d):
     x = vectors(spark, d)
     return r6(descriptors.DescriptorWords(16, dense=True).fit(x, "s").transform(x, "vec_id", "s", "label"))
+
+
+def _pattern_sql(width: int, length: int, alphabet: int) -> str:
+    """SQL of one setting: bags of words, squared distances of all pairs, leave-one-out accuracy."""
+    part, w = width // length, f"s[i + 1 : i + {width}]"
+    letter = "case " + " ".join(f"when list_avg(z[{part} * k + 1 : {part} * k + {part}]) > {b} then '{'abcdef'[n + 1]}'" for n, b in sorted(enumerate(series.BREAK_POINTS[alphabet]), reverse=True)) + " else 'a' end"
+    return f"""(with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as s from embeddings), w as (select vec_id, label, unnest(range({65 - width})) as i, s from v), z as (select vec_id, label, i, list_transform({w}, lambda x: (x - list_avg({w})) / list_stddev_pop({w})) as z from w),
+l as (select vec_id, i, list_aggregate(list_transform(range({length}), lambda k: {letter}), 'string_agg', '') as word from z), b as (select vec_id, word, count(*) as n from (select *, lag(word) over (partition by vec_id order by i) as before from l) where before is null or before <> word group by all),
+q as (select vec_id, sum(n * n) as q from b group by 1), d as (select a.vec_id as a, b.vec_id as b, sum(a.n * b.n) as dot from b a join b on a.word = b.word group by all), p as (select x.vec_id as a, y.vec_id as b, x.q + y.q - 2 * coalesce(dot, 0) as d from q x cross join q y left join d on d.a = x.vec_id and d.b = y.vec_id where x.vec_id <> y.vec_id),
+n as (select a, arg_min(b, (d, b)) as b from p group by 1) select {width}::int as width, {length}::int as length, {alphabet}::int as alphabet, round(avg((u.label = t.label)::int), 6) as accuracy from n join v u on u.vec_id = n.a join v t on t.vec_id = n.b)"""
+
+
+PATTERN_GRID = [(16, 4, 4), (24, 4, 3), (32, 8, 2)]
+
+
+@query(" union all ".join(_pattern_sql(*g) for g in PATTERN_GRID))
+def b_pattern_grid(spark, d):
+    return r6(symbols.pattern_grid(vectors(spark, d), "vec_id", "s", "label", PATTERN_GRID))
