@@ -264,3 +264,16 @@ def test_subsequence_kernel(spark, length, decay):
             continue
         own = plain_kernel(r.a, r.a, length, decay) * plain_kernel(r.b, r.b, length, decay)
         assert abs(r.k - plain_kernel(r.a, r.b, length, decay)) < 1e-9 and abs(r.n - (r.k / math.sqrt(own) if own else 0)) < 1e-9
+
+
+def test_ordered_classes(spark):
+    rng = np.random.default_rng(11)
+    x = rng.uniform(0, 4, 240)
+    y = np.minimum(3, np.floor(x + rng.normal(0, 0.1, 240)).clip(0)).astype(int)
+    df = spark.createDataFrame([(i, [float(v), 0.0], int(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))] + [(900, None, 1), (901, [0.0, 0.0], None)], "id long, x array<double>, y int")
+    model = refined.OrderedClasses("tree", maxDepth=2).fit(df.where("id < 160"), "x", "y")
+    got = model.predict(df.where("id between 160 and 899"), ["id", "y"], "x").collect()
+    assert len(got) == 80 and all(abs(sum(r.probs) - 1) < 1e-9 and len(r.probs) == 4 for r in got)
+    assert np.mean([r.predicted == r.y for r in got]) > 0.85
+    one = refined.OrderedClasses().fit(df.where("y = 2"), "x", "y").predict(df.where("id < 3"), ["id"], "x").collect()
+    assert {(r.predicted, tuple(r.probs)) for r in one} == {(2, (1.0,))}

@@ -105,3 +105,31 @@ class NestedDichotomies:
             probs.append(p)
         x = x.select(*keep, F.array(*probs).alias("probs"))
         return x.select(*keep, F.element_at(F.array(*map(F.lit, self.classes)), F.array_position("probs", F.array_max("probs")).cast("int")).alias("predicted"), "probs")
+
+
+class OrderedClasses:
+    """Classes with an order: one two-class problem for each class but the last, whether a row lies above it; the probability of a class is the
+    difference of its neighbours', brought to a sum of one where the problems disagree."""
+
+    def __init__(self, learner: str = "logistic", **params):
+        self.learner, self.params = learner, params
+
+    def fit(self, df: DataFrame, features: str, label: str) -> OrderedClasses:
+        known = df.where(F.col(features).isNotNull() & F.col(label).isNotNull())
+        self.classes = [r[0] for r in known.select(label).distinct().orderBy(label).limit(1001).collect()]
+        if not 1 <= len(self.classes) <= 1000:
+            raise ValueError(f"{label}: 1 to 1000 classes are needed")
+        rows = known.select(array_to_vector(F.col(features)).alias("__v"), F.col(label).alias("__c"))
+        self.models = [LEARNERS[self.learner](featuresCol="__v", labelCol="__l", **self.params).fit(rows.withColumn("__l", (F.col("__c") > c).cast("double"))) for c in self.classes[:-1]]
+        return self
+
+    def predict(self, df: DataFrame, keep: list[str], features: str) -> DataFrame:
+        """``keep``, ``predicted`` (ties to the lower class) and ``probs``, one a class in order."""
+        x = df.where(F.col(features).isNotNull()).select(*keep, array_to_vector(F.col(features)).alias("__v"))
+        for i, m in enumerate(self.models):
+            x = m.transform(x).withColumn(f"__above{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        above = [F.lit(1.0), *(F.col(f"__above{i}") for i in range(len(self.models))), F.lit(0.0)]
+        raw = F.array(*(F.greatest(a - b, F.lit(0.0)) for a, b in zip(above, above[1:], strict=False)))
+        x = x.select(*keep, raw.alias("__r")).withColumn("__s", F.aggregate("__r", F.lit(0.0), lambda a, v: a + v))
+        x = x.select(*keep, F.transform("__r", lambda v: v / F.col("__s")).alias("probs"))
+        return x.select(*keep, F.element_at(F.array(*map(F.lit, self.classes)), F.array_position("probs", F.array_max("probs")).cast("int")).alias("predicted"), "probs")

@@ -188,3 +188,18 @@ PATTERN_GRID = [(16, 4, 4), (24, 4, 3), (32, 8, 2)]
 @query(" union all ".join(_pattern_sql(*g) for g in PATTERN_GRID))
 def b_pattern_grid(spark, d):
     return r6(symbols.pattern_grid(vectors(spark, d), "vec_id", "s", "label", PATTERN_GRID))
+
+
+@query("""with e as (select event_id, ts, value, (user_id % 5)::int as label from events), h as (select * from e order by ts desc, event_id desc limit 300), n as (select q.event_id as query, q.label as actual, h.label, row_number() over (partition by q.event_id order by power(q.value - h.value, 2), h.event_id) as r from e q, h where q.event_id % 100 = 0 and q.event_id <> h.event_id),
+v as (select query, actual, label, count(*) as n from n where r <= 3 group by all) select query, actual, arg_max(label, (n, -label)) as predicted from v group by all""")
+def w_recent_neighbours(spark, d):
+    state = streaming.TableState(spark, "event_id long, ts timestamp, x array<double>, label int")
+    shaped = lambda e: e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.array("value").alias("x"), (F.col("user_id") % 5).cast("int").alias("label"))
+    streaming.feed(shaped(source(spark, d, "events")), streaming.recent_sink(300, ["ts", "event_id"], state))
+    return streaming.recent_neighbours(state.before(), shaped(read(spark, d, "events")).where("event_id % 100 = 0"), "event_id", "x", "label", 3)
+
+
+@query()
+def l_ordered(spark, d):
+    x = read(spark, d, "part").select("p_partkey", F.array(F.col("p_retailprice") / 1000, F.length("p_type").cast("double")).alias("x"), F.ceil(F.col("p_size") / 10).cast("int").alias("y"))
+    return refined.OrderedClasses("tree", maxDepth=3).fit(x, "x", "y").predict(x, ["p_partkey", "y"], "x").select("p_partkey", "y", "predicted")

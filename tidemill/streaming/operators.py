@@ -141,6 +141,13 @@ def recent_sink(size: int, order: list[str], state: TableState):
     return step
 
 
+def recent_neighbours(held: DataFrame, queries: DataFrame, id_col: str, features: str, label: str, k: int = 1) -> DataFrame:
+    """(query, actual, predicted): the vote of the k nearest rows of ``held`` (a state of :func:`recent_sink`) other than the query itself."""
+    from ..operators.distances import knn_join, vote
+
+    return vote(knn_join(queries, held, k, id_col, features, label))
+
+
 def gradient_sink(columns: list[str], target: str, rate: float, state: TableState, loss: str = "squared"):
     """One gradient step a micro-batch of a linear model; the gradient is one aggregate over the batch. ``state``: (i int, w double), the last is the bias.
 
