@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running_sums, written
+from .ordered import ranges_for, running_sums, written
 
 
 def confusion(p: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -57,7 +57,8 @@ def _counted(p: DataFrame, score: str, positive: Column | None) -> DataFrame:
 
 def _scored(p: DataFrame, score: str, positive: Column | None) -> DataFrame:
     """(score, p, n, p_upto, n_upto): positives and negatives of each distinct score, and of it with all above."""
-    return running_sums(_counted(p, score, positive), score, ["p", "n"], descending=True)
+    counted = _counted(p, score, positive)
+    return running_sums(counted, score, ["p", "n"], descending=True, parts=ranges_for(counted))
 
 
 def auroc(p: DataFrame, score: str = "score", positive: Column | None = None) -> DataFrame:
@@ -71,7 +72,7 @@ def threshold_curve(p: DataFrame, score: str = "score", positive: Column | None
     """Per distinct score from the top: TP, FP, rates, precision, recall, lift, sample share."""
     counted = _counted(p, score, positive)
     all_p, all_n = counted.agg(F.sum("p"), F.sum("n")).first()
-    c = running_sums(counted, score, ["p", "n"], descending=True).withColumns({"all_p": F.lit(all_p).cast("long"), "all_n": F.lit(all_n).cast("long")})
+    c = running_sums(counted, score, ["p", "n"], descending=True, parts=ranges_for(counted)).withColumns({"all_p": F.lit(all_p).cast("long"), "all_n": F.lit(all_n).cast("long")})
     tp, fp, every = F.col("p_upto"), F.col("n_upto"), F.col("all_p") + F.col("all_n")
     return c.select(
         score, tp.alias("tp"), fp.alias("fp"), (tp / F.col("all_p")).alias("recall"), (fp / F.col("all_n")).alias("fallout"), (tp / (tp + fp)).alias("precision"),

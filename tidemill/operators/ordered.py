@@ -20,6 +20,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a range is meant to have.
+RANGE = 100_000
+
+
+def ranges_for(table: DataFrame) -> int:
+    """How many ranges a written table is dealt to: few rows need no borders."""
+    return max(1, min(2000, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // RANGE)))
+
+
 def _ranges(df: DataFrame, by: str, parts: int | None) -> DataFrame:
     """``df`` with ``__range``, the number of the range that ``by`` lies in (null in the first)."""
     parts = parts or min(2000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -11,16 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import normal_cdf
-from .ordered import running_sums, written
+from .ordered import ranges_for, running_sums, written
 
 
 def two_sided(z: Column) -> Column:
     return 2 * (1 - normal_cdf(F.abs(z)))
 
 
-def tied_ranks(counts: DataFrame, value: str, n: str = "n", by: list[str] | None = None) -> DataFrame:
+def tied_ranks(counts: DataFrame, value: str, n: str = "n", by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """Adds ``rank``, the average rank of each distinct value; counts: one row a value with how often it occurs."""
-    r = running_sums(counts, value, [n], by)
+    r = running_sums(counts, value, [n], by, parts=parts)
     return r.withColumn("rank", F.col(f"{n}_upto") - (F.col(n) - 1) / 2).drop(f"{n}_upto")
 
 
@@ -67,7 +67,7 @@ def kruskal_wallis(df: DataFrame, sample: str, value: str) -> DataFrame:
     known = df.where(F.col(value).isNotNull() & F.col(sample).isNotNull())
     c = written(known.groupBy(value, sample).agg(F.count("*").alias("k")), "samples")
     counts = c.groupBy(value).agg(F.sum("k").alias("n"))
-    r = tied_ranks(counts, value)
+    r = tied_ranks(counts, value, parts=ranges_for(c))
     t = counts.agg(F.sum("n").alias("all"), F.sum((F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double")).alias("ties"))
     g = c.join(r.select(value, "rank"), value).groupBy(sample).agg(F.sum("k").alias("m"), F.sum(F.col("rank") * F.col("k")).alias("r"))
     n = F.col("all")
