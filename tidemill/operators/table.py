@@ -49,16 +49,22 @@ def rename_matching(df: DataFrame, pattern: str, to: str) -> DataFrame:
 
 
 def add_id(df: DataFrame, order: list, name: str = "id", partition: list[str] | None = None) -> DataFrame:
-    """Number rows from 1 in a stated order. Without ``partition`` a range sort and per-partition counts are used: no single task sorts all rows."""
+    """Number rows from 1 in a stated order. Without ``partition`` rows are dealt to written ranges of the order and numbered inside
+    them, after the ranges before: no single task sorts all rows.
+
+    The ranges are written before they are counted: sorted again for the result, rows may be dealt otherwise.
+    """
     if partition:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
-    sorted_ = df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counts = {r["__p"]: r["count"] for r in sorted_.groupBy("__p").count().collect()}  # one row a partition
-    start, before = {}, 0
-    for p in sorted(counts):
-        start[p], before = before, before + counts[p]
-    shift = F.create_map(*(F.lit(x) for p in start for x in (p, start[p]))) if start else F.create_map(F.lit(0), F.lit(0))
-    return sorted_.withColumn(name, shift[F.col("__p")] + F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33) + 1).drop("__p", "__m")
+    from .ordered import written
+
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = written(df.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__p").agg(F.count("*").alias("__n"))  # one row a range
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    start = counts.select("__p", F.coalesce(before, F.lit(0)).alias("__s"))
+    inside = dealt.withColumn("__m", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    return inside.join(F.broadcast(start), "__p").withColumn(name, F.col("__s") + F.col("__m")).select(*df.columns, name)
 
 
 def filter_value(df: DataFrame, column: str, below: float | None = None, labels: list[str] | None = None, keep_missing: bool = False, invert: bool = False) -> DataFrame:
