@@ -58,8 +58,20 @@ def normalise_row(a: Column, p: float = 2.0, norm: float = 1.0) -> Column:
 
 
 def bin_of(x: Column, cuts: list[float]) -> Column:
-    """0 below or at the first cut, and so on: the number of cuts under x."""
-    return F.when(x.isNotNull(), sum((F.when(x > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    """0 below or at the first cut, and so on: the number of cuts under x. Many cuts are an array searched by halves, not a chain of conditions."""
+    if len(cuts) <= 32:
+        return F.when(x.isNotNull(), sum((F.when(x > c, 1).otherwise(0) for c in cuts), F.lit(0)))
+    at = F.lit([float(c) for c in sorted(cuts)])
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        over = x.cast("double") > F.get(at, mid)
+        open_ = s["low"] < s["high"]
+        return F.struct(F.when(open_ & over, mid + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~over, mid).otherwise(s["high"]).alias("high"))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), halve, lambda s: s["low"])
+    return F.when(x.isNotNull(), found)
 
 
 def equal_width_cuts(df: DataFrame, column: str, bins: int = 10) -> list[float]:
