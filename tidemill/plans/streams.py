@@ -10,19 +10,29 @@ from ..streaming import operators as streaming
 from .catalog import query, r6, read
 
 
+#: Rows of a file of a stream.
+FILE_ROWS = 100_000
+
+
 def source(spark, d, name, parts=3, dealt=False):
     """A stream over a driver table, in some files so that several micro-batches arrive: ranges of the first column, or its remainders if ``dealt``."""
     path = scratch(spark, name)
     x = read(spark, d, name)
+    # a batch is a file while tables are small; a larger one has more files, so that a task reads one of them
+    pieces = max(1, -(-x.count() // (parts * FILE_ROWS)))
+
+    def put(rows):
+        (rows.coalesce(1) if pieces == 1 else rows.repartition(pieces)).write.mode("append").parquet(path)
+
     if dealt:
         for i in range(parts):
-            x.where(F.col(x.columns[0]) % parts == i).coalesce(1).write.mode("append").parquet(path)
-        return streaming.row_source(spark, path, x.schema)
+            put(x.where(F.col(x.columns[0]) % parts == i))
+        return streaming.row_source(spark, path, x.schema, pieces)
     # one after the other, so that they arrive in the order of the first column
     cuts = [float("-inf"), *x.approxQuantile(x.columns[0], [i / parts for i in range(1, parts)], 0.01), float("inf")]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        x.where((F.col(x.columns[0]) > a) & (F.col(x.columns[0]) <= b)).coalesce(1).write.mode("append").parquet(path)
-    return streaming.row_source(spark, path, x.schema)
+        put(x.where((F.col(x.columns[0]) > a) & (F.col(x.columns[0]) <= b)))
+    return streaming.row_source(spark, path, x.schema, pieces)
 
 
 @query("select o_orderkey, o_totalprice from orders")
