@@ -42,3 +42,41 @@ def test_streams_have_files_of_bounded_rows(spark, tmp_path, monkeypatch):
         path, files = kept[-1]
         sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
         assert files == 4 and len(sizes) == 12 and sum(sizes) == 1000 and max(sizes) <= 200
+
+
+def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
+    from tidemill.operators import distances, scoring, symbols
+
+    rng = np.random.default_rng(5)
+    s, c = rng.normal(size=(90, 6)).round(1), rng.integers(0, 3, 90)
+    df = spark.createDataFrame([(i, int(c[i]), s[i].tolist(), (s[i][::-1] ** 2).tolist()) for i in range(90)], "id long, c int, s array<double>, g array<double>").repartition(3)
+    for name in ("BLOCK", "CELLS"):
+        monkeypatch.setattr(distances, name, 40)
+    gaps = np.abs(s[:, None] - s)
+    d = (gaps**2).sum(2)
+    got = {(r.x, r.y) for r in distances.radius_join(df, df, "id", "s", 2.0).collect()}
+    assert got == {(i, j) for i in range(90) for j in range(90) if i != j and np.sqrt(d[i, j]) <= 2.0}
+    e = (((s[:, ::-1] ** 2)[:, None] - s[:, ::-1] ** 2) ** 2).sum(2)
+    want = []
+    for w in np.linspace(0, np.pi / 2, 3):
+        f = np.round(np.cos(w) * d + np.sin(w) * e, 6) + np.where(np.eye(90) > 0, np.inf, 0)
+        want.append((c[f.argmin(1)] == c).mean())
+    assert np.allclose([r.accuracy for r in distances.weighted_views(df, df, "id", "c", "s", "g", 3).orderBy("setting").collect()], want)
+    calls = []
+    inner = distances.block_pairs
+    monkeypatch.setattr(distances, "block_pairs", lambda q, t, run, schema, *a, **k: calls.append(schema) or inner(q, t, run, schema, *a, **k))
+    scoring.relief(df, "id", "s", "c", 6, 3).collect()
+    assert "array" not in calls[0]  # a block pair returns no values, only neighbours
+
+    n = rng.integers(0, 3, (90, 12))
+    bags = spark.createDataFrame([(i, f"w{j}", int(n[i, j])) for i in range(90) for j in range(12) if n[i, j]], "id long, word string, n long")
+    monkeypatch.setattr(symbols, "BAG_BLOCKS", 30)
+    plain = symbols.boss_distance(bags, bags, "id").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b", "m.distance")
+    near = symbols.nearest_boss(bags, "id")
+    assert {tuple(r) for r in near.collect()} == {tuple(r) for r in plain.collect()}
+    assert "Join" not in near._jdf.queryExecution().analyzed().toString()  # no row for each shared word of a pair
+    m = n.astype(float)
+    d = ((m[:, None] - m) ** 2).sum(2) + np.where(np.eye(90) > 0, np.inf, 0)
+    assert {(r.a, r.b) for r in symbols.nearest_histogram(bags, "id").collect()} == {(i, int(d[i].argmin())) for i in range(90) if m[i].any()}
+    shared = {(r.a, r.b): r.shared for r in symbols.histogram_intersection(bags, bags, "id").collect()}
+    assert shared == {(i, j): float(np.minimum(m[i], m[j]).sum()) for i in range(90) for j in range(90) if i != j and (m[i] * m[j]).any()}
