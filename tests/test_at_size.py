@@ -80,3 +80,21 @@ def test_blocks_give_what_all_pairs_give(spark, monkeypatch):
     assert {(r.a, r.b) for r in symbols.nearest_histogram(bags, "id").collect()} == {(i, int(d[i].argmin())) for i in range(90) if m[i].any()}
     shared = {(r.a, r.b): r.shared for r in symbols.histogram_intersection(bags, bags, "id").collect()}
     assert shared == {(i, j): float(np.minimum(m[i], m[j]).sum()) for i in range(90) for j in range(90) if i != j and (m[i] * m[j]).any()}
+
+
+def test_candidates_are_judged_a_block_at_a_time(spark, monkeypatch):
+    from tidemill.operators import distances, symbols
+
+    rng = np.random.default_rng(6)
+    y, x = rng.normal(size=(20, 24)), rng.normal(size=(5, 24))
+    z = symbols._windows(x, 7).reshape(-1, 7)
+    monkeypatch.setattr(symbols, "STRIP", 8)
+    assert np.allclose(symbols._least(symbols._windows(y, 7), z), symbols._sliding(list(z), y), atol=1e-12)
+    met = []
+    df = spark.createDataFrame([(i, float(i)) for i in range(60)], "id long, v double")
+    monkeypatch.setattr(symbols, "CANDIDATE_BLOCKS", (10, 30))
+    inner = distances.block_pairs
+    monkeypatch.setattr(distances, "block_pairs", lambda q, t, run, schema, size: met.append(size) or inner(q, t, run, schema, size))
+    series = df.select("id", (F.col("id") % 2).cast("int").alias("c"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.sin(F.col("v") * (i + 1)).cast("double")).alias("s"))
+    got = symbols.scored_candidates(series, "id", "s", "c", [6], 2)
+    assert met == [(10, 30)] and got.count() == 60 * 3
