@@ -15,6 +15,16 @@ def test_rounded_elements_keep_their_sign(spark):
     assert got == [0.0, 0.0, -0.25, 0.0] and [math.copysign(1, x) for x in got] == [-1, 1, -1, 1]
 
 
+def test_transposed_channels_keep_the_sign_of_zero(spark, tmp_path):
+    from tidemill.plans import series_queries
+
+    x = [0.25] * 40 + [-1e-7] + [0.5] * 20 + [-0.75] * 3
+    spark.createDataFrame([(1, 0, x)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    r = series_queries.t_channels(spark, str(tmp_path)).first()
+    assert [[w[t] for w in r.channels] for t in range(16)] == r.transposed
+    assert math.copysign(1, r.channels[2][8]) == math.copysign(1, r.transposed[8][2]) == -1
+
+
 def test_rows_are_numbered_in_order(spark):
     df = spark.range(0, 20_000, 1, 8).select("id", (F.xxhash64("id") % 50).alias("v"), F.repeat(F.lit("x"), 200).alias("wide"))
     got = [r.n for r in table.add_id(df, ["v", "id"], "n").orderBy("v", "id").select("n").collect()]
