@@ -108,3 +108,45 @@ def test_candidates_are_judged_a_block_at_a_time(spark, monkeypatch):
     series = df.select("id", (F.col("id") % 2).cast("int").alias("c"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.sin(F.col("v") * (i + 1)).cast("double")).alias("s"))
     got = symbols.scored_candidates(series, "id", "s", "c", [6], 2)
     assert met == [(10, 30)] and got.count() == 60 * 3
+
+
+def test_pairs_are_valued_in_blocks(spark):
+    from tidemill.operators import distances
+
+    rng = np.random.default_rng(7)
+    s, c = rng.normal(size=(50, 8)), rng.integers(0, 3, 50)
+    df = spark.createDataFrame([(i, int(c[i]), s[i].tolist()) for i in range(50)] + [(50, 1, None)], "id long, c int, s array<double>").repartition(3)
+    got = distances.pair_values(df.where("id % 10 = 0"), df, "id", "s", {"dtw": distances.paired("dtw"), "poly": distances.kernel_matrix("poly"), "rbf": distances.kernel_matrix("rbf")}, size=7)
+    pairs = [(i, j) for i in range(0, 50, 10) for j in range(50) if i != j]
+    rows = {(r.query, r.neighbour): r for r in got.collect()}
+    assert sorted(rows) == pairs and got.count() == len(pairs)
+    far = distances.dtw(s[[i for i, _ in pairs]], s[[j for _, j in pairs]])
+    assert [rows[p].dtw for p in pairs] == far.tolist()
+    assert np.allclose([(rows[i, j].poly, rows[i, j].rbf) for i, j in pairs], [(s[i] @ s[j], np.exp(-0.01 * ((s[i] - s[j]) ** 2).sum())) for i, j in pairs])
+    assert "Join" not in got._jdf.queryExecution().analyzed().toString()  # a series is not sent once a pair
+    once = distances.pair_values(df, df, "id", "s", {"cid": distances.paired("cid")}, ("x", "y"), "c", 20).collect()
+    assert sorted((r.x, r.y) for r in once) == [(i, j) for i in range(50) for j in range(i + 1, 50) if c[i] == c[j]]
+
+
+def test_channels_and_spheres_return_what_can_matter(spark, monkeypatch):
+    from tidemill.operators import distances
+
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=(40, 2, 5)), rng.integers(0, 2, 40)
+    df = spark.createDataFrame([(i, int(c[i]), x[i].tolist(), x[i, 0].tolist()) for i in range(40)], "id long, c int, x array<array<double>>, s array<double>")
+    told = []
+    inner = distances.block_pairs
+    monkeypatch.setattr(distances, "block_pairs", lambda q, t, run, schema, *a, **k: told.append(inner(q, t, run, schema, *a, **k)) or told[-1])
+    threshold, said = distances.adaptive_channels(df.where("id % 4 = 0"), df, "id", "x", "c")
+    assert told[0].count() <= 2 * 10  # by either distance one row a query and block, not one a pair
+    near = {}
+    for i in range(0, 40, 4):
+        d, e = (distances.multivariate_dtw(np.repeat(x[i : i + 1], 40, 0), x, 1.0, dependent) for dependent in (True, False))
+        d[i] = e[i] = np.inf
+        near[i] = (d.argmin(), e.argmin(), d[d.argmin()] / e[d.argmin()])
+    assert {r.query: r.predicted for r in said.collect()} == {i: int(c[a] if ratio <= threshold else c[b]) for i, (a, b, ratio) in near.items()}
+    plain = ((x[:, None, 0] - x[:, 0]) ** 2).sum(2) ** 0.5
+    r = np.where(c[:, None] != c, plain, np.inf).min(1)
+    spheres = distances.sphere_cover(df, "id", "s", "c", 1).collect()
+    inside = {i: int(((plain[i] < r[i]) & (c == c[i])).sum()) for i in range(40)}
+    assert spheres and all(inside[s.centre] == s.covered and np.isclose(r[s.centre], s.radius) for s in spheres)
