@@ -150,3 +150,19 @@ def test_channels_and_spheres_return_what_can_matter(spark, monkeypatch):
     spheres = distances.sphere_cover(df, "id", "s", "c", 1).collect()
     inside = {i: int(((plain[i] < r[i]) & (c == c[i])).sum()) for i in range(40)}
     assert spheres and all(inside[s.centre] == s.covered and np.isclose(r[s.centre], s.radius) for s in spheres)
+
+
+def test_rows_of_one_word_are_not_searched(spark, monkeypatch):
+    from tidemill.operators import distances, symbols
+
+    rng = np.random.default_rng(9)
+    w, c = rng.integers(0, 2, (60, 5)).astype(float), rng.integers(0, 3, 60)
+    w[0] = 7.0
+    df = spark.createDataFrame([(i, int(c[i]), w[i].tolist()) for i in range(60)], "id long, c int, w array<double>")
+    asked, inner = [], distances.nearest
+    monkeypatch.setattr(distances, "nearest", lambda q, t, *a: asked.append((q.count(), t.count())) or inner(q, t, *a))
+    got = {r.id: (r.actual, r.predicted) for r in symbols.nearest_word(df, "id", "w", "c").collect()}
+    far = np.abs(w[:, None] - w).sum(2) + np.where(np.eye(60) > 0, np.inf, 0)
+    assert got == {i: (int(c[i]), int(c[far[i].argmin()])) for i in range(60)}
+    sizes = np.unique(w, axis=0, return_counts=True)[1]
+    assert asked == [(int((sizes == 1).sum()), len(sizes))]
