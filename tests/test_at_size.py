@@ -166,3 +166,21 @@ def test_rows_of_one_word_are_not_searched(spark, monkeypatch):
     assert got == {i: (int(c[i]), int(c[far[i].argmin()])) for i in range(60)}
     sizes = np.unique(w, axis=0, return_counts=True)[1]
     assert asked == [(int((sizes == 1).sum()), len(sizes))]
+
+
+def test_an_ensemble_is_selected_without_regrouping_items(spark):
+    from tidemill.operators import ensembles
+
+    rng = np.random.default_rng(10)
+    y, probs = rng.integers(0, 3, 40), rng.dirichlet([1, 1, 1], (4, 40)).round(3)
+    missing = {(1, 3), (2, 3), (2, 7)}
+    rows = [(m, i, int(y[i]), probs[m, i].tolist()) for m in range(4) for i in range(40) if (m, i) not in missing]
+    p = spark.createDataFrame(rows, "module int, item long, actual int, probs array<double>")
+    chosen = []
+    for _ in range(4):
+        def accuracy(m):
+            held = [[probs[k, i] for k in [*chosen, m] if (k, i) not in missing] for i in range(40)]
+            return np.mean([np.round(sum(h), 9).argmax() == y[i] for i, h in enumerate(held) if h])
+
+        chosen.append(min(range(4), key=lambda m: (-accuracy(m), m)))
+    assert ensembles.select_ensemble(p, 4) == chosen
