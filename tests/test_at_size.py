@@ -184,3 +184,24 @@ def test_an_ensemble_is_selected_without_regrouping_items(spark):
 
         chosen.append(min(range(4), key=lambda m: (-accuracy(m), m)))
     assert ensembles.select_ensemble(p, 4) == chosen
+
+
+def test_bounded_candidates_are_judged_in_blocks(spark, monkeypatch):
+    from tidemill.operators import shapelet_search, symbols
+
+    rng = np.random.default_rng(11)
+    x, c = rng.normal(size=(30, 16)), rng.integers(0, 2, 30)
+    x[3, 2:9] = 1.0
+    df = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(30)], "id long, c int, s array<double>")
+    asked = spark.createDataFrame([(i, int(c[i]), j, n) for i in range(0, 30, 3) for n in (5, 7) for j in range(0, 9, 2)], "series_id long, class int, start int, length int")
+    kernels, inner = [], symbols._least
+    monkeypatch.setattr(shapelet_search, "_least", lambda w, z: kernels.append(len(z)) or inner(w, z), raising=False)
+    monkeypatch.setattr(shapelet_search, "block_pairs", lambda a, b, run, schema, size: spark.createDataFrame(run(a.toPandas(), b.toPandas()), schema))
+    got = {(r.series_id, r.start, r.length, r.of): (r.n, r.s, r.q) for r in shapelet_search.judged(asked, df, df, "id", "s", "c").collect()}
+    assert sorted(kernels) == [50, 50]  # a product for each length of a block, not one for each series
+    for i, j, n in {k[:3] for k in got}:
+        w = x[i, j : j + n]
+        d = symbols._sliding([(w - w.mean()) / w.std() if w.std() > 0 else w * 0], x)[:, 0]
+        for k in (0, 1):
+            assert np.allclose(got[i, j, n, k], ((c == k).sum(), d[c == k].sum(), (d[c == k] ** 2).sum()), atol=1e-9)
+    assert len(got) == 200
