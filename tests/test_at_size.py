@@ -205,3 +205,22 @@ def test_bounded_candidates_are_judged_in_blocks(spark, monkeypatch):
         for k in (0, 1):
             assert np.allclose(got[i, j, n, k], ((c == k).sum(), d[c == k].sum(), (d[c == k] ** 2).sum()), atol=1e-9)
     assert len(got) == 200
+
+
+def test_nearest_bags_by_products(spark, monkeypatch):
+    from tidemill.operators import symbols
+
+    rng = np.random.default_rng(12)
+    n = rng.integers(0, 3, (70, 9)) * (rng.random((70, 1)) < 0.9)
+    bags = spark.createDataFrame([(i, f"w{j}", int(n[i, j])) for i in range(70) for j in range(9) if n[i, j]] + [(99, "alone", 2)], "id long, word string, n long")
+    plain = symbols.boss_distance(bags, bags, "id").groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).select("a", "m.b", "m.distance")
+    want = {tuple(r) for r in plain.collect()}
+    monkeypatch.setattr(symbols, "PRODUCT", (16, 25), raising=False)
+    near = [[{tuple(r) for r in f(bags, "id").collect()} for f in (symbols.nearest_boss, symbols.nearest_histogram)]]
+    monkeypatch.setattr(symbols, "DENSE_WORDS", 0, raising=False)
+    near.append([{tuple(r) for r in f(bags, "id").collect()} for f in (symbols.nearest_boss, symbols.nearest_histogram)])
+    assert near[0] == near[1] and near[0][0] == want and 99 not in {r[0] for r in want} and 99 in {r[0] for r in near[0][1]}
+    strips, inner = [], symbols._nearest_bags
+    a, b = (np.repeat(np.arange(40), 2), np.tile([0, 1], 40), np.arange(80.0)), (np.arange(60), np.arange(60) % 2, np.ones(60))
+    at, v = inner(a, b, 2, np.arange(40), np.arange(60), np.zeros(40), np.zeros(60), lambda qa, qb, sums: strips.append((qa.shape, qb.shape)) or sums(np.array, np.array))
+    assert {s for s in strips} == {((x, 1), (y,)) for x in (16, 8) for y in (25, 10)} and v.tolist() == [2.0 * i for i in range(40)] and at[:3].tolist() == [2, 0, 0]
