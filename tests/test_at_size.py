@@ -224,3 +224,21 @@ def test_nearest_bags_by_products(spark, monkeypatch):
     a, b = (np.repeat(np.arange(40), 2), np.tile([0, 1], 40), np.arange(80.0)), (np.arange(60), np.arange(60) % 2, np.ones(60))
     at, v = inner(a, b, 2, np.arange(40), np.arange(60), np.zeros(40), np.zeros(60), lambda qa, qb, sums: strips.append((qa.shape, qb.shape)) or sums(np.array, np.array))
     assert {s for s in strips} == {((x, 1), (y,)) for x in (16, 8) for y in (25, 10)} and v.tolist() == [2.0 * i for i in range(40)] and at[:3].tolist() == [2, 0, 0]
+
+
+def test_descriptors_are_sent_a_slice_at_a_time():
+    import pyarrow as pa
+
+    from tidemill.operators import descriptors
+
+    x = np.random.default_rng(13).normal(size=(600, 32))
+    for n in (0, 20):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(603)), pa.array([*x.tolist(), x[0, :n].tolist(), [], x[1].tolist()])], ["id", "s"])
+        got = list(descriptors.descriptor_batches(iter([batch]), blocks=4, width=4))
+        assert len(got) > 2 and max(len(set(b.column("id").to_pylist())) for b in got) <= 256
+        rows = {}
+        for b in got:
+            for i, d in zip(b.column("id").to_pylist(), b.column("d").to_pylist(), strict=True):
+                rows.setdefault(i, []).append(d)
+        want = {i: d.tolist() for i, d in enumerate([*descriptors.descriptors(x, 4, 4), *(descriptors.descriptors(x[:1, :n], 4, 4) if n else [np.zeros((0, 8))]), np.zeros((0, 8)), *descriptors.descriptors(x[1:2], 4, 4)]) if len(d)}
+        assert rows == want

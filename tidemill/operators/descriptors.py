@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def _gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -51,22 +55,35 @@ def descriptors(x: np.ndarray, blocks: int = 8, width: int = 4, dense: bool = Fa
     return [both[order[a:b]] for a, b in zip(edge, edge[1:], strict=False)]
 
 
+#: Series whose descriptors are held at once.
+SLICE = 256
+
+
+def descriptor_batches(batches: Iterator[pa.RecordBatch], **how) -> Iterator[pa.RecordBatch]:
+    """Batches of the kept columns and the series (the last column) to batches with a row a descriptor; only a slice's are held."""
+    for batch in batches:
+        values = batch.column(batch.num_columns - 1)
+        sizes = pc.list_value_length(values).to_numpy(zero_copy_only=False)
+        for n in np.unique(sizes):
+            places = np.flatnonzero(sizes == n)
+            for a in range(0, len(places) if n else 0, SLICE):
+                at = places[a : a + SLICE]
+                taken = batch.take(pa.array(at))
+                x = taken.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)
+                d = descriptors(x, **how)
+                many = [len(v) for v in d]
+                if sum(many):
+                    rows = taken.take(pa.array(np.repeat(np.arange(len(at)), many)))
+                    flat = np.concatenate(d)
+                    each = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:-1], each], [*rows.schema.names[:-1], "d"])
+
+
 def local_descriptors(df: DataFrame, keep: list[str], series: str, blocks: int = 8, width: int = 4, dense: bool = False, scales: int = 6) -> DataFrame:
     """``keep`` and ``d array<double>``, a row a descriptor; series without key points have no row, null series neither."""
-
-    def run(s: pd.Series) -> pd.Series:
-        out = [None] * len(s)
-        for n, g in s.groupby(s.map(len)):
-            places = s.index.get_indexer(g.index)
-            for a in range(0, len(places), 256):
-                some = places[a : a + 256]
-                x = np.stack([np.asarray(s.iloc[i], float) for i in some]) if n else np.zeros((len(some), 0))
-                for i, d in zip(some, descriptors(x, blocks, width, dense, scales=scales) if n else [np.zeros((0, 2 * blocks))] * len(some), strict=True):
-                    out[i] = d.tolist()
-        return pd.Series(out)
-
-    known = df.where(F.col(series).isNotNull())
-    return known.select(*keep, F.explode(F.pandas_udf(run, "array<array<double>>")(F.col(series))).alias("d"))
+    known = df.where(F.col(series).isNotNull()).select(*keep, F.col(series).alias("d"))
+    schema = StructType([*(known.schema[c] for c in keep), StructField("d", ArrayType(DoubleType()))])
+    return known.mapInArrow(lambda batches: descriptor_batches(batches, blocks=blocks, width=width, dense=dense, scales=scales), schema)
 
 
 class DescriptorWords:
