@@ -242,3 +242,20 @@ def test_descriptors_are_sent_a_slice_at_a_time():
                 rows.setdefault(i, []).append(d)
         want = {i: d.tolist() for i, d in enumerate([*descriptors.descriptors(x, 4, 4), *(descriptors.descriptors(x[:1, :n], 4, 4) if n else [np.zeros((0, 8))]), np.zeros((0, 8)), *descriptors.descriptors(x[1:2], 4, 4)]) if len(d)}
         assert rows == want
+
+
+def test_a_query_is_sent_once_to_a_bundle_of_rings(spark, monkeypatch):
+    from tidemill.operators import distances, pivots
+
+    x = np.random.default_rng(14).normal(size=(240, 12)).round(2)
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, label int, v array<double>")
+    written, inner = {}, pivots._written
+    monkeypatch.setattr(pivots, "_written", lambda f, name: written.setdefault(name, []).append(inner(f, name)) or written[name][-1])
+    got, _ = pivots.pivot_knn(df, df, 3, "id", "v", "label", ring=8)
+    plain = distances.knn_join(df, df, 3, "id", "v", "label")
+    assert {tuple(r) for r in got.select("query", "neighbour", "rank").collect()} == {tuple(r) for r in plain.select("query", "neighbour", "rank").collect()}
+    more, sent = written["more"][0], written["sent"][1]
+    bundles = written["bundles"][0].agg(F.max("bundle"), F.max("slot")).first()
+    assert 4 <= bundles[0] < 16 and bundles[1] < 64
+    assert sent.count() <= 240 * (bundles[0] + 1) < more.count() / 2  # random rows visit nearly every ring
+    assert sent.agg(F.sum(F.bit_count("slots"))).first()[0] == more.count()
