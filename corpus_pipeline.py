@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (Jaccard similarity 0.8 or more of five-word shingles)."""
+    """One document of each group of near copies stays: SimHash links and what they miss, all verified (Jaccard similarity 0.8 or more of five-word shingles)."""
     return jaccard.keep_first(docs)
 
 

@@ -448,6 +448,29 @@ def test_long_conversations_and_repeated_turns(spark):
     assert (got[6].n_turns, got[6].loss_chars) == (3, 100_000)
 
 
+def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(500)], 300)) for _ in range(12)]
+    texts += [" ".join([*t.split()[:-1], f"x{k}"]) for k in range(3) for t in texts[:8]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rounds, verified = [], jaccard._verified
+
+    def spied(pairs, *rest):
+        rounds.append(verified(pairs, *rest))
+        return rounds[-1]
+
+    monkeypatch.setattr(jaccard, "_verified", spied)
+    got = {r.doc_id: r.component_id for r in jaccard.near_components(df).collect()}
+    assert {i for i, c in got.items() if i == c} == brute_first(dict(enumerate(texts)))
+    fp = {r.doc_id: r.fp for r in simhash.fingerprints(df, 5).collect()}
+    near = [(a, b) for a, b in itertools.combinations(fp, 2) if ((fp[a] ^ fp[b]) & (2**64 - 1)).bit_count() <= 2]
+    assert len(near) > 5 and all(got[a] == got[b] for a, b in near)
+    sid = {r.doc_id: r.sid for r in jaccard.shingle_sets(df, 5, "doc_id", "text").collect()}
+    linked = {r.node: r.component for r in shared.components(rounds[0], "a", "b").collect()}
+    assert all(sid[a] == sid[b] or linked[sid[a]] == linked[sid[b]] for a, b in near)
+    assert len(rounds) == 3
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,9 +1,10 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: 0.8 or more, no pair missed.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles: 0.8 or more, no pair missed.
 
-Every set's shingles are put in one global order, those common in a sample last. Two sets at 0.8 share a shingle among
-the first fifth (and one) of each, so only these prefixes are joined. A candidate is verified on the complete sets.
-First every member of a prefix shingle is held against a few hubs, which joins large groups of copies in linear time;
-then the pairs of a shingle that are still in different components are held against each other.
+A candidate is verified on the complete sets. The first candidates are SimHash links: fingerprints of the shingles at most two
+bits apart. Sets at 0.8 may differ in more bits than a fingerprint's balls reach; those that are still in different components
+are found by their shingles. Every set's shingles are put in one global order, those common in a sample last. Two sets at 0.8
+share a shingle among the first fifth (and one) of each, so only these prefixes are joined: every member of a prefix shingle is
+held against a few hubs, which joins large groups of copies in linear time; then the pairs of a shingle against each other.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Words, components, cut, drop_cut, free_name, grams, join_split, mix, slices, small_batches, words
+from .simhash import fingerprints, links
 
 #: Shingles of one in ``SAMPLED`` documents are counted for the order, the ``RANKED`` most common go last. The order costs time, never a pair.
 SAMPLED, RANKED = 16, 100_000
@@ -109,6 +111,15 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: i
     return good
 
 
+def _fingerprint_pairs(distinct: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs ``(a, b)`` of set hashes that connect all sets whose SimHash fingerprints are at most two bits apart."""
+    sets = distinct.where("first is not null").select("sid", "first")
+    fps = cut(sets.join(fingerprints(docs, shingle, id_col, text_col), F.col("first") == F.col("doc_id")).select("sid", "fp").distinct())
+    least = cut(fps.groupBy("fp").agg(F.min("sid").alias("first"), F.count("*").alias("hits")))
+    same = join_split(fps, least, ["fp"], "hits").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    return same.union(links(least.select("fp", "first")).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)`` for every row: the smallest id reachable over pairs of Jaccard similarity 0.8 or more.
 
@@ -118,13 +129,16 @@ def near_components(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", t
     distinct = cut(every.groupBy("sid").agg(F.min("doc_id").alias("first"), *(F.any_value(c).alias(c) for c in ("n", "shingles", *ODD))))
     keys = distinct.where("first is not null").select("sid", "n", F.posexplode("shingles").alias("pos", "key"))
     keys = cut(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"))
-    hubs = keys.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("by"), "sid", "n", "pos")).dropFields("by") for i in range(HUBS)))).alias("hubs"))
+    alike = _verified(_fingerprint_pairs(distinct, docs, shingle, id_col, text_col), distinct, docs, shingle, id_col, text_col)
+    before, keys = keys, cut(keys.join(components(alike, "a", "b").withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+    drop_cut(before)
+    hubs = keys.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("by"), "sid", "n", "pos", "component")).dropFields("by") for i in range(HUBS)))).alias("hubs"))
     # at a pair's first common shingle the rest of either set bounds what they share
     near = "9 * least({0}n - {0}pos, {1}n - {1}pos) >= 4 * ({0}n + {1}n)"
-    star = keys.join(hubs, "key").select("sid", "n", "pos", F.explode("hubs").alias("hub")).where("sid <> hub.sid").where(near.format("", "hub."))
-    one = _verified(star.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")), distinct, docs, shingle, id_col, text_col)
+    star = keys.join(hubs, "key").select("sid", "n", "pos", "component", F.explode("hubs").alias("hub")).where("component <> hub.component").where(near.format("", "hub."))
+    one = _verified(star.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")), distinct, docs, shingle, id_col, text_col).union(alike)
     found = components(one, "a", "b").withColumnRenamed("node", "sid")
-    before, keys = keys, cut(keys.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+    before, keys = keys, cut(keys.drop("component").join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     drop_cut(before)
     mixed = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.mode("component").alias("main")).where("x < y").select("key", "main")
     before, keys = keys, cut(keys.join(mixed, "key").join(distinct.select("sid", *ODD), "sid"))
