@@ -68,6 +68,18 @@ def test_information_clusters(spark):
     assert none.count() == 0 and nothing == []
 
 
+@pytest.mark.parametrize("held", [0, 5, 1 << 18])
+def test_information_clusters_by_spread_of_words(spark, monkeypatch, held):
+    monkeypatch.setattr(category_clusters, "PIECE", 3)  # a document's words lie in several rows
+    rng = np.random.default_rng(4)
+    counts = {d: {f"t{d % 3}w{w}": int(rng.integers(1, 4)) for w in rng.choice(12, 7, False)} | {f"c{w}": 1 for w in rng.choice(8, 3, False)} | ({f"own{d}": 2} if d % 2 else {}) for d in range(40)}
+    counts |= {40: {"alone": 1}, 41: {"c1": 1}}
+    rows = [(d, w, n) for d, c in counts.items() for w, n in c.items()]
+    got, known = category_clusters.information_clusters(spark.createDataFrame(rows, "doc long, word string, n int"), 3, sweeps=3, parts=2, held=held)
+    want, plain = plain_information(counts, 3, 2, 1, 3)
+    assert {r.doc: r.cluster for r in got.collect()} == want and np.allclose(known, plain)
+
+
 def plain_items(baskets, r, parts, seed, sweeps):
     sets = {}
     for i, items in baskets:

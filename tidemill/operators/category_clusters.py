@@ -6,23 +6,92 @@ step is a join and two aggregates, and no more rows move against stale clusters
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graphs import _written
 from .sampling import seeded
 
+#: Words in most documents whose sums each task holds, and the words of a document in one row of their lists.
+HELD, PIECE = 1 << 18, 1024
+
 
 def _dealt(df: DataFrame, id_col: str, parts: int, seed: int) -> DataFrame:
     return df.withColumn("part", F.pmod(seeded(seed, id_col), F.lit(parts)).cast("int"))
 
 
-def information_clusters(terms: DataFrame, k: int, sweeps: int = 15, parts: int = 4, seed: int = 1, least_change: int = 0) -> tuple[DataFrame, list[float]]:
+def _split_words(p: DataFrame, held: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The rows of ``p`` (doc, word, p) by how many documents have the word, and how many words are held: (doc, ids, ps) of the ``held`` words of most
+    documents, ``PIECE`` words a row; (doc, word, p) of the others; (doc, single), the sum over words that no other document has."""
+    spread = _written(p.groupBy("word").agg(F.count("*").alias("docs")), "spread")
+    top = spread.where("docs > 1").orderBy(F.desc("docs"), "word").limit(held)
+    top = _written(top.select("word", (F.row_number().over(Window.orderBy(F.desc("docs"), "word")) - 1).alias("id")), "held")
+    lists = p.join(F.broadcast(top), "word").groupBy("doc").agg(F.collect_list(F.struct("id", "p")).alias("c"))
+    lists = lists.select("doc", F.explode(F.transform(F.sequence(F.lit(1), F.size("c"), F.lit(PIECE)), lambda i: F.slice("c", i, F.lit(PIECE)))).alias("c"))
+    rest = p.join(F.broadcast(top), "word", "left_anti").join(spread, "word")
+    rest = _written(rest, "rest")
+    single = _written(rest.where("docs = 1").groupBy("doc").agg(F.sum("p").alias("single")), "single")
+    return _written(lists.select("doc", F.col("c.id").alias("ids"), F.col("c.p").alias("ps")), "lists"), rest.where("docs > 1").select("doc", "word", "p"), single, top.count()
+
+
+def _held_sums(lists: DataFrame, now: DataFrame, k: int, each: float, held: int) -> np.ndarray:
+    """The sums of p * each of every held word (a row) and cluster."""
+
+    def run(batches):
+        sums = np.zeros(held * k)
+        for b in batches:
+            ids, ps = (b.column(c).flatten().to_numpy() for c in ("ids", "ps"))
+            own = np.repeat(b.column("cluster").to_numpy(), b.column("ids").value_lengths().to_numpy())
+            sums += np.bincount(ids.astype(np.int64) * k + own, ps * each, held * k)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "q"])
+
+    out = np.zeros(held * k)
+    if held:
+        got = lists.join(now.select("doc", "cluster"), "doc").mapInArrow(run, "at long, q double").groupBy("at").agg(F.sum("q").alias("q")).toPandas()
+        out[got["at"].to_numpy()] = got["q"].to_numpy()
+    return out.reshape(held, k)
+
+
+def _held_parts(lists: DataFrame, mine: DataFrame, k: int, each: float, sizes: dict[int, int], sums: np.ndarray) -> DataFrame:
+    """(doc, cluster, i0, s0, i1, ...) of the pieces of the documents in ``mine``, as :func:`information_clusters` sums them over words."""
+    sent = lists.sparkSession.sparkContext.broadcast(sums)
+    names = [f"{c}{t}" for t in range(k) for c in "is"]
+
+    def run(batches):
+        for b in batches:
+            ids, ps = (b.column(c).flatten().to_numpy() for c in ("ids", "ps"))
+            ends = np.r_[0, np.cumsum(b.column("ids").value_lengths().to_numpy())]
+            cluster = b.column("cluster").to_numpy()
+            out = np.zeros((2 * k, len(cluster)))
+            for lo in range(0, len(cluster), 256):
+                hi = min(lo + 256, len(cluster))
+                row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+                i, p, own = ids[ends[lo] : ends[hi]], ps[ends[lo] : ends[hi]], cluster[lo:hi][row]
+                for t in range(k):
+                    is_own = (own == t).astype(float)
+                    mass = (sizes.get(t, 0) - is_own) * each
+                    with np.errstate(all="ignore"):  # a cluster without mass costs nothing
+                        q = np.maximum(sent.value[i, t] - is_own * p * each, 0.0) / mass
+                        x, y = each / (mass + each), mass / (mass + each)
+                        m = x * p + y * q
+                        v = x * p * np.log(p / m) + np.where(q > 1e-15, y * q * np.log(q / m), 0.0)
+                    out[2 * t, lo:hi], out[2 * t + 1, lo:hi] = (np.bincount(row, np.where(mass > 0, z, 0.0), hi - lo) for z in (v, q))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("cluster"), *(pa.array(c) for c in out)], ["doc", "cluster", *names])
+
+    return lists.join(mine, "doc").mapInArrow(run, f"doc {dict(lists.dtypes)['doc']}, cluster int, " + ", ".join(f"{c} double" for c in names))
+
+
+def information_clusters(terms: DataFrame, k: int, sweeps: int = 15, parts: int = 4, seed: int = 1, least_change: int = 0, held: int = HELD) -> tuple[DataFrame, list[float]]:
     """(doc, cluster) and the mutual information of clusters and words after each sweep.
 
     ``terms``: (doc, word, n), n over 0. Every document weighs the same and is the distribution of its words. It starts in a cluster by hash and moves to the
     one where it costs least: the weights of both times the Jensen-Shannon divergence of their distributions, its own cluster taken without it
     (an empty one costs nothing; ties to the smaller number). Sweeps end when no more than ``least_change`` documents move. Documents without a word are left out.
+    The ``held`` words of most documents are numbers in lists, their sums an array in each task; the others meet their sums by a join. A word of one document
+    is in no cluster but by that document, so it needs no sums.
     """
     rows = terms.where("doc is not null and word is not null and n > 0")
     share = F.col("n") / F.sum("n").over(Window.partitionBy("doc"))
@@ -33,15 +102,20 @@ def information_clusters(terms: DataFrame, k: int, sweeps: int = 15, parts: int
     if not count:
         return now.select("doc", "cluster"), []
     each, known = 1.0 / count, []
+    lists, rare, single, n_held = _split_words(p, held)
+
+    def sums(now: DataFrame) -> tuple[np.ndarray, DataFrame, dict[int, int]]:
+        q = [F.sum(F.when(F.col("cluster") == t, F.col("p") * each).otherwise(0.0)).alias(f"q{t}") for t in range(k)]
+        words = _written(rare.join(now.select("doc", "cluster"), "doc").groupBy("word").agg(*q), "words")
+        return _held_sums(lists, now, k, each, n_held), words, {r.cluster: r["count"] for r in now.groupBy("cluster").count().collect()}
+
+    state = sums(now)
     for _ in range(sweeps):
         moved = 0
         for part in range(parts):
-            both = p.join(now.select("doc", "cluster"), "doc")
-            words = _written(both.groupBy("word").agg(*(F.sum(F.when(F.col("cluster") == t, F.col("p") * each).otherwise(0.0)).alias(f"q{t}") for t in range(k))), "words")
-            sizes = {r.cluster: r["count"] for r in now.groupBy("cluster").count().collect()}
+            frequent, words, sizes = state
             mine = now.where(F.col("part") == part).select("doc", "cluster")
-            joined = p.join(mine, "doc").join(words, "word")
-            sums = []
+            rest, alone = [], []
             for t in range(k):
                 own = (F.col("cluster") == t).cast("int")
                 mass = (F.lit(sizes.get(t, 0)) - own) * each
@@ -49,8 +123,11 @@ def information_clusters(terms: DataFrame, k: int, sweeps: int = 15, parts: int
                 a, b = each / (mass + each), mass / (mass + each)
                 m = a * F.col("p") + b * q
                 part_of = a * F.col("p") * F.log(F.col("p") / m) + F.when(q > 1e-15, b * q * F.log(q / m)).otherwise(0.0)
-                sums += [F.sum(F.when(mass > 0, part_of)).alias(f"i{t}"), F.sum(F.when(mass > 0, q)).alias(f"s{t}")]
-            total = joined.groupBy("doc", "cluster").agg(*sums)
+                rest += [F.sum(F.when(mass > 0, part_of).otherwise(0.0)).alias(f"i{t}"), F.sum(F.when(mass > 0, q).otherwise(0.0)).alias(f"s{t}")]
+                alone += [(-a * F.log(a) * F.col("single")).alias(f"i{t}"), F.lit(0.0).alias(f"s{t}")]
+            every = rare.join(mine, "doc").join(words, "word").groupBy("doc", "cluster").agg(*rest).unionByName(single.join(mine, "doc").select("doc", "cluster", *alone))
+            every = every.unionByName(_held_parts(lists, mine, k, each, sizes, frequent))
+            total = every.groupBy("doc", "cluster").agg(*(F.sum(f"{c}{t}").alias(f"{c}{t}") for t in range(k) for c in "is"))
             costs = []
             for t in range(k):
                 mass = (F.lit(sizes.get(t, 0)) - (F.col("cluster") == t).cast("int")) * each
@@ -61,17 +138,24 @@ def information_clusters(terms: DataFrame, k: int, sweeps: int = 15, parts: int
             if n:
                 moved += n
                 now = _written(now.join(told.select("doc", "new"), "doc", "left").select("doc", "part", F.coalesce("new", "cluster").alias("cluster")), "clusters")
-        known.append(shared_information(p.join(now.select("doc", "cluster"), "doc"), count))
+                state = sums(now)
+        known.append(_information(state, single.join(now, "doc"), count))
         if moved <= least_change:
             break
     return now.select("doc", "cluster"), known
 
 
-def shared_information(rows: DataFrame, count: int) -> float:
-    """Mutual information of clusters and words, in nats. ``rows``: (doc, word, p, cluster)."""
-    j = rows.groupBy("cluster", "word").agg((F.sum("p") / count).alias("j"))
-    t, w = j.groupBy("cluster").agg(F.sum("j").alias("t")), j.groupBy("word").agg(F.sum("j").alias("w"))
-    return float(j.join(F.broadcast(t), "cluster").join(w, "word").agg(F.sum(F.col("j") * F.log(F.col("j") / (F.col("t") * F.col("w")))).alias("i")).first().i or 0.0)
+def _information(state: tuple[np.ndarray, DataFrame, dict[int, int]], single: DataFrame, count: int) -> float:
+    """Mutual information of clusters and words, in nats, from the words' sums."""
+    frequent, words, sizes = state
+    k = frequent.shape[1]
+    t = np.array([sizes.get(i, 0) / count for i in range(k)])
+    with np.errstate(all="ignore"):
+        out = np.where(frequent > 0, frequent * np.log(frequent / (t * frequent.sum(1, keepdims=True))), 0.0).sum()
+    every = sum((F.col(f"q{i}") for i in range(1, k)), F.col("q0"))
+    rest = sum((F.when(F.col(f"q{i}") > 0, F.col(f"q{i}") * F.log(F.col(f"q{i}") / (float(t[i]) * every))).otherwise(0.0) for i in range(k)), F.lit(0.0))
+    alone = single.groupBy("cluster").agg(F.sum("single").alias("s")).collect()
+    return float(out + (words.agg(F.sum(rest).alias("i")).first().i or 0.0) - sum(r.s / count * np.log(t[r.cluster]) for r in alone))
 
 
 def item_clusters(baskets: DataFrame, repulsion: float = 2.6, sweeps: int = 50, parts: int = 2, seed: int = 1) -> DataFrame:
