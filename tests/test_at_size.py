@@ -259,3 +259,18 @@ def test_a_query_is_sent_once_to_a_bundle_of_rings(spark, monkeypatch):
     assert 4 <= bundles[0] < 16 and bundles[1] < 64
     assert sent.count() <= 240 * (bundles[0] + 1) < more.count() / 2  # random rows visit nearly every ring
     assert sent.agg(F.sum(F.bit_count("slots"))).first()[0] == more.count()
+
+
+def test_rows_reach_the_leaves_of_a_wide_tree(spark):
+    from tidemill.streaming import operators as streaming
+
+    rows = [(a, b, (a + (b == 1)) % 2) for a in range(12) for b in range(3) for _ in range(100)]
+    df = spark.createDataFrame([(a, b, y if i % 10 else 1 - y) for i, (a, b, y) in enumerate(rows)], "a int, b int, y int").repartition(3)
+    state = streaming.TableState(spark, "leaf string, attribute string, value string, class string, n long")
+    step = streaming.hoeffding_sink(["a", "b"], "y", 2, state, delta=0.5)
+    for number in range(3):
+        step(df, number)
+    inner = {r.leaf: r.attribute for r in state.before().where("class is null").collect()}
+    assert inner == {"": "a", **{f"a={i}": "b" for i in range(12)}}
+    leaves = state.before().where("class is not null and attribute = 'b'").groupBy("leaf").agg(F.sum("n").alias("n")).collect()
+    assert {r.leaf: r.n for r in leaves} == {f"a={a}/b={b}": 100 for a in range(12) for b in range(3)}

@@ -222,22 +222,20 @@ def hoeffding_sink(columns: list[str], label: str, classes: int, state: TableSta
     """
     from ..operators.scoring import contingency, entropy_scores
 
-    def route(batch: DataFrame, splits: dict[str, str]) -> DataFrame:
-        leaf = F.lit("")
-        for _ in range(len(splits) + 1):
-            nxt = leaf
-            for path, c in splits.items():
-                grown = F.concat(F.lit(f"{path}/" if path else ""), F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("?")))
-                nxt = F.when(leaf == path, grown).otherwise(nxt)
-            leaf = nxt
-            if len(splits) > 8:
-                break
-        return batch.withColumn("leaf", leaf)
+    def route(batch: DataFrame, splits: DataFrame) -> DataFrame:
+        # a path tests a column once, as a leaf's rows are equal in the columns above it
+        batch, value = batch.withColumn("leaf", F.lit("")), F.lit(None)
+        for c in columns:
+            value = F.when(F.col("__by") == c, F.coalesce(F.col(c).cast("string"), F.lit("?"))).otherwise(value)
+        grown = F.concat(F.when(F.col("leaf") == "", "").otherwise(F.concat("leaf", F.lit("/"))), "__by", F.lit("="), value)
+        for _ in columns:
+            batch = batch.join(F.broadcast(splits), F.col("leaf") == F.col("__leaf"), "left").withColumn("leaf", F.coalesce(grown, "leaf")).drop("__leaf", "__by")
+        return batch
 
     def step(batch: DataFrame, number: int) -> None:
         held = state.before(number)
-        splits = {r.leaf: r.attribute for r in held.where("class is null").select("leaf", "attribute").collect()}
-        routed = route(batch, splits)
+        splits = held.where("class is null")
+        routed = route(batch, splits.select(F.col("leaf").alias("__leaf"), F.col("attribute").alias("__by")))
         long = routed.unpivot([F.col("leaf"), F.col(label).cast("string").alias("class")], [F.col(c).cast("string").alias(c) for c in columns], "attribute", "value")
         new = long.where("value is not null and class is not null").groupBy("leaf", "attribute", "value", "class").agg(F.count("*").alias("n"))
         counts = held.where("class is not null").unionByName(new).groupBy("leaf", "attribute", "value", "class").agg(F.sum("n").alias("n"))
@@ -249,9 +247,9 @@ def hoeffding_sink(columns: list[str], label: str, classes: int, state: TableSta
         first, second = F.col("t")[0], F.coalesce(F.get("t", F.lit(1))["info_gain"], F.lit(0.0))
         bound = hoeffding_bound(F.col("m"), classes, delta)
         ready = two.where((F.col("m") >= grace) & (first["info_gain"] > 0) & ((first["info_gain"] - second > bound) | (bound < tie))).select("leaf", first["attribute"].alias("attribute")).collect()
-        inner = [(r.leaf, r.attribute, None, None, 0) for r in ready] + [(k, v, None, None, 0) for k, v in splits.items()]
+        inner = splits.unionByName(state.spark.createDataFrame([(r.leaf, r.attribute, None, None, 0) for r in ready], state.schema))
         rest = counts.where(~F.col("leaf").isin([r.leaf for r in ready])) if ready else counts
-        state.write(rest.select("leaf", "attribute", "value", "class", "n").unionByName(state.spark.createDataFrame(inner, state.schema)), number)
+        state.write(rest.select("leaf", "attribute", "value", "class", "n").unionByName(inner), number)
         counts.unpersist()
 
     return step
