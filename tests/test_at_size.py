@@ -274,3 +274,23 @@ def test_rows_reach_the_leaves_of_a_wide_tree(spark):
     assert inner == {"": "a", **{f"a={i}": "b" for i in range(12)}}
     leaves = state.before().where("class is not null and attribute = 'b'").groupBy("leaf").agg(F.sum("n").alias("n")).collect()
     assert {r.leaf: r.n for r in leaves} == {f"a={a}/b={b}": 100 for a in range(12) for b in range(3)}
+
+
+def test_series_are_streamed_to_blocks_of_candidates(spark, monkeypatch):
+    from tidemill.operators import distances, symbols
+
+    rng = np.random.default_rng(12)
+    x, c = rng.normal(size=(150, 10)), rng.integers(0, 3, 150)
+    df = spark.createDataFrame([(i + 2**60, int(c[i]), x[i].tolist()) for i in range(150)], "id long, c int, s array<double>").repartition(4)
+    told, inner = [], distances.block_pairs
+    monkeypatch.setattr(distances, "block_pairs", lambda q, t, run, schema, *a, **k: told.append(inner(q, t, run, schema, *a, **k)) or told[-1])
+    monkeypatch.setattr(symbols, "CANDIDATE_BLOCKS", (20, 35))
+    for own in (False, True):
+        got = {(r.series_id - 2**60, r.start): r.f_statistic for r in symbols.scored_candidates(df, "id", "s", "c", [7], 1, own).collect()}
+        assert told[-1].count() == 150 * 4 == len(got)  # blocks return a row a candidate, not one a class and block of series
+        for i, j in ((0, 0), (77, 3), (149, 2)):
+            w = x[i, j : j + 7]
+            d = symbols._sliding([(w - w.mean()) / w.std()], x)[:, 0]
+            g = [d[c == k] for k in range(3)] if not own else [d[c == c[i]], d[c != c[i]]]
+            between = sum(len(v) * (v.mean() - d.mean()) ** 2 for v in g) / (len(g) - 1)
+            assert np.isclose(got[i, j], between / (sum(((v - v.mean()) ** 2).sum() for v in g) / (150 - len(g))))
