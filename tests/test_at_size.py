@@ -294,3 +294,18 @@ def test_series_are_streamed_to_blocks_of_candidates(spark, monkeypatch):
             g = [d[c == k] for k in range(3)] if not own else [d[c == c[i]], d[c != c[i]]]
             between = sum(len(v) * (v.mean() - d.mean()) ** 2 for v in g) / (len(g) - 1)
             assert np.isclose(got[i, j], between / (sum(((v - v.mean()) ** 2).sum() for v in g) / (150 - len(g))))
+
+
+def test_edits_of_a_group_in_slices(spark, monkeypatch):
+    from tidemill.operators import distances
+
+    rng = np.random.default_rng(13)
+    words = ["", "a", "été", "kitten", "sitting", "old plate", "cold plate", "𝛼bc", None]
+    rows = [(i, int(rng.integers(0, 3)) if i else None, words[i % 9]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g int, t string").repartition(3)
+    monkeypatch.setattr(distances, "SLICE", 16, raising=False)
+    monkeypatch.setattr(distances, "TEXT_PAIRS", 5, raising=False)
+    a, b = df.toDF("x", "g", "a"), df.toDF("y", "g", "b")
+    want = a.join(b, "g").where("x < y").select("x", "y", F.levenshtein("a", "b").alias("edits"))
+    got = distances.edits_within(df, ["g"], "id", "t")
+    assert got.schema == want.schema and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
