@@ -309,3 +309,33 @@ def test_edits_of_a_group_in_slices(spark, monkeypatch):
     want = a.join(b, "g").where("x < y").select("x", "y", F.levenshtein("a", "b").alias("edits"))
     got = distances.edits_within(df, ["g"], "id", "t")
     assert got.schema == want.schema and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_pairs_are_streamed_to_blocks(spark, monkeypatch):
+    from tidemill.operators import distances, symbols
+
+    rng = np.random.default_rng(14)
+    x, c = rng.normal(size=(130, 6)), rng.integers(0, 3, 130)
+    df = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(130)], "id long, c int, s array<double>").repartition(3)
+    bags = spark.createDataFrame([(i, f"w{j}", 1 + (i * j) % 3) for i in range(130) for j in range(12) if (i + j) % 5], "id long, word string, n long")
+    told, inner = {}, distances.block_pairs
+
+    def spied(q, t, run, schema, size, grow=False, within=None):
+        told.setdefault(schema.split(",")[-1], []).append((hasattr(run, "steps"), grow, within))
+        return inner(q, t, run, schema, size, grow, within)
+
+    monkeypatch.setattr(distances, "block_pairs", spied)
+    near = {r["query"]: r.neighbour for r in distances.pruned_nearest(df, df, "id", "s", "c", 0.4).collect()}
+    d = distances.dtw(np.repeat(x, 130, 0), np.tile(x, (130, 1)), 0.4).reshape(130, 130) + np.where(np.eye(130) > 0, np.inf, 0)
+    assert near == dict(enumerate(d.argmin(1).tolist())) and told[" met long"] == [(True, False, None)]
+    distances.sphere_cover(df, "id", "s", "c")
+    assert told[" r double"] == [(True, False, None)] and told[" id bigint"] == [(False, True, None)]
+    distances.radius_join(df, df, "id", "s", 1.0)
+    assert told[" distance double"][-1] == (False, True, None)
+    once = {(r.x, r.y) for r in distances.pair_values(df, df, "id", "s", {"cid": distances.paired("cid")}, ("x", "y"), "c", 20).collect()}
+    assert once == {(i, j) for i in range(130) for j in range(i + 1, 130) if c[i] == c[j]} and told[" cid double"] == [(True, False, "w")]
+    monkeypatch.setattr(symbols, "PAIRS_TOLD", 100, raising=False)
+    cosine = {(r.a, r.b): r.similarity for r in symbols.bag_cosine(bags.where("id < 90"), bags, "id").collect()}
+    n = np.array([[(1 + (i * j) % 3) * bool((i + j) % 5) for j in range(12)] for i in range(130)], float)
+    n /= np.sqrt((n * n).sum(1, keepdims=True))
+    assert len(cosine) == 90 * 129 and all(np.isclose(v, n[a] @ n[b]) for (a, b), v in cosine.items()) and told[" v double"] == [(True, True, None)]
