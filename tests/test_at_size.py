@@ -339,3 +339,14 @@ def test_pairs_are_streamed_to_blocks(spark, monkeypatch):
     n = np.array([[(1 + (i * j) % 3) * bool((i + j) % 5) for j in range(12)] for i in range(130)], float)
     n /= np.sqrt((n * n).sum(1, keepdims=True))
     assert len(cosine) == 90 * 129 and all(np.isclose(v, n[a] @ n[b]) for (a, b), v in cosine.items()) and told[" v double"] == [(True, True, None)]
+
+
+def test_queries_of_pairs_meet_all_rows(spark):
+    from tidemill.plans import collected, symbolic  # noqa: F401
+
+    d = "/root/testdata/sf0.001"
+    n = catalog.read(spark, d, "embeddings").count()
+    for name in ("d_dependent_dtw", "d_independent_dtw", "d_time_aligned", "d_window_search", "b_pyramid"):
+        assert "% 100" not in catalog.ORACLE_SQL[name]
+    assert catalog.QUERIES["d_dependent_dtw"](spark, d).select("x").distinct().count() == n
+    assert catalog.QUERIES["d_adaptive_channels"](spark, d).agg(F.sum("n")).first()[0] == n
